@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercadia.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
+from mercadia.llm.langid import op3_language_id
 from mercadia.llm.mixing import OP4_SQL, op4_source_mixing
+from mercadia.llm.secrets import op5_secret_scan
+from mercadia.llm.simhash import op2_simhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_source_mixing": op4_source_mixing}
+    found = (op2_simhash_near_dedup, op3_language_id, op4_source_mixing, op5_secret_scan, op9_benchmark_decontamination)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": OP4_SQL}
+    return {"op4_source_mixing": OP4_SQL, "op9_benchmark_decontamination": OP9_SQL}

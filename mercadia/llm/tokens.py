@@ -37,9 +37,9 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _ODD, np.uint64)])
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(_ODD, -1, 1 << 64), np.uint64)])
+            more = max(n, 1 << 20)
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(more - 1, _ODD, np.uint64)])
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(more - 1, pow(_ODD, -1, 1 << 64), np.uint64)])
         return self.up[:n], self.down[:n]
 
 
