@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,3 +37,8 @@ def materialize(df: DataFrame) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Words in a text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def with_columns(docs: DataFrame, keep: tuple[str, ...], added: str) -> StructType:
+    """The kept columns of docs, then those of a DDL string, for an operator that hands rows through."""
+    return StructType([docs.schema[c] for c in keep] + StructType.fromDDL(added).fields)

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import table
+from mercadia.llm.common import table, with_columns
 from mercadia.llm.tokens import Words, byte_values, chunks, sliding_min, spans_of, utf8, words
 
 _VALUES = byte_values(lower=True, alnum=True)
-_SCHEMA = "doc_id long, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
+_ADDED = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -71,10 +71,10 @@ def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 4, broadcast_chars: int = 64 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 4, broadcast_chars: int = 64 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Words of documents that lie in a window of a benchmark item.
 
-    docs: doc_id, text; benchmark: item_id, text. Returns doc_id, n_words, hits (runs of hit words, end exclusive) and
+    docs: doc_id, text and the kept columns; benchmark: item_id, text. Returns the columns named by keep, n_words, hits (runs of hit words, end exclusive) and
     items (item_ids as text, distinct, unordered). Each window keeps its least gram hash as anchor, so any shared
     span of ``window`` words shares an anchor; where anchors meet, the hit is extended to whole windows and compared
     word by word. A benchmark of up to broadcast_chars characters goes to the tasks whole and documents are read
@@ -87,7 +87,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > broadcast_chars:
-        return _joined(docs, items, window, gram)
+        found = _joined(docs, items, window, gram)
+        if keep == ("doc_id",):
+            return found
+        found = found.withColumnRenamed("doc_id", "_of")
+        return docs.select(*keep, "doc_id" if "doc_id" not in keep else F.lit(0).alias("_")).join(found, F.col("doc_id").eqNullSafe(F.col("_of"))).select(*keep, "n_words", "hits", "items")
     known = spark.sparkContext.broadcast(Fingerprints([(r.item_id, r.text) for r in items.collect()], window, gram))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +110,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
                     for d in np.unique(pairs[0]).tolist():
                         hits[d] = [{"start": s, "end": e} for s, e in spans_of(hit[w.first[d] : w.first[d + 1]])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(np.diff(w.first).astype(np.int64)), pa.array(hits, _HITS), pa.array(names, pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "hits", "items"],
+                    [*(batch.column(c).slice(low, high - low) for c in keep), pa.array(np.diff(w.first).astype(np.int64)), pa.array(hits, _HITS), pa.array(names, pa.list_(pa.string()))],
+                    [*keep, "n_words", "hits", "items"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, _SCHEMA)
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(scan, with_columns(docs, keep, _ADDED))
 
 
 def _joined(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import table
+from mercadia.llm.common import table, with_columns
 
 UNKNOWN = "und"
 _END = np.int32(1 << 30)  # set in a transition that ends a phrase
@@ -124,10 +124,10 @@ def training_sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dic
     return out
 
 
-def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 48_000) -> DataFrame:
-    """(doc_id, lang_pred, score): the language whose sample parses the text into the fewest normalised phrases.
+def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 48_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named by keep, then lang_pred and score: the language whose sample parses the text into the fewest normalised phrases.
 
-    docs: doc_id, text; labelled: doc_id, text, lang. From labelled rows at most sample_docs texts and sample_chars
+    docs: text and the kept columns; labelled: doc_id, text, lang. From labelled rows at most sample_docs texts and sample_chars
     characters a language are learned (the bound of the fit); every text is then judged whole. A phrase is the longest
     run of the rest of the text that occurs in the sample; phrases count log2(sample length) bits each. score is the
     saving over the second best language, 0 to 1 (1 if only one is known).
@@ -148,13 +148,14 @@ def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample
                 while end < len(texts) and (end == begin or total + len(texts[end]) <= 2 << 20):
                     total += len(texts[end])
                     end += 1
-                yield _judge(known.value if known else None, batch.column("doc_id").slice(begin, end - begin), texts[begin:end])
+                kept = [batch.column(c).slice(begin, end - begin) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *_judge(known.value if known else None, texts[begin:end])], [*keep, "lang_pred", "score"])
                 begin = end
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, lang_pred string, score double")
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(scan, with_columns(docs, keep, "lang_pred string, score double"))
 
 
-def _judge(parser: Parser | None, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+def _judge(parser: Parser | None, texts: list[str]) -> tuple[pa.Array, pa.Array]:
     langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     some = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if parser else []
     if some:
@@ -164,7 +165,7 @@ def _judge(parser: Parser | None, ids: pa.Array, texts: list[str]) -> pa.RecordB
         saved = 1 - ordered[:, 0] / ordered[:, 1] if bits.shape[1] > 1 else np.ones(len(some))
         for k, i in enumerate(some):
             langs[i], scores[i] = parser.langs[best[k]], saved[k]
-    return pa.RecordBatch.from_arrays([ids, pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+    return pa.array(langs), pa.array(scores)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

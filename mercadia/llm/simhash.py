@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mercadia.llm.common import materialize, table
 from mercadia.llm.components import components
-from mercadia.llm.tokens import utf8
+from mercadia.llm.tokens import Words, byte_values, chunks, mix, utf8, words
 
 BITS = 64
 
@@ -243,6 +243,79 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, crowd: i
     return prints.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
 
+_VALUES = byte_values(lower=True, alnum=False)
+
+
+def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-word shingles of all texts, and where each text's begin; a shorter text is one shingle."""
+    sizes = np.diff(w.first)
+    at = np.flatnonzero(w.whole(n))
+    key, owner = w.grams(n)[at], w.doc[at]
+    for short in range(1, n):
+        some = np.flatnonzero(sizes == short)
+        key, owner = np.r_[key, w.grams(short)[w.first[some]]], np.r_[owner, some]
+    order = np.argsort(owner, kind="stable")
+    return key[order], np.searchsorted(owner[order], np.arange(len(sizes) + 1))
+
+
+def sketches(docs: DataFrame, shingle: int, seeds: int, compare: int, hashes: int) -> DataFrame:
+    """(doc_id, fps, sketch): SimHashes of the text's shingles under several hash functions, and its least hashes of
+    ``compare``-word shingles."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            for low, high in chunks(texts):
+                w = words(texts[low:high], _VALUES)
+                key, first = _shingles(w, shingle)
+                full = np.flatnonzero(np.diff(first))
+                fps = np.zeros((high - low, seeds), np.int64)
+                for s in range(seeds):
+                    if len(full):
+                        bits = _bits(mix(key + np.uint64(s)).view(np.int64))
+                        ones = np.add.reduceat(bits, first[full], axis=0, dtype=np.int32)
+                        fps[full, s] = np.packbits(ones * 2 > np.diff(first)[full, None], axis=1).reshape(-1, 8).copy().view(">i8").ravel()
+                key, first = _shingles(w, compare)
+                key = key.view(np.int64)
+                least = [np.unique(key[i:j])[:hashes] for i, j in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(list(fps), pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "fps", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fps array<long>, sketch array<long>")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, shingle: int = 2, seeds: int = 4, radius: int = 5, hashes: int = 128) -> DataFrame:
+    """(doc_id, component_id): documents linked at a Jaccard similarity of ``compare``-word shingles of at least ``similarity``.
+
+    docs: doc_id, text, lower-cased (A-Z). At that similarity, SimHashes of longer shingles lie too far apart to be
+    searched for. Candidates are therefore links within ``radius`` bits of some of ``seeds`` SimHashes over shorter
+    shingles; each is kept if the least ``hashes`` hashes of both texts' shingles together are common to both in the
+    asked share (exact up to that many shingles, else an estimate). Equal sketches are one class before anything is
+    paired; documents of one fingerprint are compared with the first of them only.
+
+    Null, empty and wordless texts are copies of each other. Rows with a null doc_id are in no group of their own
+    making; repeated rows are kept; an empty table gives an empty result; extra columns are ignored.
+    """
+    every = materialize(sketches(docs, shingle, seeds, compare, hashes))
+    same = every.groupBy("fps", F.xxhash64("sketch").alias("key")).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = materialize(same.where("rep is not null"))
+    pairs = None
+    for s in range(seeds):
+        by_fp = classes.groupBy(F.get("fps", F.lit(s)).alias("fp"))
+        leaders = materialize(by_fp.agg(F.min("rep").alias("rep")))
+        own = classes.select(F.get("fps", F.lit(s)).alias("fp"), F.col("rep").alias("b")).join(leaders.withColumnRenamed("rep", "a"), "fp").where("a != b").select("a", "b")
+        found = own.unionByName(links(leaders, radius))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = classes.select("rep", "sketch")
+    both = pairs.join(of.withColumnsRenamed({"rep": "a", "sketch": "x"}), "a").join(of.withColumnsRenamed({"rep": "b", "sketch": "y"}), "b")
+    least = F.slice(F.array_sort(F.array_union("x", "y")), 1, hashes)
+    common = F.size(F.array_intersect(least, F.array_intersect("x", "y")))
+    linked = both.where((F.size(least) == 0) | (common >= similarity * F.size(least))).select("a", "b")
+    named = classes.join(components(linked), F.col("rep") == F.col("node"), "left").select(F.col("fps").alias("fps_"), F.xxhash64("sketch").alias("key"), F.coalesce("component", "rep").alias("component_id"))
+    met = (F.col("fps") == F.col("fps_")) & (F.xxhash64("sketch") == F.col("key"))
+    return every.join(named, met, "left").select("doc_id", "component_id")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
