@@ -30,8 +30,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], budget: float,
         .withColumn("weight_left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left") / F.col("weight_left"))
     )
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every)
-    return levels.withColumn("v", level).select(
+    first = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", F.col("rank").alias("at"), "level"))).over(every)
+    return levels.withColumn("v", first["level"]).select(
         "source", "source_size", "rank", "weight",
         F.when(F.col("v").isNull() | (F.col("v") >= F.col("full_at")), F.col("cap")).otherwise(F.col("v") * F.col("weight")).alias("target"),
     )
@@ -120,7 +120,7 @@ levels AS (
 targets AS (
   SELECT source, source_size, rank, weight,
     CASE WHEN v IS NULL OR v >= full_at THEN cap ELSE v * weight END AS target
-  FROM (SELECT *, min(CASE WHEN level <= full_at THEN level END) OVER () AS v FROM levels)),
+  FROM (SELECT *, (SELECT level FROM levels WHERE level <= full_at ORDER BY full_at, rank LIMIT 1) AS v FROM levels)),
 queued AS (
   SELECT s.*, t.source_size, t.rank, t.weight, t.target,
     sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
