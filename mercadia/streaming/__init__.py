@@ -1,0 +1 @@
+"""Nothing runs as a stream: all sources are daily batches, and history tables are updated by keyed upserts."""
