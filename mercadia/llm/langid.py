@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,8 +15,14 @@ from pyspark.sql import functions as F
 from mercadia.llm.common import table, with_columns
 
 UNKNOWN = "und"
-_END = np.int32(1 << 30)  # set in a transition that ends a phrase
+_END = np.int32(1 << 29)  # added to a transition for each phrase that it ends
 _BLOCK = 512
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """Lower-case letters; each run of other characters is one space. Those say little about a language."""
+    return _NO_LETTERS.sub(" ", text.lower())
 
 
 def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
@@ -57,12 +64,13 @@ class Parser:
     """Suffix automata of some languages in one transition table.
 
     A transition holds the next state's row, and _END if the symbol could not extend the phrase: then the phrase ends
-    and the next one begins with that symbol. Symbol 0 is padding and changes nothing, 1 any rare character.
+    and the next one begins with that symbol. A symbol that the sample lacks is a phrase of its own. Symbol 0 is padding
+    and changes nothing, 1 any rare character.
     """
 
     def __init__(self, samples: dict[str, str], alphabet: int = 56) -> None:
         self.langs = sorted(samples)
-        known = Counter(c for t in samples.values() for c in t.lower())
+        known = Counter(c for t in samples.values() for c in letters(t))
         self.symbol = np.ones(0x110000, np.uint8)
         for i, (c, _) in enumerate(sorted(known.items(), key=lambda x: (-x[1], x[0]))[: alphabet - 2]):
             self.symbol[ord(c)] = i + 2
@@ -72,7 +80,8 @@ class Parser:
             symbols = self.symbols(samples[lang]).tolist()
             next_ = suffix_automaton(symbols, alphabet)
             first = np.where(next_[0] >= 0, next_[0], 0)
-            out = np.where(next_ >= 0, (next_ + row) * alphabet, ((first + row) * alphabet)[None, :] | _END)
+            ended = 1 + (next_[0] < 0)[None, :] - (np.arange(len(next_)) == 0)[:, None]
+            out = np.where(next_ >= 0, (next_ + row) * alphabet, ((first + row) * alphabet)[None, :] + ended * _END)
             out[:, 0] = (np.arange(len(next_)) + row) * alphabet
             tables.append(out.astype(np.int32))
             starts.append(row * alphabet)
@@ -82,7 +91,7 @@ class Parser:
         self.start = np.array(starts, np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
-        return self.symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+        return self.symbol[np.frombuffer(letters(text).encode("utf-32-le", "surrogatepass"), "<u4")]
 
     def bits_of(self, texts: list[str]) -> np.ndarray:
         """(text, language): phrases needed, times the bits that name a place in the language's sample.
@@ -100,7 +109,7 @@ class Parser:
         ends = np.zeros_like(state)
         for symbols in steps:
             moved = self.table.take(state + symbols[None, :])
-            ends += moved >> 30
+            ends += moved >> 29
             state = moved & (_END - 1)
         ends += state != self.start[:, None]  # the phrase that the block's end cuts
         owner = np.repeat(np.arange(len(texts)), blocks)
@@ -129,7 +138,7 @@ def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample
 
     docs: text and the kept columns; labelled: doc_id, text, lang. From labelled rows at most sample_docs texts and sample_chars
     characters a language are learned (the bound of the fit); every text is then judged whole. A phrase is the longest
-    run of the rest of the text that occurs in the sample; phrases count log2(sample length) bits each. score is the
+    run of the rest of the text that occurs in the sample, where texts and samples are their letters; phrases count log2(sample length) bits each. score is the
     saving over the second best language, 0 to 1 (1 if only one is known).
 
     'und' with score 0 if the text is null or has no letter, or no language was learned. Ties go to the language
