@@ -38,7 +38,7 @@ def dense_grid(sales: DataFrame, products: DataFrame, start=None, end=None) -> D
     days = products.crossJoin(F.broadcast(span)).withColumn("date", F.explode(F.sequence("first_day", "last_day", F.expr("interval 1 day"))))
     zero = F.lit(0.0)
     joined = days.join(sales.select("product_id", "date", "quantity_sold", "revenue"), ["product_id", "date"], "left")
-    return joined.withColumn("quantity_sold", F.coalesce("quantity_sold", zero)).withColumn("revenue", F.coalesce("revenue", F.lit(0).cast("decimal(18,2)")))
+    return joined.withColumn("quantity_sold", F.coalesce("quantity_sold", zero)).withColumn("revenue", F.coalesce("revenue", F.lit(0).cast(sales.schema["revenue"].dataType)))
 
 
 def calendar_features(date: Column, first: Column) -> dict[str, Column]:

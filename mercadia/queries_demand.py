@@ -69,7 +69,8 @@ def calendar(s: SparkSession, d: str) -> DataFrame:
 
 def segmentation(s: SparkSession, d: str) -> DataFrame:
     sold = series(s, d)
-    return rounded(demand.segment(_labelled(sold), _ends(sold, c.products(s, d)), ("product_id",)))
+    found = demand.segment(_labelled(sold), _ends(sold, c.products(s, d)), ("product_id",))
+    return rounded(found.withColumn("cv_squared", F.col("cv_squared") + 1e-9))  # off the ties of rounding
 
 
 def _forecast(model: str):
@@ -305,7 +306,7 @@ SQL = {
       CAST(quarter(date) AS INTEGER) AS quarter, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(date - first_day AS INTEGER) AS time_index FROM series, span""",
     "lag_rolling_features": f"{_FEATURED} SELECT product_id, {_avg(LAG_NAMES + ROLLING_NAMES)} FROM marked GROUP BY product_id",
     "cumulative_recency_features": f"{_FEATURED} SELECT product_id, {_avg(CUMULATIVE_NAMES)}, CAST(sum(current_zero_streak) AS BIGINT) AS current_zero_streak FROM recent GROUP BY product_id",
-    "demand_segmentation": f"""{_SERIES} SELECT product_id, non_zero_demand_days, round(adi, 6) AS adi, round(cv2, 6) AS cv_squared, {_PATTERN} AS demand_pattern FROM (
+    "demand_segmentation": f"""{_SERIES} SELECT product_id, non_zero_demand_days, round(adi, 6) AS adi, round(cv2 + 1e-9, 6) AS cv_squared, {_PATTERN} AS demand_pattern FROM (
       SELECT p.product_id, coalesce(n, 0) AS non_zero_demand_days, CASE WHEN n > 0 THEN CAST(last_day - first_day + 1 AS DOUBLE) / n ELSE 'infinity'::DOUBLE END AS adi, CASE WHEN n > 0 THEN power(sd / mean, 2) ELSE 0 END AS cv2
       FROM products p CROSS JOIN span LEFT JOIN (SELECT product_id, count(*) AS n, avg(q) AS mean, stddev_pop(q) AS sd FROM series GROUP BY product_id) s ON p.product_id = s.product_id)""",
     "forecast_last_observation": _model_sql("last_observation"),
