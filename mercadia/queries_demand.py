@@ -149,9 +149,13 @@ def official(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("product_id", F.date_add("last_day", F.col("horizon_day")).alias("forecast_date"), "horizon_day", F.col("horizon").alias("horizon_days"), "predicted_quantity", F.col("last_day").alias("data_max_date")))
 
 
-def risk(s: SparkSession, d: str) -> DataFrame:
+def official_risk(s: SparkSession, d: str) -> DataFrame:
     base = base_forecast(s, d).where(F.col("model_name") == forecast.CHAMPION)
-    found = inventory.official_risk(inventory.classify_risk(base, c.products(s, d)), c.products(s, d))
+    return inventory.official_risk(inventory.classify_risk(base, c.products(s, d)), c.products(s, d))
+
+
+def risk(s: SparkSession, d: str) -> DataFrame:
+    found = official_risk(s, d)
     return rounded(found.select("product_id", "product_name", "category", "stock_quantity", "minimum_stock", "forecast_demand", "projected_stock", "average_daily_demand", "estimated_coverage_days", "risk_level", "horizon_days"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.operators import demand, learned
 from mercadia.queries_demand import rounded, series
 from mercadia.sources import canonical as c
+from mercadia.sources import layers
 
 
 def _grid(s: SparkSession, d: str, days: int) -> DataFrame:
@@ -21,8 +20,8 @@ def _grid(s: SparkSession, d: str, days: int) -> DataFrame:
 
 
 def _forecast(s: SparkSession, d: str, train, days: int = 90, horizon: int = 7) -> DataFrame:
-    if not s.conf.get("spark.checkpoint.dir", None) and s.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    if s.sparkContext.getCheckpointDir() is None:
+        s.sparkContext.setCheckpointDir(layers.scratch(s))
     grid = _grid(s, d, days).persist()
     featured = demand.add_features(grid).where(F.col("lag_30").isNotNull())
     out = learned.recursive_forecast(grid, train(featured), horizon)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.functions import columns as fn
 from mercadia.operators import demand, publish, quality
+from mercadia.operators.inventory import RISK_ORDER
 from mercadia.operators.quality import Rule, ShareRule
 from mercadia.plans import profile
-from mercadia.queries_demand import _CUBES, _FOLDS, _SERIES, aggregate, rounded, series
+from mercadia.queries_demand import _CUBES, _FOLDS, _RISK, _SERIES, aggregate, official_risk, rounded, series
 from mercadia.queries_sales import _MODELS, _WITH, DAILY_SQL, daily_mart, doubled, enriched_items, fact
 from mercadia.sources import canonical as c
+from mercadia.sources import layers
+from mercadia.sources.layers import scratch
 
 STATUSES = ("F", "O")
 CATEGORIES = ("ECONOMY", "STANDARD", "PROMO")
@@ -189,7 +195,48 @@ def latest_run(s: SparkSession, d: str) -> DataFrame:
     return publish.latest(done, ["finished_at", "started_at"], "order_id").select("order_id", "started_at")
 
 
+def _raw_orders(s: SparkSession, d: str) -> DataFrame:
+    """Orders as they would come raw: all text, untidy."""
+    o = c.table(s, d, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return o.select(
+        F.format_string("ORD-%08d", "o_orderkey").alias("order_id"), F.format_string("CUST-%06d", "o_custkey").alias("customer_id"), day.alias("order_date"),
+        F.concat(F.lit("  "), "o_orderstatus", F.lit(" ")).alias("order_status"), F.regexp_replace("o_orderpriority", "-", "   ").alias("payment_method"), F.lit(" web ").alias("sales_channel"),
+        F.lit("0").alias("shipping_cost"), F.lit(" 0.0").alias("discount_amount"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("order_total"),
+        F.when(F.col("o_orderstatus") == "F", day).alias("delivery_date"),
+    )
+
+
+def layered_orders(s: SparkSession, d: str) -> DataFrame:
+    """Raw text to a Bronze day, read back and to Silver."""
+    root = f"{scratch(s)}/layers-{uuid.uuid4().hex}"
+    day = datetime(2026, 7, 3)
+    layers.write_day(layers.to_bronze(_raw_orders(s, d), "orders"), root, "bronze", "orders", day)
+    return layers.to_silver(layers.read_day(s, root, "bronze", "orders", day), "orders").withColumns({x: F.to_date(x) for x in ("order_date", "delivery_date")})
+
+
+def raw_bad_values(s: SparkSession, d: str) -> DataFrame:
+    """Q4 on orders of which some totals and days are spoilt."""
+    third = F.substring("order_id", -1, 1)
+    spoilt = _raw_orders(s, d).withColumns({"order_total": F.when(third == "3", "n/a").otherwise(F.col("order_total")), "order_date": F.when(third == "7", "31/12").otherwise(F.col("order_date"))})
+    return layers.bad_values(spoilt, "orders")
+
+
+def risk_check(s: SparkSession, d: str) -> DataFrame:
+    """Q38 on the official risk table, of which some rows are spoilt."""
+    bad = F.when(F.col("product_id") % 7 == 0, F.col("projected_stock") + 1).otherwise(F.col("projected_stock"))
+    return publish.risk_violations(official_risk(s, d).withColumn("projected_stock", bad), 14, RISK_ORDER).select("product_id", "risk_level")
+
+
+def audit_counts(s: SparkSession, d: str) -> DataFrame:
+    """Realised items of inactive products, and the units on them."""
+    inactive = c.products(s, d).where(~F.col("is_active")).select("product_id")
+    sold = fact(s, d).where("is_realized_sale").join(inactive, "product_id", "left_semi")
+    return sold.agg(F.count("*").alias("items"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("units"), F.count_distinct("product_id").alias("products"))
+
+
 QUERIES = {
+    "layered_orders": layered_orders, "raw_bad_values": raw_bad_values, "publication_risk_check": risk_check, "profile_audit": audit_counts,
     "text_normalize": text_normalize, "boolean_parse": boolean_parse, "snake_case_columns": snake_case_columns, "date_shift_and_age": ages,
     "dq_row_rules": row_rules, "dq_required_nulls": required_nulls, "dq_duplicate_keys": duplicate_keys, "dq_foreign_keys": foreign_keys,
     "dq_accepted_values": accepted_values, "dq_regex": regex_rules, "dq_place_coherence": place_coherence, "dq_daily_reconcile": daily_reconcile,
@@ -230,6 +277,12 @@ _DIRTY = "' ' || chr(9) || replace(c_name, '#', ' ' || chr(160) || ' # ') || '
 _CLEAN = r"nullif(trim(regexp_replace({0}, '[\s\x{{00A0}}]+', ' ', 'g')), '')"
 
 SQL = {
+    "layered_orders": """SELECT printf('ORD-%08d', o_orderkey) AS order_id, printf('CUST-%06d', o_custkey) AS customer_id, CAST(o_orderdate AS DATE) AS order_date, o_orderstatus AS order_status,
+      replace(o_orderpriority, '-', ' ') AS payment_method, 'web' AS sales_channel, CAST(0 AS DOUBLE) AS shipping_cost, CAST(0 AS DOUBLE) AS discount_amount, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS order_total,
+      CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS delivery_date FROM orders""",
+    "raw_bad_values": """SELECT 'order_total' AS column, count(*) AS violations FROM orders WHERE o_orderkey % 10 = 3 UNION ALL SELECT 'order_date', count(*) FROM orders WHERE o_orderkey % 10 = 7""",
+    "publication_risk_check": f"{_RISK} SELECT product_id, risk_level FROM classed WHERE model_name = 'moving_average_28' AND product_id % 7 = 0",
+    "profile_audit": f"{_MODELS} SELECT count(*) AS items, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units, count(DISTINCT f.product_id) AS products FROM fact f JOIN products p ON p.product_id = f.product_id WHERE is_realized_sale AND NOT is_active",
     "text_normalize": f"SELECT c_custkey, {_CLEAN.format(_DIRTY)} AS name, lower({_CLEAN.format(_DIRTY)}) AS lower_name, upper(c_mktsegment) AS segment, CAST(NULL AS VARCHAR) AS nothing FROM customer",
     "boolean_parse": """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS strict, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS with_digits FROM customer""",
     "snake_case_columns": "SELECT p_partkey AS part_key, p_name AS part_name, p_size AS size_of_part, p_brand, p_type, p_retailprice FROM part",

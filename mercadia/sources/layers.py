@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -148,6 +149,15 @@ def read_day(spark: SparkSession, root: str, layer: str, dataset: str, moment: d
     return df.drop(*day)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def load_table(df: DataFrame, name: str) -> int:
     """K6: full refresh of a warehouse table; raises if it does not hold the rows given."""
     given = df.count()
