@@ -27,7 +27,7 @@ def pieces(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     doc = w.doc
     if not len(doc):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    line = np.searchsorted(np.flatnonzero(np.frombuffer(w.raw, np.uint8) == 10), w.start)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(b"\n".join(texts), np.uint8) == 10), w.start)
     begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
     nth = np.arange(len(line)) - np.repeat(begin, np.diff(np.r_[begin, len(line)]))
     head = np.flatnonzero(nth % size == 0)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.llm.common import table
-from mercadia.llm.tokens import byte_values, chunks, mix, sliding_min, utf8, words
+from mercadia.llm.tokens import byte_values, mix, sliding_min, text_chunks, words
 
 _VALUES = byte_values(lower=False, alnum=False)
 _WIDE = 5  # bytes of an anchor or extension hash that travel
@@ -114,16 +114,17 @@ def _extend(group: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("doc_id", "part", "start", "n"), (pa.array(c) for c in columns), strict=True)))
 
 
-def repeats(docs: DataFrame, length: int = 13, gram: int = 5, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, text, n_words, spans): the maximal runs of words (start, end) that repeat a smaller document's.
+def repeats(docs: DataFrame, length: int = 13, gram: int = 5, bucket_bytes: int = 4 << 20, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans, kept): the maximal runs of words (start, end) that repeat a smaller document's,
+    and the other words, joined by one space.
 
     docs: doc_id, text. A word is in a span if one of the windows of ``length`` words around it also starts in a
     document with a smaller doc_id. Winnowing keeps the least gram hash of each window as its anchor, so two
     documents that share ``length`` words share an anchor; anchors are joined, and each is extended to the left and
     right by comparing the windows that hold it. Windows that meet or overlap are merged into maximal spans.
 
-    Each task sends a window only for its own smallest document, so a passage that a third of all documents hold
-    comes to its bucket once a task. Buckets are as many as the text needs (bucket_bytes of text each).
+    Each task sends a window only for the smallest document of a chunk (chunk_bytes of text), so a passage that a third
+    of all documents hold comes to its bucket once a chunk. Buckets are as many as the text needs (bucket_bytes of text each).
 
     Null and empty texts, and those shorter than a window, have no spans. Rows with a null doc_id neither lose
     words nor make others lose them. Rows with equal doc_id do not count as smaller than each other and are judged
@@ -136,9 +137,9 @@ def repeats(docs: DataFrame, length: int = 13, gram: int = 5, bucket_bytes: int
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids, part = utf8(batch.column("text")), batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("part").to_numpy()
-            for low, high in chunks(texts, bucket_bytes):
-                found = list(_seeds(texts[low:high], ids[low:high], part[low:high], length, gram, buckets))
+            ids, part = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("part").to_numpy()
+            for low, high, texts in text_chunks(batch.column("text"), chunk_bytes):
+                found = list(_seeds(texts, ids[low:high], part[low:high], length, gram, buckets))
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), *(pa.binary(),) * 6, pa.bool_()))], [c.split()[0] for c in _PACKED.split(", ")]
@@ -151,7 +152,7 @@ def repeats(docs: DataFrame, length: int = 13, gram: int = 5, bucket_bytes: int
         .withColumnsRenamed({"doc_id": "of", "part": "of_part"})
     )
     joined = rows.join(spans, (F.col("doc_id") == F.col("of")) & (F.col("part") == F.col("of_part")), "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(lambda b: _merge(b, length), "doc_id long, text string, n_words int, spans array<struct<start:int,end:int>>")
+    return joined.mapInArrow(lambda b: _merge(b, length), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -159,40 +160,28 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, spans = [], []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            counts.append(len((text or "").encode().split()))
-            merged: list[dict] = []
-            for s, e in sorted((r["start"], r["start"] + r["n"] - 1 + length) for r in runs or ()):
-                if merged and s <= merged[-1]["end"]:
-                    merged[-1]["end"] = max(merged[-1]["end"], e)
-                else:
-                    merged.append({"start": s, "end": e})
-            spans.append(merged)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(counts, pa.int32()), pa.array(spans, _SPANS)], ["doc_id", "text", "n_words", "spans"])
-
-
-def without(found: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): what is left of the texts of ``repeats``, words joined by one space."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, removed = [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                w = (text or "").encode().split()
-                n = len(w)
-                for x in reversed(spans):
+        for low, high, texts in text_chunks(batch.column("text"), 1 << 20):
+            counts, removed, spans, kept = [], [], [], []
+            for text, runs in zip(texts, batch.column("runs").slice(low, high - low).to_pylist(), strict=True):
+                w = text.split()
+                merged: list[dict] = []
+                for s, e in sorted((r["start"], r["start"] + r["n"] - 1 + length) for r in runs or ()):
+                    if merged and s <= merged[-1]["end"]:
+                        merged[-1]["end"] = max(merged[-1]["end"], e)
+                    else:
+                        merged.append({"start": s, "end": e})
+                counts.append(len(w))
+                for x in reversed(merged):
                     del w[x["start"] : x["end"]]
-                removed.append(n - len(w))
+                removed.append(counts[-1] - len(w))
+                spans.append(merged)
                 kept.append(b" ".join(w).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words").cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return found.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+            columns = [batch.column("doc_id").slice(low, high - low), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array(kept)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = without(repeats(table(spark, sf_dir, "documents")))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP7_SQL = r"""

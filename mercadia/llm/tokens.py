@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _SPACE = frozenset(b"\x20\x09\x0a\x0b\x0c\x0d")
@@ -54,9 +55,9 @@ def _running(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The words of several texts: byte ranges in ``raw``, hashes, and the first word of each text (one entry more than texts)."""
+    """The words of several texts: byte ranges in the texts joined by line ends, hashes, and the first word of each text
+    (one entry more than texts)."""
 
-    raw: bytes
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
@@ -83,17 +84,24 @@ class Words:
 
 
 def words(texts: list[bytes], values: np.ndarray) -> Words:
-    raw = b"\n".join(texts) + b"\n"
-    v = values[np.frombuffer(raw, np.uint8)]
-    inside = v != 0
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
-        edges = np.r_[0, edges]
-    start, end = edges[0::2], edges[1::2]
-    run, down = _running(v)
-    hashes = mix((run[end] - run[start]) * down[start])
-    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return Words(raw, start, end, hashes, np.searchsorted(start, at))
+    """Words of all texts. Bytes are looked at in pieces of about a megabyte, so memory goes with the number of words."""
+    starts, ends, hashes, at, offset = [], [], [], [0], 0
+    for low, high in chunks(texts):
+        v = values[np.frombuffer(b"\n".join(texts[low:high]) + b"\n", np.uint8)]
+        inside = v != 0
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edges = np.r_[0, edges]
+        start, end = edges[0::2], edges[1::2]
+        run, down = _running(v)
+        hashes.append(mix((run[end] - run[start]) * down[start]))
+        starts.append(start + offset)
+        ends.append(end + offset)
+        offset += len(v)
+    for t in texts:
+        at.append(at[-1] + len(t) + 1)
+    start, end, hash_ = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((starts, np.int64), (ends, np.int64), (hashes, np.uint64)))
+    return Words(start, end, hash_, np.searchsorted(start, at))
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -125,6 +133,16 @@ def chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
+def text_chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows with about ``size`` bytes of text, and their texts as UTF-8; only one range at a time is unpacked."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = 0
+    while begin < len(lengths):
+        end = max(begin + 1, int(np.searchsorted(np.cumsum(lengths[begin:]), size, "right")) + begin)
+        yield begin, end, utf8(column.slice(begin, end - begin))
+        begin = end
+
+
 def spans_of(hit: np.ndarray) -> list[tuple[int, int]]:
     """Runs of true, as (start, end)."""
     edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))

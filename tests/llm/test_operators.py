@@ -264,16 +264,16 @@ def brute_repeats(rows, n=13):
 
 
 def test_substring_dedup(spark):
-    from mercadia.llm.substrings import repeats, without
+    from mercadia.llm.substrings import repeats
 
     rows = corpus(90)
     long = " ".join(random.Random(9).choice(WORDS) for _ in range(30_000))
     rows += [(300, long, "aa", "s"), (299, "start " + long[5000:90_000] + " end", "aa", "s"), (301, long[:400] + " " + long[400:], "bb", "s")]
     table = docs(spark, rows).repartition(5)
-    found = by_id(without(repeats(table)).withColumn("sha", F.sha2("kept", 256)), "n_words", "n_removed", "sha")
+    found = by_id(repeats(table).withColumn("sha", F.sha2("kept", 256)), "n_words", "n_removed", "sha")
     assert found == brute_repeats(rows)
     same = [(1, "a " * 20, None, None), (1, "a " * 20, None, None), (1, "b " * 15, None, None), (2, "b " * 14, None, None)]
-    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in without(repeats(docs(spark, same))).collect())
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in repeats(docs(spark, same)).collect())
     assert got == [(1, 15, 0), (1, 20, 0), (1, 20, 0), (2, 14, 14)]
     assert repeats(docs(spark, [])).count() == 0
 
