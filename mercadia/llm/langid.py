@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,11 +33,12 @@ def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
 
 def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
     """Transitions (state, symbol) of the automaton that accepts all substrings; -1 where there is none. State 0 is the start."""
-    links, lengths, rows = [-1], [0], [[-1] * width]
+    empty = array("i", [-1] * width)
+    links, lengths, rows = [-1], [0], [empty[:]]
     last = 0
     for c in symbols:
         now = len(rows)
-        rows.append([-1] * width)
+        rows.append(empty[:])
         lengths.append(lengths[last] + 1)
         links.append(0)
         p = last
@@ -57,7 +59,7 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[now] = twin
         last = now
-    return np.array(rows, np.int32)
+    return np.frombuffer(b"".join(rows), np.int32).reshape(-1, width)
 
 
 class Parser:
@@ -122,9 +124,12 @@ def training_sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dic
     The counts of all documents give the share of hashes that holds about as many documents as needed; only those are
     ranked."""
     texts = docs.where("lang is not null and text is not null").where(F.length("text").between(1, sample_chars))
-    share = texts.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), (F.lit(4.0 * sample_docs) / F.col("n")).alias("share"))
+    counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not counts:
+        return {}
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 4.0 * sample_docs / n))), F.col("lang"))
     point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    ranked = texts.select("lang", "doc_id", "text", point.alias("point")).join(share, F.col("lang") == F.col("of")).where("point < share")
+    ranked = texts.select("lang", "doc_id", "text", point.alias("point")).where(F.col("point") < share)
     in_lang = Window.partitionBy("lang").orderBy("point", "doc_id", F.length("text"), "text")
     first = ranked.withColumn("rank", F.row_number().over(in_lang)).where(F.col("rank") <= sample_docs)
     out: dict[str, str] = {}
@@ -133,7 +138,7 @@ def training_sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dic
     return out
 
 
-def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 48_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 24_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named by keep, then lang_pred and score: the language whose sample parses the text into the fewest normalised phrases.
 
     docs: text and the kept columns; labelled: doc_id, text, lang. From labelled rows at most sample_docs texts and sample_chars
