@@ -112,8 +112,9 @@ def allocate(pairs_at: list[list[float]], probes: list[list[float]], radius: int
     return best[-1].get(want, (float("inf"), []))
 
 
-def plan(classes: DataFrame, radius: int) -> tuple[list[list[int]], list[int]]:
-    """Partitions of the bits and their thresholds, from counts over all fingerprints.
+def plan(classes: DataFrame, radius: int, sizes: tuple[int, ...] | None = None) -> tuple[list[list[int]], list[int]]:
+    """Partitions of the bits and their thresholds, from counts over all fingerprints; sizes: numbers of partitions to
+    choose from (all that allow thresholds of at most 1, if none are given).
 
     How far two fingerprints lie apart within a partition is estimated from the value counts of its bytes, taken as
     independent. A probe row weighs 30 candidate comparisons. Both only steer cost: any allocation finds every pair.
@@ -125,7 +126,7 @@ def plan(classes: DataFrame, radius: int) -> tuple[list[list[int]], list[int]]:
     popcount = np.array([bin(x).count("1") for x in range(256)])
     apart = popcount[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
     choices = []
-    for m in range(-(-(radius + 1) // 2), radius + 2):  # thresholds of at most 1
+    for m in sizes or range(-(-(radius + 1) // 2), radius + 2):
         parts = correlated_parts(together, n, m)
         cells: dict[tuple[int, int], np.ndarray] = {}
         for r in _counts(classes, parts):
@@ -192,7 +193,7 @@ def _shells(batches: Iterator[pa.RecordBatch], parts: list[list[int]], radius: i
             )
 
 
-def links(classes: DataFrame, radius: int = 3, crowd: int = 128) -> DataFrame:
+def links(classes: DataFrame, radius: int = 3, crowd: int = 128, sizes: tuple[int, ...] | None = None) -> DataFrame:
     """(a, b): links between representatives whose closure joins just those within ``radius`` bits.
 
     classes: fp, rep, one row a fingerprint. Buckets of up to ``crowd`` holders of a value are compared pair by
@@ -201,13 +202,13 @@ def links(classes: DataFrame, radius: int = 3, crowd: int = 128) -> DataFrame:
     """
     if radius < 2:
         raise ValueError("a radius of 2 or more")
-    parts, thresholds = plan(classes, radius)
-    rows = materialize(classes.mapInArrow(lambda b: _probes(b, parts, thresholds), "part byte, value long, d byte, fp long, rep long"))
-    held = rows.where("d = 0")
-    crowded = materialize(held.groupBy("part", "value").count().where(F.col("count") > crowd).select("part", "value"))
+    parts, thresholds = plan(classes, radius, sizes)
+    rows = classes.mapInArrow(lambda b: _probes(b, parts, thresholds), "part byte, value long, d byte, fp long, rep long")
+    own = classes.mapInArrow(lambda b: _probes(b, parts, [min(t, 0) for t in thresholds]), "part byte, value long, d byte, fp long, rep long")
+    crowded = materialize(own.groupBy("part", "value").count().where(F.col("count") > crowd).select("part", "value"))
     any_crowded = not crowded.isEmpty()
-    few = rows.join(crowded, ["part", "value"], "left_anti") if any_crowded else rows
-    one, other = few.where("d = 0").alias("x"), few.alias("y")
+    one, other = (x.join(crowded, ["part", "value"], "left_anti") if any_crowded else x for x in (own, rows))
+    one, other = one.alias("x"), other.alias("y")
     met = (
         (F.col("x.part") == F.col("y.part")) & (F.col("x.value") == F.col("y.value")) & ((F.col("y.d") == 1) | (F.col("x.rep") < F.col("y.rep")))
         & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius)
@@ -247,20 +248,25 @@ _VALUES = byte_values(lower=True, alnum=False)
 
 
 def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-word shingles of all texts, and where each text's begin; a shorter text is one shingle."""
+    """Distinct hashes of the n-word shingles of all texts, in order, and where each text's begin; a shorter text is one
+    shingle."""
     sizes = np.diff(w.first)
     at = np.flatnonzero(w.whole(n))
     key, owner = w.grams(n)[at], w.doc[at]
     for short in range(1, n):
         some = np.flatnonzero(sizes == short)
         key, owner = np.r_[key, w.grams(short)[w.first[some]]], np.r_[owner, some]
-    order = np.argsort(owner, kind="stable")
-    return key[order], np.searchsorted(owner[order], np.arange(len(sizes) + 1))
+    key = key.view(np.int64)
+    order = np.lexsort((key, owner))
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    return key[new], np.searchsorted(owner[new], np.arange(len(sizes) + 1))
 
 
 def sketches(docs: DataFrame, shingle: int, seeds: int, compare: int, hashes: int) -> DataFrame:
-    """(doc_id, fps, sketch): SimHashes of the text's shingles under several hash functions, and its least hashes of
-    ``compare``-word shingles."""
+    """(doc_id, fps, sketch): SimHashes of the text's distinct shingles under several hash functions, and its least hashes
+    of ``compare``-word shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,48 +278,49 @@ def sketches(docs: DataFrame, shingle: int, seeds: int, compare: int, hashes: in
                 fps = np.zeros((high - low, seeds), np.int64)
                 for s in range(seeds):
                     if len(full):
-                        bits = _bits(mix(key + np.uint64(s)).view(np.int64))
+                        bits = _bits(mix(key.view(np.uint64) + np.uint64(s)).view(np.int64))
                         ones = np.add.reduceat(bits, first[full], axis=0, dtype=np.int32)
                         fps[full, s] = np.packbits(ones * 2 > np.diff(first)[full, None], axis=1).reshape(-1, 8).copy().view(">i8").ravel()
                 key, first = _shingles(w, compare)
-                key = key.view(np.int64)
-                least = [np.unique(key[i:j])[:hashes] for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(list(fps), pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "fps", "sketch"])
+                key = (key >> 32).astype(np.int32)  # still in order
+                least = [np.unique(key[i : i + hashes] if j - i > hashes else key[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(list(fps), pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int32()))], ["doc_id", "fps", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fps array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fps array<long>, sketch array<int>")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, shingle: int = 2, seeds: int = 4, radius: int = 5, hashes: int = 128) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, shingle: int = 1, seeds: int = 4, radius: int = 3, hashes: int = 128) -> DataFrame:
     """(doc_id, component_id): documents linked at a Jaccard similarity of ``compare``-word shingles of at least ``similarity``.
 
-    docs: doc_id, text, lower-cased (A-Z). At that similarity, SimHashes of longer shingles lie too far apart to be
-    searched for. Candidates are therefore links within ``radius`` bits of some of ``seeds`` SimHashes over shorter
-    shingles; each is kept if the least ``hashes`` hashes of both texts' shingles together are common to both in the
-    asked share (exact up to that many shingles, else an estimate). Equal sketches are one class before anything is
-    paired; documents of one fingerprint are compared with the first of them only.
+    docs: doc_id, text, lower-cased (A-Z). At a similarity of 0.8, SimHashes of five-word shingles lie too far apart to
+    be searched for. Candidates are therefore links within ``radius`` bits of some of ``seeds`` SimHashes over the
+    distinct words; each is kept if the least ``hashes`` hashes of both texts' shingles together are common to both
+    in the asked share (exact up to that many shingles, else an estimate). Equal texts are one class before anything
+    is paired; documents of one fingerprint are compared with the first of them, those of a crowded bucket with its hub.
 
     Null, empty and wordless texts are copies of each other. Rows with a null doc_id are in no group of their own
     making; repeated rows are kept; an empty table gives an empty result; extra columns are ignored.
     """
-    every = materialize(sketches(docs, shingle, seeds, compare, hashes))
-    same = every.groupBy("fps", F.xxhash64("sketch").alias("key")).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = materialize(same.where("rep is not null"))
+    scanned = sketches(docs, shingle, seeds, compare, hashes)
+    every = materialize(scanned.withColumn("key", F.xxhash64("fps", "sketch")))
+    classes = materialize(every.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")).where("rep is not null"))
     pairs = None
     for s in range(seeds):
         by_fp = classes.groupBy(F.get("fps", F.lit(s)).alias("fp"))
         leaders = materialize(by_fp.agg(F.min("rep").alias("rep")))
         own = classes.select(F.get("fps", F.lit(s)).alias("fp"), F.col("rep").alias("b")).join(leaders.withColumnRenamed("rep", "a"), "fp").where("a != b").select("a", "b")
-        found = own.unionByName(links(leaders, radius))
+        found = own.unionByName(links(leaders, radius, sizes=(2,)))  # word sets share many bits: few, long partitions
         pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of = classes.select("rep", "sketch")
-    both = pairs.join(of.withColumnsRenamed({"rep": "a", "sketch": "x"}), "a").join(of.withColumnsRenamed({"rep": "b", "sketch": "y"}), "b")
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    of = materialize(every.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("sketch").alias("sketch")))
+    both = pairs.join(of.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(of.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b")
     least = F.slice(F.array_sort(F.array_union("x", "y")), 1, hashes)
     common = F.size(F.array_intersect(least, F.array_intersect("x", "y")))
     linked = both.where((F.size(least) == 0) | (common >= similarity * F.size(least))).select("a", "b")
-    named = classes.join(components(linked), F.col("rep") == F.col("node"), "left").select(F.col("fps").alias("fps_"), F.xxhash64("sketch").alias("key"), F.coalesce("component", "rep").alias("component_id"))
-    met = (F.col("fps") == F.col("fps_")) & (F.xxhash64("sketch") == F.col("key"))
-    return every.join(named, met, "left").select("doc_id", "component_id")
+    named = classes.select("key", "rep").join(components(linked), F.col("rep") == F.col("node"), "left")
+    named = named.select(F.col("key").alias("key_"), F.coalesce("component", "rep").alias("component_id"))
+    return every.select("doc_id", "key").join(named, F.col("key") == F.col("key_"), "left").select("doc_id", "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
