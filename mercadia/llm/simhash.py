@@ -264,63 +264,111 @@ def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key[new], np.searchsorted(owner[new], np.arange(len(sizes) + 1))
 
 
-def sketches(docs: DataFrame, shingle: int, seeds: int, compare: int, hashes: int) -> DataFrame:
-    """(doc_id, fps, sketch): SimHashes of the text's distinct shingles under several hash functions, and its least hashes
-    of ``compare``-word shingles."""
+def signatures(rows: DataFrame, shingle: int, bands: int, depth: int) -> DataFrame:
+    """(doc_id, _row, key, key2, size, buckets): two hashes and the size of the text's set of shingles, and a hash of
+    ``depth`` minima of the set for each of ``bands`` bands."""
+    seeds = mix(np.arange(1, bands * depth + 1, dtype=np.uint64) << np.uint64(32))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column("text"))
             for low, high in chunks(texts):
-                w = words(texts[low:high], _VALUES)
-                key, first = _shingles(w, shingle)
-                full = np.flatnonzero(np.diff(first))
-                fps = np.zeros((high - low, seeds), np.int64)
-                for s in range(seeds):
-                    if len(full):
-                        bits = _bits(mix(key.view(np.uint64) + np.uint64(s)).view(np.int64))
-                        ones = np.add.reduceat(bits, first[full], axis=0, dtype=np.int32)
-                        fps[full, s] = np.packbits(ones * 2 > np.diff(first)[full, None], axis=1).reshape(-1, 8).copy().view(">i8").ravel()
-                key, first = _shingles(w, compare)
-                key = (key >> 32).astype(np.int32)  # still in order
-                least = [np.unique(key[i : i + hashes] if j - i > hashes else key[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(list(fps), pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int32()))], ["doc_id", "fps", "sketch"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fps array<long>, sketch array<int>")
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, shingle: int = 1, seeds: int = 4, radius: int = 3, hashes: int = 128) -> DataFrame:
+                key, first = _shingles(words(texts[low:high], _VALUES), shingle)
+                key, size = key.view(np.uint64), np.diff(first)
+                full = np.flatnonzero(size)
+                sums, buckets = np.zeros((2, high - low), np.uint64), np.zeros((len(full), bands), np.uint64)
+                if len(full):
+                    for k in range(2):
+                        sums[k, full] = np.add.reduceat(mix(key + np.uint64(k + 1)), first[full])
+                    for i, s in enumerate(seeds):
+                        least = np.minimum.reduceat((key ^ s) * (s | np.uint64(1)), first[full])
+                        buckets[:, i // depth] = mix(buckets[:, i // depth] + least + np.uint64(i))
+                held = np.zeros(high - low, np.int32)
+                held[full] = bands
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)], pa.int32()), pa.array(buckets.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(low, high - low) for c in ("doc_id", "_row")), *(pa.array(x.view(np.int64)) for x in sums), pa.array(size.astype(np.int64)), lists],
+                    ["doc_id", "_row", "key", "key2", "size", "buckets"],
+                )
+
+    return rows.select("doc_id", "_row", "text").mapInArrow(scan, "doc_id long, _row long, key long, key2 long, size long, buckets array<long>")
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the whole set of shingle hashes of each row."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            for low, high in chunks(texts):
+                key, first = _shingles(words(texts[low:high], _VALUES), shingle)
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(key))
+                yield pa.RecordBatch.from_arrays([batch.column("_row").slice(low, high - low), lists], ["node", "shingles"])
+
+    return rows.select("_row", "text").mapInArrow(scan, "node long, shingles array<long>")
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a unique _row, written, so that it is the same whenever it is read."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _meetings(members: DataFrame, crowd: int) -> DataFrame:
+    """(a, b): pairs of members of a bucket. In one of more than ``crowd``, the pairs with its leader."""
+    few = members.where(F.col("held") <= crowd).select("bucket", "node", "size")
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m")).unionByName(_stars(members.where(F.col("held") > crowd)))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    leaders = members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("lead"))
+    pairs = members.join(leaders, "bucket").where("node != lead.node")
+    return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("lead.size").alias("n"), F.col("size").alias("m"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): those pairs whose whole sets have the similarity. Sets of too different sizes are not fetched."""
+    asked = pairs.where(F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")).select("a", "b").distinct()
+    both = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    judged = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    return judged.where(F.col("common") + 1e-9 >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
+
+
+def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, crowd: int = 32) -> DataFrame:
+    """(doc_id, _row, component): the rows of one component are linked by pairs of at least ``similarity``; see near_copies.
+
+    rows: doc_id, text and a unique _row that is the same whenever it is read.
+    """
+    every = materialize(signatures(rows, compare, bands, depth))
+    sets_of = ["key", "key2", "size"]
+    classes = materialize(every.groupBy(*sets_of).agg(F.min("_row").alias("node"), F.first("buckets").alias("buckets")))
+    held = classes.select(F.explode("buckets").alias("bucket"), "node", "size")
+    shared = held.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
+    members = materialize(held.join(shared.hint("merge"), "bucket"))
+    asked = members.select(F.col("node").alias("_row")).distinct()
+    sets = materialize(shingle_sets(rows.join(asked.hint("merge"), "_row", "left_semi"), compare))
+    linked = _similar(_meetings(members, crowd), sets, similarity)
+    named = classes.select(*sets_of, "node").join(components(linked).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    named = named.select(*(F.col(c).alias(f"{c}_") for c in sets_of), F.coalesce("component", "node").alias("component"))
+    same = [F.col(c) == F.col(f"{c}_") for c in sets_of]
+    return every.select("doc_id", "_row", *sets_of).join(named, same).select("doc_id", "_row", "component")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, crowd: int = 32) -> DataFrame:
     """(doc_id, component_id): documents linked at a Jaccard similarity of ``compare``-word shingles of at least ``similarity``.
 
-    docs: doc_id, text, lower-cased (A-Z). At a similarity of 0.8, SimHashes of five-word shingles lie too far apart to
-    be searched for. Candidates are therefore links within ``radius`` bits of some of ``seeds`` SimHashes over the
-    distinct words; each is kept if the least ``hashes`` hashes of both texts' shingles together are common to both
-    in the asked share (exact up to that many shingles, else an estimate). Equal texts are one class before anything
-    is paired; documents of one fingerprint are compared with the first of them, those of a crowded bucket with its hub.
+    docs: doc_id, text, lower-cased (A-Z). Equal sets of shingles are one class before anything is paired. Candidates
+    are classes whose sets have equal minima under all ``depth`` hash functions of some of ``bands`` bands: a pair at
+    0.8 meets with a probability of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996, a closer one with a higher. Each is
+    kept by the share of its whole sets. Buckets of up to ``crowd`` classes are compared pair by pair, others with a leader.
 
-    Null, empty and wordless texts are copies of each other. Rows with a null doc_id are in no group of their own
-    making; repeated rows are kept; an empty table gives an empty result; extra columns are ignored.
+    Null, empty and wordless texts are copies of each other. component_id is the least doc_id of the group, null if it
+    has none; repeated rows are kept; an empty table gives an empty result; extra columns are ignored.
     """
-    scanned = sketches(docs, shingle, seeds, compare, hashes)
-    every = materialize(scanned.withColumn("key", F.xxhash64("fps", "sketch")))
-    classes = materialize(every.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")).where("rep is not null"))
-    pairs = None
-    for s in range(seeds):
-        by_fp = classes.groupBy(F.get("fps", F.lit(s)).alias("fp"))
-        leaders = materialize(by_fp.agg(F.min("rep").alias("rep")))
-        own = classes.select(F.get("fps", F.lit(s)).alias("fp"), F.col("rep").alias("b")).join(leaders.withColumnRenamed("rep", "a"), "fp").where("a != b").select("a", "b")
-        found = own.unionByName(links(leaders, radius, sizes=(2,)))  # word sets share many bits: few, long partitions
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    of = materialize(every.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("sketch").alias("sketch")))
-    both = pairs.join(of.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(of.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b")
-    least = F.slice(F.array_sort(F.array_union("x", "y")), 1, hashes)
-    common = F.size(F.array_intersect(least, F.array_intersect("x", "y")))
-    linked = both.where((F.size(least) == 0) | (common >= similarity * F.size(least))).select("a", "b")
-    named = classes.select("key", "rep").join(components(linked), F.col("rep") == F.col("node"), "left")
-    named = named.select(F.col("key").alias("key_"), F.coalesce("component", "rep").alias("component_id"))
-    return every.select("doc_id", "key").join(named, F.col("key") == F.col("key_"), "left").select("doc_id", "component_id")
+    found = materialize(near_groups(with_rows(docs.select("doc_id", "text")), similarity, compare, bands, depth, crowd))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

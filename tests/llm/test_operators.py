@@ -138,6 +138,31 @@ def test_near_copies_at_a_similarity(spark):
     assert found == {**{i: 1 for i in range(1, 9)}, 20: 20, 21: 21, 22: 21}
 
 
+def near_pairs(n, low, high, seed, words=200):
+    """n pairs of texts with a five-word Jaccard similarity of low to high."""
+    r, out = random.Random(seed), []
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while len(out) < n:
+        a = [r.choice(WORDS) + str(r.randrange(99)) for _ in range(words)]
+        b = list(a)
+        for _ in range(r.randrange(2, 9)):
+            b[r.randrange(words)] = "w" + str(r.randrange(9999))
+        x, y = grams(a), grams(b)
+        if low <= len(x & y) / len(x | y) < high:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_near_copies_are_found_near_the_limit(spark):
+    from mercadia.llm.simhash import near_copies
+
+    pairs = near_pairs(150, 0.8, 0.84, 1) + near_pairs(150, 0.84, 0.9, 2) + near_pairs(100, 0.7, 0.79, 3)
+    rows = [(2 * i + k, t, "aa", "s") for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    found = {x.doc_id: x.component_id for x in near_copies(docs(spark, rows)).collect()}
+    assert [i for i in range(300) if found[2 * i + 1] != 2 * i] == []
+    assert all(found[i] == i for i in range(600, 800))
+
+
 # ---- 3 ----
 
 
