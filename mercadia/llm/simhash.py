@@ -313,19 +313,46 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def _meetings(members: DataFrame, crowd: int) -> DataFrame:
-    """(a, b): pairs of members of a bucket. In one of more than ``crowd``, the pairs with its leader."""
-    few = members.where(F.col("held") <= crowd).select("bucket", "node", "size")
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m")).unionByName(_stars(members.where(F.col("held") > crowd)))
+def _all_pairs(members: DataFrame, other: str = "true") -> DataFrame:
+    """(a, b) and the sizes n and m of their sets: pairs of members of a bucket that meet the condition over x and y."""
+    pairs = members.alias("x").join(members.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & F.expr(other))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m"))
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    leaders = members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("lead"))
-    pairs = members.join(leaders, "bucket").where("node != lead.node")
+def _stars(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The same for the pairs of each bucket's leader with the members that are not in its component yet."""
+    pairs = members.join(leaders, "bucket").where("component != lead.component")
     return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("lead.size").alias("n"), F.col("size").alias("m"))
 
 
+def _crowded_links(members: DataFrame, linked: DataFrame, judge, stars: int) -> DataFrame:
+    """The links with those found in crowded buckets: (a, b), enough of them to join all that are linked there.
+
+    Pairs within one component need no comparison. So each bucket's members are compared with a leader, then those
+    of other components with the next leader, ``stars`` times; each leader is the member of most crowded buckets, as
+    the text is from which the others derive. Where components are left apart, all pairs across them are compared.
+    """
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    members = materialize(members.join(degree.hint("merge"), "node").select("bucket", "node", "size", "degree", F.lit(False).alias("led")))
+    for turn in range(stars + 1):
+        found = components(linked).withColumnRenamed("node", "of")
+        named = members.join(found.hint("merge"), F.col("node") == F.col("of"), "left").select("bucket", "node", "size", "degree", "led", F.coalesce("component", "node").alias("component"))
+        named = materialize(named)
+        rank = F.struct("degree", F.xxhash64("bucket", "node"))
+        lead = F.max_by(F.struct("node", "size", "component"), F.when(~F.col("led"), rank))
+        open_ = materialize(named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead.alias("lead")).where("low != high").select("bucket", "lead"))
+        if open_.isEmpty():
+            break
+        members = named.join(open_.hint("merge"), "bucket")
+        if turn == stars:
+            rest = members.select("bucket", "node", "size", "component")
+            linked = linked.unionByName(judge(_all_pairs(rest, "x.component != y.component")))
+        else:
+            linked = materialize(linked.unionByName(judge(_stars(named, open_))))
+            members = materialize(members.withColumn("led", F.col("led") | (F.col("node") == F.col("lead.node"))).drop("lead", "component"))
+    return linked
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): those pairs whose whole sets have the similarity. Sets of too different sizes are not fetched."""
     asked = pairs.where(F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")).select("a", "b").distinct()
@@ -335,7 +362,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return judged.where(F.col("common") + 1e-9 >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, crowd: int = 32) -> DataFrame:
+def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, crowd: int = 32, stars: int = 4) -> DataFrame:
     """(doc_id, _row, component): the rows of one component are linked by pairs of at least ``similarity``; see near_copies.
 
     rows: doc_id, text and a unique _row that is the same whenever it is read.
@@ -348,25 +375,29 @@ def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, band
     members = materialize(held.join(shared.hint("merge"), "bucket"))
     asked = members.select(F.col("node").alias("_row")).distinct()
     sets = materialize(shingle_sets(rows.join(asked.hint("merge"), "_row", "left_semi"), compare))
-    linked = _similar(_meetings(members, crowd), sets, similarity)
+    few, many = members.where(F.col("held") <= crowd), members.where(F.col("held") > crowd)
+    linked = materialize(_similar(_all_pairs(few), sets, similarity))
+    if not many.isEmpty():
+        linked = _crowded_links(many, linked, lambda pairs: _similar(pairs, sets, similarity), stars)
     named = classes.select(*sets_of, "node").join(components(linked).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     named = named.select(*(F.col(c).alias(f"{c}_") for c in sets_of), F.coalesce("component", "node").alias("component"))
     same = [F.col(c) == F.col(f"{c}_") for c in sets_of]
     return every.select("doc_id", "_row", *sets_of).join(named, same).select("doc_id", "_row", "component")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, crowd: int = 32) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, crowd: int = 32, stars: int = 4) -> DataFrame:
     """(doc_id, component_id): documents linked at a Jaccard similarity of ``compare``-word shingles of at least ``similarity``.
 
     docs: doc_id, text, lower-cased (A-Z). Equal sets of shingles are one class before anything is paired. Candidates
     are classes whose sets have equal minima under all ``depth`` hash functions of some of ``bands`` bands: a pair at
     0.8 meets with a probability of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996, a closer one with a higher. Each is
-    kept by the share of its whole sets. Buckets of up to ``crowd`` classes are compared pair by pair, others with a leader.
+    kept by the share of its whole sets. Buckets of up to ``crowd`` classes are compared pair by pair, others
+    with leaders in turn, then pair by pair where components are left apart (_crowded_links): no link there is lost.
 
     Null, empty and wordless texts are copies of each other. component_id is the least doc_id of the group, null if it
     has none; repeated rows are kept; an empty table gives an empty result; extra columns are ignored.
     """
-    found = materialize(near_groups(with_rows(docs.select("doc_id", "text")), similarity, compare, bands, depth, crowd))
+    found = materialize(near_groups(with_rows(docs.select("doc_id", "text")), similarity, compare, bands, depth, crowd, stars))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "component").select("doc_id", "component_id")
 

@@ -163,6 +163,34 @@ def test_near_copies_are_found_near_the_limit(spark):
     assert all(found[i] == i for i in range(600, 800))
 
 
+@pytest.mark.parametrize("stars", [0, 1, 4])
+def test_near_copies_that_differ_from_their_leader_are_compared(spark, stars):
+    from mercadia.llm.simhash import near_copies
+
+    r = random.Random(31)
+    lines = [" ".join(r.choice(WORDS) + str(r.randrange(99)) for _ in range(6)) for _ in range(40)]
+    other = lines[:]
+    r.shuffle(other)
+    base, rows = " ".join(lines), [(1, " ".join(other), "aa", "s")]  # 1: the words of 2, in another order
+    rows += [(2, base, "aa", "s"), (3, base + " end", "aa", "s")]
+    # a large bucket of two unlike halves: each is joined, neither to the other, and pairs that no leader joins are tried
+    for g in range(2):
+        own = [r.choice(WORDS) + "q" + str(r.randrange(99)) for _ in range(300)]
+        for k in range(12):
+            w = list(own)
+            w[20 * k + 5] = w[20 * k + 12] = w[20 * k + 19] = "changed"
+            rows.append((100 + 50 * g + k, " ".join(w), "aa", "s"))
+        if g:
+            half = own[:150] + rows[-13][1].split()[:150]
+            rows.append((200, " ".join(half), "aa", "s"))
+    found = {x.doc_id: x.component_id for x in near_copies(docs(spark, rows), crowd=2, stars=stars).collect()}
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = {i: grams(t) for i, t, *_ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert found == closure(sorted(sets), links)
+    assert found[1] == 1 and found[3] == 2
+
+
 # ---- 3 ----
 
 
