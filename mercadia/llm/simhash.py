@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import materialize, table
+from mercadia.llm.common import materialize, table, with_rows
 from mercadia.llm.components import components
 from mercadia.llm.tokens import Words, byte_values, chunks, mix, utf8, words
 
@@ -308,11 +308,6 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("_row", "text").mapInArrow(scan, "node long, shingles array<long>")
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a unique _row, written, so that it is the same whenever it is read."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-
-
 def _all_pairs(members: DataFrame, other: str = "true") -> DataFrame:
     """(a, b) and the sizes n and m of their sets: pairs of members of a bucket that meet the condition over x and y."""
     pairs = members.alias("x").join(members.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & F.expr(other))

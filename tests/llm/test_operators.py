@@ -533,3 +533,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[secret]" in text and "q8Zk3LmN0pR5tV7x" not in text
     assert kept[4] <= kept[3] and len(kept[4]) > 40
     assert {x.doc_id for x in p.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_pipeline_rows_without_own_id(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(12)
+    text = [" ".join(r.choice(WORDS) + str(r.randrange(99)) for _ in range(60)) for _ in range(6)]
+    secret = [f'token = "q8Zk3LmN0pR5tV7{c}" ' for c in "xyz"]
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (7, text[1]), (8, text[2]), (8, text[3]), (None, "short"), (None, text[4]), (9, text[5]), (9, text[5] + " end")]
+    table = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(((x.doc_id, x.text) for x in p.near_duplicates(spark, table, "").collect()), key=str)
+    assert [x for x in kept if x[0] != 9] == sorted([(None, text[0]), (7, text[1]), (8, text[2]), (8, text[3]), (None, "short"), (None, text[4])], key=str)
+    assert sum(x[0] == 9 for x in kept) == 1
+    rows = [(None, "long text before " + secret[0] + "after"), (None, "clean text that is long enough to be cut at the offsets of another"), (None, "short"), (8, secret[1] + "a"), (8, "aa " + secret[2]), (8, "clean")]
+    table = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], table.schema).repartition(3)
+    masked = {x.source: x.text for x in p.mask_secrets(spark, table, "").collect()}
+    assert len(masked) == 6 and all(masked[f"s{k}"] == rows[k][1] for k in (1, 2, 5))
+    assert [masked[f"s{k}"] for k in (0, 3, 4)] == ['long text before [secret]" after', '[secret]" a', 'aa [secret]" ']
