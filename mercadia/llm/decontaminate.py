@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import table, with_columns
-from mercadia.llm.tokens import Words, byte_values, chunks, sliding_min, spans_of, utf8, words
+from mercadia.llm.common import table, with_columns, with_rows
+from mercadia.llm.tokens import Words, byte_values, chunks, mix, sliding_min, spans_of, utf8, words
 
 _VALUES = byte_values(lower=True, alnum=True)
 _ADDED = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
@@ -78,7 +78,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     items (item_ids as text, distinct, unordered). Each window keeps its least gram hash as anchor, so any shared
     span of ``window`` words shares an anchor; where anchors meet, the hit is extended to whole windows and compared
     word by word. A benchmark of up to broadcast_chars characters goes to the tasks whole and documents are read
-    once, without a shuffle; a larger one is joined by anchor and window hash (there items come by their windows).
+    once, without a shuffle; a larger one is joined by two independent 64-bit hashes of each window, with the same result.
 
     Null or empty texts have no words and no hits; items without id or words match nothing; an empty benchmark hits
     nothing; an empty table of documents gives an empty result. Repeated rows are judged each for itself. Texts of
@@ -87,11 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > broadcast_chars:
-        found = _joined(docs, items, window, gram)
-        if keep == ("doc_id",):
-            return found
-        found = found.withColumnRenamed("doc_id", "_of")
-        return docs.select(*keep, "doc_id" if "doc_id" not in keep else F.lit(0).alias("_")).join(found, F.col("doc_id").eqNullSafe(F.col("_of"))).select(*keep, "n_words", "hits", "items")
+        return _joined(with_rows(docs.select(*dict.fromkeys((*keep, "text")))), items, window, keep)
     known = spark.sparkContext.broadcast(Fingerprints([(r.item_id, r.text) for r in items.collect()], window, gram))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +113,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(scan, with_columns(docs, keep, _ADDED))
 
 
-def _joined(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """The same for a benchmark of any size: windows of both sides meet by (length, anchor, hash)."""
+def _joined(docs: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...]) -> DataFrame:
+    """The same for a benchmark of any size: windows of both sides meet by (length, hash, check). docs has a unique _row."""
 
     def rows(name: str, lengths: list[int] | None):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +122,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFr
                 texts, ids = utf8(batch.column("text")), batch.column(name)
                 for low, high in chunks(texts):
                     w = words(texts[low:high], _VALUES)
+                    again = Words(w.start, w.end, mix(w.hash + np.uint64(1)), w.first)
                     n_of, doc = np.diff(w.first), w.doc
                     for n in lengths if lengths is not None else sorted({min(int(x), window) for x in n_of if x}):
                         whole = w.whole(n)
@@ -134,25 +131,29 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFr
                         at = np.flatnonzero(whole)
                         if not len(at):
                             continue
-                        anchor = anchors(w, n, gram)[at] if n == window else np.zeros(len(at), np.uint64)
                         yield pa.RecordBatch.from_arrays(
-                            [ids.slice(low, high - low).take(pa.array(doc[at])), pa.array(at - w.first[doc[at]]), pa.array(np.full(len(at), n)), pa.array(anchor.view(np.int64)), pa.array(w.grams(n)[at].view(np.int64))],
-                            [name, "start", "n", "anchor", "hash"],
+                            [ids.slice(low, high - low).take(pa.array(doc[at])), pa.array(at - w.first[doc[at]]), pa.array(np.full(len(at), n)), *(pa.array(x.grams(n)[at].view(np.int64)) for x in (w, again))],
+                            [name, "start", "n", "hash", "check"],
                         )
 
         return scan
 
-    wanted = items.mapInArrow(rows("item_id", None), "item_id string, start long, n long, anchor long, hash long").select("item_id", "n", "anchor", "hash").distinct()
+    wanted = items.mapInArrow(rows("item_id", None), "item_id string, start long, n long, hash long, check long").select("item_id", "n", "hash", "check").distinct()
     lengths = [r.n for r in wanted.select("n").distinct().collect()]
-    there = docs.select("doc_id", "text").mapInArrow(rows("doc_id", lengths), "doc_id long, start long, n long, anchor long, hash long")
-    met = there.join(wanted, ["n", "anchor", "hash"])
-    per_doc = met.groupBy("doc_id").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: (F.col("start") + i).cast("int"))))).alias("at"),
-        F.collect_set("item_id").alias("items_"),
+    there = docs.select("_row", "text").mapInArrow(rows("_row", lengths), "_row long, start long, n long, hash long, check long")
+    met = there.join(wanted, ["n", "hash", "check"])
+    per_row = met.groupBy("_row").agg(
+        F.array_distinct(F.flatten(F.collect_set(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: (F.col("start") + i).cast("int"))))).alias("_at"),
+        F.collect_set("item_id").alias("_items"),
+    )
+    next_ = F.transform("_at", lambda i: i + 1)
+    runs = F.arrays_zip(F.array_sort(F.array_except("_at", next_)).alias("start"), F.array_sort(F.array_except(next_, "_at")).alias("end"))
+    per_row = per_row.select("_row", runs.cast("array<struct<start:int,end:int>>").alias("_hits"), "_items")
+    counted = docs.select(*keep, "_row", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("_n"))
+    return counted.join(per_row, "_row", "left").select(
+        *keep, F.coalesce("_n", F.lit(0)).cast("long").alias("n_words"), F.coalesce("_hits", F.array().cast("array<struct<start:int,end:int>>")).alias("hits"),
+        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
     )
-    counted = docs.select("doc_id", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("n"))
-    spans = F.transform(F.coalesce("at", F.array().cast("array<int>")), lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
-    return counted.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), spans.alias("hits"), F.coalesce("items_", F.array().cast("array<string>")).alias("items"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -369,6 +369,22 @@ def test_decontamination_both_ways(spark):
     assert all(not x.hits for x in contamination(docs(spark, rows), benchmark.limit(0)).collect())
 
 
+def test_decontamination_same_by_join_with_null_and_repeated_ids(spark):
+    from mercadia.llm.decontaminate import contamination
+
+    rows = corpus(30)
+    shared = rows[-2][1].split()
+    rows += [(None, "clean words only", "aa", "s1"), (None, "start " + " ".join(shared[3:25]) + " kan", "aa", "s1"), (5, " ".join(shared[1:16]), "aa", "s1"), (5, "nothing here", "aa", None), (6, None, None, None), (7, shared[4], None, None)]
+    benchmark = spark.createDataFrame([("i1", " ".join(shared[2:20])), ("i2", " ".join(shared[8:22])), ("i3", "kan"), (None, "lora")], "item_id string, text string")
+    for keep in (("doc_id",), ("doc_id", "text", "lang", "source", "n_chars"), ("source",)):
+        got = []
+        for limit in (64 << 20, 0):
+            found = contamination(docs(spark, rows).repartition(3), benchmark, broadcast_chars=limit, keep=keep)
+            assert found.columns == [*keep, "n_words", "hits", "items"]
+            got.append(sorted(str((*(x[c] for c in keep), x.n_words, x.hits, sorted(x["items"]))) for x in found.collect()))
+        assert len(got[0]) == len(rows) and got[0] == got[1]
+
+
 # ---- 10 ----
 
 
