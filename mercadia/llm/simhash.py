@@ -247,16 +247,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, crowd: i
 _VALUES = byte_values(lower=True, alnum=False)
 
 
-def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(w: Words, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of the n-word shingles of all texts, in order, and where each text's begin; a shorter text is one
-    shingle."""
+    shingle. bits: how many of a hash are kept."""
     sizes = np.diff(w.first)
     at = np.flatnonzero(w.whole(n))
     key, owner = w.grams(n)[at], w.doc[at]
     for short in range(1, n):
         some = np.flatnonzero(sizes == short)
         key, owner = np.r_[key, w.grams(short)[w.first[some]]], np.r_[owner, some]
-    key = key.view(np.int64)
+    key = key.view(np.int64) >> (64 - bits)
     order = np.lexsort((key, owner))
     key, owner = key[order], owner[order]
     new = np.ones(len(key), bool)
@@ -295,61 +295,23 @@ def signatures(rows: DataFrame, shingle: int, bands: int, depth: int) -> DataFra
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles): the whole set of shingle hashes of each row."""
+    """(node, shingles): the whole set of shingle hashes of each row, 32 bits each: of a million shingles some hundred
+    collide with another text's, far less than any similarity is asked to."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column("text"))
             for low, high in chunks(texts):
-                key, first = _shingles(words(texts[low:high], _VALUES), shingle)
-                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(key))
+                key, first = _shingles(words(texts[low:high], _VALUES), shingle, 32)
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(key.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("_row").slice(low, high - low), lists], ["node", "shingles"])
 
-    return rows.select("_row", "text").mapInArrow(scan, "node long, shingles array<long>")
-
-
-def _all_pairs(members: DataFrame, other: str = "true") -> DataFrame:
-    """(a, b) and the sizes n and m of their sets: pairs of members of a bucket that meet the condition over x and y."""
-    pairs = members.alias("x").join(members.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & F.expr(other))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m"))
-
-
-def _stars(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """The same for the pairs of each bucket's leader with the members that are not in its component yet."""
-    pairs = members.join(leaders, "bucket").where("component != lead.component")
-    return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("lead.size").alias("n"), F.col("size").alias("m"))
-
-
-def _crowded_links(members: DataFrame, linked: DataFrame, judge, stars: int) -> DataFrame:
-    """The links with those found in crowded buckets: (a, b), enough of them to join all that are linked there.
-
-    Pairs within one component need no comparison. So each bucket's members are compared with a leader, then those
-    of other components with the next leader, ``stars`` times; each leader is the member of most crowded buckets, as
-    the text is from which the others derive. Where components are left apart, all pairs across them are compared.
-    """
-    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    members = materialize(members.join(degree.hint("merge"), "node").select("bucket", "node", "size", "degree", F.lit(False).alias("led")))
-    for turn in range(stars + 1):
-        found = components(linked).withColumnRenamed("node", "of")
-        named = members.join(found.hint("merge"), F.col("node") == F.col("of"), "left").select("bucket", "node", "size", "degree", "led", F.coalesce("component", "node").alias("component"))
-        named = materialize(named)
-        rank = F.struct("degree", F.xxhash64("bucket", "node"))
-        lead = F.max_by(F.struct("node", "size", "component"), F.when(~F.col("led"), rank))
-        open_ = materialize(named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead.alias("lead")).where("low != high").select("bucket", "lead"))
-        if open_.isEmpty():
-            break
-        members = named.join(open_.hint("merge"), "bucket")
-        if turn == stars:
-            rest = members.select("bucket", "node", "size", "component")
-            linked = linked.unionByName(judge(_all_pairs(rest, "x.component != y.component")))
-        else:
-            linked = materialize(linked.unionByName(judge(_stars(named, open_))))
-            members = materialize(members.withColumn("led", F.col("led") | (F.col("node") == F.col("lead.node"))).drop("lead", "component"))
-    return linked
+    return rows.select("_row", "text").mapInArrow(scan, "node long, shingles array<int>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): those pairs whose whole sets have the similarity. Sets of too different sizes are not fetched."""
+    """(a, b): those pairs whose whole sets have the similarity; n and m are their sizes. Sets of too different sizes are
+    not fetched. The sets come by merge joins, which split a set that most pairs ask for."""
     asked = pairs.where(F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")).select("a", "b").distinct()
     both = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -357,7 +319,62 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return judged.where(F.col("common") + 1e-9 >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, crowd: int = 32, stars: int = 4) -> DataFrame:
+def _prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, n, m): all pairs of members of different components that can have the similarity, by their rarest shingles.
+
+    With the shingles of all members in one order, two sets of the similarity share one of the first
+    size - ceil(similarity * size) + 1 of each. The rarest come first, so a passage that all members share is not among
+    them. Shingles of one component only join nothing, and a first common shingle so late that the rest cannot suffice
+    ends a pair before it is made."""
+    nodes = members.select("node", "size", "component").distinct()
+    held = nodes.join(sets.hint("merge"), "node").select("node", "size", "component", F.explode("shingles").alias("shingle"))
+    spread = held.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("component") != F.max("component")).alias("joins"))
+    ordered = held.join(spread.hint("merge"), "shingle").groupBy("node", "size", "component").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "joins"))).alias("at"))
+    length = F.size("at") - F.ceil(F.size("at") * similarity - 1e-9).cast("int") + 1
+    first = ordered.select("node", "component", "at", F.posexplode(F.slice("at", 1, length)).alias("place", "it")).where("it.joins")
+    first = first.select("node", "component", F.size("at").alias("size"), "it.shingle", (F.size("at") - F.col("place")).alias("rest"))
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    # all that two sets have in common comes from their first common shingle on
+    near = F.least("x.rest", "y.rest") + 1e-6 >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size"))
+    pairs = first.alias("x").join(first.alias("y").hint("merge"), met & near)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m")).distinct()
+
+
+def _bucket_links(members: DataFrame, sets: DataFrame, similarity: float, turns: int) -> DataFrame:
+    """(a, b): links that join all members of a bucket that pairs of the similarity join.
+
+    Pairs within one component need no comparison. So each bucket's members are compared with a leader, then those of
+    other components with the next leader, ``turns`` times; each leader is the member of most buckets, as the text is
+    from which the others derive. A leader that has had its turn has met all, so what is left is between the others:
+    where those lie in several components, they are compared by their rarest shingles (_prefix_pairs).
+    """
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    members = members.join(degree.hint("merge"), "node").select("bucket", "node", "size", "degree", F.lit(False).alias("led"), F.col("node").alias("component"))
+    members, linked = materialize(members), None
+    for turn in range(turns + 1):
+        rank = F.when(~F.col("led"), F.struct("degree", F.xxhash64("bucket", "node")))
+        left = F.when(~F.col("led"), F.col("component"))
+        lead = F.max_by(F.struct("node", "size", "component"), rank).alias("lead")
+        open_ = materialize(members.groupBy("bucket").agg(F.min(left).alias("low"), F.max(left).alias("high"), lead).where("low != high").select("bucket", "lead"))
+        if open_.isEmpty():
+            break
+        if turn == turns:
+            rest = members.where("not led").join(open_.hint("merge"), "bucket", "left_semi")
+            found = _similar(_prefix_pairs(rest, sets, similarity), sets, similarity)
+            return materialize(found if linked is None else linked.unionByName(found))
+        members = members.join(open_.hint("merge"), "bucket")
+        others = members.where("not led and component != lead.component")
+        pairs = others.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("lead.size").alias("n"), F.col("size").alias("m"))
+        found = _similar(pairs, sets, similarity)
+        groups = components(found if linked is None else linked.unionByName(found))
+        linked = materialize(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        named = linked.select(F.col("a").alias("of"), F.col("b").alias("now")).hint("merge")
+        led = F.col("led") | (F.col("node") == F.col("lead.node"))
+        members = materialize(members.join(named, F.col("node") == F.col("of"), "left").select("bucket", "node", "size", "degree", led.alias("led"), F.coalesce("now", "node").alias("component")))
+    return linked if linked is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+
+
+def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, turns: int = 2) -> DataFrame:
     """(doc_id, _row, component): the rows of one component are linked by pairs of at least ``similarity``; see near_copies.
 
     rows: doc_id, text and a unique _row that is the same whenever it is read.
@@ -366,33 +383,30 @@ def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, band
     sets_of = ["key", "key2", "size"]
     classes = materialize(every.groupBy(*sets_of).agg(F.min("_row").alias("node"), F.first("buckets").alias("buckets")))
     held = classes.select(F.explode("buckets").alias("bucket"), "node", "size")
-    shared = held.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
+    shared = held.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket")
     members = materialize(held.join(shared.hint("merge"), "bucket"))
     asked = members.select(F.col("node").alias("_row")).distinct()
     sets = materialize(shingle_sets(rows.join(asked.hint("merge"), "_row", "left_semi"), compare))
-    few, many = members.where(F.col("held") <= crowd), members.where(F.col("held") > crowd)
-    linked = materialize(_similar(_all_pairs(few), sets, similarity))
-    if not many.isEmpty():
-        linked = _crowded_links(many, linked, lambda pairs: _similar(pairs, sets, similarity), stars)
-    named = classes.select(*sets_of, "node").join(components(linked).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    linked = _bucket_links(members, sets, similarity, turns)
+    named = classes.select(*sets_of, "node").join(components(linked).withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left")
     named = named.select(*(F.col(c).alias(f"{c}_") for c in sets_of), F.coalesce("component", "node").alias("component"))
     same = [F.col(c) == F.col(f"{c}_") for c in sets_of]
-    return every.select("doc_id", "_row", *sets_of).join(named, same).select("doc_id", "_row", "component")
+    return every.select("doc_id", "_row", *sets_of).join(named.hint("merge"), same).select("doc_id", "_row", "component")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, crowd: int = 32, stars: int = 4) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, turns: int = 2) -> DataFrame:
     """(doc_id, component_id): documents linked at a Jaccard similarity of ``compare``-word shingles of at least ``similarity``.
 
     docs: doc_id, text, lower-cased (A-Z). Equal sets of shingles are one class before anything is paired. Candidates
     are classes whose sets have equal minima under all ``depth`` hash functions of some of ``bands`` bands: a pair at
     0.8 meets with a probability of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996, a closer one with a higher. Each is
-    kept by the share of its whole sets. Buckets of up to ``crowd`` classes are compared pair by pair, others
-    with leaders in turn, then pair by pair where components are left apart (_crowded_links): no link there is lost.
+    kept by the share of its whole sets. Members of a bucket are compared with leaders in turn, then by their rarest
+    shingles where components are left apart (_bucket_links): no link there is lost, and no bucket is paired out.
 
     Null, empty and wordless texts are copies of each other. component_id is the least doc_id of the group, null if it
     has none; repeated rows are kept; an empty table gives an empty result; extra columns are ignored.
     """
-    found = materialize(near_groups(with_rows(docs.select("doc_id", "text")), similarity, compare, bands, depth, crowd, stars))
+    found = materialize(near_groups(with_rows(docs.select("doc_id", "text")), similarity, compare, bands, depth, turns))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "component").select("doc_id", "component_id")
 

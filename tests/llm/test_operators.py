@@ -163,8 +163,8 @@ def test_near_copies_are_found_near_the_limit(spark):
     assert all(found[i] == i for i in range(600, 800))
 
 
-@pytest.mark.parametrize("stars", [0, 1, 4])
-def test_near_copies_that_differ_from_their_leader_are_compared(spark, stars):
+@pytest.mark.parametrize("turns", [0, 1, 4])
+def test_near_copies_that_differ_from_their_leader_are_compared(spark, turns):
     from mercadia.llm.simhash import near_copies
 
     r = random.Random(31)
@@ -183,7 +183,7 @@ def test_near_copies_that_differ_from_their_leader_are_compared(spark, stars):
         if g:
             half = own[:150] + rows[-13][1].split()[:150]
             rows.append((200, " ".join(half), "aa", "s"))
-    found = {x.doc_id: x.component_id for x in near_copies(docs(spark, rows), crowd=2, stars=stars).collect()}
+    found = {x.doc_id: x.component_id for x in near_copies(docs(spark, rows), turns=turns).collect()}
     grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
     sets = {i: grams(t) for i, t, *_ in rows}
     links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
