@@ -13,6 +13,7 @@ from mercadia.llm.common import table, with_columns, with_rows
 from mercadia.llm.tokens import Words, byte_values, chunks, mix, sliding_min, spans_of, utf8, words
 
 _VALUES = byte_values(lower=True, alnum=True)
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ADDED = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -21,7 +22,9 @@ class Fingerprints:
     """The benchmark's anchors and windows, sorted by hash. Items shorter than a window are windows of their own length."""
 
     def __init__(self, items: list[tuple[str, str]], window: int, gram: int) -> None:
-        self.window, self.gram, self.names = window, gram, [i for i, _ in items]
+        self.window, self.gram, self.names = window, gram, sorted({i for i, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        self.of = np.array([number[i] for i, _ in items], np.int64)  # rows of one id are one item
         w = words([t.encode() for _, t in items], _VALUES)
         n = np.diff(w.first)
         at = np.flatnonzero(w.whole(window))
@@ -30,16 +33,21 @@ class Fingerprints:
         for short in sorted({int(x) for x in n if 0 < x < window}):
             self.by_length[short] = self._sorted(w, w.first[:-1][n == short], short)
 
-    @staticmethod
-    def _sorted(w: Words, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key = w.grams(n)[at]
-        order = np.argsort(key, kind="stable")
-        return key[order], w.doc[at][order], w.hash[at[order][:, None] + np.arange(n)]
+    def _sorted(self, w: Words, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows by hash with their words, where each one's items begin, and these, each once."""
+        sequence = w.hash[at[:, None] + np.arange(n)]
+        keyed = np.c_[w.grams(n)[at], sequence]
+        item = self.of[w.doc[at]]
+        order = np.lexsort((item, *keyed.T[::-1]))
+        keyed, item = keyed[order], item[order]
+        new = np.r_[True, (keyed[1:] != keyed[:-1]).any(axis=1)]
+        once = new | np.r_[True, item[1:] != item[:-1]]
+        return keyed[new, 0], keyed[new, 1:], np.r_[np.flatnonzero(new[once]), once.sum()], item[once]
 
     def match(self, w: Words) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Which words lie in an occurrence, and per found occurrence (text, item)."""
+        """Which words lie in an occurrence, and per found occurrence (text, item), each once a window length."""
         hit, found, doc = np.zeros(len(w.hash) + 1, np.int32), [], w.doc
-        for n, (keys, items, sequences) in self.by_length.items():
+        for n, (keys, sequences, first, items) in self.by_length.items():
             if n == self.window:  # an anchor shared with the benchmark is the seed
                 at = np.flatnonzero(w.whole(n) & among(anchors(w, n, self.gram), self.anchors))
             else:
@@ -47,19 +55,27 @@ class Fingerprints:
             key = w.grams(n)[at]
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             some = high > low
-            at, low, count = at[some], low[some], (high - low)[some]
+            which, entry = _spread(low[some], high[some])
+            at = at[some]
             if not len(at):
                 continue
-            which = np.repeat(np.arange(len(at)), count)
-            entry = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
             same = (w.hash[at[which][:, None] + np.arange(n)] == sequences[entry]).all(axis=1)
             which, entry = which[same], entry[same]
             np.add.at(hit, at[which], 1)
             np.add.at(hit, at[which] + n, -1)
-            found.append(np.stack((doc[at[which]], items[entry])))
+            pairs = np.unique(np.stack((doc[at[which]], entry)), axis=1)
+            which, place = _spread(first[pairs[1]], first[pairs[1] + 1])
+            found.append(np.unique(np.stack((pairs[0][which], items[place])), axis=1))
         return np.cumsum(hit[:-1]) > 0, found
 
 
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges low to high: the range and the place of each of their members."""
+    count = high - low
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count - low, count)
+
+
 def anchors(w: Words, window: int, gram: int) -> np.ndarray:
     """The least gram hash in the window from each word on: equal windows have equal anchors."""
     return sliding_min(w.grams(gram), window - gram + 1)
@@ -71,14 +87,15 @@ def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 4, broadcast_chars: int = 64 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 4, broadcast_bytes: int = 64 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Words of documents that lie in a window of a benchmark item.
 
     docs: doc_id, text and the kept columns; benchmark: item_id, text. Returns the columns named by keep, n_words, hits (runs of hit words, end exclusive) and
     items (item_ids as text, distinct, unordered). Each window keeps its least gram hash as anchor, so any shared
     span of ``window`` words shares an anchor; where anchors meet, the hit is extended to whole windows and compared
-    word by word. A benchmark of up to broadcast_chars characters goes to the tasks whole and documents are read
+    word by word. A benchmark whose tables take up to broadcast_bytes goes to the tasks whole and documents are read
     once, without a shuffle; a larger one is joined by two independent 64-bit hashes of each window, with the same result.
+    A window that an item repeats, or that many items share, is one entry of these tables.
 
     Null or empty texts have no words and no hits; items without id or words match nothing; an empty benchmark hits
     nothing; an empty table of documents gives an empty result. Repeated rows are judged each for itself. Texts of
@@ -86,7 +103,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > broadcast_chars:
+    # a word gives a window: its hash, those of its words, an item and an anchor; the text is held while they are made
+    built = F.sum(F.octet_length("text") + F.regexp_count("text", F.lit(_WORD)) * (8 * window + 32))
+    if (items.agg(built).first()[0] or 0) > broadcast_bytes:
         return _joined(with_rows(docs.select(*dict.fromkeys((*keep, "text")))), items, window, keep)
     known = spark.sparkContext.broadcast(Fingerprints([(r.item_id, r.text) for r in items.collect()], window, gram))
 
@@ -149,7 +168,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...
     next_ = F.transform("_at", lambda i: i + 1)
     runs = F.arrays_zip(F.array_sort(F.array_except("_at", next_)).alias("start"), F.array_sort(F.array_except(next_, "_at")).alias("end"))
     per_row = per_row.select("_row", runs.cast("array<struct<start:int,end:int>>").alias("_hits"), "_items")
-    counted = docs.select(*keep, "_row", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("_n"))
+    counted = docs.select(*keep, "_row", F.regexp_count("text", F.lit(_WORD)).alias("_n"))
     return counted.join(per_row, "_row", "left").select(
         *keep, F.coalesce("_n", F.lit(0)).cast("long").alias("n_words"), F.coalesce("_hits", F.array().cast("array<struct<start:int,end:int>>")).alias("hits"),
         F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
@@ -157,6 +176,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, ten-word windows: n_words, n_hit, n_items, items_sha256, contaminated; edge cases as in contamination."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select(

@@ -361,7 +361,7 @@ def test_decontamination_both_ways(spark):
                     names.add(name)
         expected[i] = (len(w), sorted(hit), sorted(names))
     for limit in (64 << 20, 0):
-        found = contamination(docs(spark, rows), benchmark, broadcast_chars=limit).collect()
+        found = contamination(docs(spark, rows), benchmark, broadcast_bytes=limit).collect()
         got = {x.doc_id: (x.n_words, sorted(k for h in x.hits for k in range(h.start, h.end)), sorted(x["items"])) for x in found if x.doc_id is not None}
         assert got == {k: v for k, v in expected.items() if k is not None}
         assert len(found) == len(rows)
@@ -374,12 +374,12 @@ def test_decontamination_same_by_join_with_null_and_repeated_ids(spark):
 
     rows = corpus(30)
     shared = rows[-2][1].split()
-    rows += [(None, "clean words only", "aa", "s1"), (None, "start " + " ".join(shared[3:25]) + " kan", "aa", "s1"), (5, " ".join(shared[1:16]), "aa", "s1"), (5, "nothing here", "aa", None), (6, None, None, None), (7, shared[4], None, None)]
-    benchmark = spark.createDataFrame([("i1", " ".join(shared[2:20])), ("i2", " ".join(shared[8:22])), ("i3", "kan"), (None, "lora")], "item_id string, text string")
+    rows += [(8, "same " * 3000, "aa", "s1"), (None, "clean words only", "aa", "s1"), (None, "start " + " ".join(shared[3:25]) + " kan", "aa", "s1"), (5, " ".join(shared[1:16]), "aa", "s1"), (5, "nothing here", "aa", None), (6, None, None, None), (7, shared[4], None, None)]
+    benchmark = spark.createDataFrame([("i1", " ".join(shared[2:20])), ("i2", " ".join(shared[8:22])), ("i3", "kan"), (None, "lora"), ("i4", "same " * 2000), ("i1", " ".join(shared[:12]))], "item_id string, text string")
     for keep in (("doc_id",), ("doc_id", "text", "lang", "source", "n_chars"), ("source",)):
         got = []
         for limit in (64 << 20, 0):
-            found = contamination(docs(spark, rows).repartition(3), benchmark, broadcast_chars=limit, keep=keep)
+            found = contamination(docs(spark, rows).repartition(3), benchmark, broadcast_bytes=limit, keep=keep)
             assert found.columns == [*keep, "n_words", "hits", "items"]
             got.append(sorted(str((*(x[c] for c in keep), x.n_words, x.hits, sorted(x["items"]))) for x in found.collect()))
         assert len(got[0]) == len(rows) and got[0] == got[1]
