@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +20,22 @@ _BLOCK = 512
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def letters(text: str) -> str:
-    """Lower-case letters; each run of other characters is one space. Those say little about a language."""
-    return _NO_LETTERS.sub(" ", text.lower())
+@functools.cache
+def _others() -> np.ndarray:
+    """By code point: whether it is no letter."""
+    out = np.zeros(0x110000, bool)
+    for m in _NO_LETTERS.finditer("".join(map(chr, range(0x110000)))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def letters(text: str) -> np.ndarray:
+    """Code points of the lower-case letters; each run of other characters is one space. Those say little about a language."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    other = _others()[points]
+    keep = np.ones(len(points), bool)
+    keep[1:] = ~(other[1:] & other[:-1])
+    return np.where(other, 32, points)[keep]
 
 
 def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
@@ -31,18 +43,17 @@ def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == remainder, F.lit(False))
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions (state, symbol) of the automaton that accepts all substrings; -1 where there is none. State 0 is the start."""
-    empty = array("i", [-1] * width)
-    links, lengths, rows = [-1], [0], [empty[:]]
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions by state and symbol of the automaton that accepts all substrings. State 0 is the start."""
+    links, lengths, rows = [-1], [0], [{}]
     last = 0
     for c in symbols:
         now = len(rows)
-        rows.append(empty[:])
+        rows.append({})
         lengths.append(lengths[last] + 1)
         links.append(0)
         p = last
-        while p >= 0 and rows[p][c] < 0:
+        while p >= 0 and c not in rows[p]:
             rows[p][c] = now
             p = links[p]
         if p >= 0:
@@ -51,84 +62,146 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                 links[now] = q
             else:
                 twin = len(rows)
-                rows.append(rows[q][:])
+                rows.append(dict(rows[q]))
                 lengths.append(lengths[p] + 1)
                 links.append(links[q])
-                while p >= 0 and rows[p][c] == q:
+                while p >= 0 and rows[p].get(c) == q:
                     rows[p][c] = twin
                     p = links[p]
                 links[q] = links[now] = twin
         last = now
-    return np.frombuffer(b"".join(rows), np.int32).reshape(-1, width)
+    return rows
 
 
-class Parser:
-    """Suffix automata of some languages in one transition table.
+class Automaton:
+    """One language's suffix automaton. A step gives the next state, and _END for each phrase that it ends.
 
-    A transition holds the next state's row, and _END if the symbol could not extend the phrase: then the phrase ends
-    and the next one begins with that symbol. A symbol that the sample lacks is a phrase of its own. Symbol 0 is padding
-    and changes nothing, 1 any rare character.
+    Symbols are numbered by frequency in the sample, from 2 on; 0 is padding and changes nothing, 1 any letter that the
+    sample lacks: a phrase of its own. The first ``width`` symbols have a table; all other transitions, of the rarer
+    letters of a large alphabet, are searched for in one sorted list. A symbol that cannot extend the phrase ends it and
+    begins the next.
     """
 
-    def __init__(self, samples: dict[str, str], alphabet: int = 56) -> None:
+    def __init__(self, symbols: np.ndarray, width: int) -> None:
+        rows = suffix_automaton(symbols.tolist())
+        self.size = int(symbols.max(initial=1)) + 1
+        self.width = min(max(2, width), self.size)
+        self.bits = math.log2(len(symbols) + 2)
+        state = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        symbol = np.fromiter((c for r in rows for c in r), np.int64, len(state))
+        to = np.fromiter((s for r in rows for s in r.values()), np.int64, len(state))
+        self.first = np.zeros(self.size, np.int32)
+        self.first[symbol[state == 0]] = to[state == 0]
+        ended = np.where(np.arange(len(rows)) == 0, 0, _END)[:, None]
+        table = self.first[: self.width][None, :] + np.repeat(ended, self.width, axis=1)
+        table[:, 0] = np.arange(len(rows))
+        table[:, 1] += _END
+        near = symbol < self.width
+        table[state[near], symbol[near]] = to[near]
+        self.table = table.astype(np.int32).ravel()
+        key = state[~near] * self.size + symbol[~near]
+        order = np.argsort(key)
+        self.key, self.to = key[order], to[~near][order].astype(np.int32)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray, rare: bool) -> np.ndarray:
+        if not rare:
+            return self.table.take(state * self.width + symbols)
+        far = symbols >= self.width
+        moved = self.table.take(state * self.width + np.where(far, 0, symbols))
+        at = np.flatnonzero(far)
+        key = state[at].astype(np.int64) * self.size + symbols[at]
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        moved[at] = np.where(self.key[place] == key, self.to[place], self.first[symbols[at]] + _END)
+        return moved
+
+    def phrases(self, lanes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that end in each lane (a row a step), where a lane that follows goes on from the state of the one before.
+
+        All lanes are parsed from the start first. Then those whose true first state is another are parsed again, side by
+        side with what they took before, until both meet; if they don't, the next lane has a new first state too.
+        """
+        rare = (lanes >= self.width).any(axis=1)
+        state, ends = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
+        for symbols, r in zip(lanes, rare, strict=True):
+            moved = self.step(state, symbols, r)
+            ends += moved >> 29
+            state = moved & (_END - 1)
+        begun = np.zeros_like(state)
+        while True:
+            true = np.where(follows, np.r_[np.int32(0), state[:-1]], np.int32(0))
+            at = np.flatnonzero(true != begun)
+            if not len(at):
+                break
+            was, now = begun[at], true[at]
+            begun = true
+            for symbols, r in zip(lanes, rare, strict=True):
+                one, other = self.step(was, symbols[at], r), self.step(now, symbols[at], r)
+                ends[at] += (other >> 29) - (one >> 29)
+                was, now = one & (_END - 1), other & (_END - 1)
+                apart = was != now
+                if not apart.all():
+                    at, was, now = at[apart], was[apart], now[apart]
+                if not len(at):
+                    break
+            state[at] = now
+        last = ~np.r_[follows[1:], False]
+        return ends + (last & (state != 0))  # the phrase that the text's end cuts
+
+
+class Parser:
+    """The automata of some languages, each over the alphabet of its own sample, with tables of at most table_bytes in all."""
+
+    def __init__(self, samples: dict[str, str], table_bytes: int = 64 << 20) -> None:
         self.langs = sorted(samples)
-        known = Counter(c for t in samples.values() for c in letters(t))
-        self.symbol = np.ones(0x110000, np.uint8)
-        for i, (c, _) in enumerate(sorted(known.items(), key=lambda x: (-x[1], x[0]))[: alphabet - 2]):
-            self.symbol[ord(c)] = i + 2
-        tables, starts, self.bits = [], [], []
-        row = 0
+        texts = {k: letters(t) for k, t in samples.items()}
+        seen = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts.values()]))
+        self.symbol = np.zeros(0x110000, np.int32)  # of all samples together; 0 for a letter that none has
+        self.symbol[seen] = np.arange(1, len(seen) + 1)
+        # a sample of n letters has at most 2n states
+        width = min(56, table_bytes // (8 * max(1, sum(map(len, texts.values())))))
+        self.own, self.automata = [], []
         for lang in self.langs:
-            symbols = self.symbols(samples[lang]).tolist()
-            next_ = suffix_automaton(symbols, alphabet)
-            first = np.where(next_[0] >= 0, next_[0], 0)
-            ended = 1 + (next_[0] < 0)[None, :] - (np.arange(len(next_)) == 0)[:, None]
-            out = np.where(next_ >= 0, (next_ + row) * alphabet, ((first + row) * alphabet)[None, :] + ended * _END)
-            out[:, 0] = (np.arange(len(next_)) + row) * alphabet
-            tables.append(out.astype(np.int32))
-            starts.append(row * alphabet)
-            self.bits.append(math.log2(len(symbols) + 2))
-            row += len(next_)
-        self.table = np.concatenate(tables).ravel()
-        self.start = np.array(starts, np.int32)
-
-    def symbols(self, text: str) -> np.ndarray:
-        return self.symbol[np.frombuffer(letters(text).encode("utf-32-le", "surrogatepass"), "<u4")]
+            found, counts = np.unique(self.symbol[texts[lang]], return_counts=True)
+            own = np.ones(len(seen) + 2, np.int32)
+            own[found[np.lexsort((found, -counts))]] = np.arange(2, len(found) + 2)
+            own[-1] = 0
+            self.own.append(own)
+            self.automata.append(Automaton(own[self.symbol[texts[lang]]], width))
 
     def bits_of(self, texts: list[str]) -> np.ndarray:
         """(text, language): phrases needed, times the bits that name a place in the language's sample.
 
-        Texts are parsed whole, in blocks of 512 characters; a phrase ends with its block."""
-        coded = [self.symbols(t) for t in texts]
+        Texts are parsed whole, in lanes of 512 letters whose states are carried over (Automaton.phrases)."""
+        coded = [self.symbol[letters(t)] for t in texts]
         blocks = [-(-len(s) // _BLOCK) for s in coded]
-        lanes = np.zeros((sum(blocks), _BLOCK), np.uint8)
+        lanes = np.full((sum(blocks), _BLOCK), -1, np.int32)  # the last entry of own: padding
         flat, at = lanes.ravel(), 0
         for s, n in zip(coded, blocks, strict=True):
             flat[at : at + len(s)] = s
             at += n * _BLOCK
-        steps = np.ascontiguousarray(lanes.T).astype(np.int32)
-        state = np.repeat(self.start[:, None], len(lanes), axis=1)
-        ends = np.zeros_like(state)
-        for symbols in steps:
-            moved = self.table.take(state + symbols[None, :])
-            ends += moved >> 29
-            state = moved & (_END - 1)
-        ends += state != self.start[:, None]  # the phrase that the block's end cuts
         owner = np.repeat(np.arange(len(texts)), blocks)
-        return np.stack([np.bincount(owner, e, minlength=len(texts)) * b for e, b in zip(ends, self.bits, strict=True)], axis=1) if len(self.langs) else np.zeros((len(texts), 0))
+        follows = np.r_[False, owner[1:] == owner[:-1]][: len(owner)]
+        steps = np.ascontiguousarray(lanes.T)
+        out = np.zeros((len(texts), len(self.langs)))
+        for k, (own, automaton) in enumerate(zip(self.own, self.automata, strict=True)):
+            out[:, k] = np.bincount(owner, automaton.phrases(own[steps], follows), minlength=len(texts)) * automaton.bits
+        return out
 
 
-def training_sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dict[str, str]:
-    """Per language whole texts, in hash order of their ids, of at most sample_docs documents and sample_chars characters.
+def training_sample(docs: DataFrame, sample_docs: int, sample_chars: int, max_langs: int) -> dict[str, str]:
+    """Per language texts in hash order, of at most sample_docs documents and sample_chars characters; of a longer text a
+    piece is learned, so a language with long texts only is learned too.
 
     The counts of all documents give the share of hashes that holds about as many documents as needed; only those are
     ranked."""
-    texts = docs.where("lang is not null and text is not null").where(F.length("text").between(1, sample_chars))
-    counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    texts = docs.where("lang is not null and text is not null and text != ''").withColumn("text", F.substring("text", 1, sample_chars))
+    counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"over {max_langs} languages; clean the labels or raise max_langs")
     if not counts:
         return {}
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 4.0 * sample_docs / n))), F.col("lang"))
-    point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    point = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(1 << 20)
     ranked = texts.select("lang", "doc_id", "text", point.alias("point")).where(F.col("point") < share)
     in_lang = Window.partitionBy("lang").orderBy("point", "doc_id", F.length("text"), "text")
     first = ranked.withColumn("rank", F.row_number().over(in_lang)).where(F.col("rank") <= sample_docs)
@@ -138,11 +211,11 @@ def training_sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dic
     return out
 
 
-def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 24_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 24_000, max_langs: int = 1000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named by keep, then lang_pred and score: the language whose sample parses the text into the fewest normalised phrases.
 
     docs: text and the kept columns; labelled: doc_id, text, lang. From labelled rows at most sample_docs texts and sample_chars
-    characters a language are learned (the bound of the fit); every text is then judged whole. A phrase is the longest
+    characters a language are learned (the bound of the fit), of at most max_langs languages (more raise); every text is then judged whole. A phrase is the longest
     run of the rest of the text that occurs in the sample, where texts and samples are their letters; phrases count log2(sample length) bits each. score is the
     saving over the second best language, 0 to 1 (1 if only one is known).
 
@@ -150,7 +223,7 @@ def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample
     first by code point. Null labels or texts teach nothing, repeated rows are judged each for itself, an empty table
     gives an empty result, extra columns are ignored.
     """
-    samples = training_sample(labelled, sample_docs, sample_chars)
+    samples = training_sample(labelled, sample_docs, sample_chars, max_langs)
     known = docs.sparkSession.sparkContext.broadcast(Parser(samples)) if samples else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +256,8 @@ def _judge(parser: Parser | None, texts: list[str]) -> tuple[pa.Array, pa.Array]
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, held_out, lang_pred, score. Learned from the documents that are not held out; a null
+    doc_id is learned from. Edge cases as in identify."""
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
     found = identify(docs, docs.where(~out))

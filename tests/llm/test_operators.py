@@ -195,7 +195,7 @@ def test_near_copies_that_differ_from_their_leader_are_compared(spark, turns):
 
 
 def test_language_by_cross_parsing(spark):
-    from mercadia.llm.langid import Parser, held_out, identify, suffix_automaton
+    from mercadia.llm.langid import Parser, held_out, identify, letters, suffix_automaton
 
     r = random.Random(2)
     a, b = "the and of this with from", "que los para con una sobre"
@@ -210,18 +210,37 @@ def test_language_by_cross_parsing(spark):
     assert identify(table.limit(0), table).count() == 0
     got = {r.doc_id: r.h for r in table.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
-    # phrases against a plain parse
-    sample, text = "abracadabra abba", "abraba cabbadab zzab"
-    p = Parser({"x": sample})
-    count, i = 0, 0
-    while i < len(text):
-        j = i + 1
-        while j < len(text) and text[i : j + 1] in sample:
-            j += 1
-        i, count = j, count + 1
-    assert p.bits_of([text])[0, 0] == pytest.approx(count * p.bits[0])
-    states = suffix_automaton([2, 3, 2, 4], 6)
-    assert states[0][2] > 0 and states[0][5] == -1
+    # ties go to the first by code point; languages without a common script, and only long texts, are learned
+    han = [(200 + i, "".join(chr(0x4E00 + 3000 * (i % 2) + r.randrange(3000)) for _ in range(900)), ("zh", "ja")[i % 2], "s") for i in range(40)]
+    more = docs(spark, [*han, (300, "same words here", "b", "s"), (301, "same words here", "a", "s"), (302, "long " * 20_000, "l", "s")])
+    found = by_id(identify(more, more), "lang_pred", "score")
+    assert all(found[200 + i][0] == ("zh", "ja")[i % 2] for i in range(40))
+    assert found[300] == found[301] == ("a", 0.0) and found[302][0] == "l"
+    with pytest.raises(ValueError, match="languages"):
+        identify(more, more, max_langs=3)
+
+    # phrases against a plain parse; over block ends, with rare and unknown letters, tables or none
+    def plain(sample, text):
+        sample, text = (re.sub(r"[\W\d_]+", " ", t.lower()) for t in (sample, text))
+        assert "".join(map(chr, letters(text))) == text
+        count, i = 0, 0
+        while i < len(text):
+            j = i + 1
+            while j < len(text) and text[i : j + 1] in sample:
+                j += 1
+            i, count = j, count + 1
+        return count
+
+    alphabet = "ab\u00e9\u0416 cdefgh" + "".join(chr(0x4E00 + i) for i in range(90))
+    long = "".join(r.choice(alphabet) for _ in range(300)) * 12
+    samples = {"x": "abracadabra abba", "y": "".join(r.choice(alphabet) for _ in range(2000)), "z": long[7:900]}
+    texts = ["abraba cabbadab zzab", "", "q", long, "".join(r.choice(alphabet + "\u03b1") for _ in range(3000)), "ab" * 700, samples["y"][100:1800]]
+    for table_bytes in (64 << 20, 0):
+        p = Parser(samples, table_bytes)
+        expected = [[plain(samples[k], t) * a.bits for k, a in zip(p.langs, p.automata)] for t in texts]
+        assert p.bits_of(texts) == pytest.approx(np.array(expected))
+    states = suffix_automaton([2, 3, 2, 4])
+    assert states[0][2] > 0 and 5 not in states[0]
 
 
 # ---- 4 ----
