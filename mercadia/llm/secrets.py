@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import materialize, table
+from mercadia.llm.common import materialize, table, with_columns
 
 KINDS = ("assign", "access", "hex", "owned")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -46,16 +46,20 @@ def candidates(text: str) -> list[dict]:
     return [dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in out]
 
 
-def secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", example_owners: int = 3) -> DataFrame:
+_SPANS = "array<struct<start:int,kind:int,end:int,value_hash:string,repos:bigint,owners:bigint,verdict:string>>"
+
+
+def secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", example_owners: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Candidate credentials of each text with the verdict that their spread over the corpus gives.
 
-    docs: doc_id, text and the columns named by repo and owner. Returns doc_id and spans: an array of
+    docs: text and the columns named by repo, owner and keep. Returns the columns named by keep and spans: an array of
     (kind, start, end, value_hash, repos, owners, verdict) by start, then kind; code points, end exclusive. Kinds:
     0 assign, 1 access, 2 hex (the base), 3 owned. Candidate values are hashed and counted over all documents by
     distinct repositories and owners: a value of example_owners owners or more is widely copied, an 'example'; any
     other is 'live'. Base spans stay whatever the verdict; a bare random-looking token outside all base spans
     becomes a span (owned) only if it is live. Counts are of pairs made distinct before they are shuffled by value,
-    so a value that a third of all documents hold is summed in parts.
+    so a value that a third of all documents hold is summed in parts. Only rows with candidates are joined to their
+    verdicts, by a row id; all others pass through unshuffled.
 
     Null texts are empty and have no spans; null repositories or owners count as one of their own. Repeated rows
     are the same repository. An empty table gives an empty result. Texts of any length are whole. Extra columns
@@ -65,29 +69,30 @@ def secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", exampl
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [candidates(t) if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("repo"), batch.column("owner"), pa.array(found, _CANDIDATES_ARROW)], ["doc_id", "repo", "owner", "found"])
-
-    rows = docs.select("doc_id", F.coalesce(F.col(repo).cast("string"), F.lit("\0")).alias("repo"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"), "text")
-    scanned = materialize(
-        rows.mapInArrow(scan, f"doc_id long, repo string, owner string, found {_CANDIDATES}")
-        .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("found", F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("value_hash"))))
-    )
-    each = scanned.select("row", "repo", "owner", F.inline("found"))
-    held = each.select("value_hash", "owner", "repo").distinct()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "_repo", "_owner")), pa.array(found, _CANDIDATES_ARROW)], [*keep, "_repo", "_owner", "_found"])
+
+    side = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(name) for c, name in ((repo, "_repo"), (owner, "_owner"))]
+    rows = docs.select(*dict.fromkeys((*keep, "text")), *side)
+    hashed = F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("value_hash")))
+    scanned = materialize(rows.mapInArrow(scan, with_columns(docs, keep, f"_repo string, _owner string, _found {_CANDIDATES}")).withColumn("_row", F.monotonically_increasing_id()).withColumn("_found", hashed))
+    each = scanned.select("_row", "_repo", "_owner", F.inline("_found"))
+    held = each.select("value_hash", "_owner", "_repo").distinct()
     spread = (
-        held.groupBy("value_hash", "owner").agg(F.count("*").alias("repos"))
+        held.groupBy("value_hash", "_owner").agg(F.count("*").alias("repos"))
         .groupBy("value_hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
     )
     judged = (
         each.join(spread, "value_hash")
         .withColumn("verdict", F.when(F.col("owners") >= example_owners, "example").otherwise("live"))
         .where((F.col("kind") < 3) | (F.col("verdict") == "live"))
-        .groupBy("row")
+        .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value_hash", "repos", "owners", "verdict"))).alias("spans"))
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value_hash:string,repos:bigint,owners:bigint,verdict:string>>")
-    return scanned.select("row", "doc_id").join(judged, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    none = F.array().cast(_SPANS)
+    clean = scanned.where(F.size("_found") == 0).select(*keep, none.alias("spans"))
+    # rows with candidates grow with the input: never a broadcast
+    other = scanned.where(F.size("_found") > 0).select(*keep, "_row").join(judged.hint("merge"), "_row", "left").select(*keep, F.coalesce("spans", none).alias("spans"))
+    return clean.unionByName(other)
 
 
 def _joined(spans):
@@ -96,6 +101,8 @@ def _joined(spans):
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: counts of the base kinds, base_sha256, spans, n_live. A document is a repository, its source the
+    owner. Edge cases as in secrets."""
     found = secrets(table(spark, sf_dir, "documents"))
 
     def of_kind(k: int):
