@@ -344,9 +344,15 @@ def test_substring_dedup(spark):
     table = docs(spark, rows).repartition(5)
     found = by_id(repeats(table).withColumn("sha", F.sha2("kept", 256)), "n_words", "n_removed", "sha")
     assert found == brute_repeats(rows)
+    # hot anchors, and passages that a task has sent before, change nothing
+    for more in ({"hot_runs": 0, "every": 1}, {"chunk_bytes": 300}, {"hot_runs": 3, "every": 2, "chunk_bytes": 2000, "bucket_bytes": 1000}):
+        assert by_id(repeats(table, **more).withColumn("sha", F.sha2("kept", 256)), "n_words", "n_removed", "sha") == found
     same = [(1, "a " * 20, None, None), (1, "a " * 20, None, None), (1, "b " * 15, None, None), (2, "b " * 14, None, None)]
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in repeats(docs(spark, same)).collect())
     assert got == [(1, 15, 0), (1, 20, 0), (1, 20, 0), (2, 14, 14)]
+    copies = [(i, " ".join(WORDS[:20]), None, None) for i in range(9, 0, -1)]
+    got = {r.doc_id: r.n_removed for r in repeats(docs(spark, copies).coalesce(1), chunk_bytes=700).collect()}
+    assert got == {i: 20 * (i > 1) for i in range(1, 10)}
     assert repeats(docs(spark, [])).count() == 0
 
 
