@@ -414,7 +414,7 @@ def test_decontamination_same_by_join_with_null_and_repeated_ids(spark):
 
 
 def test_iblt_round_trip():
-    from mercadia.llm.iblt import build, encoded, likeness, peel, pieces
+    from mercadia.llm.iblt import build, difference, encoded, likeness, peel, pieces
 
     r = np.random.default_rng(1)
     texts = [b"", b"one two three four five", b"one two three four six"] + [b"\n".join(b" ".join(b"w%d" % x for x in r.integers(0, 9000, 7)) for _ in range(n)) for n in (3, 40, 400)]
@@ -423,31 +423,39 @@ def test_iblt_round_trip():
     sets = [set(p[0][a:b].tolist()) for a, b in zip(p[1][:-1], p[1][1:])]
     pairs = [(a, b) for a in range(len(texts)) for b in range(len(texts))]
     a, b = (np.array(x) for x in zip(*pairs))
-    near, tries = likeness(p, a, p, b)
-    for (x, y), v in zip(pairs, near):
+    owner, found, sign, tries = difference(p, a, p, b)
+    held = np.diff(p[1])
+    near = likeness(held[a] + held[b], owner)
+    for k, ((x, y), v) in enumerate(zip(pairs, near)):
         both = len(sets[x] | sets[y])
         assert v == pytest.approx(len(sets[x] & sets[y]) / both if both else 1.0)
+        assert set(found[(owner == k) & (sign == 1)].tolist()) == sets[x] - sets[y]
+        assert set(found[(owner == k) & (sign == -1)].tolist()) == sets[y] - sets[x]
     assert tries.max() > 1
     keys = np.array([3, 5, 9], np.uint64)
-    n, done = peel(*build(keys, np.zeros(3, int), np.array([1, -1, 1]), np.array([8])), np.array([8]))
-    assert n[0] == 3 and done[0]
+    owner, found, sign, done = peel(*build(keys, np.zeros(3, int), np.array([1, -1, 1]), np.array([8])), np.array([8]))
+    assert dict(zip(found.tolist(), sign.tolist())) == {3: 1, 5: -1, 9: 1} and done[0] and not owner.any()
+    whole = pieces([b"one two three four five\n\nsix", b"one two three four five", b"six"], None)
+    assert np.diff(whole[1]).tolist() == [2, 1, 1] and set(whole[0][:2].tolist()) == set(whole[0][2:].tolist())
     names = encoded(p, len(texts))
     assert len(set(names)) == len(texts) and encoded(pieces([texts[3]], 4), 1)[0] == names[3]
 
 
-@pytest.mark.parametrize("per_range", [4, 512])
+@pytest.mark.parametrize("per_range", [300, 1 << 20])
 def test_successive_documents(spark, per_range):
-    from mercadia.llm.iblt import compare_successive, edited
+    from mercadia.llm.iblt import compare_successive, edited, pieces
 
     rows = [r for r in corpus(40, 7) if r[0] is not None] + [(5000, "x" * 3, None, None), (-7, "ééé \U0001f600 ü", None, None)]
-    found = by_id(compare_successive(docs(spark, rows).repartition(6), docs_per_range=per_range), "n_chars", "edited_sha256", "near_edited", "near_next")
+    found = by_id(compare_successive(docs(spark, rows).repartition(6), 4, per_range), "n_chars", "edited_sha256", "near_edited", "near_next", "lost", "added")
     order = sorted(rows, key=lambda r: -r[0])
     for k, (i, t, *_) in enumerate(order):
         t, f = t or "", order[(k + 1) % len(order)][1] or ""
         assert found[i][:2] == (len(t), hashlib.sha256(edited(t, f).encode()).hexdigest())
-        assert 0 <= found[i][2] <= 1 and 0 <= found[i][3] <= 1
-    again = compare_successive(docs(spark, [*rows, (None, "n", None, None), (None, None, None, None), rows[3]]), docs_per_range=per_range)
-    assert again.count() == len(rows) + 3
+        a, b, c = (set(pieces([x.encode()], 4)[0].view(np.int64).tolist()) for x in (t, edited(t, f), f))
+        assert found[i][2:4] == pytest.approx([len(a & x) / len(a | x) if a | x else 1.0 for x in (b, c)])
+        assert set(found[i][4]) == a - b and set(found[i][5]) == b - a
+    again = compare_successive(docs(spark, [*rows, (None, "n", None, None), (None, None, None, None), rows[3], rows[3]]), 4, per_range)
+    assert again.count() == len(rows) + 4
     assert compare_successive(docs(spark, [])).count() == 0
     one = compare_successive(docs(spark, [(1, "a b", None, None)])).collect()
     assert one[0].near_next == 1.0
