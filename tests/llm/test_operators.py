@@ -540,7 +540,7 @@ def test_language_model_scores(spark):
     counts = Counter(w for i, t, *_ in rows if i < 50 for w in [*t.lower().split(), ""])
     n, v = sum(counts.values()), len(counts)
     for frequent in (200_000, 2):
-        found = {x.doc_id: x for x in score(table, train, shortlist=6, frequent=frequent, epochs=150).collect()}
+        found = {x.doc_id: x for x in score(table, train, shortlist=6, frequent=frequent, rates=(0.02,) * 4).collect()}
         for i, t, *_ in rows:
             w = [*(t or "").lower().split(), ""]
             assert found[i].base_score == pytest.approx(sum(np.log10((counts[x] + 1) / (n + v + 1)) for x in w))
