@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import materialize
+from mercadia.llm.common import discard, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of a link; component is the least node reachable, the node itself included.
 
     Each round hooks the larger neighbours of a node to its least neighbour, then its smaller ones, and writes the
-    links, so the lineage stays short and rounds grow with the logarithm of a component's length. Least neighbours
+    links anew, so the lineage stays short and rounds grow with the logarithm of a component's length. Least neighbours
     are found by partial aggregation, so a node with a third of all links costs one row a task. Links with a null
     end and loops are left out; an empty table gives an empty result; repeated links count once.
     """
@@ -25,7 +25,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        edges = materialize(_small_star(_large_star(edges)))
+        last, edges = edges, materialize(_small_star(_large_star(edges)))
+        discard(last)
     roots = edges.groupBy("v").agg(F.count("*").alias("n")).select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

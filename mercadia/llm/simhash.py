@@ -412,5 +412,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, band
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, three-word shingles and three bits: doc_id, fingerprint, component_id. Edge cases as in
+    near_duplicates."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -110,6 +110,7 @@ OP6_RULES = (
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page: page_id, host, path, rule, verdict. Edge cases as in judge."""
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in OP6_RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {values} AS r(host, path, verdict)")
     return judge(table(spark, sf_dir, "pages"), rules).drop("component")
