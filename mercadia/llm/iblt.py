@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import math
 from collections.abc import Iterator
@@ -128,20 +127,20 @@ def likeness(size: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.where(size > 0, (size - differ) / np.maximum(size + differ, 1), 1.0)
 
 
-def encoded(p: tuple[np.ndarray, np.ndarray], n: int) -> list[str]:
-    """Fingerprints as text: number of pieces, then each cell's count, sum and check, base64."""
+def encoded(p: tuple[np.ndarray, np.ndarray], n: int) -> list[bytes]:
+    """Fingerprints: number of pieces, then each cell's count, sum and check."""
     sub = np.full(n, CELLS // 3)
     count, total, check, _ = build(p[0], np.repeat(np.arange(n), np.diff(p[1])), np.ones(len(p[0]), np.int64), sub)
     out = np.zeros(n, np.dtype([("n", "<u4"), ("count", "<u2", CELLS), ("total", "<u8", CELLS), ("check", "<u4", CELLS)]))
     out["n"], out["count"] = np.diff(p[1]), count.reshape(n, CELLS)
     out["total"], out["check"] = total.reshape(n, CELLS), check.reshape(n, CELLS)
     raw = out.tobytes()
-    return [base64.b64encode(raw[i * out.itemsize : (i + 1) * out.itemsize]).decode() for i in range(n)]
+    return [raw[i * out.itemsize : (i + 1) * out.itemsize] for i in range(n)]
 
 
 _RESULT = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, tries int, "
-    "lost array<long>, added array<long>"
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, tries int, "
+    "n_lost long, n_added long, lost array<long>, added array<long>"
 )
 #: What a range hands out: its results, then its first and its last row, whose neighbours are in other ranges.
 _SCHEMA = f"{_RESULT}, at int, edge string, text string"
@@ -152,11 +151,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _digests(owner: np.ndarray, keys: np.ndarray, n: int) -> pa.Array:
+def _digests(owner: np.ndarray, keys: np.ndarray, n: int, wanted: bool) -> pa.Array:
+    if not wanted:
+        return pa.nulls(n, pa.list_(pa.int64()))
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(keys.view(np.int64)))
 
 
-def _compare(ids: list, texts: list[str], following: list[str], size: int | None) -> pa.RecordBatch:
+def _compare(ids: list, texts: list[str], following: list[str], size: int | None, digests: bool) -> pa.RecordBatch:
     """A row for each text with the one that follows it."""
     n = len(texts)
     other = [edited(t, f).encode() for t, f in zip(texts, following, strict=True)]
@@ -166,22 +167,23 @@ def _compare(ids: list, texts: list[str], following: list[str], size: int | None
     owner, keys, sign, tries = difference(own, i, new, i)
     owner_next, _, _, more = difference(own, i, after, i)
     columns = [
-        pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in other]),
+        pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in other]),
         pa.array(encoded(own, n)), pa.array(encoded(new, n)), pa.array(likeness(held[0] + held[1], owner)), pa.array(likeness(held[0] + held[2], owner_next)),
-        pa.array(np.maximum(tries, more).astype(np.int32)), *(_digests(owner[sign == s], keys[sign == s], n) for s in (1, -1)),
+        pa.array(np.maximum(tries, more).astype(np.int32)), *(pa.array(np.bincount(owner[sign == s], minlength=n)) for s in (1, -1)),
+        *(_digests(owner[sign == s], keys[sign == s], n, digests) for s in (1, -1)),
         pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()),
     ]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SCHEMA.split(", ")])
 
 
-def _stream(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[pa.RecordBatch]:
+def _stream(batches: Iterator[pa.RecordBatch], size: int | None, digests: bool) -> Iterator[pa.RecordBatch]:
     """Rows of one range come in order; a megabyte of them is compared at a time."""
     at, ids, texts, total, first = TaskContext.get().partitionId(), [], [], 0, None
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
 
     def edge(which: str, i: int | None, text: str) -> pa.RecordBatch:
         row = {"doc_id": i, "at": at, "edge": which, "text": text}
-        kinds = [pa.int64(), pa.int64(), *(pa.string(),) * 3, *(pa.float64(),) * 2, pa.int32(), *(pa.list_(pa.int64()),) * 2, pa.int32(), *(pa.string(),) * 2]
+        kinds = [pa.int64(), pa.int64(), *(pa.binary(),) * 3, *(pa.float64(),) * 2, pa.int32(), *(pa.int64(),) * 2, *(pa.list_(pa.int64()),) * 2, pa.int32(), *(pa.string(),) * 2]
         return pa.RecordBatch.from_arrays([pa.array([row.get(c)], k) for c, k in zip(names, kinds, strict=True)], names)
 
     for batch in batches:
@@ -192,30 +194,31 @@ def _stream(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[pa.
             texts.append(t or "")
             total += len(texts[-1])
             if len(texts) > 1 and total > 1 << 20:
-                yield _compare(ids[:-1], texts[:-1], texts[1:], size)
+                yield _compare(ids[:-1], texts[:-1], texts[1:], size, digests)
                 ids, texts, total = ids[-1:], texts[-1:], len(texts[-1])
     if first is not None:
         if len(texts) > 1:
-            yield _compare(ids[:-1], texts[:-1], texts[1:], size)
+            yield _compare(ids[:-1], texts[:-1], texts[1:], size, digests)
         yield edge("first", *first)
         yield edge("last", ids[-1], texts[-1])
 
 
-def _edges(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], size: int | None, digests: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, t, f in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")), strict=True):
-            yield _compare([i], [t], [f], size)
+            yield _compare([i], [t], [f], size, digests)
 
 
-def compare_successive(docs: DataFrame, piece_words: int | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+def compare_successive(docs: DataFrame, piece_words: int | None = None, range_bytes: int = 64 << 20, digests: bool = True) -> DataFrame:
     """Fingerprint each text, the text edited with the next one's beginning, and their likeness.
 
     docs: doc_id, text. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, tries, lost, added. The next document is the one with the next smaller doc_id; the first follows the
+    near_next, tries, n_lost, n_added, lost, added. The next document is the one with the next smaller doc_id; the first follows the
     last. Texts are range-sorted once, about range_bytes a range, and compared as they stream by; the first and last
     rows of ranges are joined to each other. A fingerprint is a table of cells that hold counts and sums of paragraph
     digests (of pieces of piece_words words, if given); subtracting two tables cancels common ones and peeling recovers
-    the others: lost are those that only the text has, added those that only the edited text has. Where peeling fails,
+    the others: lost are those that only the text has, added those that only the edited text has (null without
+    digests; n_lost and n_added count them). Where peeling fails,
     larger tables are tried until it succeeds. Likeness is the share of distinct digests that both texts have; 1 for two
     texts without words.
 
@@ -229,7 +232,7 @@ def compare_successive(docs: DataFrame, piece_words: int | None = None, range_by
     n = max(math.ceil(size / range_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").desc_nulls_last(), "_hash", "_row"]
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    found = materialize(ranged.mapInArrow(lambda b: _stream(b, piece_words), _SCHEMA))
+    found = materialize(ranged.mapInArrow(lambda b: _stream(b, piece_words, digests), _SCHEMA))
     edges = found.where("edge is not null").select("doc_id", "at", "edge", "text")
     # a row a range: each last row meets the first row of the range after it, the last one that of the first
     following = Window.orderBy("at")
@@ -237,12 +240,13 @@ def compare_successive(docs: DataFrame, piece_words: int | None = None, range_by
     after = heads.select("at", F.coalesce(F.lead("at").over(following), F.first("at").over(following)).alias("next"))
     pairs = edges.where("edge = 'last'").join(after, "at").select("doc_id", "text", F.col("next").alias("at")).join(heads, "at")
     names = [c.split()[0] for c in _RESULT.split(", ")]
-    rest = pairs.select("doc_id", "text", "following").mapInArrow(lambda b: _edges(b, piece_words), _SCHEMA)
-    return found.where("edge is null").select(*names).unionByName(rest.select(*names))
+    rest = pairs.select("doc_id", "text", "following").mapInArrow(lambda b: _edges(b, piece_words, digests), _SCHEMA)
+    every = found.where("edge is null").select(*names).unionByName(rest.select(*names))
+    as_text = {c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}  # written as they are, they take less room
+    return every.withColumns({"edited_sha256": F.lower(F.hex("edited_sha256")), **as_text})
 
 
 def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document, with paragraphs cut into pieces of four words; n_lost and n_added count the recovered digests.
     Edge cases as in compare_successive."""
-    found = compare_successive(table(spark, sf_dir, "documents"), piece_words=4)
-    return found.withColumns({"n_lost": F.size("lost").cast("long"), "n_added": F.size("added").cast("long")}).drop("lost", "added")
+    return compare_successive(table(spark, sf_dir, "documents"), piece_words=4, digests=False).drop("lost", "added")
