@@ -91,11 +91,12 @@ def segment(series: DataFrame, products: DataFrame, keys: Sequence[str] = ("prod
     """A10: sale days, ADI and squared variation a product; series has first_day and last_day, products the keys and
     bounds of all, so that products that never sold are classed too (ADI infinite, variation 0)."""
     q = F.when(F.col("quantity_sold") > 0, F.col("quantity_sold"))
-    sold = series.groupBy(*keys).agg(F.count(q).alias("non_zero_demand_days"), F.avg(q).alias("mean_"), F.stddev_pop(q).alias("sd_"))
+    sold = series.groupBy(*keys).agg(F.count(q).alias("non_zero_demand_days"), F.sum(q).alias("sum_"), F.sum(q * q).alias("squares_"))
     days = F.date_diff("last_day", "first_day") + 1
     n = F.coalesce("non_zero_demand_days", F.lit(0))
     adi = F.when(n > 0, days / n).otherwise(F.lit(float("inf")))
-    cv2 = F.when(n > 0, F.pow(F.col("sd_") / F.col("mean_"), 2)).otherwise(0.0)
+    square = F.col("sum_") * F.col("sum_")  # sums of whole numbers are exact, so a tie has the same class wherever it is computed
+    cv2 = F.when(n > 0, (n * F.col("squares_") - square) / square).otherwise(0.0)
     out = products.join(sold, list(keys), "left").select(*keys, n.alias("non_zero_demand_days"), adi.alias("adi"), cv2.alias("cv_squared"))
     return out.withColumn("demand_pattern", demand_pattern(F.col("adi"), F.col("cv_squared")))
 

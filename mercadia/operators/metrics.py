@@ -47,6 +47,17 @@ def seasonal_scale(train: DataFrame, ends: DataFrame, by: list[str], lag: int =
     return ends.join(apart, by, "left").select(*by, F.when((n > 0) & (F.col("apart") > 0), F.col("apart") / n).alias("scale"))
 
 
+def with_mase(cube: DataFrame, steps: DataFrame) -> DataFrame:
+    """Add mase at every level of a cube: MAE over the mean absolute step of the level's products in training; null
+    where that is 0 or unknown. steps: split, demand_pattern, product_id, apart (the sum of steps), days (how many)."""
+    keys = ["split", "demand_pattern", "product_id"]
+    sets = [[F.col(k) for k in keys[:n]] for n in (1, 2, 3)]
+    scales = steps.groupingSets(sets, *keys).agg(F.sum("apart").alias("apart"), F.sum("days").alias("days"))
+    scales = scales.select(*(F.col(k).alias(f"{k}_") for k in keys), F.when((F.col("days") > 0) & (F.col("apart") > 0), F.col("apart") / F.col("days")).alias("scale"))
+    same = (F.col("split") == F.col("split_")) & F.col("demand_pattern").eqNullSafe(F.col("demand_pattern_")) & F.col("product_id").eqNullSafe(F.col("product_id_"))
+    return cube.join(scales, same, "left").withColumn("mase", F.col("mae") / F.col("scale")).drop(*(f"{k}_" for k in keys), "scale")
+
+
 def occurrence_metrics(scored: DataFrame, by: list[str], threshold: Column) -> DataFrame:
     """Precision, recall, F1 (0 where undefined), rates and counts of ``score >= threshold``.
 

@@ -6,9 +6,13 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercadia.operators import quality
+from mercadia.operators.quality import Rule
+
 #: Keys of the history tables.
 MERGE_KEYS = {
     "sales_forecast": ("run_id", "product_id", "forecast_date", "horizon_days", "model_version"),
@@ -45,28 +49,35 @@ def merged(history: DataFrame, batch: DataFrame, keys: Sequence[str], immutable:
 def upsert(spark: SparkSession, batch: DataFrame, root: str, name: str, immutable: Sequence[str] = ()) -> int:
     """Write a new version of a history table and make it current; returns its rows.
 
-    Versions are folders; ``current`` names the one in use and is written last, so readers see either version whole."""
+    Versions are folders of their own; ``current`` names each version's folder and is written last, so readers see either
+    version whole. Of two writers of one version the first by folder name counts, and the other raises.
+    """
     keys = MERGE_KEYS[name]
     check_batch(batch, keys, batch.columns)
     now = current_version(spark, root, name)
-    out = batch if now is None else merged(spark.read.parquet(f"{root}/{name}/v{now}"), batch, keys, immutable)
-    version = 0 if now is None else now + 1
-    out.write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
-    spark.sql(f"SELECT {version} AS version").write.mode("append").json(f"{root}/{name}/current")
-    return spark.read.parquet(f"{root}/{name}/v{version}").count()
-
-
-def current_version(spark: SparkSession, root: str, name: str) -> int | None:
+    out = batch if now is None else merged(read_history(spark, root, name), batch, keys, immutable)
+    version = 0 if now is None else now[0] + 1
+    folder = f"v{version}-{uuid.uuid4().hex}"
+    out.write.parquet(f"{root}/{name}/{folder}")
+    spark.createDataFrame([(version, folder)], "version int, folder string").coalesce(1).write.mode("append").json(f"{root}/{name}/current")
+    if current_version(spark, root, name) != (version, folder):
+        raise RuntimeError(f"{name}: another writer has made version {version}")
+    return spark.read.parquet(f"{root}/{name}/{folder}").count()
+
+
+def current_version(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
+    """The version in use and its folder; none before the first."""
     try:
-        return spark.read.schema("version int").json(f"{root}/{name}/current").agg(F.max("version")).first()[0]
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+        found = spark.read.schema("version int, folder string").json(f"{root}/{name}/current").orderBy(F.desc("version"), "folder").first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    return found and (found.version, found.folder)
 
 
 def read_history(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}/v{current_version(spark, root, name)}")
+    return spark.read.parquet(f"{root}/{name}/{current_version(spark, root, name)[1]}")
 
 
 def run_id(model: str, version: str, data_max_date: str, generated_at: str) -> str:
@@ -136,6 +147,58 @@ def risk_violations(risk: DataFrame, horizon: int, classes: Sequence[str]) -> Da
     d, stock = F.col("forecast_demand"), F.col("stock_quantity")
     good = (
         (F.col("horizon_days") == horizon) & F.col("risk_level").isin(*classes) & (d >= 0) & near(F.col("projected_stock"), stock - d)
-        & near(F.col("average_daily_demand"), d / horizon) & (F.col("estimated_coverage_days").isNull() == (d == 0))
+        & near(F.col("average_daily_demand"), d / horizon) & (F.col("estimated_coverage_days").isNull() == (d == 0)) & (stock >= 0)
+        & (F.col("estimated_coverage_days").isNull() | near(F.col("estimated_coverage_days"), horizon * stock / d))
     )
     return risk.where(~F.coalesce(good, F.lit(False)))
+
+
+def forecast_checks(forecast: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """The rules of a forecast table, a row each. forecast: product_id, forecast_date, horizon_day,
+    horizon_days, predicted_quantity, model_name, data_max_date."""
+    p = F.col("predicted_quantity")
+    finite = p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
+    key = ["product_id", "horizon_days", "forecast_date"]
+    groups = incomplete_groups(forecast, ["product_id", "horizon_days"], "horizon_day")
+    whole = forecast.groupBy("product_id", "horizon_days").agg(F.max("horizon_day").alias("last")).where("last <> horizon_days")
+    present = forecast.select("product_id").distinct().agg(F.count("*").alias("n")).crossJoin(forecast.select("product_id", "horizon_days").distinct().agg(F.count("*").alias("pairs")))
+    return quality.report(
+        quality.row_rules(forecast, "sales_forecast", [
+            Rule("finite_not_negative", ~finite | (p < 0)), Rule("horizon", ~F.col("horizon_days").isin(*horizons)), Rule("after_data", F.col("forecast_date") <= F.col("data_max_date")),
+        ]),
+        quality.as_rule(quality.duplicates(forecast, key), "sales_forecast", "unique_key"),
+        quality.as_rule(groups, "sales_forecast", "days_complete"), quality.as_rule(whole, "sales_forecast", "days_reach_horizon"),
+        quality.as_rule(present.where(F.col("pairs") != F.col("n") * len(horizons)), "sales_forecast", "all_horizons"),
+        quality.as_rule(forecast.agg(F.count_distinct("model_name").alias("n")).where("n <> 1"), "sales_forecast", "single_champion"),
+    )
+
+
+def metric_checks(metrics: DataFrame, names: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Q39: known names, finite values, unique keys. metrics: metric_name, metric_value and the key."""
+    v = F.col("metric_value")
+    return quality.report(
+        quality.row_rules(metrics, "model_metrics", [quality.accepted("metric_name", names), Rule("finite", v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))]),
+        quality.as_rule(quality.duplicates(metrics, key), "model_metrics", "unique_key"),
+    )
+
+
+def registry_checks(registry: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Q40: unique models, all of them and no others, one champion, JSON that parses."""
+    known = registry.where(F.col("model_name").isin(*models)).agg(F.count_distinct("model_name").alias("n")).where(F.col("n") != len(models))
+    return quality.report(
+        quality.row_rules(registry, "model_registry", [quality.accepted("model_name", models), Rule("metadata_json", F.try_parse_json("metadata_json").isNull())]),
+        quality.as_rule(quality.duplicates(registry, ["model_name"]), "model_registry", "unique_key"), quality.as_rule(known, "model_registry", "complete"),
+        quality.as_rule(registry.agg(F.count_if("is_champion").alias("n")).where("n <> 1"), "model_registry", "one_champion"),
+    )
+
+
+def run_checks(runs: DataFrame, forecast: DataFrame, risk: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Q41, Q42: the latest successful run against its tables: counts as the run states them, and one forecast a product and
+    day of each horizon, one risk row a product. runs: run_id, status, started_at, finished_at, products_processed,
+    forecast_rows, risk_rows."""
+    run = latest(runs.where("status = 'success'"), ["finished_at", "started_at"], "run_id")
+    counted = run.crossJoin(forecast.agg(F.count("*").alias("forecasts"))).crossJoin(risk.agg(F.count("*").alias("risks"), F.count_distinct("product_id").alias("products")))
+    return quality.row_rules(counted, "pipeline_runs", [
+        Rule("forecast_rows", F.col("forecast_rows") != F.col("forecasts")), Rule("risk_rows", F.col("risk_rows") != F.col("risks")), Rule("one_risk_a_product", F.col("risks") != F.col("products")),
+        Rule("forecasts_a_product", F.col("forecasts") != F.col("products_processed") * sum(horizons)), Rule("risks_a_product", F.col("risks") != F.col("products_processed")),
+    ])

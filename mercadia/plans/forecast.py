@@ -35,6 +35,43 @@ def compare(sales: DataFrame, products: DataFrame, folds: DataFrame, history: in
     return both.withColumn("actual_quantity", F.coalesce("actual_", F.lit(0.0))).drop("actual_")
 
 
+def seasonal_steps(sales: DataFrame, products: DataFrame, folds: DataFrame, lag: int = 7) -> DataFrame:
+    """(split, demand_pattern, product_id, apart, days): each product's sum of absolute steps to the day ``lag`` before in
+    each fold's training days, and how many there are; from the sparse rows."""
+    train = training(sales, folds)
+    ends = products.select("product_id").crossJoin(F.broadcast(folds)).select("split", "product_id", "first_day", F.col("train_end").alias("last_day"))
+    segments = demand.segment(train, ends, ("split", "product_id")).select("split", "product_id", "demand_pattern")
+    now = train.where(F.date_diff("date", "first_day") >= lag).select("split", "product_id", F.col("date").alias("d"), F.col("quantity_sold").alias("q"))
+    then = train.where(F.date_add("date", lag) <= F.col("last_day")).select("split", "product_id", F.date_add("date", lag).alias("d"), (-F.col("quantity_sold")).alias("q"))
+    apart = now.unionByName(then).groupBy("split", "product_id", "d").agg(F.abs(F.sum("q")).alias("apart")).groupBy("split", "product_id").agg(F.sum("apart").alias("apart"))
+    days = ends.select("split", "product_id", (F.date_diff("last_day", "first_day") + 1 - lag).alias("days"))
+    both = days.join(segments, ["split", "product_id"]).join(apart, ["split", "product_id"], "left")
+    return both.withColumn("apart", F.coalesce("apart", F.lit(0.0)))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """How often each value occurs, nulls too."""
+    return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
+
+
+def forecast_origin(forecast: DataFrame) -> DataFrame:
+    """One row: the day before the first forecast day."""
+    return forecast.agg(F.date_sub(F.min("forecast_date"), 1).alias("origin"))
+
+
+def missing_forecasts(actuals: DataFrame, predicted: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Actual rows without a forecast, or with a null one."""
+    given = predicted.where(F.col("predicted_quantity").isNotNull()).select(*keys)
+    return actuals.join(given, list(keys), "left_anti")
+
+
+def require_forecasts(actuals: DataFrame, predicted: DataFrame, keys: tuple[str, ...]) -> None:
+    """Raises where an actual has no forecast."""
+    n = missing_forecasts(actuals, predicted, keys).count()
+    if n:
+        raise ValueError(f"{n} actual rows have no forecast")
+
+
 def product_wins(product_metrics: DataFrame, horizon: int = 14) -> DataFrame:
     """Per model the products on which its mean validation WAPE is the least, ties included."""
     chosen = product_metrics.where(F.col("split").startswith("validation_fold_") & (F.col("horizon") == horizon) & F.col("wape").isNotNull())

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercadia import queries_demand, queries_learned, queries_quality, queries_sales
+from mercadia import queries_demand, queries_gates, queries_learned, queries_quality, queries_sales
 
-_MODULES = (queries_sales, queries_demand, queries_quality, queries_learned)
+_MODULES = (queries_sales, queries_demand, queries_quality, queries_gates, queries_learned)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,14 +51,21 @@ ROLLING_NAMES = [f"rolling_mean_{k}" for k in demand.WINDOWS] + [f"rolling_std_{
 CUMULATIVE_NAMES = [f"sale_days_last_{k}" for k in demand.WINDOWS] + ["historical_sale_probability", "mean_positive_demand", "causal_adi", "days_since_last_sale"]
 
 
+def _averaged(s: SparkSession, d: str, names: list[str], *more) -> DataFrame:
+    day = F.date_diff("date", F.lit("1995-01-01").cast("date"))
+    by_day = (F.round(F.avg(F.col(n) * day), 3).alias(f"{n}_by_day") for n in names)
+    return _features(s, d).groupBy("product_id").agg(*(F.round(F.avg(n), 6).alias(n) for n in names), *by_day, *more)
+
+
 def lag_and_rolling(s: SparkSession, d: str) -> DataFrame:
-    """Lags and rolling features of every product and day, averaged by product."""
-    return rounded(_features(s, d).groupBy("product_id").agg(*(F.avg(n).alias(n) for n in LAG_NAMES + ROLLING_NAMES)))
+    """Lags and rolling features of every product and day: their averages by product, and those of feature times day, which
+    tell a shifted frame."""
+    return _averaged(s, d, LAG_NAMES + ROLLING_NAMES)
 
 
 def cumulative_and_recency(s: SparkSession, d: str) -> DataFrame:
-    """Cumulative and recency features of every product and day, averaged by product."""
-    return rounded(_features(s, d).groupBy("product_id").agg(*(F.avg(n).alias(n) for n in CUMULATIVE_NAMES), F.sum("current_zero_streak").alias("current_zero_streak")))
+    """The same for the cumulative and recency features."""
+    return _averaged(s, d, CUMULATIVE_NAMES, F.sum("current_zero_streak").alias("current_zero_streak"))
 
 
 def calendar(s: SparkSession, d: str) -> DataFrame:
@@ -70,7 +77,7 @@ def calendar(s: SparkSession, d: str) -> DataFrame:
 def segmentation(s: SparkSession, d: str) -> DataFrame:
     sold = series(s, d)
     found = demand.segment(_labelled(sold), _ends(sold, c.products(s, d)), ("product_id",))
-    return rounded(found.withColumn("cv_squared", F.col("cv_squared") + 1e-9))  # off the ties of rounding
+    return rounded(found)
 
 
 def _forecast(model: str):
@@ -88,10 +95,12 @@ def compared(s: SparkSession, d: str) -> DataFrame:
 
 
 def cube(s: SparkSession, d: str) -> DataFrame:
-    return metrics.metric_cube(compared(s, d), forecast.horizon_table(s))
+    found = metrics.metric_cube(compared(s, d), forecast.horizon_table(s))
+    sold = series(s, d)
+    return metrics.with_mase(found, forecast.seasonal_steps(sold, c.products(s, d), demand.folds(sold)))
 
 
-_AGGREGATE = ["split", "model_name", "horizon", "wape", "mae", "rmse", "smape", "bias", "actual_quantity_sum", "predicted_quantity_sum"]
+_AGGREGATE = ["split", "model_name", "horizon", "wape", "mae", "rmse", "smape", "bias", "mase", "actual_quantity_sum", "predicted_quantity_sum"]
 
 
 def aggregate(s: SparkSession, d: str) -> DataFrame:
@@ -167,7 +176,7 @@ def scenarios(s: SparkSession, d: str) -> DataFrame:
 
 def unpivoted(s: SparkSession, d: str) -> DataFrame:
     """Metrics in long form, nulls left out."""
-    names = ["wape", "mae", "rmse", "smape", "bias"]
+    names = ["wape", "mae", "rmse", "smape", "bias", "mase"]
     return rounded(aggregate(s, d).unpivot(["split", "model_name", "horizon"], names, "metric_name", "metric_value").where("metric_value is not null"))
 
 
@@ -234,7 +243,7 @@ recent AS (SELECT *, CAST(at_ - last_sale AS DOUBLE) AS days_since_last_sale, at
 
 
 def _avg(names: list[str]) -> str:
-    return ", ".join(f"round(avg({n}), 6) AS {n}" for n in names)
+    return ", ".join(f"round(avg({n}), 6) AS {n}, round(avg({n} * (date - DATE '1995-01-01')), 3) AS {n}_by_day" for n in names)
 
 
 def _forecast_sql(train: str, keys: str) -> str:
@@ -276,8 +285,8 @@ train AS (SELECT split, product_id, date, q, first_day, train_end AS last_day FR
 _PATTERN = "CASE WHEN adi >= 1.32 AND cv2 >= 0.49 THEN 'lumpy' WHEN adi >= 1.32 THEN 'intermittent' WHEN cv2 >= 0.49 THEN 'erratic' ELSE 'smooth' END"
 _COMPARED = f"""{_FOLDS}, ends AS (SELECT split, product_id, first_day, train_end FROM products, folds), {_forecast_sql('train', 'split')},
 segments AS (SELECT split, product_id, {_PATTERN} AS demand_pattern FROM (
-  SELECT e.split, e.product_id, CASE WHEN n > 0 THEN CAST(train_end - first_day + 1 AS DOUBLE) / n ELSE 'infinity'::DOUBLE END AS adi, CASE WHEN n > 0 THEN power(sd / mean, 2) ELSE 0 END AS cv2
-  FROM ends e LEFT JOIN (SELECT split, product_id, count(*) AS n, avg(q) AS mean, stddev_pop(q) AS sd FROM train GROUP BY ALL) x ON e.split = x.split AND e.product_id = x.product_id)),
+  SELECT e.split, e.product_id, CASE WHEN n > 0 THEN CAST(train_end - first_day + 1 AS DOUBLE) / n ELSE 'infinity'::DOUBLE END AS adi, CASE WHEN n > 0 THEN (n * sq - sm * sm) / (sm * sm) ELSE 0 END AS cv2
+  FROM ends e LEFT JOIN (SELECT split, product_id, count(*) AS n, sum(q) AS sm, sum(q * q) AS sq FROM train GROUP BY ALL) x ON e.split = x.split AND e.product_id = x.product_id)),
 compared AS (SELECT f.*, coalesce(s.q, 0) AS a, g.demand_pattern FROM forecasts f JOIN folds o ON f.split = o.split
   LEFT JOIN series s ON s.product_id = f.product_id AND s.date = o.train_end + CAST(horizon_day AS INTEGER) JOIN segments g ON g.split = f.split AND g.product_id = f.product_id),
 by_horizon AS (SELECT c.*, h.horizon FROM compared c JOIN (VALUES (7), (14), (30)) h(horizon) ON horizon_day <= horizon)"""
@@ -285,10 +294,15 @@ _RAW_METRICS = """CASE WHEN sum(a) > 0 THEN sum(abs(p - a)) / sum(a) END AS wape
   avg(CASE WHEN abs(a) + abs(p) <> 0 THEN 2 * abs(p - a) / (abs(a) + abs(p)) ELSE 0 END) AS smape, CASE WHEN sum(a) > 0 THEN sum(p - a) / sum(a) END AS bias,
   sum(a) AS actual_quantity_sum, sum(p) AS predicted_quantity_sum"""
 _ROUNDED = ", ".join(f"round({n}, 6) AS {n}" for n in _AGGREGATE[3:])
+_MASE = "m.*, mae / (SELECT CASE WHEN sum(x) > 0 AND sum(n) > 0 THEN sum(x) / sum(n) END FROM steps s WHERE s.split = m.split"
 _CUBES = f"""{_COMPARED},
-agg AS (SELECT split, model_name, horizon, {_RAW_METRICS} FROM by_horizon GROUP BY ALL),
-seg AS (SELECT split, model_name, horizon, demand_pattern, count(DISTINCT product_id) AS product_count, {_RAW_METRICS} FROM by_horizon GROUP BY split, model_name, horizon, demand_pattern),
-prod AS (SELECT split, model_name, horizon, demand_pattern, product_id, {_RAW_METRICS} FROM by_horizon GROUP BY split, model_name, horizon, demand_pattern, product_id)"""
+moved AS (SELECT split, product_id, sum(abs(v)) AS x FROM (SELECT split, product_id, d, sum(v) AS v FROM (
+  SELECT split, product_id, date AS d, q AS v FROM train WHERE date - first_day >= 7 UNION ALL SELECT split, product_id, date + 7, -q FROM train WHERE date + 7 <= last_day) GROUP BY ALL) GROUP BY ALL),
+steps AS (SELECT g.split, g.product_id, g.demand_pattern, coalesce(x, 0) AS x, f.train_end - f.first_day - 6 AS n FROM segments g JOIN folds f ON f.split = g.split LEFT JOIN moved m ON m.split = g.split AND m.product_id = g.product_id),
+agg AS (SELECT {_MASE}) AS mase FROM (SELECT split, model_name, horizon, {_RAW_METRICS} FROM by_horizon GROUP BY ALL) m),
+seg AS (SELECT {_MASE} AND s.demand_pattern = m.demand_pattern) AS mase FROM (SELECT split, model_name, horizon, demand_pattern, count(DISTINCT product_id) AS product_count, {_RAW_METRICS} FROM by_horizon GROUP BY split, model_name, horizon, demand_pattern) m),
+prod AS (SELECT m.*, mae / CASE WHEN x > 0 AND n > 0 THEN x / n END AS mase FROM (SELECT split, model_name, horizon, demand_pattern, product_id, {_RAW_METRICS} FROM by_horizon GROUP BY split, model_name, horizon, demand_pattern, product_id) m
+  JOIN steps s ON s.split = m.split AND s.product_id = m.product_id)"""
 _CHALLENGER = "SELECT model_name, avg(wape) AS mean_wape FROM agg WHERE split LIKE 'validation_fold_%' AND horizon = 14 AND wape IS NOT NULL AND model_name <> 'moving_average_28' GROUP BY model_name ORDER BY mean_wape, model_name LIMIT 1"
 _SCORED = f"""{_FOLDS},
 scored AS (SELECT p.product_id, g.date, coalesce(n, 0) / CAST(f.train_end - f.first_day + 1 AS DOUBLE) AS score, CASE WHEN s.product_id IS NULL THEN 0 ELSE 1 END AS actual, g.date - f.train_end AS horizon_day
@@ -310,9 +324,9 @@ SQL = {
       CAST(quarter(date) AS INTEGER) AS quarter, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(date - first_day AS INTEGER) AS time_index FROM series, span""",
     "lag_rolling_features": f"{_FEATURED} SELECT product_id, {_avg(LAG_NAMES + ROLLING_NAMES)} FROM marked GROUP BY product_id",
     "cumulative_recency_features": f"{_FEATURED} SELECT product_id, {_avg(CUMULATIVE_NAMES)}, CAST(sum(current_zero_streak) AS BIGINT) AS current_zero_streak FROM recent GROUP BY product_id",
-    "demand_segmentation": f"""{_SERIES} SELECT product_id, non_zero_demand_days, round(adi, 6) AS adi, round(cv2 + 1e-9, 6) AS cv_squared, {_PATTERN} AS demand_pattern FROM (
-      SELECT p.product_id, coalesce(n, 0) AS non_zero_demand_days, CASE WHEN n > 0 THEN CAST(last_day - first_day + 1 AS DOUBLE) / n ELSE 'infinity'::DOUBLE END AS adi, CASE WHEN n > 0 THEN power(sd / mean, 2) ELSE 0 END AS cv2
-      FROM products p CROSS JOIN span LEFT JOIN (SELECT product_id, count(*) AS n, avg(q) AS mean, stddev_pop(q) AS sd FROM series GROUP BY product_id) s ON p.product_id = s.product_id)""",
+    "demand_segmentation": f"""{_SERIES} SELECT product_id, non_zero_demand_days, round(adi, 6) AS adi, round(cv2, 6) AS cv_squared, {_PATTERN} AS demand_pattern FROM (
+      SELECT p.product_id, coalesce(n, 0) AS non_zero_demand_days, CASE WHEN n > 0 THEN CAST(last_day - first_day + 1 AS DOUBLE) / n ELSE 'infinity'::DOUBLE END AS adi, CASE WHEN n > 0 THEN (n * sq - sm * sm) / (sm * sm) ELSE 0 END AS cv2
+      FROM products p CROSS JOIN span LEFT JOIN (SELECT product_id, count(*) AS n, sum(q) AS sm, sum(q * q) AS sq FROM series GROUP BY product_id) s ON p.product_id = s.product_id)""",
     "forecast_last_observation": _model_sql("last_observation"),
     "forecast_lag7": _model_sql("seasonal_lag_7"),
     "forecast_ma28": _model_sql("moving_average_28"),
@@ -360,7 +374,7 @@ SQL = {
       FROM classed x JOIN classed y ON x.product_id = y.product_id AND y.model_name = 'moving_average_28' GROUP BY x.model_name""",
     "official_forecast_expansion": f"""{_ALL} SELECT f.product_id, last_day + CAST(horizon_day AS INTEGER) AS forecast_date, CAST(horizon_day AS INTEGER) AS horizon_day, horizon AS horizon_days, round(p, 6) AS predicted_quantity, last_day AS data_max_date
       FROM forecasts f JOIN products p USING (product_id) JOIN (VALUES (7), (14), (30)) h(horizon) ON horizon_day <= horizon CROSS JOIN span WHERE model_name = 'moving_average_28' AND is_active""",
-    "metrics_unpivot": f"""{_CUBES}, wide AS (SELECT split, model_name, horizon, wape, mae, rmse, smape, bias FROM agg)
-      SELECT split, model_name, horizon, metric_name, round(metric_value, 6) AS metric_value FROM (UNPIVOT wide ON wape, mae, rmse, smape, bias INTO NAME metric_name VALUE metric_value)""",
+    "metrics_unpivot": f"""{_CUBES}, wide AS (SELECT split, model_name, horizon, wape, mae, rmse, smape, bias, mase FROM agg)
+      SELECT split, model_name, horizon, metric_name, round(metric_value, 6) AS metric_value FROM (UNPIVOT wide ON wape, mae, rmse, smape, bias, mase INTO NAME metric_name VALUE metric_value)""",
     "wape_pivot": f"""{_CUBES} SELECT split, {', '.join(f"round(max(CASE WHEN model_name = '{m}' THEN wape END), 6) AS {m}" for m in MODELS)} FROM agg WHERE horizon = 14 GROUP BY split""",
 }

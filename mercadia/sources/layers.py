@@ -150,9 +150,12 @@ def read_day(spark: SparkSession, root: str, layer: str, dataset: str, moment: d
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local run makes one of its
+    own, and a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -166,3 +169,22 @@ def load_table(df: DataFrame, name: str) -> int:
     if given != there:
         raise RuntimeError(f"{name}: {given} rows given, {there} there")
     return there
+
+
+def promote(bronze: Mapping[str, DataFrame], root: str, moment: datetime, check) -> dict[str, int]:
+    """The Silver tables of a day, written only if the gate lets all of them pass; returns their rows.
+
+    check: called with the Silver frames by dataset; raises if they may not be written. The set of datasets must be the
+    known one (P13)."""
+    if set(bronze) != set(SPECS):
+        raise ValueError(f"datasets missing: {sorted(set(SPECS) - set(bronze))}, unknown: {sorted(set(bronze) - set(SPECS))}")
+    silver = {name: to_silver(df, name) for name, df in bronze.items()}
+    check(silver)
+    counts = {}
+    for name, df in silver.items():
+        write_day(df, root, "silver", name, moment)
+        counts[name] = read_day(df.sparkSession, root, "silver", name, moment).count()
+        given = bronze[name].count()
+        if counts[name] != given:
+            raise ValueError(f"{name}: {given} Bronze rows, {counts[name]} in Silver")
+    return counts
