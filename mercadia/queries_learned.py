@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,20 +13,18 @@ from mercadia.sources import canonical as c
 from mercadia.sources import layers
 
 
-def _grid(s: SparkSession, d: str, days: int) -> DataFrame:
-    """The dense grid of the last days: training data of a model is bounded by its window (a parameter), not by rows."""
-    sold = series(s, d)
-    last = sold.agg(F.max("date")).first()[0]
-    start = s.sql(f"SELECT date_sub(DATE'{last}', {days - 1})").first()[0]
-    return demand.dense_grid(sold, c.products(s, d).select("product_id", "category", "brand"), start, last)
-
-
 def _forecast(s: SparkSession, d: str, train, days: int = 90, horizon: int = 7) -> DataFrame:
+    """A model's forecast of every product from the last day on. Features and states come from the whole series; the model
+    learns from its last ``days`` days (its training window), written once, as each round of a model reads them again."""
+    folder = layers.scratch(s)
     if s.sparkContext.getCheckpointDir() is None:
-        s.sparkContext.setCheckpointDir(layers.scratch(s))
-    grid = _grid(s, d, days).persist()
-    featured = demand.add_features(grid).where(F.col("lag_30").isNotNull())
-    out = learned.recursive_forecast(grid, train(featured), horizon)
+        s.sparkContext.setCheckpointDir(folder)
+    sold = series(s, d)
+    grid = demand.dense_grid(sold, c.products(s, d).select("product_id", "category", "brand"))
+    end = F.broadcast(demand.bounds(sold).select(F.col("last_day").alias("end_")))
+    path = f"{folder}/features-{uuid.uuid4().hex}"
+    demand.add_features(grid).crossJoin(end).where(F.date_diff("end_", "date") < days).write.parquet(path)
+    out = learned.recursive_forecast(grid, train(s.read.parquet(path).where(F.col("lag_30").isNotNull())), horizon)
     return rounded(out, 4)
 
 
