@@ -15,6 +15,8 @@ ADI_LIMIT, CV2_LIMIT = 1.32, 0.49
 ALPHA = BETA = 0.1
 LAGS = (1, 7, 14, 28, 30)
 WINDOWS = (7, 14, 28, 30)
+#: The closed-form models.
+MODELS = ("last_observation", "seasonal_lag_7", "moving_average_28", "croston", "croston_sba", "tsb")
 
 
 def product_day_sales(fact: DataFrame) -> DataFrame:
@@ -114,45 +116,59 @@ def moving_average_weights(history: int, horizon: int, window: int = 28) -> list
 
 
 def _values(spark: SparkSession, rows: Iterable[tuple], names: str) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(f"{x!r}D" if isinstance(x, float) else repr(x) for x in r) + ")" for r in rows) + f" AS v({names})")
+    def literal(x) -> str:
+        return f"array({', '.join(map(literal, x))})" if isinstance(x, list) else f"{x!r}D" if isinstance(x, float) else repr(x)
 
+    return spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f" AS v({names})")
 
-def forecasts(series: DataFrame, ends: DataFrame, horizon: int = 30, alpha: float = ALPHA, beta: float = BETA, history: int = 28) -> DataFrame:
+
+def forecasts(series: DataFrame, ends: DataFrame, horizon: int = 30, alpha: float = ALPHA, beta: float = BETA, history: int = 28, models: Sequence[str] = MODELS) -> DataFrame:
     """(split, product_id, model_name, horizon_day, predicted_quantity) for three baselines and three
-    intermittent methods, all splits in one plan and without a dense grid.
+    intermittent methods, or the wanted ones, all splits in one plan and without a dense grid.
 
     series: split, product_id, date, quantity_sold up to the split's end; ends: split, product_id, first_day, last_day
     for every product to forecast. history: days from first_day to the earliest last_day, if less than 28. Levels are
-    weighted sums over the sparse rows; a product without sales has level 0."""
-    spark = series.sparkSession
+    weighted sums over the sparse rows, one row a product; days are made from them last. A product without sales has
+    level 0."""
+    unknown = set(models) - set(MODELS)
+    if unknown:
+        raise ValueError(f"unknown models: {sorted(unknown)}")
     key = ["split", "product_id"]
     rows = series.where("quantity_sold > 0").select(*key, "date", "quantity_sold").join(ends, key).withColumn("back", F.date_diff("last_day", "date")).withColumn("idx", F.date_diff("date", "first_day"))
-    w = Window.partitionBy(*key).orderBy("idx")
-    ranked = rows.withColumn("rank", F.row_number().over(w) - 1).withColumn("after", F.count("*").over(Window.partitionBy(*key)) - 1 - F.col("rank"))
-    ranked = ranked.withColumn("gap", F.coalesce(F.col("idx") - F.lag("idx").over(w), F.col("idx") + 1).cast("double"))
-    weight = F.when(F.col("rank") == 0, F.pow(F.lit(1 - alpha), F.col("after"))).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("after")))
-    decay = F.pow(F.lit(1 - beta), F.col("back"))
-    chance = F.when(F.col("rank") == 0, decay / (F.col("idx") + 1)).otherwise(beta * decay)
-    recent = F.collect_list(F.when(F.col("back") < 28, F.struct("back", "quantity_sold")))
-    levels = ranked.groupBy(*key).agg(
-        F.sum(weight * F.col("quantity_sold")).alias("size_"), F.sum(weight * F.col("gap")).alias("gap_"), F.sum(chance).alias("chance_"), recent.alias("recent"),
-    )
-    all_ = ends.select(*key).join(levels, key, "left").withColumn("croston", F.coalesce(F.col("size_") / F.col("gap_"), F.lit(0.0)))
-    all_ = all_.withColumn("tsb", F.coalesce(F.col("chance_") * F.col("size_"), F.lit(0.0)))
-    at = lambda b: F.coalesce(F.aggregate(F.filter("recent", lambda x: x["back"] == b), F.lit(0.0), lambda s, x: s + x["quantity_sold"]), F.lit(0.0))
-    by_day = all_.withColumn("horizon_day", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    flat = by_day.select(*key, "horizon_day", F.inline(F.array(
-        F.struct(F.lit("last_observation").alias("model_name"), at(F.lit(0)).alias("predicted_quantity")),
-        *(F.struct(F.lit(n).alias("model_name"), p.alias("predicted_quantity")) for n, p in (
-            ("seasonal_lag_7", at(6 - (F.col("horizon_day") - 1) % 7)), ("croston", F.col("croston")),
-            ("croston_sba", F.col("croston") * (1 - alpha / 2)), ("tsb", F.col("tsb")),
-        )),
-    )))
-    weights = _values(spark, moving_average_weights(history, horizon), "horizon_day, back, weight")
-    near = rows.where("back < 28").select(*key, "back", "quantity_sold").join(F.broadcast(weights), "back")  # at most 28 rows a horizon day
-    means = near.groupBy(*key, "horizon_day").agg(F.sum(F.col("quantity_sold") * F.col("weight")).alias("mean_"))
-    moving = by_day.select(*key, "horizon_day").join(means, [*key, "horizon_day"], "left")
-    return flat.unionByName(moving.select(*key, "horizon_day", F.lit("moving_average_28").alias("model_name"), F.greatest(F.coalesce("mean_", F.lit(0.0)), F.lit(0.0)).alias("predicted_quantity")))
+    level = {"recent": F.collect_list(F.when(F.col("back") < 28, F.struct("back", "quantity_sold")))}  # at most 28 a product
+    if {"croston", "croston_sba", "tsb"} & set(models):
+        w = Window.partitionBy(*key).orderBy("idx")
+        rows = rows.withColumn("rank", F.row_number().over(w) - 1).withColumn("after", F.count("*").over(Window.partitionBy(*key)) - 1 - F.col("rank"))
+        rows = rows.withColumn("gap", F.coalesce(F.col("idx") - F.lag("idx").over(w), F.col("idx") + 1).cast("double"))
+        weight = F.when(F.col("rank") == 0, F.pow(F.lit(1 - alpha), F.col("after"))).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("after")))
+        decay = F.pow(F.lit(1 - beta), F.col("back"))
+        chance = F.when(F.col("rank") == 0, decay / (F.col("idx") + 1)).otherwise(beta * decay)
+        level |= {"size_": F.sum(weight * F.col("quantity_sold")), "gap_": F.sum(weight * F.col("gap")), "chance_": F.sum(chance)}
+    levels = rows.groupBy(*key).agg(*(x.alias(n) for n, x in level.items()))
+    by_day = ends.select(*key).join(levels, key, "left")
+    if "moving_average_28" in models:
+        by_back: dict[int, list[float]] = {h: [0.0] * 28 for h in range(1, horizon + 1)}
+        for h, back, x in moving_average_weights(history, horizon):
+            by_back[h][back] = x
+        days = _values(series.sparkSession, ((h, x) for h, x in by_back.items()), "horizon_day, weights")  # a row a horizon day
+        by_day = by_day.crossJoin(F.broadcast(days))
+    else:
+        by_day = by_day.withColumn("horizon_day", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+
+    def over_recent(term) -> Column:
+        return F.coalesce(F.aggregate("recent", F.lit(0.0), lambda s, x: s + x["quantity_sold"] * term(x["back"])), F.lit(0.0))
+
+    def sold_at(back: Column) -> Column:
+        return over_recent(lambda b: (b == back).cast("double"))
+
+    croston = F.coalesce(F.col("size_") / F.col("gap_"), F.lit(0.0))
+    values = {
+        "last_observation": lambda: sold_at(F.lit(0)), "seasonal_lag_7": lambda: sold_at(6 - (F.col("horizon_day") - 1) % 7),
+        "moving_average_28": lambda: F.greatest(over_recent(lambda b: F.get("weights", b)), F.lit(0.0)), "croston": lambda: croston,
+        "croston_sba": lambda: croston * (1 - alpha / 2), "tsb": lambda: F.coalesce(F.col("chance_") * F.col("size_"), F.lit(0.0)),
+    }
+    each = F.array(*(F.struct(F.lit(n).alias("model_name"), values[n]().alias("predicted_quantity")) for n in models))
+    return by_day.select(*key, "horizon_day", F.inline(each))
 
 
 def folds(sales: DataFrame, days: int = 30, validation: int = 3) -> DataFrame:

@@ -6,29 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def forecast_metrics(actual: Column, predicted: Column) -> dict[str, Column]:
-    """WAPE, MAE, RMSE, sMAPE (0/0 counts 0) and signed bias; shares of the actual sum are null where that is 0."""
+def error_sums(actual: Column, predicted: Column) -> dict[str, Column]:
+    """What the metrics of any group of rows are made of; sums of sums are those of the larger group."""
     error = predicted - actual
-    total = F.sum(actual)
     both = F.abs(actual) + F.abs(predicted)
-    part = lambda x: F.when(total > 0, x / total)
     return {
-        "wape": part(F.sum(F.abs(error))), "mae": F.avg(F.abs(error)), "rmse": F.sqrt(F.avg(error * error)),
-        "smape": F.avg(F.when(both != 0, 2 * F.abs(error) / both).otherwise(0.0)), "bias": part(F.sum(error)),
-        "actual_quantity_sum": total, "predicted_quantity_sum": F.sum(predicted),
+        "rows_": F.count(error), "absolute_": F.sum(F.abs(error)), "squared_": F.sum(error * error), "error_": F.sum(error),
+        "relative_": F.sum(F.when(both != 0, 2 * F.abs(error) / both).otherwise(0.0)), "actual_": F.sum(actual), "predicted_": F.sum(predicted),
+    }
+
+
+def metrics_of_sums(sums: dict[str, Column]) -> dict[str, Column]:
+    """A12 from the sums of error_sums: WAPE, MAE, RMSE, sMAPE (0/0 counts 0) and signed bias; shares of the actual sum are
+    null where that is 0."""
+    total, n = sums["actual_"], sums["rows_"]
+    part = lambda x: F.when(total > 0, sums[x] / total)
+    mean = lambda x: F.when(n > 0, sums[x] / n)
+    return {
+        "wape": part("absolute_"), "mae": mean("absolute_"), "rmse": F.sqrt(mean("squared_")), "smape": mean("relative_"), "bias": part("error_"),
+        "actual_quantity_sum": total, "predicted_quantity_sum": sums["predicted_"],
     }
 
 
+def forecast_metrics(actual: Column, predicted: Column) -> dict[str, Column]:
+    """A12 over rows."""
+    return metrics_of_sums(error_sums(actual, predicted))
+
+
 def metric_cube(compared: DataFrame, horizons: DataFrame) -> DataFrame:
-    """Metrics by (split, model, horizon), and the same by demand pattern and by product, in one pass.
+    """Metrics by (split, model, horizon), and the same by demand pattern and by product. Days are summed once, by
+    product; the levels are sums of these rows.
 
     level is aggregate, segment or product."""
     by_horizon = compared.join(F.broadcast(horizons), F.col("horizon_day") <= F.col("horizon"))  # one row a horizon
-    m = forecast_metrics(F.col("actual_quantity"), F.col("predicted_quantity"))
     keys = ["split", "model_name", "horizon", "demand_pattern", "product_id"]
+    sums = error_sums(F.col("actual_quantity"), F.col("predicted_quantity"))
+    products = by_horizon.groupBy(*keys).agg(*(x.alias(n) for n, x in sums.items()))
+    found = metrics_of_sums({n: F.sum(n) for n in sums})
     sets = [[F.col(k) for k in keys[:3]], [F.col(k) for k in keys[:4]], [F.col(k) for k in keys]]
-    cube = by_horizon.groupingSets(sets, *keys).agg(
-        F.grouping("demand_pattern").alias("g_"), F.grouping("product_id").alias("h_"), F.count_distinct("product_id").alias("product_count"), *(c.alias(n) for n, c in m.items())
+    cube = products.groupingSets(sets, *keys).agg(
+        F.grouping("demand_pattern").alias("g_"), F.grouping("product_id").alias("h_"), F.count("*").alias("product_count"), *(x.alias(n) for n, x in found.items())
     )
     level = F.when(F.col("g_") == 1, "aggregate").when(F.col("h_") == 1, "segment").otherwise("product")
     return cube.withColumn("level", level).drop("g_", "h_")

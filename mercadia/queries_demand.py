@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -83,8 +85,8 @@ def segmentation(s: SparkSession, d: str) -> DataFrame:
 def _forecast(model: str):
     def query(s: SparkSession, d: str) -> DataFrame:
         sold = series(s, d)
-        found = demand.forecasts(_labelled(sold).select("split", "product_id", "date", "quantity_sold"), _ends(sold, c.products(s, d)))
-        return rounded(found.where(F.col("model_name") == model).select("product_id", "horizon_day", "predicted_quantity"))
+        found = demand.forecasts(_labelled(sold).select("split", "product_id", "date", "quantity_sold"), _ends(sold, c.products(s, d)), models=[model])
+        return rounded(found.select("product_id", "horizon_day", "predicted_quantity"))
 
     return query
 
@@ -144,22 +146,22 @@ def decision(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.withColumnRenamed("candidate", "challenger"))
 
 
-def base_forecast(s: SparkSession, d: str) -> DataFrame:
+def base_forecast(s: SparkSession, d: str, models: Sequence[str] = demand.MODELS) -> DataFrame:
     sold, p = series(s, d), c.products(s, d)
-    return demand.forecasts(_labelled(sold).select("split", "product_id", "date", "quantity_sold"), _ends(sold, p))
+    return demand.forecasts(_labelled(sold).select("split", "product_id", "date", "quantity_sold"), _ends(sold, p), models=models)
 
 
 def official(s: SparkSession, d: str) -> DataFrame:
     """The champion's forecast of active products, one copy a horizon, with dates."""
     active = c.products(s, d).where("is_active").select("product_id")
     last = demand.bounds(series(s, d)).select("last_day")
-    base = base_forecast(s, d).where(F.col("model_name") == forecast.CHAMPION).join(active, "product_id", "left_semi")
+    base = base_forecast(s, d, [forecast.CHAMPION]).join(active, "product_id", "left_semi")
     out = base.join(F.broadcast(forecast.horizon_table(s)), F.col("horizon_day") <= F.col("horizon")).crossJoin(F.broadcast(last))
     return rounded(out.select("product_id", F.date_add("last_day", F.col("horizon_day")).alias("forecast_date"), "horizon_day", F.col("horizon").alias("horizon_days"), "predicted_quantity", F.col("last_day").alias("data_max_date")))
 
 
 def official_risk(s: SparkSession, d: str) -> DataFrame:
-    base = base_forecast(s, d).where(F.col("model_name") == forecast.CHAMPION)
+    base = base_forecast(s, d, [forecast.CHAMPION])
     return inventory.official_risk(inventory.classify_risk(base, c.products(s, d)), c.products(s, d))
 
 
@@ -185,7 +187,7 @@ def pivoted(s: SparkSession, d: str) -> DataFrame:
     return rounded(aggregate(s, d).where("horizon = 14").groupBy("split").pivot("model_name", list(MODELS)).agg(F.first("wape")))
 
 
-MODELS = ("last_observation", "seasonal_lag_7", "moving_average_28", "croston", "croston_sba", "tsb")
+MODELS = demand.MODELS
 
 QUERIES = {
     "product_day_sales": sales_table,
