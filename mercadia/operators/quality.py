@@ -3,8 +3,8 @@ aggregations, semi and anti joins. Every rule gives one row: dataset, rule, seve
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -78,6 +78,30 @@ def is_valid(found: DataFrame) -> bool:
     return found.where("severity = 'error' and violations > 0").isEmpty()
 
 
+@dataclass(frozen=True)
+class Declared:
+    """Q26: the declared column tests of one model. relations: column to (parent model, its key)."""
+
+    not_null: Sequence[str] = ()
+    unique: Sequence[str] = ()
+    accepted: Mapping[str, Sequence] = field(default_factory=dict)
+    relations: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+
+
+def schema_tests(models: Mapping[str, DataFrame], declared: Mapping[str, Declared]) -> DataFrame:
+    """Q26: a row a declared test: nulls and values of a model in one pass, repeated keys and orphans beside it. Nulls are
+    the concern of not_null alone. A declared model or column that is missing raises."""
+    parts = []
+    for name, tests in declared.items():
+        df = models[name]
+        rules = not_null(tests.not_null) + [accepted(x, values) for x, values in tests.accepted.items()]
+        if rules:
+            parts.append(row_rules(df, name, rules))
+        parts += [as_rule(duplicates(df.where(F.col(x).isNotNull()), [x]), name, f"unique:{x}") for x in tests.unique]
+        parts += [as_rule(orphans(df, x, models[parent], key), name, f"relation:{x}") for x, (parent, key) in tests.relations.items()]
+    return report(*parts)
+
+
 def schema_violations(actual: StructType, expected: StructType) -> list[str]:
     """Q1: missing, unexpected and retyped columns."""
     have, want = {f.name: f.dataType for f in actual}, {f.name: f.dataType for f in expected}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,14 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
 
 
+def all_forecasts(parts: Mapping[str, DataFrame], active: DataFrame) -> DataFrame:
+    """Forecasts of all models for active products under one set of columns. parts: forecasts by model; a part with
+    a model_name column keeps it. Components that a model lacks are null."""
+    named = [df if "model_name" in df.columns else df.withColumn("model_name", F.lit(name)) for name, df in parts.items()]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    return union.join(active.select("product_id").distinct(), "product_id", "left_semi")
+
+
 def forecast_origin(forecast: DataFrame) -> DataFrame:
     """One row: the day before the first forecast day."""
     return forecast.agg(F.date_sub(F.min("forecast_date"), 1).alias("origin"))

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.operators import demand, learned
-from mercadia.queries_demand import rounded, series
+from mercadia.plans import forecast
+from mercadia.queries_demand import base_forecast, rounded, series
 from mercadia.sources import canonical as c
 from mercadia.sources import layers
 
 
-def _forecast(s: SparkSession, d: str, train, days: int = 90, horizon: int = 7) -> DataFrame:
+def _forecast(s: SparkSession, d: str, train, days: int = 90, horizon: int = 7, components: tuple[str, ...] = ()) -> DataFrame:
     """A model's forecast of every product from the last day on. Features and states come from the whole series; the model
     learns from its last ``days`` days (its training window), written once, as each round of a model reads them again."""
     folder = layers.scratch(s)
@@ -24,7 +25,7 @@ def _forecast(s: SparkSession, d: str, train, days: int = 90, horizon: int = 7)
     end = F.broadcast(demand.bounds(sold).select(F.col("last_day").alias("end_")))
     path = f"{folder}/features-{uuid.uuid4().hex}"
     demand.add_features(grid).crossJoin(end).where(F.date_diff("end_", "date") < days).write.parquet(path)
-    out = learned.recursive_forecast(grid, train(s.read.parquet(path).where(F.col("lag_30").isNotNull())), horizon)
+    out = learned.recursive_forecast(grid, train(s.read.parquet(path).where(F.col("lag_30").isNotNull())), horizon, components=components)
     return rounded(out, 4)
 
 
@@ -37,8 +38,18 @@ def poisson_forecast(s: SparkSession, d: str) -> DataFrame:
 
 
 def hurdle_forecast(s: SparkSession, d: str) -> DataFrame:
-    return _forecast(s, d, lambda f: learned.train_hurdle(f, rounds=5))
+    """With the chance of a sale and the quantity given one."""
+    return _forecast(s, d, lambda f: learned.train_hurdle(f, rounds=5), components=learned.COMPONENTS)
 
 
-QUERIES = {"regressor_forecast": regressor_forecast, "poisson_forecast": poisson_forecast, "hurdle_forecast": hurdle_forecast}
+def future_forecasts(s: SparkSession, d: str) -> DataFrame:
+    """The closed-form models and the hurdle for active products, with the day before the first forecast."""
+    closed = base_forecast(s, d).where("horizon_day <= 7").drop("split")
+    active = c.products(s, d).where("is_active")
+    origin = F.broadcast(demand.bounds(series(s, d)).select(F.col("last_day").alias("origin")))  # one row
+    found = forecast.all_forecasts({"closed": closed, "hurdle": hurdle_forecast(s, d)}, active).crossJoin(origin)
+    return rounded(found.withColumn("forecast_date", F.date_add("origin", F.col("horizon_day").cast("int"))), 4)
+
+
+QUERIES = {"regressor_forecast": regressor_forecast, "poisson_forecast": poisson_forecast, "hurdle_forecast": hurdle_forecast, "future_forecasts": future_forecasts}
 SQL: dict[str, str] = {}

@@ -201,3 +201,18 @@ def test_publication_records_its_end(spark, tmp_path):
     publish.publish(spark, str(tmp_path), run, {"inventory_risk": table}, lambda: None)
     rows = publish.read_history(spark, str(tmp_path), "pipeline_runs").collect()
     assert len(rows) == 1 and rows[0].status == "success" and rows[0].finished_at is not None
+
+
+def test_forecasts_of_all_models_keep_components_and_active_products(spark):
+    plain = spark.sql("SELECT * FROM VALUES (1, 1, 2.0D), (2, 1, 3.0D), (3, 1, 4.0D) AS v(product_id, horizon_day, predicted_quantity)")
+    parts = plain.withColumns({"sale_probability": F.lit(0.5), "conditional_quantity": F.lit(4.0)})
+    active = spark.sql("SELECT * FROM VALUES (1), (2), (2) AS v(product_id)")
+    rows = forecast.all_forecasts({"ma": plain, "hurdle": parts}, active).collect()
+    assert sorted((r.model_name, r.product_id, r.sale_probability) for r in rows) == [("hurdle", 1, 0.5), ("hurdle", 2, 0.5), ("ma", 1, None), ("ma", 2, None)]
+    with_date = plain.withColumn("forecast_date", F.lit("2026-03-02").cast("date"))
+    assert forecast.forecast_origin(with_date).first().origin == date(2026, 3, 1)
+
+
+def test_unknown_models_raise(spark):
+    with pytest.raises(ValueError):
+        demand.forecasts(None, None, models=["no_such"])

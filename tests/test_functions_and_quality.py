@@ -3,6 +3,7 @@
 from datetime import date, datetime, timezone, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from mercadia.functions import columns as fn
@@ -101,3 +102,21 @@ def test_relational_rules(spark):
     report = quality.report(quality.as_rule(child.limit(0), "t", "x"), quality.as_rule(child, "t", "w", "warning"))
     assert quality.is_valid(report) and not quality.is_valid(quality.as_rule(child, "t", "y"))
     assert quality.schema_violations(child.schema, parent.schema) == ["missing:pid", "unexpected:id", "unexpected:p"]
+
+
+def test_declared_schema_tests_count_planted_violations(spark):
+    parents = spark.sql("SELECT * FROM VALUES (1), (2), (NULL) AS p(id)")
+    children = spark.sql("SELECT * FROM VALUES (1, 1, 'a'), (1, 2, 'b'), (2, 9, 'x'), (3, NULL, NULL), (NULL, 2, 'a'), (NULL, NULL, 'x') AS c(key, parent, state)")
+    tests = {"children": quality.Declared(["key", "state"], ["key"], {"state": ("a", "b")}, {"parent": ("parents", "id")})}
+    found = {r.rule: r.violations for r in quality.schema_tests({"parents": parents, "children": children}, tests).collect()}
+    assert found == {"not_null:key": 2, "not_null:state": 1, "accepted:state": 2, "unique:key": 1, "relation:parent": 1}
+    none = quality.schema_tests({"parents": parents, "children": children.limit(0)}, tests).collect()
+    assert len(none) == 5 and not any(r.violations for r in none)
+
+
+def test_a_declared_model_or_column_that_is_missing_raises(spark):
+    one = spark.range(1)
+    with pytest.raises(KeyError):
+        quality.schema_tests({}, {"a": quality.Declared(["id"])})
+    with pytest.raises(AnalysisException):
+        quality.schema_tests({"a": one}, {"a": quality.Declared(["other"])})
