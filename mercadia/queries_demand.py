@@ -151,6 +151,14 @@ def base_forecast(s: SparkSession, d: str, models: Sequence[str] = demand.MODELS
     return demand.forecasts(_labelled(sold).select("split", "product_id", "date", "quantity_sold"), _ends(sold, p), models=models)
 
 
+def future_forecasts(s: SparkSession, d: str) -> DataFrame:
+    """The closed-form models for active products, with the day before the first forecast. Learned models join
+    through the same function; SQL cannot express those."""
+    origin = F.broadcast(demand.bounds(series(s, d)).select(F.col("last_day").alias("origin")))  # one row
+    found = forecast.all_forecasts({"closed": base_forecast(s, d).drop("split")}, c.products(s, d).where("is_active")).crossJoin(origin)
+    return rounded(found.withColumn("forecast_date", F.date_add("origin", F.col("horizon_day"))))
+
+
 def official(s: SparkSession, d: str) -> DataFrame:
     """The champion's forecast of active products, one copy a horizon, with dates."""
     active = c.products(s, d).where("is_active").select("product_id")
@@ -216,6 +224,7 @@ QUERIES = {
     "inventory_risk": risk,
     "risk_scenarios": scenarios,
     "official_forecast_expansion": official,
+    "future_forecasts": future_forecasts,
     "metrics_unpivot": unpivoted,
     "wape_pivot": pivoted,
 }
@@ -374,6 +383,8 @@ SQL = {
       round(cover, 6) AS estimated_coverage_days, risk_level, 14 AS horizon_days FROM classed WHERE model_name = 'moving_average_28'""",
     "risk_scenarios": f"""{_RISK} SELECT x.model_name, count(*) AS products, count(*) FILTER (x.risk_level <> y.risk_level) AS changed
       FROM classed x JOIN classed y ON x.product_id = y.product_id AND y.model_name = 'moving_average_28' GROUP BY x.model_name""",
+    "future_forecasts": f"""{_ALL} SELECT f.product_id, model_name, CAST(horizon_day AS INTEGER) AS horizon_day, round(p, 6) AS predicted_quantity, last_day AS origin, last_day + CAST(horizon_day AS INTEGER) AS forecast_date
+      FROM forecasts f, span, products a WHERE a.product_id = f.product_id AND is_active""",
     "official_forecast_expansion": f"""{_ALL} SELECT f.product_id, last_day + CAST(horizon_day AS INTEGER) AS forecast_date, CAST(horizon_day AS INTEGER) AS horizon_day, horizon AS horizon_days, round(p, 6) AS predicted_quantity, last_day AS data_max_date
       FROM forecasts f JOIN products p USING (product_id) JOIN (VALUES (7), (14), (30)) h(horizon) ON horizon_day <= horizon CROSS JOIN span WHERE model_name = 'moving_average_28' AND is_active""",
     "metrics_unpivot": f"""{_CUBES}, wide AS (SELECT split, model_name, horizon, wape, mae, rmse, smape, bias, mase FROM agg)
