@@ -35,11 +35,12 @@ DECLARED = {
         "order_id customer_id order_date order_status item_quantity distinct_products gross_amount item_discount_amount shipping_cost order_discount_amount total_discount_amount order_total".split(),
         ["order_id"], {"order_status": STATUSES}, {"customer_id": _OF_CUSTOMER},
     ),
+    "dim_customers": Declared(_CUSTOMER.split(), ["customer_id"]),
     "dim_products": Declared([*_PRODUCT.split(), "stock_status"], ["product_id"], {"stock_status": ("adequate", "below_minimum")}),
     "fct_sales": Declared(
         f"order_item_id order_id customer_id product_id order_date order_status is_realized_sale item_total order_shipping_cost order_discount_amount order_total {_LINE}".split(),
         ["order_item_id"], {"order_status": STATUSES, "is_realized_sale": (True, False)},
-        {"order_id": _OF_ORDER, "customer_id": _OF_CUSTOMER, "product_id": _OF_PRODUCT},
+        {"order_id": _OF_ORDER, "customer_id": ("dim_customers", "customer_id"), "product_id": ("dim_products", "product_id")},
     ),
     "mart_daily_sales": Declared(
         ("sales_date total_orders unique_customers total_items_sold distinct_products gross_revenue item_discount_amount order_discount_amount total_discount_amount "

@@ -166,7 +166,7 @@ def schema_test_report(s: SparkSession, d: str) -> DataFrame:
     customers, products = c.customers(s, d), c.products(s, d)
     models = {
         "stg_customers": customers, "stg_orders": c.orders(s, d), "stg_order_items": c.items(s, d), "stg_products": products,
-        "int_order_items_enriched": enriched_items(s, d), "int_orders_enriched": enriched_orders(s, d), "dim_products": sales.dim_products(products),
+        "int_order_items_enriched": enriched_items(s, d), "int_orders_enriched": enriched_orders(s, d), "dim_customers": customers, "dim_products": sales.dim_products(products),
         "fct_sales": fact(s, d), "mart_daily_sales": daily_mart(s, d), "mart_product_performance": product_mart(s, d), "mart_customer_metrics": customer_mart(s, d),
     }
     return quality.schema_tests(models, schema_tests.DECLARED)
@@ -325,7 +325,7 @@ SQL = {
     "dq_items_per_order": f"{_WITH} SELECT o.order_id, coalesce(n, 0) AS n_items FROM sales_orders o LEFT JOIN (SELECT order_id, count(*) AS n FROM items GROUP BY order_id) i ON o.order_id = i.order_id WHERE coalesce(n, 0) NOT BETWEEN 1 AND 5",
     "dq_schema_tests": f"{_MODELS}, {DAILY_SQL}, dim AS ({SALES_SQL['dim_products_stock_status']}), product_mart AS ({SALES_SQL['mart_product_performance']}), customer_mart AS ({SALES_SQL['mart_customer_metrics']}) " + _rules(*schema_tests.sql_rules({
         "stg_customers": "customers", "stg_orders": "sales_orders", "stg_order_items": "items", "stg_products": "products", "int_order_items_enriched": "enriched_items", "int_orders_enriched": "enriched_orders",
-        "dim_products": "dim", "fct_sales": "fact", "mart_daily_sales": "daily", "mart_product_performance": "product_mart", "mart_customer_metrics": "customer_mart"})),
+        "dim_customers": "customers", "dim_products": "dim", "fct_sales": "fact", "mart_daily_sales": "daily", "mart_product_performance": "product_mart", "mart_customer_metrics": "customer_mart"})),
     "keyed_upsert": f"""{_WITH}, o AS (SELECT order_id, order_status, CAST(order_total AS DOUBLE) AS order_total, order_date AS registered_at FROM sales_orders)
       SELECT order_id, CASE WHEN month(registered_at) >= 6 THEN 'done' ELSE order_status END AS order_status, order_total, CASE WHEN month(registered_at) <= 8 THEN registered_at ELSE registered_at + 100 END AS registered_at FROM o""",
     "registry_table": f"""{_CUBES} SELECT model_name, CASE model_name WHEN 'moving_average_28' THEN '1.0.0' ELSE '2.0.0' END AS model_version, CASE model_name WHEN 'moving_average_28' THEN 'champion' ELSE 'rejected' END AS status,
