@@ -12,6 +12,7 @@ from mercadia.llm.iblt import op10_iblt_fingerprints
 from mercadia.llm.langid import op3_language_id
 from mercadia.llm.licenses import OP1_SQL, op1_license_scan
 from mercadia.llm.mixing import OP4_SQL, op4_source_mixing
+from mercadia.llm.negatives import OP12_SQL, op12_hard_negatives
 from mercadia.llm.secrets import op5_secret_scan
 from mercadia.llm.simhash import op2_simhash_near_dedup
 from mercadia.llm.substrings import OP7_SQL, op7_substring_dedup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan, op2_simhash_near_dedup, op3_language_id, op4_source_mixing, op5_secret_scan,
         op6_url_filter, op7_substring_dedup, op8_lm_score, op9_benchmark_decontamination, op10_iblt_fingerprints,
+        op12_hard_negatives,
     )
     return {f.__name__: f for f in found}
 
@@ -30,5 +32,5 @@ def oracle_sql() -> dict[str, str]:
     """Operators 2, 3, 5, 8 and 10 have none: hashes, positions, models and sketches that SQL lacks."""
     return {
         "op1_license_scan": OP1_SQL, "op4_source_mixing": OP4_SQL, "op6_url_filter": OP6_SQL,
-        "op7_substring_dedup": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL,
+        "op7_substring_dedup": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op12_hard_negatives": OP12_SQL,
     }
