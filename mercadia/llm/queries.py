@@ -17,13 +17,14 @@ from mercadia.llm.secrets import op5_secret_scan
 from mercadia.llm.simhash import op2_simhash_near_dedup
 from mercadia.llm.substrings import OP7_SQL, op7_substring_dedup
 from mercadia.llm.urls import OP6_SQL, op6_url_filter
+from mercadia.llm.warc import OP13_SQL, op13_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan, op2_simhash_near_dedup, op3_language_id, op4_source_mixing, op5_secret_scan,
         op6_url_filter, op7_substring_dedup, op8_lm_score, op9_benchmark_decontamination, op10_iblt_fingerprints,
-        op12_hard_negatives,
+        op12_hard_negatives, op13_warc,
     )
     return {f.__name__: f for f in found}
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": OP1_SQL, "op4_source_mixing": OP4_SQL, "op6_url_filter": OP6_SQL,
         "op7_substring_dedup": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op12_hard_negatives": OP12_SQL,
+        "op13_warc": OP13_SQL,
     }
