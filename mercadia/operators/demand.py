@@ -51,36 +51,79 @@ def calendar_features(date: Column, first: Column) -> dict[str, Column]:
     }
 
 
+def _ratio(a: Column, b: Column, other: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(other)
+
+
+def _features(age: Column, lag, total, squares, sales, positive: Column, quantity: Column, since: Column) -> dict[str, Column]:
+    """D2, W1 to W6 from sums of the days before: age is how many there are, lag(k) the demand k days before, total(k),
+    squares(k) and sales(k) the sums of demand, its square and sale days of the last k, positive and quantity those of
+    all, since the days since the last sale. Sums of whole numbers are exact, so a constant stretch deviates by exactly 0."""
+    n = lambda k: F.least(F.lit(k), age)
+    some = lambda x: F.when(age > 0, x)
+    out = {f"lag_{k}": F.when(age >= k, lag(k)) for k in LAGS}
+    for k in WINDOWS:
+        out[f"rolling_mean_{k}"] = some(total(k) / n(k))
+        out[f"rolling_std_{k}"] = some(F.sqrt(F.greatest(n(k) * squares(k) - total(k) * total(k), F.lit(0.0))) / n(k))
+        out[f"sale_days_last_{k}"] = some(sales(k))
+    for k in (7, 14, 30):
+        out[f"sales_last_{k}_days"] = some(total(k))
+    return out | {
+        "periods_before": age.cast("double"), "positive_before": positive, "quantity_before": quantity,
+        "historical_sale_probability": _ratio(positive, age, F.lit(0.0)), "mean_positive_demand": _ratio(quantity, positive, F.lit(0.0)),
+        "causal_adi": _ratio(age.cast("double"), positive, F.lit(None).cast("double")), "days_since_last_sale": since.cast("double"), "current_zero_streak": F.coalesce(since - 1, age),
+    }
+
+
 def add_features(grid: DataFrame) -> DataFrame:
-    """Calendar, lags, rolling and cumulative features of each day from the days before it (frames end at the day
-    before). One window order a product serves all of them: the grid is shuffled and sorted once."""
+    """Calendar, lags, rolling and cumulative features of each day of a dense grid from the days before it. Rolling
+    sums are differences of running sums, so a row costs the same whatever the width of a window."""
     w = Window.partitionBy("product_id").orderBy("date")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    q, sale = F.col("quantity_sold"), (F.col("quantity_sold") > 0).cast("double")
-    last = lambda k: w.rowsBetween(-k, -1)
-    columns: dict[str, Column] = {f"lag_{k}": F.lag(q, k).over(w) for k in LAGS}
+    q = F.col("quantity_sold")
+    age = F.row_number().over(w) - 1
+    sums = {"_total": q, "_squares": q * q, "_sales": (q > 0).cast("double")}
+    running = grid.withColumns({"_age": age} | {n: F.coalesce(F.sum(x).over(before), F.lit(0.0)) for n, x in sums.items()} | {"_last": F.max(F.when(q > 0, F.col("date"))).over(before)})
+    last = lambda n: lambda k: F.col(n) - F.coalesce(F.lag(n, k).over(w), F.lit(0.0))
+    found = _features(F.col("_age"), lambda k: F.lag(q, k).over(w), last("_total"), last("_squares"), last("_sales"), F.col("_sales"), F.col("_total"), F.date_diff("date", "_last"))
+    first = F.date_sub("date", F.col("_age"))
+    return running.withColumns(found | calendar_features(F.col("date"), first)).drop("_age", "_last", *sums)
+
+
+def stretches(sales: DataFrame, products: DataFrame, span: DataFrame) -> DataFrame:
+    """Each product's days cut into stretches over which no lag or rolling sum changes, with those sums: a sale enters a
+    window the day after it and leaves it k days later, so running sums over these few changes replace a row a day.
+
+    sales: product_id, date, quantity_sold; products: product_id and columns to keep; span: one row with first_day and
+    last_day. Returns them with start, end and the sums; quantity_sold is that of the days themselves."""
+    offsets = sorted({0, 1, *LAGS, *(k + 1 for k in (*LAGS, *WINDOWS))})
+    sold = sales.where("quantity_sold > 0").select("product_id", "date", "quantity_sold").crossJoin(F.broadcast(span)).where(F.col("date").between(F.col("first_day"), F.col("last_day")))
+    events = sold.select("product_id", "date", "quantity_sold", "last_day", F.explode(F.array(*map(F.lit, offsets))).alias("o")).withColumn("start", F.date_add("date", F.col("o"))).where("start <= last_day")
+    at = lambda k, x: F.when(F.col("o") == k, x).when(F.col("o") == k + 1, -x).otherwise(0.0)
+    within = lambda k, x: F.when(F.col("o") == 1, x).when(F.col("o") == k + 1, -x).otherwise(0.0)
+    q, one = F.col("quantity_sold"), F.lit(1.0)
+    changes = {f"lag_{k}": at(k, q) for k in (0, *LAGS)}
     for k in WINDOWS:
-        columns[f"rolling_mean_{k}"] = F.avg(q).over(last(k))
-        columns[f"rolling_std_{k}"] = F.stddev_pop(q).over(last(k))
-        columns[f"sale_days_last_{k}"] = F.sum(sale).over(last(k))
-    for k in (7, 14, 30):
-        columns[f"sales_last_{k}_days"] = F.sum(q).over(last(k))
-    periods = (F.row_number().over(w) - 1).cast("double")
-    positive, quantity = F.coalesce(F.sum(sale).over(before), F.lit(0.0)), F.coalesce(F.sum(q).over(before), F.lit(0.0))
-    at = F.row_number().over(w) - 1
-    featured = grid.withColumn("at", at).withColumns(columns | {"periods_before": periods, "positive_before": positive, "quantity_before": quantity})
-    featured = featured.withColumn("last_sale", F.max(F.when(q > 0, F.col("at"))).over(before))
-    share = lambda a, b, other: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(other)
-    return featured.withColumns(
-        {
-            "historical_sale_probability": share("positive_before", "periods_before", F.lit(0.0)),
-            "mean_positive_demand": share("quantity_before", "positive_before", F.lit(0.0)),
-            "causal_adi": share("periods_before", "positive_before", F.lit(None).cast("double")),
-            "days_since_last_sale": (F.col("at") - F.col("last_sale")).cast("double"),
-            "current_zero_streak": F.col("at") - F.coalesce("last_sale", F.lit(-1)) - 1,
-        }
-        | calendar_features(F.col("date"), F.min("date").over(Window.partitionBy("product_id")))
-    ).drop("at", "last_sale")
+        changes |= {f"total_{k}": within(k, q), f"squares_{k}": within(k, q * q), f"sales_{k}": within(k, one)}
+    changes |= {"positive": F.when(F.col("o") == 1, one).otherwise(0.0), "quantity": F.when(F.col("o") == 1, q).otherwise(0.0)}
+    moved = events.groupBy("product_id", "start").agg(*(F.sum(x).alias(n) for n, x in changes.items()), F.max(F.when(F.col("o") == 1, F.col("date"))).alias("last_sale"))
+    begun = products.select("product_id").crossJoin(F.broadcast(span)).select("product_id", F.col("first_day").alias("start"), *(F.lit(0.0).alias(n) for n in changes), F.lit(None).cast("date").alias("last_sale"))
+    every = moved.unionByName(begun).groupBy("product_id", "start").agg(*(F.sum(n).alias(n) for n in changes), F.max("last_sale").alias("last_sale"))
+    w = Window.partitionBy("product_id").orderBy("start")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = every.select("product_id", "start", F.date_sub(F.lead("start").over(w), 1).alias("end"), *(F.sum(n).over(so_far).alias(n) for n in changes), F.max("last_sale").over(so_far).alias("last_sale"))
+    out = out.join(products, "product_id").crossJoin(F.broadcast(span))
+    return out.withColumn("end", F.coalesce("end", "last_day")).withColumnRenamed("lag_0", "quantity_sold")
+
+
+def featured_days(cut: DataFrame) -> DataFrame:
+    """A row a product and day of stretches, with the features that add_features gives; they are made row by row,
+    without a window over the days."""
+    days = cut.withColumn("date", F.explode(F.sequence("start", "end", F.expr("interval 1 day"))))
+    of = lambda n: lambda k: F.col(f"{n}_{k}")
+    found = _features(F.date_diff("date", "first_day"), of("lag"), of("total"), of("squares"), of("sales"), F.col("positive"), F.col("quantity"), F.date_diff("date", "last_sale"))
+    sums = [f"{n}_{k}" for n in ("total", "squares", "sales") for k in WINDOWS] + ["positive", "quantity", "start", "end", "last_sale", "first_day", "last_day"]
+    return days.withColumns(found | calendar_features(F.col("date"), F.col("first_day"))).drop(*sums)
 
 
 def demand_pattern(adi: Column, cv2: Column) -> Column:

@@ -45,29 +45,32 @@ def grid_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
-    return demand.add_features(demand.dense_grid(series(s, d), c.products(s, d).select("product_id")))
+    sold = series(s, d)
+    return demand.featured_days(demand.stretches(sold, c.products(s, d).select("product_id"), demand.bounds(sold)))
 
 
 LAG_NAMES = [f"lag_{k}" for k in demand.LAGS]
 ROLLING_NAMES = [f"rolling_mean_{k}" for k in demand.WINDOWS] + [f"rolling_std_{k}" for k in demand.WINDOWS] + [f"sales_last_{k}_days" for k in (7, 14, 30)]
-CUMULATIVE_NAMES = [f"sale_days_last_{k}" for k in demand.WINDOWS] + ["historical_sale_probability", "mean_positive_demand", "causal_adi", "days_since_last_sale"]
+CUMULATIVE_NAMES = [f"sale_days_last_{k}" for k in demand.WINDOWS] + ["historical_sale_probability", "mean_positive_demand", "causal_adi", "days_since_last_sale", "current_zero_streak"]
 
 
-def _averaged(s: SparkSession, d: str, names: list[str], *more) -> DataFrame:
-    day = F.date_diff("date", F.lit("1995-01-01").cast("date"))
-    by_day = (F.round(F.avg(F.col(n) * day), 3).alias(f"{n}_by_day") for n in names)
-    return _features(s, d).groupBy("product_id").agg(*(F.round(F.avg(n), 6).alias(n) for n in names), *by_day, *more)
+def _marked(s: SparkSession, d: str, names: list[str]) -> DataFrame:
+    """By product and year, each feature's average and a mark of its values day by day: millionths, each times a number of
+    its day, added up in whole numbers. A value at another day, or another value, gives another mark."""
+    number = F.date_diff("date", F.lit("1992-01-01").cast("date")) * 7919 % 10007
+    mark = lambda n: F.sum(F.floor(F.coalesce(F.col(n).cast("double"), F.lit(-1.0)) * 1e6 + 0.5) * number)
+    found = (x for n in names for x in (F.round(F.avg(n), 6).alias(n), mark(n).alias(f"{n}_mark")))
+    return _features(s, d).groupBy("product_id", F.year("date").alias("year")).agg(F.count("*").alias("days"), *found)
 
 
 def lag_and_rolling(s: SparkSession, d: str) -> DataFrame:
-    """Lags and rolling features of every product and day: their averages by product, and those of feature times day, which
-    tell a shifted frame."""
-    return _averaged(s, d, LAG_NAMES + ROLLING_NAMES)
+    """Lags and rolling features of every product and day."""
+    return _marked(s, d, LAG_NAMES + ROLLING_NAMES)
 
 
 def cumulative_and_recency(s: SparkSession, d: str) -> DataFrame:
-    """The same for the cumulative and recency features."""
-    return _averaged(s, d, CUMULATIVE_NAMES, F.sum("current_zero_streak").alias("current_zero_streak"))
+    """The cumulative and recency features of every product and day."""
+    return _marked(s, d, CUMULATIVE_NAMES)
 
 
 def calendar(s: SparkSession, d: str) -> DataFrame:
@@ -253,8 +256,10 @@ featured AS (SELECT *, max(CASE WHEN q > 0 THEN at_ END) {_LAST.format('UNBOUNDE
 recent AS (SELECT *, CAST(at_ - last_sale AS DOUBLE) AS days_since_last_sale, at_ - coalesce(last_sale, -1) - 1 AS current_zero_streak FROM featured)"""
 
 
-def _avg(names: list[str]) -> str:
-    return ", ".join(f"round(avg({n}), 6) AS {n}, round(avg({n} * (date - DATE '1995-01-01')), 3) AS {n}_by_day" for n in names)
+def _marks(names: list[str], source: str) -> str:
+    number = "((date - DATE '1992-01-01') * 7919 % 10007)"
+    found = ", ".join(f"round(avg({n}), 6) AS {n}, CAST(sum(CAST(floor(coalesce(CAST({n} AS DOUBLE), -1) * 1e6 + 0.5) AS BIGINT) * {number}) AS BIGINT) AS {n}_mark" for n in names)
+    return f"{_FEATURED} SELECT product_id, CAST(year(date) AS INTEGER) AS year, count(*) AS days, {found} FROM {source} GROUP BY ALL"
 
 
 def _forecast_sql(train: str, keys: str) -> str:
@@ -333,8 +338,8 @@ SQL = {
     "product_day_grid": f"{_GRID} SELECT product_id, count(*) AS n_days, count(*) FILTER (q = 0) AS zero_days, sum(q) AS quantity FROM grid GROUP BY product_id",
     "calendar_features": f"""{_SERIES} SELECT DISTINCT date, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(day(date) AS INTEGER) AS day_of_month, CAST(month(date) AS INTEGER) AS month,
       CAST(quarter(date) AS INTEGER) AS quarter, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(date - first_day AS INTEGER) AS time_index FROM series, span""",
-    "lag_rolling_features": f"{_FEATURED} SELECT product_id, {_avg(LAG_NAMES + ROLLING_NAMES)} FROM marked GROUP BY product_id",
-    "cumulative_recency_features": f"{_FEATURED} SELECT product_id, {_avg(CUMULATIVE_NAMES)}, CAST(sum(current_zero_streak) AS BIGINT) AS current_zero_streak FROM recent GROUP BY product_id",
+    "lag_rolling_features": _marks(LAG_NAMES + ROLLING_NAMES, "marked"),
+    "cumulative_recency_features": _marks(CUMULATIVE_NAMES, "recent"),
     "demand_segmentation": f"""{_SERIES} SELECT product_id, non_zero_demand_days, round(adi, 6) AS adi, round(cv2, 6) AS cv_squared, {_PATTERN} AS demand_pattern FROM (
       SELECT p.product_id, coalesce(n, 0) AS non_zero_demand_days, CASE WHEN n > 0 THEN CAST(last_day - first_day + 1 AS DOUBLE) / n ELSE 'infinity'::DOUBLE END AS adi, CASE WHEN n > 0 THEN (n * sq - sm * sm) / (sm * sm) ELSE 0 END AS cv2
       FROM products p CROSS JOIN span LEFT JOIN (SELECT product_id, count(*) AS n, sum(q) AS sm, sum(q * q) AS sq FROM series GROUP BY product_id) s ON p.product_id = s.product_id)""",
