@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +18,18 @@ from mercadia.llm.tokens import _running, mix, text_chunks
 #: Most words of a phrase.
 LONGEST = 5
 #: Bytes of text in a shard, rows of united automata in a range (as planned), texts in the sample of range ends: one in so many.
-SHARD, RANGE, SAMPLE = 16 << 20, 1_000_000, 8
+SHARD, RANGE, SAMPLE = 16 << 20, 500_000, 8
 #: Keys in the sample of range ends, over all tasks.
 KEYS = 50_000
+#: Logarithms of the least and most buckets of a sketch (32 MB as bits), and of the buckets of a slice.
+BUCKETS, SLICE = (16, 28), 16
 _SPACE, _BREAK = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
-_STATE = "kind string, lang string, part int, hash long, word string, count long, data binary"
+_STATE = "kind string, lang string, part int, count long, data binary"
+_WORDS = "lang string, hash long, count long, word string, other string"
+#: Parts that the words of a shard are dealt to, by the first bits of their hashes.
+_PARTS = 64
 _PHRASE = "lang string, phrase array<long>, count long"
+_SUMS = "slice int, data binary"
 
 
 def _byte_values() -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +45,8 @@ def _byte_values() -> tuple[np.ndarray, np.ndarray]:
 _VALUES, _BREAKS = _byte_values()
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Hash of each word, number of its piece, the distinct words in the order of their hashes, and those hashes."""
+def _words(texts: list[bytes], spelt: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
+    """Hash of each word, number of its piece, and the spelling of the distinct hashes that spelt wants."""
     hashes, pieces, seen, n = [], [], {}, 0
     begin = 0
     while begin < len(texts):
@@ -58,15 +66,15 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.
         hashes.append(h)
         pieces.append(broken[starts] + n)
         n += int(broken[-1]) + 1
-        new, at = np.unique(h, return_index=True)
-        for x, s, e in zip(new.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
-            if x not in seen:
-                seen[x] = data[s:e]
+        if spelt is not None:
+            wanted = np.flatnonzero(spelt(h))
+            new, at = np.unique(h[wanted], return_index=True)
+            at = wanted[at]
+            for x, s, e in zip(new.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
+                if x not in seen:
+                    seen[x] = data[s:e].translate(_LOWER)
         begin = end
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    known = np.sort(np.fromiter(seen, np.uint64, len(seen)))
-    words = [seen[x].translate(_LOWER) for x in known.tolist()]
-    return h, np.concatenate(pieces) if pieces else np.zeros(0, np.int64), words, known
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(pieces) if pieces else np.zeros(0, np.int64), seen
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -144,16 +152,113 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, counts, hashes
 
 
-def _shards(langs: list[str], texts: list[bytes]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-    """Language, rows, counts, hashes, words and word counts of each language's texts."""
+def _by_lang(langs: list[str], texts: list[bytes]) -> dict[str, list[bytes]]:
     by: dict[str, list[bytes]] = {}
     for lang, text in zip(langs, texts, strict=True):
         by.setdefault(lang, []).append(text)
-    for lang, own in by.items():
-        h, piece, words, known = _words(own)
-        if len(h):
-            ids = np.searchsorted(known, h) + 1
-            yield lang, *_automaton(ids, piece, len(known)), known, words, np.bincount(ids, minlength=len(known) + 1)[1:]
+    return by
+
+
+# ---- sketches: which words and pairs can be frequent ----
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """A bit for each bucket of keys: whether the keys of the bucket occur often enough together. What occurs often enough
+    by itself is always in; some of the rest is, too, and is only counted in vain."""
+
+    bits: np.ndarray
+    log: int
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.log)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _word_keys(lang: str, h: np.ndarray) -> np.ndarray:
+    return mix(h ^ np.uint64(int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little")))
+
+
+def _pair_keys(keys: np.ndarray) -> np.ndarray:
+    """Of each key and the one after it."""
+    return mix(keys[:-1] * np.uint64(0x9E3779B97F4A7C15) + keys[1:])
+
+
+def _often(lang: str, h: np.ndarray, piece: np.ndarray, words: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs of neighbours in a piece whose words can both be frequent, and where the pairs begin."""
+    keys = _word_keys(lang, h)
+    fine = words.has(keys)
+    at = np.flatnonzero(fine[1:] & fine[:-1] & (piece[1:] == piece[:-1]))
+    return (_pair_keys(keys)[at] if len(at) else np.zeros(0, np.uint64)), at
+
+
+def _count_keys(log: int, words: Sketch | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums by bucket of the keys of all words, or of pairs of words that can be frequent, in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, texts in _chunked(batches, SHARD):
+            found = []
+            for lang, own in _by_lang(langs, texts).items():
+                h, piece, _ = _words(own)
+                found.append(_word_keys(lang, h) if words is None else _often(lang, h, piece, words)[0])
+            at, n = np.unique(np.concatenate(found) >> np.uint64(64 - log), return_counts=True)
+            part = (at >> np.uint64(SLICE)).astype(np.int64)
+            slices = np.unique(part)
+            edges = np.r_[np.searchsorted(part, slices), len(part)]
+            data = [zlib.compress((at[i:j] & np.uint64((1 << SLICE) - 1)).astype("<u2").tobytes() + n[i:j].astype("<u4").tobytes(), 1) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(data, pa.binary())], ["slice", "data"])
+
+    return run
+
+
+def _add_slices(least: int) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The buckets of a slice that come to least or more, as bits."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLICE, np.int64)
+        for batch in batches:
+            for data in batch.column("data"):
+                raw = zlib.decompress(data.as_py())
+                n = len(raw) // 6
+                total[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u4", n, 2 * n)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["slice", "data"])
+
+    return run
+
+
+def _sketch(texts: DataFrame, log: int, least: int, words: Sketch | None = None) -> Sketch:
+    """Counts of all texts by bucket; the bits of frequent buckets come to the driver, 32 MB at most."""
+    sums = texts.mapInArrow(_count_keys(log, words), _SUMS).groupBy("slice").applyInArrow(_add_slices(least), _SUMS)
+    bits = np.zeros(1 << (log - 3), np.uint8)
+    for r in sums.collect():
+        bits[r.slice << (SLICE - 3) : (r.slice + 1) << (SLICE - 3)] = np.frombuffer(r.data, np.uint8)
+    return Sketch(bits, log)
+
+
+# ---- automata ----
+
+
+def _runs(lang: str, texts: list[bytes], words: Sketch, pairs: Sketch) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, bytes], np.ndarray, int]:
+    """Hashes and run numbers of the words in runs of pairs that can be frequent; hashes, spelling and counts of the words
+    that can be; the number of all words."""
+    h, piece, seen = _words(texts, lambda h: words.has(_word_keys(lang, h)))
+    keys, at = _often(lang, h, piece, words)
+    linked = np.zeros(len(h) + 1, bool)
+    linked[at[pairs.has(keys)] + 1] = True  # to the word before
+    inside = np.flatnonzero(linked[1:] | linked[:-1])
+    run = np.cumsum(~linked[:-1])[inside]
+    known, counts = np.unique(h[words.has(_word_keys(lang, h))], return_counts=True)
+    return h[inside], run, known, seen, counts, len(h)
+
+
+def _shards(langs: list[str], texts: list[bytes], words: Sketch, pairs: Sketch) -> Iterator[tuple]:
+    """Language, rows, counts, hashes; hashes, spelling and counts of words; number of words, for each language's texts."""
+    for lang, own in _by_lang(langs, texts).items():
+        h, run, known, seen, counts, n = _runs(lang, own, words, pairs)
+        hashes = np.unique(h)
+        rows, times = _automaton(np.searchsorted(hashes, h) + 1, run, len(hashes)) if len(h) else (np.zeros((0, LONGEST), np.uint32), np.zeros(0, np.int64))
+        phrases = rows[:, 1] > 0  # a last word alone is no phrase
+        yield lang, rows[phrases], times[phrases], hashes, known, seen, counts, n
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[str], list[bytes]]]:
@@ -170,12 +275,12 @@ def _chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[lis
         yield langs, texts
 
 
-def _sample(keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sample(keys: int, words: Sketch, pairs: Sketch) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Some rows of each task's automata, as hashes, with the number of rows each stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in _chunked(batches, SHARD):
-            parts = list(_shards(langs, texts))
+            parts = list(_shards(langs, texts, words, pairs))
             step = max(1, sum(len(p[1]) for p in parts) // keys)
             for lang, rows, _, hashes, *_ in parts:
                 at = np.arange(step // 2, len(rows), step)
@@ -201,31 +306,52 @@ def _cut(rows: np.ndarray, hashes: np.ndarray, ends: list[tuple[int, ...]]) -> n
     return np.array(out, np.int64)
 
 
-def _build(ends: dict[str, list[tuple[int, ...]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _build(ends: dict[str, list[tuple[int, ...]]], words: Sketch, pairs: Sketch) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Shards' automata, cut at the range ends of their language, and their words with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in _chunked(batches, SHARD):
-            for lang, rows, counts, hashes, words, times in _shards(langs, texts):
-                n = len(words)
+            for lang, rows, counts, hashes, known, seen, times, n in _shards(langs, texts, words, pairs):
                 cuts = np.r_[0, _cut(rows, hashes, ends.get(lang, [])), len(rows)]
                 for k in range(len(cuts) - 1):
                     if cuts[k] < cuts[k + 1]:
                         part = slice(cuts[k], cuts[k + 1])
-                        yield _row("automaton", lang, [k], [None], [None], [None], [_pack(rows[part], counts[part], hashes)])
-                for begin in range(0, n, 10_000):
-                    part = slice(begin, begin + 10_000)
-                    m = len(words[part])
-                    yield _row("word", lang, [None] * m, hashes[part].view(np.int64), [w.decode("utf-8", "replace") for w in words[part]], times[part], [None] * m)
+                        yield _row("automaton", lang, k, None, _pack(rows[part], counts[part], hashes))
+                yield _row("total", lang, None, n, None)
+                place = (known >> np.uint64(64 - _PARTS.bit_length() + 1)).astype(np.int64)
+                for k in np.unique(place).tolist():
+                    part = slice(*np.searchsorted(place, (k, k + 1)))
+                    spelt = b"\n".join(seen[x] for x in known[part].tolist())  # no word holds a line end
+                    yield _row("word", lang, k, None, zlib.compress(known[part].tobytes() + times[part].astype("<i8").tobytes() + spelt, 1), len(known[part]))
 
     return run
 
 
-def _row(kind: str, lang: str, *columns) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-    n = len(columns[0])
-    arrays = [pa.array([kind] * n), pa.array([lang] * n, pa.string()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "lang", "part", "hash", "word", "count", "data"])
+def _row(kind: str, lang: str, part: int | None, count: int | None, data: bytes | None, words: int | None = None) -> pa.RecordBatch:
+    """A row of _STATE; count is the number of words for rows of words."""
+    values = zip((kind, lang, part, count if words is None else words, data), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in values], ["kind", "lang", "part", "count", "data"])
+
+
+def _unite_words(least: int) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words of a language's part with their summed counts, if these come to least; other is a second spelling of the
+    same hash."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            for n, data in zip(batch.column("count").to_pylist(), batch.column("data"), strict=True):
+                raw = zlib.decompress(data.as_py())
+                for h, times, word in zip(np.frombuffer(raw, np.int64, n).tolist(), np.frombuffer(raw, "<i8", n, 8 * n).tolist(), raw[16 * n :].split(b"\n"), strict=True):
+                    held = found.setdefault(h, [0, word, None])
+                    held[0] += times
+                    if held[1] != word:
+                        held[2] = word
+        rows = [(h, *x) for h, x in found.items() if x[0] >= least]
+        text = lambda k: pa.array([None if r[k] is None else r[k].decode("utf-8", "replace") for r in rows], pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), text(2), text(3)], ["lang", "hash", "count", "word", "other"])
+
+    return run
 
 
 def _unite(least: int) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -245,7 +371,7 @@ def _unite(least: int) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[p
                     room = max(room, 2 * len(held[0][1]))
         rows, counts = _sum(held)
         lengths = (rows > 0).sum(1)
-        for d in range(1, LONGEST + 1):
+        for d in range(2, LONGEST + 1):  # words alone are counted apart
             deep = np.flatnonzero(lengths >= d)  # prefixes stand together, as rows are sorted
             if not len(deep):
                 break
@@ -272,13 +398,13 @@ def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return rows[starts], np.add.reduceat(counts, starts)
 
 
-def _range_ends(texts: DataFrame) -> dict[str, list[tuple[int, ...]]]:
+def _range_ends(texts: DataFrame, words: Sketch, pairs: Sketch) -> dict[str, list[tuple[int, ...]]]:
     """By language, the ends between ranges of about RANGE rows each, from a sample of about KEYS rows of all tasks. They
     steer only where rows meet; beyond KEYS ranges, ranges grow instead."""
     tasks = max(1, texts.rdd.getNumPartitions())
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     by: dict[str, list[tuple[tuple[int, ...], int]]] = {}
-    for r in some.mapInArrow(_sample(min(512, max(1, KEYS // tasks))), _PHRASE).collect():
+    for r in some.mapInArrow(_sample(min(512, max(1, KEYS // tasks)), words, pairs), _PHRASE).collect():
         by.setdefault(r.lang, []).append((tuple(x % (1 << 64) for x in r.phrase), r["count"] * SAMPLE))
     out = {}
     for lang, keys in by.items():
@@ -292,20 +418,25 @@ def _range_ends(texts: DataFrame) -> dict[str, list[tuple[int, ...]]]:
     return out
 
 
-def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, count) of all phrases of up to LONGEST words, as hashes, that occur least times or more; and
-    (lang, hash, word, count) of all words. Raises if two words of a language have the same 64-bit hash and one of them
-    could be in a phrase."""
+def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, phrase, count) of all phrases of up to LONGEST words, as hashes, that occur least times or more; (lang, hash,
+    count, word) of such words; and (lang, n), all words of a language. Raises if two words of a language have the same
+    64-bit hash and could be in a phrase."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    built = materialize(texts.mapInArrow(_build(_range_ends(texts)), _STATE))
-    words = built.where("kind = 'word'").groupBy("lang", "hash").agg(F.sum("count").alias("count"), F.min("word").alias("word"), F.max("word").alias("other"))
-    words = materialize(words)
-    if words.where("word <> other").where(F.col("count") >= least).limit(1).count():
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log = min(max(int(size // 8).bit_length(), BUCKETS[0]), BUCKETS[1])
+    often = _sketch(texts, log, least)
+    pairs = _sketch(texts, log, least, often)
+    built = materialize(texts.mapInArrow(_build(_range_ends(texts, often, pairs), often, pairs), _STATE))
+    words = materialize(built.where("kind = 'word'").select("lang", "part", "count", "data").groupBy("lang", "part").applyInArrow(_unite_words(least), _WORDS))
+    if words.where("other is not null").limit(1).count():
         raise ValueError("two words share a hash")
+    totals = materialize(built.where("kind = 'total'").groupBy("lang").agg(F.sum("count").alias("n")))
     united = built.where("kind = 'automaton'").select("lang", "part", "data").groupBy("lang", "part").applyInArrow(_unite(least), _PHRASE)
-    phrases = materialize(united.groupBy("lang", "phrase").agg(F.sum("count").alias("count")).where(F.col("count") >= least))
+    phrases = united.groupBy("lang", "phrase").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    phrases = materialize(phrases.unionByName(words.select("lang", F.array("hash").alias("phrase"), "count")))
     discard(built)
-    return phrases, words.drop("other")
+    return phrases, words.drop("other"), totals
 
 
 def first_by(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
@@ -330,17 +461,18 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     cut. Phrases of least occurrences are ranked unless a longer one contains them and is as frequent: it is enough to
     look at phrases of one word more, since counts never rise as phrases grow.
 
-    Each task sorts the n-grams of its shard and makes an automaton of them: rows share the prefix of the row before, the
-    count of a phrase is the sum of the rows below. Automata are cut at range ends, which a sample sets, so no prefix is
-    too hot for a task; a range's automata are united and weights summed. The counts of parts are looked up by joins on
-    the counted phrases: parts of what is frequent are frequent.
+    Two passes over the texts first sum up words, then pairs of words, by bucket; n-grams are made only of pairs whose
+    bucket is frequent, which loses no frequent phrase, however full the buckets are. Each task sorts the n-grams of its
+    shard and makes an automaton of them: rows share the prefix of the row before, the count of a phrase is the sum of the
+    rows below. Automata are cut at range ends, which a sample sets, so no prefix is too hot for a task; a range's automata
+    are united and weights summed. The counts of parts are looked up by joins on the counted phrases: parts of what is
+    frequent are frequent.
 
     Nulls: a null text has no words, a null lang is ``und``. Texts of any length are read whole; repeated rows count each
     for itself; ties go by a, then by phrase in the order of its UTF-8 bytes. An empty table gives an empty result; extra
     columns are ignored.
     """
-    phrases, words = phrase_counts(docs, least)
-    totals = words.groupBy("lang").agg(F.sum("count").alias("n"))
+    phrases, words, totals = phrase_counts(docs, least)
     found = phrases.withColumn("size", F.size("phrase"))
     cuts = found.where("size > 1").select("lang", "phrase", "size", F.col("count").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("*", F.slice("phrase", F.lit(1), F.col("k")).alias("left"), F.slice("phrase", F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
@@ -355,7 +487,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     best = best.join(inner("left").unionByName(inner("right")).distinct(), ["lang", "phrase"], "left_anti")
     best = best.select("lang", "phrase", "a", "n", "best.*").drop("k")
     # a phrase's words by its hashes: each word of a phrase is a row, put together again in its place
-    spelt = best.select("lang", "phrase", F.posexplode("phrase").alias("at", "hash")).join(words.where(F.col("count") >= least).select("lang", "hash", "word"), ["lang", "hash"])
+    spelt = best.select("lang", "phrase", F.posexplode("phrase").alias("at", "hash")).join(words.select("lang", "hash", "word"), ["lang", "hash"])
     spelt = spelt.groupBy("lang", "phrase").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
     best = best.join(spelt, ["lang", "phrase"]).withColumn("phrase", F.concat_ws(" ", "words.word")).drop("words")
     ranked = first_by(best, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], top)
