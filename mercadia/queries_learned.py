@@ -7,39 +7,54 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.operators import demand, learned
+from mercadia.operators import demand, learned, metrics
+from mercadia.plans import experiment, forecast
 from mercadia.queries_demand import rounded, series
 from mercadia.sources import canonical as c
 from mercadia.sources import layers
 
+#: Rounds of boosting in the forecasts and in the experiment's 16 models, and the share of a leaf that a round takes.
+ROUNDS, EXPERIMENT_ROUNDS, RATE = 8, 4, 0.2
 
-def _forecast(s: SparkSession, d: str, train, days: int = 90, horizon: int = 7, components: tuple[str, ...] = ()) -> DataFrame:
-    """A model's forecast of every product from the last day on. Features and states come from the whole series; the model
-    learns from its last ``days`` days (its training window), written once, as each round of a model reads them again."""
-    folder = layers.scratch(s)
-    if s.sparkContext.getCheckpointDir() is None:
-        s.sparkContext.setCheckpointDir(folder)
-    sold = series(s, d)
-    grid = demand.dense_grid(sold, c.products(s, d).select("product_id", "category", "brand"))
-    end = F.broadcast(demand.bounds(sold).select(F.col("last_day").alias("end_")))
-    path = f"{folder}/features-{uuid.uuid4().hex}"
-    demand.add_features(grid).crossJoin(end).where(F.date_diff("end_", "date") < days).write.parquet(path)
-    out = learned.recursive_forecast(grid, train(s.read.parquet(path).where(F.col("lag_30").isNotNull())), horizon, components=components)
-    return rounded(out, 4)
+
+def _inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Daily sales, written once, and products."""
+    path = f"{layers.scratch(s)}/series-{uuid.uuid4().hex}"
+    series(s, d).write.parquet(path)
+    return s.read.parquet(path), c.products(s, d).select("product_id", *learned.CATEGORIES)
+
+
+def _forecast(s: SparkSession, d: str, train, horizon: int = 30) -> DataFrame:
+    """A model's forecast of every product from the last day on, learned from all days that have all lags."""
+    sold, products = _inputs(s, d)
+    span = demand.bounds(sold)
+    model = train(experiment.training_rows(sold, products, span))
+    state = learned.states(sold, products, span.withColumn("split", F.lit("all")))
+    return rounded(learned.recursive_forecast(state, {"all": {"model": model}}, horizon).drop("split", "model_name"), 4)
 
 
 def regressor_forecast(s: SparkSession, d: str) -> DataFrame:
-    return _forecast(s, d, lambda f: learned.train_regressor(f, rounds=5))
+    return _forecast(s, d, lambda f: learned.train_regressor(f, "squared_error", ROUNDS, RATE)).drop("sale_probability", "conditional_quantity")
 
 
 def poisson_forecast(s: SparkSession, d: str) -> DataFrame:
-    return _forecast(s, d, lambda f: learned.train_regressor(f, "poisson"))
+    return _forecast(s, d, lambda f: learned.train_regressor(f, "poisson", ROUNDS, RATE)).drop("sale_probability", "conditional_quantity")
 
 
 def hurdle_forecast(s: SparkSession, d: str) -> DataFrame:
     """With the chance of a sale and the quantity given one."""
-    return _forecast(s, d, lambda f: learned.train_hurdle(f, rounds=5), components=learned.COMPONENTS)
+    return _forecast(s, d, lambda f: learned.train_hurdle(f, "poisson", ROUNDS, RATE))
+
+
+def experiment_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Metrics of nine models on four folds by horizon, with the occurrence threshold that the validation folds
+    chose."""
+    sold, products = _inputs(s, d)
+    found, threshold = experiment.run(sold, products, demand.folds(sold), EXPERIMENT_ROUNDS, RATE)
+    cube = metrics.metric_cube(found, forecast.horizon_table(s)).where("level = 'aggregate'")
+    out = cube.select("split", "model_name", "horizon", "wape", "mae", "rmse", "smape", "bias", "actual_quantity_sum", "predicted_quantity_sum")
+    return rounded(out.withColumn("occurrence_threshold", F.lit(threshold)), 4)
 
 
-QUERIES = {"regressor_forecast": regressor_forecast, "poisson_forecast": poisson_forecast, "hurdle_forecast": hurdle_forecast}
+QUERIES = {"regressor_forecast": regressor_forecast, "poisson_forecast": poisson_forecast, "hurdle_forecast": hurdle_forecast, "experiment_metrics": experiment_metrics}
 SQL: dict[str, str] = {}

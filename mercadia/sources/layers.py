@@ -161,6 +161,12 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that Spark wrote, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def load_table(df: DataFrame, name: str) -> int:
     """K6: full refresh of a warehouse table; raises if it does not hold the rows given."""
     given = df.count()

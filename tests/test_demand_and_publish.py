@@ -94,28 +94,6 @@ def test_features_see_only_the_past(spark):
     assert (third.days_since_last_sale, third.current_zero_streak, third.historical_sale_probability, third.mean_positive_demand, third.causal_adi) == (2, 1, 0.5, 2, 2)
 
 
-def test_state_features_equal_grid_features(spark):
-    r = random.Random(4)
-    y = [r.choice((0, 0, 1, 3)) for _ in range(45)]
-    grid, _ = features(spark, y)
-    nxt = features(spark, [*y, 1])[1].orderBy(F.desc("date")).first()
-    got = learned.features_at(learned.state_of(grid)).first()
-    for n in learned.NUMERIC:
-        assert got[n] == pytest.approx(nxt[n], abs=1e-9), n
-
-
-@pytest.mark.parametrize("loss", ["poisson", "squared_error"])
-def test_learned_models_give_sane_forecasts(spark, loss):
-    rows = [(p, START + timedelta(days=i), float(p % 3 + 1), 1.0) for p in range(6) for i in range(0, 80, p + 2)]
-    sold = spark.createDataFrame(rows, "product_id long, date date, quantity_sold double, revenue double")
-    products = spark.createDataFrame([(p, "c", f"b{p % 2}") for p in range(6)], "product_id long, category string, brand string")
-    grid = demand.dense_grid(sold, products, START, START + timedelta(days=79)).persist()
-    featured = demand.add_features(grid).where("lag_30 is not null")
-    model = learned.train_hurdle(featured, loss, rounds=3) if loss == "squared_error" else learned.train_regressor(featured, loss)
-    found = learned.recursive_forecast(grid.withColumn("brand", F.when(F.col("product_id") == 5, "unseen").otherwise(F.col("brand"))), model, 3, cut_every=2).collect()
-    assert len(found) == 18 and all(x.predicted_quantity >= 0 and math.isfinite(x.predicted_quantity) for x in found)
-
-
 def test_metrics_golden(spark):
     df = spark.createDataFrame([(0.0, 0.0), (2.0, 1.0), (0.0, 1.0), (2.0, 2.0)], "a double, p double")
     m = df.agg(*(c.alias(n) for n, c in metrics.forecast_metrics(F.col("a"), F.col("p")).items())).first()
