@@ -194,6 +194,20 @@ def test_near_copies_that_differ_from_their_leader_are_compared(spark, turns):
 # ---- 3 ----
 
 
+def test_sample_of_repeated_rows_and_crossing_texts(spark):
+    """2,000 equal rows of one language are learned like one; a language of one short and one long text is learned in full."""
+    from mercadia.llm.langid import training_sample
+
+    rows = [(None, "alpha beta gamma", "xx", None)] * 2000 + [(k, f"delta {k}", "yy", None) for k in range(20)]
+    got = training_sample(docs(spark, rows).repartition(4), 8, 24_000, 10)
+    assert got["xx"] == "alpha beta gamma\n" and len(got["yy"].splitlines()) == 8
+    both = [(k, t, f"l{k // 2:02}", None) for k, t in enumerate(x for n in range(20) for x in (f"short {n}", f"{n:02} " * 7998 + "x"))]
+    got = training_sample(docs(spark, both).repartition(4), 64, 24_000, 30)
+    assert {len(t.replace("\n", "")) for t in got.values()} == {24_000}
+    many = training_sample(docs(spark, [(k, f"text {k} " * 10, "en", None) for k in range(500)]), 64, 1_000, 3)
+    assert 1_000 <= len(many["en"]) <= 1_064
+
+
 def test_language_by_cross_parsing(spark):
     from mercadia.llm.langid import Parser, held_out, identify, letters, suffix_automaton
 
