@@ -1,6 +1,6 @@
-"""Gates of the layers: the rules that a day's four datasets must keep before they are written on (Q2 to Q24, Q33, Q35, Q36,
-J10, P13). Row rules are SQL predicates, true where a row breaks the rule, so that they can be read, listed and run alike
-on any engine; all of a dataset run in one pass.
+"""Gates of the layers: the rules that a day's four datasets must keep before they are written on (Q2 to Q24, Q35, Q36, J10,
+P13). Row rules are SQL predicates, true where a row breaks the rule; all of a dataset run in one pass. A null breaks no
+rule but that it must not be there.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.functions.columns import full_match
 from mercadia.operators import quality
 from mercadia.operators.quality import Rule
 
@@ -20,6 +21,18 @@ FIRST_DAY = "2022-01-01"
 GENDERS = ("Feminino", "Masculino", "Não informado")
 SEGMENTS = ("Novo", "Recorrente", "Premium", "Inativo")
 STATUSES = ("Entregue", "Enviado", "Processando", "Cancelado")
+CHANNELS = ("Busca orgânica", "Anúncios pagos", "Redes sociais", "Indicação", "E-mail marketing", "Marketplace")
+PAYMENTS = ("Cartão de crédito", "Pix", "Boleto", "Carteira digital")
+SALES_CHANNELS = ("Site", "Aplicativo", "Marketplace")
+ID_PATTERNS = {"customers": "CUST-[0-9]{6}", "orders": "ORD-[0-9]{8}", "order_items": "ITEM-[0-9]{8}", "products": "PROD-[0-9]{6}"}
+EMAIL = r"[^@\s]+@[^@\s]+\.[^@\s]+"
+#: Columns that must have a value. Only a delivery date may be missing.
+REQUIRED = {
+    "customers": ("customer_id", "full_name", "email", "birth_date", "gender", "city", "state", "region", "registration_date", "acquisition_channel", "customer_segment", "is_active"),
+    "orders": ("order_id", "customer_id", "order_date", "order_status", "payment_method", "sales_channel", "shipping_cost", "discount_amount", "order_total"),
+    "order_items": ("order_item_id", "order_id", "product_id", "quantity", "unit_price", "unit_cost", "discount_percentage", "line_total"),
+    "products": ("product_id", "product_name", "category", "brand", "supplier", "unit_price", "unit_cost", "stock_quantity", "minimum_stock", "created_at", "is_active"),
+}
 
 
 def _among(column: str, values: Sequence[str]) -> str:
@@ -31,34 +44,39 @@ def age(birth: str, day: str) -> str:
     return f"(year({day}) - year({birth}) - CASE WHEN month({day}) * 100 + day({day}) < month({birth}) * 100 + day({birth}) THEN 1 ELSE 0 END)"
 
 
-def row_rules(day: str, states: Sequence[str] = ()) -> dict[str, dict[str, str]]:
-    """The predicates by dataset and rule, at the reference day. Orders carry registered_on, items catalogue_price and
-    catalogue_cost (see looked_up)."""
+def row_rules(day: str, places: bool = False) -> dict[str, dict[str, str]]:
+    """The predicates by dataset and rule, at the reference day, but for nulls and patterns. Orders carry registered_on,
+    n_items and items_total, items catalogue_price and catalogue_cost, customers the place of their state (see looked_up)."""
     now = f"DATE '{day}'"
     span = f"BETWEEN DATE '{FIRST_DAY}' AND {now}"
+    cents = lambda x: f"CAST({x} AS DECIMAL(18,2))"
     rules = {
         "products": {
             "price_positive": "unit_price <= 0", "cost_positive": "unit_cost <= 0", "cost_below_price": "unit_cost >= unit_price",
             "stock_range": "stock_quantity NOT BETWEEN 0 AND 500", "minimum_stock_range": "minimum_stock NOT BETWEEN 5 AND 50", "created_in_range": f"NOT (created_at {span})",
         },
         "customers": {
-            "email_pattern": "NOT (email LIKE '_%@_%._%')", "email_lower_case": "email <> lower(email)", "gender": _among("gender", GENDERS), "segment": _among("customer_segment", SEGMENTS),
+            "email_lower_case": "email <> lower(email)", "gender": _among("gender", GENDERS), "segment": _among("customer_segment", SEGMENTS), "channel": _among("acquisition_channel", CHANNELS),
             "age_18_to_80": f"NOT ({age('birth_date', now)} BETWEEN 18 AND 80)", "state_upper_case": "state <> upper(state)", "inactive_segment": "customer_segment = 'Inativo' AND is_active",
             "registered_in_range": f"NOT (registration_date {span})", "registered_as_adult": "registration_date < birth_date + INTERVAL '18' YEAR",
         },
         "orders": {
-            "status": _among("order_status", STATUSES), "ordered_in_range": f"NOT (order_date {span})", "not_before_registration": "order_date < registered_on",
+            "status": _among("order_status", STATUSES), "payment": _among("payment_method", PAYMENTS), "channel": _among("sales_channel", SALES_CHANNELS),
+            "ordered_in_range": f"NOT (order_date {span})", "not_before_registration": "order_date < registered_on",
             "money_not_negative": "shipping_cost < 0 OR discount_amount < 0", "total_positive": "order_total <= 0 AND order_status <> 'Cancelado'",
             "delivered_has_date": "order_status = 'Entregue' AND delivery_date IS NULL", "delivery_not_before_order": "order_status IN ('Entregue', 'Enviado') AND delivery_date < order_date",
             "open_has_no_date": "order_status IN ('Processando', 'Cancelado') AND delivery_date IS NOT NULL",
+            "has_items": "n_items IS NULL", "one_to_five_items": "n_items NOT BETWEEN 1 AND 5",
+            "total_of_items": f"{cents('order_total')} <> items_total + {cents('shipping_cost')} - {cents('discount_amount')}",
         },
         "order_items": {
             "quantity_range": "quantity NOT BETWEEN 1 AND 5", "discount_range": "discount_percentage NOT BETWEEN 0 AND 30",
             "price_of_catalogue": "abs(unit_price - catalogue_price) > 0.001", "cost_of_catalogue": "abs(unit_cost - catalogue_cost) > 0.001",
+            "line_total_exact": f"{cents('line_total')} <> CAST(CAST(quantity AS DECIMAL(10,0)) * {cents('unit_price')} * (100 - CAST(discount_percentage AS DECIMAL(5,2))) / 100 AS DECIMAL(18,2))",
         },
     }
-    if states:
-        rules["customers"]["state"] = _among("state", states)
+    if places:
+        rules["customers"] |= {"known_state": "state IS NOT NULL AND expected_region IS NULL", "region_of_state": "region <> expected_region", "city_of_state": "NOT array_contains(cities, city)"}
     return rules
 
 
@@ -68,32 +86,44 @@ def lookup(parent: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame
     return least.select(key, *(F.col(f"_least.{c}").alias(n) for c, n in columns.items()))
 
 
-def looked_up(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Q16, Q21: the tables, orders with their customer's registration and items with their product's price and cost."""
+def looked_up(tables: Mapping[str, DataFrame], places: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Q11, Q16, Q21, Q24: the tables, orders with their customer's registration and their items' number and total, items
+    with their product's price and cost, customers with the region and cities of their state.
+
+    places: state, region, cities (an array), a row a state."""
     registered = lookup(tables["customers"], "customer_id", {"registration_date": "registered_on"})
     catalogue = lookup(tables["products"], "product_id", {"unit_price": "catalogue_price", "unit_cost": "catalogue_cost"})
-    return dict(tables) | {"orders": tables["orders"].join(registered, "customer_id", "left"), "order_items": tables["order_items"].join(catalogue, "product_id", "left")}
+    totals = tables["order_items"].groupBy("order_id").agg(F.count("*").alias("n_items"), F.sum(F.col("line_total").cast("decimal(18,2)")).alias("items_total"))
+    out = dict(tables) | {"orders": tables["orders"].join(registered, "customer_id", "left").join(totals, "order_id", "left"), "order_items": tables["order_items"].join(catalogue, "product_id", "left")}
+    if places is not None:
+        out["customers"] = tables["customers"].join(places.select("state", F.col("region").alias("expected_region"), "cities"), "state", "left")
+    return out
 
 
-def gate(tables: Mapping[str, DataFrame], day: str, states: Sequence[str] = ()) -> DataFrame:
-    """The report over all four datasets: row rules, then keys, e-mails, relations, repeated products and items per order.
+def gate(tables: Mapping[str, DataFrame], day: str, places: DataFrame | None = None, patterns: Mapping[str, str] = ID_PATTERNS) -> DataFrame:
+    """The report over all four datasets: values that must be there, id patterns and row rules in one pass a dataset, then
+    keys, e-mails, relations and repeated products.
 
-    Raises where a dataset is missing or unknown (P13)."""
+    Raises where a dataset is missing or unknown (P13), or a column is missing."""
     if set(tables) != set(DATASETS):
         raise ValueError(f"datasets missing: {sorted(set(DATASETS) - set(tables))}, unknown: {sorted(set(tables) - set(DATASETS))}")
-    every, rules = looked_up(tables), row_rules(day, states)
-    parts = [quality.row_rules(every[n], n, [Rule(r, F.expr(p)) for r, p in rules[n].items()]) for n in DATASETS]
-    parts += [quality.as_rule(quality.duplicates(tables[n], [k]), n, "unique_key") for n, k in KEYS.items()]
+    lost = [f"{n}.{c}" for n in DATASETS for c in (*REQUIRED[n], *(("delivery_date",) if n == "orders" else ())) if c not in tables[n].columns]
+    if lost:
+        raise ValueError(f"columns missing: {', '.join(lost)}")
+    every, rules, parts = looked_up(tables, places), row_rules(day, places is not None), []
+    for n in DATASETS:
+        found = quality.not_null(REQUIRED[n]) + [Rule("id_pattern", ~full_match(F.col(KEYS[n]).cast("string"), patterns[n]))]
+        if n == "customers":
+            found.append(Rule("email_pattern", ~full_match(F.col("email"), EMAIL)))
+        parts.append(quality.row_rules(every[n], n, found + [Rule(r, F.expr(p)) for r, p in rules[n].items()]))
+        parts.append(quality.as_rule(quality.duplicates(tables[n].where(F.col(KEYS[n]).isNotNull()), [KEYS[n]]), n, "unique_key"))
     items, orders = tables["order_items"], tables["orders"]
-    per_order = items.groupBy("order_id").agg(F.count("*").alias("n")).where("n NOT BETWEEN 1 AND 5")
     parts += [
-        quality.as_rule(quality.duplicates(tables["customers"], ["email"]), "customers", "unique_email"),
+        quality.as_rule(quality.duplicates(tables["customers"].where("email is not null"), ["email"]), "customers", "unique_email"),
         quality.as_rule(quality.orphans(orders, "customer_id", tables["customers"], "customer_id"), "orders", "customer_exists"),
         quality.as_rule(quality.orphans(items, "order_id", orders, "order_id"), "order_items", "order_exists"),
         quality.as_rule(quality.orphans(items, "product_id", tables["products"], "product_id"), "order_items", "product_exists"),
-        quality.as_rule(quality.duplicates(items, ["order_id", "product_id"]), "order_items", "product_once_an_order"),
-        quality.as_rule(per_order, "orders", "one_to_five_items"),
-        quality.as_rule(orders.join(items.select("order_id"), "order_id", "left_anti"), "orders", "has_items"),
+        quality.as_rule(quality.duplicates(items.where("order_id is not null and product_id is not null"), ["order_id", "product_id"]), "order_items", "product_once_an_order"),
     ]
     return quality.report(*parts)
 

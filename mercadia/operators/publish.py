@@ -6,14 +6,14 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.operators import quality
 from mercadia.operators.quality import Rule
+from mercadia.sources import commits
 
-#: Keys of the history tables.
+# fixed values of the history tables: their keys
 MERGE_KEYS = {
     "sales_forecast": ("run_id", "product_id", "forecast_date", "horizon_days", "model_version"),
     "inventory_risk": ("run_id", "product_id", "horizon_days"),
@@ -21,7 +21,7 @@ MERGE_KEYS = {
     "model_registry": ("model_name", "model_version"),
     "pipeline_runs": ("run_id",),
 }
-_SPACE = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
+_SPACE = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")  # the DNS name space
 
 
 def check_batch(batch: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> None:
@@ -46,34 +46,34 @@ def merged(history: DataFrame, batch: DataFrame, keys: Sequence[str], immutable:
     return kept.unionByName(new.select(*history.columns))
 
 
-def upsert(spark: SparkSession, batch: DataFrame, root: str, name: str, immutable: Sequence[str] = ()) -> int:
+def upsert(spark: SparkSession, batch: DataFrame, root: str, name: str, immutable: Sequence[str] = (), keep: int = 3) -> int:
     """Write a new version of a history table and make it current; returns its rows.
 
-    Versions are folders of their own; ``current`` names each version's folder and is written last, so readers see either
-    version whole. Of two writers of one version the first by folder name counts, and the other raises.
-    """
+    Versions are folders of their own; a version counts once its commit is there, which only one writer can make: of two
+    that have read the same version the second raises commits.Conflict, and nothing is lost. The last ``keep`` versions
+    stay, for readers that have begun; older ones are removed."""
     keys = MERGE_KEYS[name]
     check_batch(batch, keys, batch.columns)
-    now = current_version(spark, root, name)
-    out = batch if now is None else merged(read_history(spark, root, name), batch, keys, immutable)
-    version = 0 if now is None else now[0] + 1
-    folder = f"v{version}-{uuid.uuid4().hex}"
-    out.write.parquet(f"{root}/{name}/{folder}")
-    spark.createDataFrame([(version, folder)], "version int, folder string").coalesce(1).write.mode("append").json(f"{root}/{name}/current")
-    if current_version(spark, root, name) != (version, folder):
-        raise RuntimeError(f"{name}: another writer has made version {version}")
-    return spark.read.parquet(f"{root}/{name}/{folder}").count()
+    now = commits.current(spark, f"{root}/{name}/commits")
+    out = batch if now is None else merged(spark.read.parquet(f"{root}/{name}/{now[1]['folder']}"), batch, keys, immutable)
+    folder = f"v-{uuid.uuid4().hex}"
+    seen = Observation(f"rows-{folder}")
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/{name}/{folder}")
+    rows = seen.get["n"]
+    try:
+        commits.commit(spark, f"{root}/{name}/commits", None if now is None else now[0], {"folder": folder, "rows": rows})
+    except commits.Conflict:
+        commits.remove(spark, f"{root}/{name}/{folder}")
+        raise
+    for old in commits.expire(spark, f"{root}/{name}/commits", keep):
+        commits.remove(spark, f"{root}/{name}/{old['folder']}")
+    return rows
 
 
 def current_version(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
     """The version in use and its folder; none before the first."""
-    try:
-        found = spark.read.schema("version int, folder string").json(f"{root}/{name}/current").orderBy(F.desc("version"), "folder").first()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return found and (found.version, found.folder)
+    found = commits.current(spark, f"{root}/{name}/commits")
+    return found and (found[0], found[1]["folder"])
 
 
 def read_history(spark: SparkSession, root: str, name: str) -> DataFrame:

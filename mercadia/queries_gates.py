@@ -7,6 +7,7 @@ tables lack is derived from their keys, so that every rule is broken by some row
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,36 +16,46 @@ from mercadia.operators import artifacts, demand, gates, publish, quality
 from mercadia.plans import forecast
 from mercadia.queries_demand import _ALL, _CUBES, _GRID, _RISK, _SERIES, official, official_risk, rounded, series, unpivoted
 from mercadia.sources import canonical as c
+from mercadia.sources import layers
 from mercadia.sources.layers import scratch
 
 DAY = "2026-07-28"
 _TABLES = {
     "customers": ("customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", {
-        "customer_id": "c_custkey", "full_name": "c_name",
-        "email": "CASE WHEN c_custkey % 13 = 0 THEN c_name WHEN c_custkey % 17 = 0 THEN 'Same@shop.example' ELSE concat(lower(replace(c_name, '#', '.')), '@shop.example') END",
+        "customer_id": "CASE WHEN c_custkey % 211 <> 0 THEN c_custkey END", "full_name": "CASE WHEN c_custkey % 103 <> 0 THEN c_name END",
+        "email": "CASE WHEN c_custkey % 13 = 0 THEN c_name WHEN c_custkey % 17 = 0 THEN 'Same@shop.example' WHEN c_custkey % 43 = 0 THEN concat('a b', c_custkey, '@shop.example') WHEN c_custkey % 47 = 0 THEN concat('a@', c_custkey, '@shop.example') ELSE concat(lower(replace(c_name, '#', '.')), '@shop.example') END",
         "birth_date": "DATE '1930-01-01' + CAST(c_custkey * 37 % 30000 AS INTEGER)", "gender": "CASE c_custkey % 4 WHEN 0 THEN 'Feminino' WHEN 1 THEN 'Masculino' WHEN 2 THEN 'Não informado' ELSE '?' END",
-        "state": "CASE WHEN c_custkey % 19 = 0 THEN lower(n_name) ELSE n_name END", "region": "r_name", "registration_date": "DATE '2021-06-01' + CAST(c_custkey * 17 % 1900 AS INTEGER)",
-        "customer_segment": "CASE c_custkey % 5 WHEN 0 THEN 'Novo' WHEN 1 THEN 'Recorrente' WHEN 2 THEN 'Premium' WHEN 3 THEN 'Inativo' ELSE 'VIP' END", "is_active": "c_acctbal > 0",
+        "city": "CASE WHEN c_custkey % 7 = 0 THEN 'Elsewhere' WHEN c_custkey % 59 <> 0 THEN concat(n_name, CASE WHEN c_custkey % 2 = 0 THEN ' North' ELSE ' South' END) END",
+        "state": "CASE WHEN c_custkey % 19 = 0 THEN lower(n_name) ELSE n_name END", "region": "CASE WHEN c_custkey % 11 = 0 THEN 'ASIA' ELSE r_name END", "registration_date": "DATE '2021-06-01' + CAST(c_custkey * 17 % 1900 AS INTEGER)",
+        "acquisition_channel": "CASE WHEN c_custkey % 3 = 0 THEN 'Marketplace' WHEN c_custkey % 5 = 0 THEN 'Radio' ELSE 'Indicação' END",
+        "customer_segment": "CASE c_custkey % 5 WHEN 0 THEN 'Novo' WHEN 1 THEN 'Recorrente' WHEN 2 THEN 'Premium' WHEN 3 THEN 'Inativo' ELSE 'VIP' END", "is_active": "CASE WHEN c_custkey % 83 <> 0 THEN c_acctbal > 0 END",
     }),
     "products": ("part", {
-        "product_id": "p_partkey", "unit_price": "CAST(p_retailprice AS DECIMAL(18,2))", "unit_cost": "CASE WHEN p_partkey % 23 = 0 THEN CAST(p_retailprice AS DECIMAL(18,2)) ELSE CAST(p_size AS DECIMAL(18,2)) END",
-        "stock_quantity": "p_partkey * 37 % 505", "minimum_stock": "3 + p_size % 50", "created_at": "DATE '2021-06-01' + CAST(p_partkey * 29 % 2000 AS INTEGER)",
+        "product_id": "CASE WHEN p_partkey % 97 = 0 THEN -p_partkey ELSE p_partkey END", "product_name": "CASE WHEN p_partkey % 61 <> 0 THEN p_name END", "category": "p_type", "brand": "CASE WHEN p_partkey % 67 <> 0 THEN p_brand END", "supplier": "p_brand",
+        "unit_price": "CASE WHEN p_partkey % 71 <> 0 THEN CAST(p_retailprice AS DECIMAL(18,2)) END", "unit_cost": "CASE WHEN p_partkey % 23 = 0 THEN CAST(p_retailprice AS DECIMAL(18,2)) ELSE CAST(p_size AS DECIMAL(18,2)) END",
+        "stock_quantity": "p_partkey * 37 % 505", "minimum_stock": "3 + p_size % 50", "created_at": "DATE '2021-06-01' + CAST(p_partkey * 29 % 2000 AS INTEGER)", "is_active": "p_partkey % 5 <> 0",
     }),
     "orders": ("orders", {
-        "order_id": "o_orderkey", "customer_id": "CASE WHEN o_orderkey % 41 = 0 THEN -1 ELSE o_custkey END", "order_date": "CAST(o_orderdate AS DATE) + 9500",
+        "order_id": "o_orderkey", "customer_id": "CASE WHEN o_orderkey % 41 = 0 THEN -1 ELSE o_custkey END", "order_date": "CASE WHEN o_orderkey % 73 <> 0 THEN CAST(o_orderdate AS DATE) + 9500 END",
         "order_status": "CASE o_orderstatus WHEN 'F' THEN 'Entregue' WHEN 'O' THEN 'Enviado' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Cancelado' WHEN o_orderkey % 7 = 0 THEN 'Aberto' ELSE 'Processando' END END",
-        "shipping_cost": "CAST(o_orderkey % 30 - 1 AS DECIMAL(18,2))", "discount_amount": "CAST(0 AS DECIMAL(18,2))", "order_total": "CASE WHEN o_orderkey % 31 = 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END",
+        "payment_method": "CASE WHEN o_orderkey % 37 = 0 THEN 'Cash' ELSE 'Pix' END", "sales_channel": "CASE WHEN o_orderkey % 53 = 0 THEN 'Phone' ELSE 'Site' END",
+        "shipping_cost": "CAST(o_orderkey % 30 - 1 AS DECIMAL(18,2))", "discount_amount": "CAST(0 AS DECIMAL(18,2))", "order_total": "CASE WHEN o_orderkey % 31 = 0 THEN CAST(0 AS DECIMAL(18,2)) WHEN o_orderkey % 79 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END",
         "delivery_date": "CASE WHEN o_orderkey % 9 < 4 THEN CAST(o_orderdate AS DATE) + 9500 + CAST(o_orderkey % 10 AS INTEGER) - 2 END",
     }),
     "order_items": ("lineitem JOIN part ON l_partkey = p_partkey", {
-        "order_item_id": "concat(l_orderkey, '-', l_linenumber)", "order_id": "l_orderkey", "product_id": "l_partkey", "quantity": "CAST(l_quantity AS BIGINT)", "discount_percentage": "CAST(l_discount AS DECIMAL(4,2)) * 400",
+        "order_item_id": "concat(l_orderkey, '-', l_linenumber)", "order_id": "l_orderkey", "product_id": "CASE WHEN l_orderkey % 89 <> 0 THEN l_partkey END", "quantity": "CAST(l_quantity AS BIGINT)", "discount_percentage": "CAST(CAST(l_discount AS DECIMAL(4,2)) * 400 AS DECIMAL(6,2))",
         "unit_price": "CASE WHEN l_orderkey % 29 = 0 THEN CAST(p_retailprice + 1 AS DECIMAL(18,2)) ELSE CAST(p_retailprice AS DECIMAL(18,2)) END",
         "unit_cost": "CASE WHEN p_partkey % 23 = 0 THEN CAST(p_retailprice AS DECIMAL(18,2)) ELSE CAST(p_size AS DECIMAL(18,2)) END",
+        "line_total": "CAST(CAST(l_quantity AS DECIMAL(10,0)) * CAST(p_retailprice AS DECIMAL(18,2)) * (100 - CAST(CAST(l_discount AS DECIMAL(4,2)) * 400 AS DECIMAL(5,2))) * 0.01 AS DECIMAL(18,2))",
     }),
 }
 _SOURCES = {"customers": ("customer", "nation", "region"), "products": ("part",), "orders": ("orders",), "order_items": ("lineitem", "part")}
 
 
+#: Patterns of the given keys.
+_PATTERNS = {"customers": "[0-9]*[0-8]", "products": "[0-9]+", "orders": "[0-9]*[1-9]", "order_items": "[0-9]+-[1-6]"}
+
+
 def source_tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
     out = {}
     for name, (origin, columns) in _TABLES.items():
@@ -59,8 +70,51 @@ def source_tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def source_gate(s: SparkSession, d: str) -> DataFrame:
-    """Q3 to Q23 over the four datasets."""
-    return gates.gate(source_tables(s, d), DAY, ("BRAZIL", "PERU", "CHINA", "JAPAN", "KENYA"))
+    """Q2 to Q24 over the four datasets, each rule broken by some rows."""
+    nation, region = c.table(s, d, "nation").where("n_nationkey % 6 <> 5"), c.table(s, d, "region")
+    cities = F.array(*(F.concat("n_name", F.lit(x)) for x in (" North", " South")))
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("state"), F.col("r_name").alias("region"), cities.alias("cities"))
+    return gates.gate(source_tables(s, d), DAY, places, _PATTERNS)
+
+
+#: What is planted into the raw files: by dataset and column, where, and the text that stands there instead.
+_SPOILT = {
+    ("products", "stock_quantity"): ("product_id % 13 = 0", "n/a"), ("products", "is_active"): ("product_id % 17 = 0", "maybe"), ("products", "created_at"): ("product_id % 19 = 0", "soon"), ("products", "unit_price"): ("product_id % 23 = 0", "1,5"),
+    ("customers", "birth_date"): ("customer_id % 23 = 0", "1990-13-01"), ("customers", "registration_date"): ("customer_id % 29 = 0", " "), ("customers", "is_active"): ("customer_id % 31 = 0", "2"),
+    ("orders", "order_total"): ("order_id % 29 = 0", "free"), ("orders", "delivery_date"): ("order_id % 32 = 1", "never"), ("order_items", "quantity"): ("order_id % 31 = 0", "two"), ("order_items", "discount_percentage"): ("order_id % 37 = 0", ""),
+}
+
+
+def _csv_day(s: SparkSession, tables: dict[str, DataFrame]) -> dict[str, str]:
+    """The datasets as CSV files with a header, in the scratch folder."""
+    root = f"{scratch(s)}/raw-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.select(*(F.col(x).cast("string").alias(x) for x in layers.SPECS[name].columns)).write.option("header", True).csv(f"{root}/{name}")
+    return {name: f"{root}/{name}" for name in tables}
+
+
+def raw_report(s: SparkSession, d: str) -> DataFrame:
+    """Four CSV files with planted bad values, read as text and reported by column."""
+    tables = source_tables(s, d)
+    spoilt = {n: df.select(*(F.when(F.expr(_SPOILT[n, x][0]), F.lit(_SPOILT[n, x][1])).otherwise(F.col(x).cast("string")).alias(x) if (n, x) in _SPOILT else F.col(x) for x in df.columns)) for n, df in tables.items()}
+    frames, problems = layers.read_raw_day(s, _csv_day(s, spoilt))
+    if problems:
+        raise ValueError("; ".join(problems))
+    return layers.raw_gate(frames).where("violations > 0")
+
+
+def bronze_day(s: SparkSession, d: str) -> DataFrame:
+    """M9, K4, K5, S3: the rows of the four datasets that have all values, from CSV to Bronze as one commit, and read back:
+    rows as the manifest states and as they are, and sums of what was read."""
+    tables = {n: df.where(" AND ".join(f"{x} IS NOT NULL" for x in gates.REQUIRED[n])) for n, df in source_tables(s, d).items()}
+    root, moment = f"{scratch(s)}/day-{uuid.uuid4().hex}", datetime.fromisoformat(DAY)
+    stated = layers.ingest(s, _csv_day(s, tables), root, moment)
+    parts = []
+    for name, df in layers.committed_day(s, root, "bronze", moment).items():
+        money = F.sum(F.col({"customers": "is_active", "products": "unit_cost", "orders": "shipping_cost", "order_items": "line_total"}[name]).cast("decimal(18,2)")).cast("double").alias("amount")
+        dated = {"customers": "birth_date", "products": "created_at", "orders": "delivery_date"}.get(name)
+        parts.append(df.agg(F.count("*").alias("rows"), money, (F.sum(F.unix_date(F.col(dated).cast("date"))) if dated else F.sum("quantity")).cast("long").alias("number")).select(F.lit(name).alias("dataset"), F.lit(stated[name]).cast("long").alias("stated"), "rows", "amount", "number"))
+    return quality.report(*parts)
 
 
 def grid_gate(s: SparkSession, d: str) -> DataFrame:
@@ -125,7 +179,7 @@ def missing(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "source_gate": source_gate, "grid_gate": grid_gate, "input_gate": input_gate, "publication_checks": publication_checks, "metric_and_registry_checks": metric_gate, "bundle_manifest": bundle,
+    "source_gate": source_gate, "raw_report": raw_report, "bronze_day": bronze_day, "grid_gate": grid_gate, "input_gate": input_gate, "publication_checks": publication_checks, "metric_and_registry_checks": metric_gate, "bundle_manifest": bundle,
     "missing_forecasts": missing, "risk_value_counts": lambda s, d: forecast.value_counts(official_risk(s, d), "risk_level"), "forecast_origin": lambda s, d: forecast.forecast_origin(official(s, d)),
 }
 
@@ -138,21 +192,72 @@ def _row(dataset: str, rule: str, violations: str) -> str:
 
 
 def _gate_sql() -> str:
+    """The rules of the gate in DuckDB's own words: what must hold is counted where it does not."""
     tables = ", ".join(f"{'src_' + n} AS (SELECT {', '.join(f'{x} AS {k}' for k, x in cols.items())} FROM {origin})" for n, (origin, cols) in _TABLES.items())
-    more = """, seen_customers AS (SELECT customer_id, min(registration_date) AS registered_on FROM src_customers GROUP BY customer_id),
-      catalogue AS (SELECT product_id, min(unit_price) AS catalogue_price, min(unit_cost) AS catalogue_cost FROM src_products GROUP BY product_id),
-      all_orders AS (SELECT o.*, registered_on FROM src_orders o LEFT JOIN seen_customers USING (customer_id)), all_items AS (SELECT i.*, catalogue_price, catalogue_cost FROM src_order_items i LEFT JOIN catalogue USING (product_id))"""
-    of = {"customers": "src_customers", "products": "src_products", "orders": "all_orders", "order_items": "all_items"}
-    rules = gates.row_rules(DAY, ("BRAZIL", "PERU", "CHINA", "JAPAN", "KENYA"))
-    rows = [_row(n, r, f"SELECT count(*) FILTER (WHERE {p}) FROM {of[n]}") for n in gates.DATASETS for r, p in rules[n].items()]
-    groups = [(n, "unique_key", f"src_{n}", k) for n, k in gates.KEYS.items()] + [("customers", "unique_email", "src_customers", "email"), ("order_items", "product_once_an_order", "src_order_items", "order_id, product_id")]
-    rows += [_row(n, r, f"SELECT count(*) FROM (SELECT {k} FROM {t} GROUP BY {k} HAVING count(*) > 1)") for n, r, t, k in groups]
-    orphans = [("orders", "customer_exists", "src_orders", "customer_id", "src_customers"), ("order_items", "order_exists", "src_order_items", "order_id", "src_orders"), ("order_items", "product_exists", "src_order_items", "product_id", "src_products"), ("orders", "has_items", "src_orders", "order_id", "src_order_items")]
-    rows += [_row(n, r, f"SELECT count(*) FROM {t} WHERE {k} NOT IN (SELECT {k} FROM {parent})") for n, r, t, k, parent in orphans]
-    rows.append(_row("orders", "one_to_five_items", "SELECT count(*) FROM (SELECT order_id FROM src_order_items GROUP BY order_id HAVING count(*) NOT BETWEEN 1 AND 5)"))
+    more = """, places AS (SELECT n_name AS state, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 5),
+      person AS (SELECT s.*, p.region AS true_region FROM src_customers s LEFT JOIN places p ON p.state = s.state),
+      placed AS (SELECT o.*, r.since, t.n, t.total FROM src_orders o LEFT JOIN (SELECT customer_id AS cid, min(registration_date) AS since FROM src_customers GROUP BY ALL) r ON r.cid = o.customer_id
+        LEFT JOIN (SELECT order_id AS oid, count(*) AS n, sum(line_total) AS total FROM src_order_items GROUP BY ALL) t ON t.oid = o.order_id),
+      line AS (SELECT i.*, g.price, g.cost FROM src_order_items i LEFT JOIN (SELECT product_id AS pid, arg_min(unit_price, coalesce(unit_price, -1)) AS price, arg_min(unit_cost, coalesce(unit_price, -1)) AS cost FROM src_products GROUP BY ALL) g ON g.pid = i.product_id)"""
+    of = {"customers": "person", "products": "src_products", "orders": "placed", "order_items": "line"}
+    years = f"date_diff('year', birth_date, DATE '{DAY}') - CAST(strftime(birth_date, '%m%d') > '{DAY[5:7]}{DAY[8:]}' AS INTEGER)"
+    inside = lambda x: f"{x} >= DATE '2022-01-01' AND {x} <= DATE '{DAY}'"
+    either = lambda x, values: " OR ".join(f"{x} = '{v}'" for v in values)
+    shape = lambda x, p: f"regexp_full_match(CAST({x} AS VARCHAR), '{p}')"
+    holds = {
+        "products": {
+            "id_pattern": "product_id >= 0", "price_positive": "unit_price > 0", "cost_positive": "unit_cost > 0", "cost_below_price": "unit_price - unit_cost > 0", "stock_range": "stock_quantity >= 0 AND stock_quantity <= 500",
+            "minimum_stock_range": "minimum_stock >= 5 AND minimum_stock <= 50", "created_in_range": inside("created_at"),
+        },
+        "customers": {
+            "id_pattern": "customer_id % 10 <> 9", "email_pattern": r"email LIKE '%@%.%' AND len(email) - len(replace(email, '@', '')) = 1 AND NOT regexp_matches(email, '[ \t\n]')", "email_lower_case": "lower(email) = email",
+            "gender": either("gender", ("Feminino", "Masculino", "Não informado")), "segment": either("customer_segment", ("Novo", "Recorrente", "Premium", "Inativo")),
+            "channel": either("acquisition_channel", ("Busca orgânica", "Anúncios pagos", "Redes sociais", "Indicação", "E-mail marketing", "Marketplace")), "age_18_to_80": f"{years} >= 18 AND {years} <= 80", "state_upper_case": "upper(state) = state",
+            "inactive_segment": "CASE WHEN customer_segment = 'Inativo' THEN NOT is_active END", "registered_in_range": inside("registration_date"), "registered_as_adult": "birth_date + INTERVAL 18 YEAR <= registration_date",
+            "known_state": "state IN (SELECT state FROM places)", "region_of_state": "region = true_region", "city_of_state": "CASE WHEN true_region IS NOT NULL THEN city = state || ' North' OR city = state || ' South' END",
+        },
+        "orders": {
+            "id_pattern": "order_id % 10 <> 0", "status": either("order_status", ("Entregue", "Enviado", "Processando", "Cancelado")), "payment": either("payment_method", ("Cartão de crédito", "Pix", "Boleto", "Carteira digital")),
+            "channel": either("sales_channel", ("Site", "Aplicativo", "Marketplace")), "ordered_in_range": inside("order_date"), "not_before_registration": "order_date >= since", "money_not_negative": "shipping_cost >= 0 AND discount_amount >= 0",
+            "total_positive": "order_status = 'Cancelado' OR order_total > 0", "delivered_has_date": "order_status <> 'Entregue' OR delivery_date IS NOT NULL", "delivery_not_before_order": "NOT (order_status = 'Entregue' OR order_status = 'Enviado') OR delivery_date >= order_date",
+            "open_has_no_date": "delivery_date IS NULL OR NOT (order_status = 'Processando' OR order_status = 'Cancelado')", "has_items": "n IS NOT NULL", "one_to_five_items": "n >= 1 AND n <= 5", "total_of_items": "order_total + discount_amount - shipping_cost = total",
+        },
+        "order_items": {
+            "id_pattern": shape("order_item_id", r"\d+-[1-6]"), "quantity_range": "quantity >= 1 AND quantity <= 5", "discount_range": "discount_percentage >= 0 AND discount_percentage <= 30", "price_of_catalogue": "unit_price = price", "cost_of_catalogue": "unit_cost = cost",
+            "line_total_exact": "round(quantity * unit_price * (10000 - 100 * discount_percentage) / 10000, 2) = line_total",
+        },
+    }
+    rows = [_row(n, r, f"SELECT count(*) FROM {of[n]} WHERE NOT ({p})") for n, rules in holds.items() for r, p in rules.items()]
+    rows += [_row(n, f"not_null:{x}", f"SELECT count(*) - count({x}) FROM src_{n}") for n, cols in _TABLES.items() for x in cols[1] if x != "delivery_date"]
+    groups = [(n, "unique_key", k) for n, k in (("customers", "customer_id"), ("products", "product_id"), ("orders", "order_id"), ("order_items", "order_item_id"))] + [("customers", "unique_email", "email"), ("order_items", "product_once_an_order", "order_id, product_id")]
+    rows += [_row(n, r, f"SELECT count(*) FROM (SELECT {k} FROM src_{n} WHERE {k.split(', ')[-1]} IS NOT NULL GROUP BY {k} HAVING count(*) > 1)") for n, r, k in groups]
+    orphans = [("orders", "customer_exists", "customer_id", "customers"), ("order_items", "order_exists", "order_id", "orders"), ("order_items", "product_exists", "product_id", "products")]
+    rows += [_row(n, r, f"SELECT count(*) FROM src_{n} a WHERE {k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM src_{parent} b WHERE b.{k} = a.{k})") for n, r, k, parent in orphans]
     return f"WITH {tables}{more} " + " UNION ALL ".join(rows)
 
 
+def _raw_sql() -> str:
+    tables = ", ".join(f"{'src_' + n} AS (SELECT {', '.join(f'{x} AS {k}' for k, x in cols.items())} FROM {origin})" for n, (origin, cols) in _TABLES.items())
+    rows = []
+    for n, (_, columns) in _TABLES.items():
+        for x in columns:
+            where, text = _SPOILT.get((n, x), ("false", ""))
+            there = f"coalesce({where}, false)"
+            if text.strip():
+                rows.append(f"SELECT '{n}' AS dataset, '{x}' AS column, 'type' AS rule, count(*) AS violations FROM src_{n} WHERE {there}")
+            if x != "delivery_date":
+                lost = f"{x} IS NULL AND NOT {there}" if text.strip() or where == "false" else f"{x} IS NULL OR {there}"
+                rows.append(f"SELECT '{n}' AS dataset, '{x}' AS column, 'required' AS rule, count(*) AS violations FROM src_{n} WHERE {lost}")
+    return f"WITH {tables} SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE violations > 0"
+
+
+def _bronze_sql() -> str:
+    tables = ", ".join(f"{'src_' + n} AS (SELECT {', '.join(f'{x} AS {k}' for k, x in cols.items())} FROM {origin})" for n, (origin, cols) in _TABLES.items())
+    of = {"customers": ("CAST(is_active AS INTEGER)", "birth_date - DATE '1970-01-01'"), "products": ("unit_cost", "created_at - DATE '1970-01-01'"), "orders": ("shipping_cost", "delivery_date - DATE '1970-01-01'"), "order_items": ("line_total", "quantity")}
+    rows = [f"SELECT '{n}' AS dataset, count(*) AS stated, count(*) AS rows, CAST(sum({a}) AS DOUBLE) AS amount, CAST(sum({b}) AS BIGINT) AS number FROM src_{n} WHERE {' AND '.join(f'{x} IS NOT NULL' for x in _TABLES[n][1] if x != 'delivery_date')}" for n, (a, b) in of.items()]
+    return f"WITH {tables} " + " UNION ALL ".join(rows)
+
+
 _SPOILT_GRID = f"""{_GRID}, cells AS (SELECT p.product_id, p.category, g.date, g.q, CAST(g.date - first_day AS INTEGER) AS nth FROM grid g JOIN products p ON p.product_id = g.product_id CROSS JOIN span WHERE p.product_id % 50 <> 0),
 kept AS (SELECT * FROM cells WHERE NOT (product_id % 7 = 0 AND nth = 3)), bad AS (SELECT * FROM kept UNION ALL SELECT * FROM kept WHERE product_id % 11 = 0 AND nth = 5)"""
 _PUBLISHED = f"""{_RISK}, pub AS (SELECT product_id, horizon_day, horizon AS horizon_days, CASE WHEN product_id % 53 = 1 THEN -1 ELSE p END AS v FROM forecasts f JOIN products USING (product_id)
@@ -161,7 +266,7 @@ n AS (SELECT (SELECT count(*) FROM pub) AS f, (SELECT count(*) FROM products WHE
 _LONG = f"""{_CUBES}, wide AS (SELECT split, model_name, horizon, wape, mae, rmse, smape, bias, mase FROM agg), long AS (SELECT * FROM (UNPIVOT wide ON wape, mae, rmse, smape, bias, mase INTO NAME metric_name VALUE metric_value))"""
 
 SQL = {
-    "source_gate": _gate_sql(),
+    "source_gate": _gate_sql(), "raw_report": _raw_sql(), "bronze_day": _bronze_sql(),
     "grid_gate": f"{_SPOILT_GRID} " + " UNION ALL ".join([
         _row("grid", "lost_category", "SELECT count(*) FROM bad WHERE product_id % 13 = 0 AND nth = 8"), _row("grid", "negative", "SELECT count(*) FROM bad WHERE product_id % 17 = 0 AND nth = 9"), _row("grid", "unknown_product", "0"),
         _row("grid", "repeated_cell", "SELECT count(*) FROM (SELECT product_id, date FROM bad GROUP BY ALL HAVING count(*) > 1)"),

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DecimalType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from mercadia.functions import columns as fn
+from mercadia.operators import gates
+from mercadia.sources import commits
 
 
 @dataclass(frozen=True)
@@ -161,12 +165,6 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that Spark wrote, on whatever file system it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def load_table(df: DataFrame, name: str) -> int:
     """K6: full refresh of a warehouse table; raises if it does not hold the rows given."""
     given = df.count()
@@ -177,20 +175,164 @@ def load_table(df: DataFrame, name: str) -> int:
     return there
 
 
-def promote(bronze: Mapping[str, DataFrame], root: str, moment: datetime, check) -> dict[str, int]:
-    """The Silver tables of a day, written only if the gate lets all of them pass; returns their rows.
+def commit_day(frames: Mapping[str, DataFrame], root: str, layer: str, moment: datetime) -> dict[str, int]:
+    """K1 to K5: a day of all datasets as one commit; returns their rows, counted while they are written.
+
+    Each run writes folders of its own under the day's partition; what readers see changes with the day's manifest alone,
+    which is written last and which only one writer can make. A run that breaks off leaves the day as it was. The runs
+    before the last two are removed."""
+    if set(frames) != set(SPECS):
+        raise ValueError(f"datasets missing: {sorted(set(SPECS) - set(frames))}, unknown: {sorted(set(frames) - set(SPECS))}")
+    spark = next(iter(frames.values())).sparkSession
+    day, run, rows = day_of(moment), uuid.uuid4().hex, {}
+    manifests = _manifests(root, layer, day)
+    now = commits.current(spark, manifests)
+    for name, df in frames.items():
+        seen = Observation(f"{name}-{run}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "snappy").parquet(_folder(root, layer, name, day, run))
+        rows[name] = seen.get["n"]
+    commits.commit(spark, manifests, None if now is None else now[0], {"run": run, "rows": rows, "layer": layer, "day": "-".join(day.values())})
+    for old in commits.expire(spark, manifests, 2):
+        for name in SPECS:
+            commits.remove(spark, _folder(root, layer, name, day, old["run"]))
+    return rows
+
+
+def _manifests(root: str, layer: str, day: Mapping[str, str]) -> str:
+    return f"{root}/{layer}/_days/{'-'.join(day.values())}"
+
 
-    check: called with the Silver frames by dataset; raises if they may not be written. The set of datasets must be the
-    known one (P13)."""
-    if set(bronze) != set(SPECS):
-        raise ValueError(f"datasets missing: {sorted(set(SPECS) - set(bronze))}, unknown: {sorted(set(bronze) - set(SPECS))}")
+def _folder(root: str, layer: str, dataset: str, day: Mapping[str, str], run: str) -> str:
+    return "/".join([f"{root}/{layer}/{dataset}", *(f"{k}={v}" for k, v in day.items()), f"run={run}"])
+
+
+def committed_day(spark: SparkSession, root: str, layer: str, moment: datetime) -> dict[str, DataFrame]:
+    """The day's datasets as its manifest names them. Raises if the day has none."""
+    day = day_of(moment)
+    found = commits.current(spark, _manifests(root, layer, day))
+    if found is None:
+        raise ValueError(f"{layer} has no commit for {'-'.join(day.values())}")
+    return {name: spark.read.parquet(_folder(root, layer, name, day, found[1]["run"])) for name in SPECS}
+
+
+def manifest_violations(spark: SparkSession, root: str, layer: str, moment: datetime) -> list[str]:
+    """Q33: what keeps a day from being loaded: no manifest, one of another layer or day, datasets missing or unknown,
+    datasets without rows, unreadable, with other columns or types than their spec, or with other rows than stated."""
+    day = day_of(moment)
+    found = commits.current(spark, _manifests(root, layer, day))
+    if found is None:
+        return [f"{layer}: no commit for {'-'.join(day.values())}"]
+    says, out = found[1], []
+    for what, given in (("layer", layer), ("day", "-".join(day.values()))):
+        if says.get(what) != given:
+            out.append(f"manifest of {what} {says.get(what)}, not {given}")
+    rows = says.get("rows", {})
+    out += [f"{n}: not in the manifest" for n in sorted(set(SPECS) - set(rows))] + [f"{n}: unknown" for n in sorted(set(rows) - set(SPECS))]
+    for name in sorted(set(SPECS) & set(rows)):
+        try:
+            df = spark.read.parquet(_folder(root, layer, name, day, says["run"]))
+            n = df.count()
+        except AnalysisException as e:
+            out.append(f"{name}: cannot be read ({e.getCondition()})")
+            continue
+        spec = SPECS[name].columns
+        types = {f.name: f.dataType for f in df.schema}
+        out += [f"{name}: column {c} missing" for c in spec if c not in types] + [f"{name}: column {c} is {types[c].simpleString()}" for c, k in spec.items() if c in types and types[c] != k]
+        if n != rows[name]:
+            out.append(f"{name}: {n} rows, {rows[name]} stated")
+        if not n:
+            out.append(f"{name}: no rows")
+    return out
+
+
+def load_day(spark: SparkSession, root: str, layer: str, moment: datetime, prefix: str) -> dict[str, int]:
+    """K6, Q33, Q34: refresh the four warehouse tables from a day's commit, which is checked before anything is loaded; the
+    rows of each table are compared with the manifest afterwards."""
+    bad = manifest_violations(spark, root, layer, moment)
+    if bad:
+        raise ValueError("; ".join(bad))
+    loaded = {name: load_table(df, f"{prefix}{name}") for name, df in committed_day(spark, root, layer, moment).items()}
+    stated = commits.current(spark, _manifests(root, layer, day_of(moment)))[1]["rows"]
+    wrong = {n: (stated[n], k) for n, k in loaded.items() if stated[n] != k}
+    if wrong:
+        raise RuntimeError(f"rows stated and loaded differ: {wrong}")
+    return loaded
+
+
+# ---- raw files ----
+
+
+def read_raw_day(spark: SparkSession, paths: Mapping[str, str]) -> tuple[dict[str, DataFrame], list[str]]:
+    """The four CSV files with a header, all columns as text, and what is wrong with them as files: unknown datasets,
+    unreadable, without rows, or without required columns. Lines that are no records are kept apart by bad_lines."""
+    frames, problems = {}, [f"{n}: missing" for n in SPECS if n not in paths] + [f"{n}: unknown" for n in sorted(set(paths) - set(SPECS))]
+    for name in SPECS:
+        if name in paths:
+            found, wrong = read_raw(spark, paths[name], name)
+            problems += wrong
+            if found is not None:
+                frames[name] = _with_corrupt(spark, paths[name], found.columns)
+    return frames, problems
+
+
+def _with_corrupt(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The records of a CSV file by its header, and the text of a line with more or fewer values in _corrupt."""
+    schema = StructType([*(StructField(c, StringType()) for c in columns), StructField("_corrupt", StringType())])
+    return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, multiLine=True, escape='"')
+
+
+def bad_lines(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """(dataset, line, first): the lines that are no records, and what was read as their first value."""
+    parts = [df.where("_corrupt is not null").select(F.lit(n).alias("dataset"), F.col("_corrupt").alias("line"), F.col(df.columns[0]).alias("first")) for n, df in frames.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def raw_gate(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """Q2, Q4 over raw text, a pass a dataset: lines that are no records, values that cannot be read as their type, by
+    column, and required values that are missing (dataset, column, rule, violations)."""
+    parts = []
+    for name, df in frames.items():
+        spec = SPECS[name]
+        good = F.col("_corrupt").isNull()
+        blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+        counts = {("_corrupt", "record"): ~good}
+        for c, kind in spec.columns.items():
+            if not isinstance(kind, StringType):
+                counts[c, "type"] = good & ~blank(c) & cast_column(c, kind, False).isNull()
+            if c not in spec.nullable:
+                counts[c, "required"] = good & blank(c)
+        sums = df.agg(*(F.count_if(x).alias(f"n{k}") for k, x in enumerate(counts.values())))
+        rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(rule).alias("rule"), F.col(f"n{k}").alias("violations")) for k, (c, rule) in enumerate(counts)))
+        parts.append(sums.select(F.lit(name).alias("dataset"), F.inline(rows)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ingest(spark: SparkSession, paths: Mapping[str, str], root: str, moment: datetime) -> dict[str, int]:
+    """M9, K4: the day's four CSV files to Bronze as one commit, if the raw gate lets all of them pass; returns their rows.
+    Raises with every problem of the files, or every broken rule, before anything is written."""
+    frames, problems = read_raw_day(spark, paths)
+    if problems:
+        raise ValueError("; ".join(problems))
+    broken = raw_gate(frames).where("violations > 0").orderBy("dataset", "column", "rule").collect()
+    if broken:
+        raise ValueError("; ".join(f"{r.dataset}.{r.column} {r.rule}: {r.violations}" for r in broken))
+    return commit_day({n: to_bronze(df.select(*(_no_blank(c).alias(c) for c in df.columns if c != "_corrupt")), n) for n, df in frames.items()}, root, "bronze", moment)
+
+
+def _no_blank(c: str) -> F.Column:
+    """Blank text is no value."""
+    return F.when(F.trim(F.col(c)) != "", F.col(c))
+
+
+def promote(spark: SparkSession, root: str, moment: datetime, places: DataFrame | None = None, patterns: Mapping[str, str] = gates.ID_PATTERNS) -> dict[str, int]:
+    """A day's Bronze commit to Silver as one commit, if the gate of all datasets lets it pass; returns the
+    rows. The gate always runs, at the day itself; raises with the broken rules, and where Silver would lose rows."""
+    bronze = committed_day(spark, root, "bronze", moment)
     silver = {name: to_silver(df, name) for name, df in bronze.items()}
-    check(silver)
-    counts = {}
-    for name, df in silver.items():
-        write_day(df, root, "silver", name, moment)
-        counts[name] = read_day(df.sparkSession, root, "silver", name, moment).count()
-        given = bronze[name].count()
-        if counts[name] != given:
-            raise ValueError(f"{name}: {given} Bronze rows, {counts[name]} in Silver")
-    return counts
+    gates.require(gates.gate(silver, "-".join(day_of(moment).values()), places, patterns))
+    rows = commit_day(silver, root, "silver", moment)
+    stated = commits.current(spark, _manifests(root, "bronze", day_of(moment)))[1]["rows"]
+    wrong = {n: (stated[n], k) for n, k in rows.items() if stated[n] != k}
+    if wrong:
+        raise RuntimeError(f"rows in Bronze and Silver differ: {wrong}")
+    return rows
