@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -46,81 +46,193 @@ def merged(history: DataFrame, batch: DataFrame, keys: Sequence[str], immutable:
     return kept.unionByName(new.select(*history.columns))
 
 
+#: Most runs that one batch may hold.
+MAX_RUNS = 100
+
+
 def upsert(spark: SparkSession, batch: DataFrame, root: str, name: str, immutable: Sequence[str] = (), keep: int = 3) -> int:
-    """Write a new version of a history table and make it current; returns its rows.
+    """Merge a batch into a history table; returns the table's rows.
 
-    Versions are folders of their own; a version counts once its commit is there, which only one writer can make: of two
-    that have read the same version the second raises commits.Conflict, and nothing is lost. The last ``keep`` versions
-    stay, for readers that have begun; older ones are removed."""
+    A table that is keyed by run has a folder a run, and only the batch's runs are read and written again; a commit names
+    the folders that count, with their rows. Only one writer can make a commit: of two that have read the same version the
+    second raises commits.Conflict, and nothing is lost. The last ``keep`` versions stay, for readers that have begun;
+    folders that only older ones name are removed. A batch of more than MAX_RUNS runs, or with a null run, raises."""
     keys = MERGE_KEYS[name]
     check_batch(batch, keys, batch.columns)
     now = commits.current(spark, f"{root}/{name}/commits")
-    out = batch if now is None else merged(spark.read.parquet(f"{root}/{name}/{now[1]['folder']}"), batch, keys, immutable)
-    folder = f"v-{uuid.uuid4().hex}"
-    seen = Observation(f"rows-{folder}")
-    out.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/{name}/{folder}")
-    rows = seen.get["n"]
+    parts = {} if now is None else dict(now[1]["parts"])
+    new, written = {"": batch}, []
+    if "run_id" in keys:
+        runs = [r.run_id for r in batch.select("run_id").distinct().limit(MAX_RUNS + 1).collect()]
+        if len(runs) > MAX_RUNS or None in runs:
+            raise ValueError("the batch has a null run" if None in runs else f"the batch has over {MAX_RUNS} runs")
+        new = {r: batch.where(F.col("run_id") == r) for r in runs}
+    for run, rows in new.items():
+        folder = f"v-{uuid.uuid4().hex}"
+        out = merged(spark.read.parquet(f"{root}/{name}/{parts[run]['folder']}"), rows, keys, immutable) if run in parts else rows
+        seen = Observation(f"rows-{folder}")
+        out.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/{name}/{folder}")
+        parts[run] = {"folder": folder, "rows": seen.get["n"]}
+        written.append(folder)
     try:
-        commits.commit(spark, f"{root}/{name}/commits", None if now is None else now[0], {"folder": folder, "rows": rows})
+        commits.commit(spark, f"{root}/{name}/commits", None if now is None else now[0], {"parts": parts})
     except commits.Conflict:
-        commits.remove(spark, f"{root}/{name}/{folder}")
+        for folder in written:
+            commits.remove(spark, f"{root}/{name}/{folder}")
         raise
-    for old in commits.expire(spark, f"{root}/{name}/commits", keep):
-        commits.remove(spark, f"{root}/{name}/{old['folder']}")
-    return rows
+    old = commits.expire(spark, f"{root}/{name}/commits", keep)
+    if old:
+        kept = {p["folder"] for says in commits.history(spark, f"{root}/{name}/commits") for p in says["parts"].values()}
+        for folder in {p["folder"] for says in old for p in says["parts"].values()} - kept:
+            commits.remove(spark, f"{root}/{name}/{folder}")
+    return sum(p["rows"] for p in parts.values())
+
+
+def read_history(spark: SparkSession, root: str, name: str, run: str | None = None) -> DataFrame:
+    """A history table, or one run of it: only that run's folder is read. Raises if there is none."""
+    now = commits.current(spark, f"{root}/{name}/commits")
+    folders = [p["folder"] for r, p in (now[1]["parts"].items() if now else ()) if run is None or r == run]
+    if not folders:
+        raise ValueError(f"{name} has no rows" + (f" of run {run}" if run is not None else ""))
+    return spark.read.parquet(*(f"{root}/{name}/{f}" for f in folders))
 
 
-def current_version(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
-    """The version in use and its folder; none before the first."""
-    found = commits.current(spark, f"{root}/{name}/commits")
-    return found and (found[0], found[1]["folder"])
+def utc_timestamp(value: datetime | str | None = None) -> datetime:
+    """A moment in UTC; none is now, a naive one or a text without a zone is taken as UTC. Raises for a blank."""
+    if value is None:
+        return datetime.now(timezone.utc)
+    if isinstance(value, str):
+        if not value.strip():
+            raise ValueError("a time must not be blank")
+        value = datetime.fromisoformat(value.strip())
+    return value.replace(tzinfo=timezone.utc) if value.tzinfo is None else value.astimezone(timezone.utc)
 
 
-def read_history(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}/{current_version(spark, root, name)[1]}")
+def run_id(model: str, version: str, data_max_date: str, generated_at: datetime | str) -> str:
+    """P25: the same inputs give the same id; times are compared in UTC, blanks raise."""
+    parts = [str(x).strip() for x in (model, version, data_max_date)]
+    if not all(parts):
+        raise ValueError("model, version and date must not be blank")
+    return str(uuid.uuid5(_SPACE, "|".join([*parts, utc_timestamp(generated_at).isoformat()])))
 
 
-def run_id(model: str, version: str, data_max_date: str, generated_at: str) -> str:
-    """P25: the same inputs give the same id."""
-    return str(uuid.uuid5(_SPACE, f"{model}|{version}|{data_max_date}|{generated_at}"))
+RUN_SCHEMA = (
+    "run_id string, started_at timestamp, finished_at timestamp, status string, source_data_min_date date, source_data_max_date date, products_processed long, forecast_rows long, risk_rows long, "
+    "champion_model string, champion_version string, error_message string, duration_seconds double"
+)
+
+
+def finished(run: Mapping, status: str, error: str | None = None, at: datetime | str | None = None) -> dict:
+    """The run row at its end, with its duration. Raises for an end before the start, and for another status."""
+    if status not in ("success", "failed"):
+        raise ValueError(f"a run ends in success or failed, not {status}")
+    begun, end = utc_timestamp(run["started_at"]), utc_timestamp(at)
+    if end < begun:
+        raise ValueError("a run cannot end before it began")
+    return dict(run) | {"started_at": begun, "finished_at": end, "status": status, "error_message": error if status == "failed" else None, "duration_seconds": (end - begun).total_seconds()}
 
 
 def publish(spark: SparkSession, root: str, run: dict, tables: dict[str, DataFrame], check) -> dict:
     """The run row goes from running to success, or to failed with the first error, which is raised again.
 
-    check: called with nothing after the tables are written; raises if what was published is wrong."""
+    run: run_id, started_at and what else RUN_SCHEMA names; counts may not be negative. check: called with nothing after
+    the tables are written; raises if what was published is wrong."""
+    if not str(run.get("run_id") or "").strip():
+        raise ValueError("a run must have an id")
+    wrong = [n for n in ("products_processed", "forecast_rows", "risk_rows") if (run.get(n) or 0) < 0]
+    if wrong:
+        raise ValueError(f"negative counts: {', '.join(wrong)}")
 
-    def record(status: str, error: str | None = None) -> dict:
-        now = datetime.now(timezone.utc)
-        row = run | {"status": status, "finished_at": None if status == "running" else now, "error_message": error}
-        schema = "run_id string, started_at timestamp, finished_at timestamp, status string, champion_model string, champion_version string, forecast_rows long, risk_rows long, error_message string"
-        names = [c.split()[0] for c in schema.split(", ")]
-        upsert(spark, spark.createDataFrame([tuple(row.get(n) for n in names)], schema), root, "pipeline_runs")
-        return row
+    def record(row: Mapping) -> dict:
+        names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+        upsert(spark, spark.createDataFrame([tuple(row.get(n) for n in names)], RUN_SCHEMA), root, "pipeline_runs")
+        return dict(row)
 
-    record("running")
+    record(run | {"started_at": utc_timestamp(run["started_at"]), "status": "running"})
     try:
         for name, df in tables.items():
             upsert(spark, df, root, name, ("registered_at",) if name == "model_registry" else ())
         check()
     except Exception as error:
-        record("failed", str(error)[:1000])
+        record(finished(run, "failed", str(error)[:1000]))
         raise
-    return record("success")
+    return record(finished(run, "success"))
+
+
+METRICS = ("wape", "mae", "rmse", "smape", "mase", "bias")
 
 
-def model_registry(aggregate: DataFrame, versions: dict[str, str], champion: str, horizon: int = 14) -> DataFrame:
-    """Registered models with the final test's metrics; exactly one champion."""
+def metric_rows(aggregate: DataFrame, folds: DataFrame, run: str, versions: Mapping[str, str], champion: str, generated_at: datetime | str) -> DataFrame:
+    """The registered models' metrics in long form, with run, version, status and the bounds of the fold; unknown
+    values are left out.
+
+    aggregate: split, model_name, horizon and METRICS; folds: split, first_day, train_end, val_start, val_end."""
+    lost = [c for c in ("split", "model_name", "horizon", *METRICS) if c not in aggregate.columns]
+    if lost:
+        raise ValueError(f"metrics without columns: {', '.join(lost)}")
+    version = F.coalesce(*(F.when(F.col("model_name") == m, v) for m, v in versions.items()))
+    long = aggregate.where(F.col("model_name").isin(*versions)).unpivot(["split", "model_name", "horizon"], list(METRICS), "metric_name", "metric_value").where("metric_value is not null and not isnan(metric_value)")
+    bounds = F.broadcast(folds.select("split", "first_day", "train_end", "val_start", "val_end"))  # a row a fold
+    return long.join(bounds, "split").select(
+        F.lit(run).alias("run_id"), "model_name", version.alias("model_version"), F.when(F.col("model_name") == champion, "champion").otherwise("rejected_challenger").alias("champion_status"),
+        F.col("split").alias("evaluation_period"), F.col("horizon").alias("forecast_horizon"), "metric_name", "metric_value",
+        F.col("first_day").alias("train_start"), "train_end", F.col("val_start").alias("evaluation_start"), F.col("val_end").alias("evaluation_end"), F.lit(utc_timestamp(generated_at)).alias("generated_at"),
+    )
+
+
+def model_registry(aggregate: DataFrame, versions: Mapping[str, str], champion: str, horizon: int = 14, reasons: Mapping[str, str] | None = None, registered_at: datetime | str | None = None,
+                   trained: tuple | None = None, code_version: str | None = None, challenger: str | None = None) -> DataFrame:
+    """Registered models with the final test's metrics, why they were rejected, the days they were trained on and the
+    code's version; exactly one champion. A model without a final metric is not in the result."""
     if champion not in versions:
         raise ValueError("the champion is not registered")
     version = F.coalesce(*(F.when(F.col("model_name") == m, v) for m, v in versions.items()))
     best = F.col("model_name") == champion
+    reason = F.coalesce(*(F.when(F.col("model_name") == m, r) for m, r in (reasons or {}).items()), F.lit("did not do better than the champion in the final test"))
+    first, last = trained or (None, None)
     rows = aggregate.where((F.col("split") == "final_test") & (F.col("horizon") == horizon) & F.col("model_name").isin(*versions))
+    facts = F.struct(F.lit("final_test").alias("evaluation_period"), F.lit(horizon).alias("forecast_horizon"), F.lit(champion).alias("official_champion"), F.lit(challenger).cast("string").alias("selected_challenger"))
     return rows.select(
-        "model_name", version.alias("model_version"), F.when(best, "champion").otherwise("rejected").alias("status"), best.alias("is_champion"),
-        F.when(best, "retained").otherwise("rejected").alias("promotion_decision"), F.lit("wape").alias("primary_metric"), F.col("wape").alias("primary_metric_value"), "bias",
-        F.to_json(F.struct(F.lit("final_test").alias("evaluation_period"), F.lit(horizon).alias("forecast_horizon"), F.lit(champion).alias("official_champion"))).alias("metadata_json"),
+        "model_name", version.alias("model_version"), F.lit(utc_timestamp(registered_at)).alias("registered_at"), F.when(best, "champion").otherwise("rejected").alias("status"), best.alias("is_champion"),
+        F.when(best, "retained").otherwise("rejected").alias("promotion_decision"), F.when(~best, reason).alias("rejection_reason"), F.lit("wape").alias("primary_metric"), F.col("wape").alias("primary_metric_value"), "bias",
+        F.lit(first).cast("date").alias("training_data_min_date"), F.lit(last).cast("date").alias("training_data_max_date"), F.lit(code_version).cast("string").alias("code_version"), F.to_json(facts).alias("metadata_json"),
+    )
+
+
+def run_audit(spark: SparkSession, root: str, run: str, horizons: Sequence[int] = (7, 14, 30)) -> DataFrame:
+    """One row over the five history tables as a run has left them; only that run's folders are
+    read. Tables that are missing, or lack the run, count in missing_tables.
+
+    consistent: nothing is missing, the run has ended in success, its counts are those of its tables, keys are unique,
+    every processed product has a forecast a day of each horizon and one risk, nothing is negative, and there is one champion."""
+    found, lost = {}, 0
+    for name in MERGE_KEYS:
+        try:
+            found[name] = read_history(spark, root, name, None if name == "model_registry" else run)
+        except ValueError:
+            lost += 1
+    bad = lambda c: F.count_if(F.coalesce((F.col(c) < 0) | F.isnan(c), F.lit(True)))
+    kinds: dict[str, dict] = {
+        "sales_forecast": {"products": F.count_distinct("product_id"), "negative": bad("predicted_quantity"), "models": F.count_distinct("model_version")},
+        "inventory_risk": {"products": F.count_distinct("product_id"), "negative": bad("forecast_demand")},
+        "model_metrics": {"unknown": F.count_if(~F.col("metric_name").isin(*METRICS)), "odd_status": F.count_if(~F.col("champion_status").isin("champion", "rejected_challenger"))},
+        "model_registry": {"champions": F.count_if("is_champion")},
+        "pipeline_runs": {"success": F.count_if(F.col("status") == "success")} | {n: F.max(n) for n in ("products_processed", "forecast_rows", "risk_rows")},
+    }
+    one = spark.range(1).select(F.lit(run).alias("run_id"), F.lit(lost).alias("missing_tables"))
+    for name, own in kinds.items():
+        own = {"rows": F.count("*"), "duplicates": F.count("*") - F.count_distinct(F.struct(*MERGE_KEYS[name]))} | own
+        part = found[name].agg(*(x.alias(f"{name}_{n}") for n, x in own.items())) if name in found else spark.range(1).select(*(F.lit(0).cast("long").alias(f"{name}_{n}") for n in own))
+        one = one.crossJoin(part)  # one row each
+    same = (
+        ("missing_tables", 0), ("pipeline_runs_success", 1), ("pipeline_runs_rows", 1), ("pipeline_runs_forecast_rows", "sales_forecast_rows"), ("pipeline_runs_risk_rows", "inventory_risk_rows"),
+        ("inventory_risk_rows", "pipeline_runs_products_processed"), ("sales_forecast_products", "inventory_risk_products"), ("sales_forecast_models", 1), ("model_registry_champions", 1),
+        ("sales_forecast_negative", 0), ("inventory_risk_negative", 0), ("model_metrics_unknown", 0), ("model_metrics_odd_status", 0), *((f"{t}_duplicates", 0) for t in MERGE_KEYS),
     )
+    good = F.col("sales_forecast_rows") == F.col("pipeline_runs_products_processed") * sum(horizons)
+    for a, b in same:
+        good = good & (F.col(a) == (F.col(b) if isinstance(b, str) else F.lit(b)))
+    return one.withColumn("consistent", F.coalesce(good, F.lit(False)))
 
 
 def audit(df: DataFrame, keys: Sequence[str], value: str, state: str) -> DataFrame:

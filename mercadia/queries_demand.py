@@ -13,6 +13,7 @@ from mercadia.operators.demand import moving_average_weights
 from mercadia.plans import forecast, sales
 from mercadia.queries_sales import _MODELS, enriched_items
 from mercadia.sources import canonical as c
+from mercadia.sources import layers
 
 GRID = [i / 100 for i in range(1, 51)]
 
@@ -94,15 +95,20 @@ def _forecast(model: str):
     return query
 
 
+def _backtest(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The compared rows and their cube, from sales and comparisons that are written once."""
+    sold = layers.written(series(s, d))
+    folds = demand.folds(sold)
+    both = layers.written(forecast.compare(sold, c.products(s, d), folds))
+    return both, metrics.with_mase(metrics.metric_cube(both, forecast.horizon_table(s)), forecast.seasonal_steps(sold, c.products(s, d), folds))
+
+
 def compared(s: SparkSession, d: str) -> DataFrame:
-    sold = series(s, d)
-    return forecast.compare(sold, c.products(s, d), demand.folds(sold))
+    return _backtest(s, d)[0]
 
 
 def cube(s: SparkSession, d: str) -> DataFrame:
-    found = metrics.metric_cube(compared(s, d), forecast.horizon_table(s))
-    sold = series(s, d)
-    return metrics.with_mase(found, forecast.seasonal_steps(sold, c.products(s, d), demand.folds(sold)))
+    return _backtest(s, d)[1]
 
 
 _AGGREGATE = ["split", "model_name", "horizon", "wape", "mae", "rmse", "smape", "bias", "mase", "actual_quantity_sum", "predicted_quantity_sum"]
@@ -143,7 +149,8 @@ def win_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def decision(s: SparkSession, d: str) -> DataFrame:
-    found, both = cube(s, d), compared(s, d)
+    both, found = _backtest(s, d)
+    found = layers.written(found.where("level <> 'product'"))
     agg, seg = found.where("level = 'aggregate'"), found.where("level = 'segment'")
     out = forecast.promotion(agg, seg, forecast.forecast_quality(both), forecast.challenger(agg))
     return rounded(out.withColumnRenamed("candidate", "challenger"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mercadia.operators import artifacts, demand, gates, publish, quality
 from mercadia.plans import forecast
-from mercadia.queries_demand import _ALL, _CUBES, _GRID, _RISK, _SERIES, official, official_risk, rounded, series, unpivoted
+from mercadia.queries_demand import _ALL, _CUBES, _GRID, _RISK, _SERIES, aggregate, official, official_risk, rounded, series, unpivoted
 from mercadia.sources import canonical as c
 from mercadia.sources import layers
 from mercadia.sources.layers import scratch
@@ -142,17 +142,17 @@ def _published(s: SparkSession, d: str) -> DataFrame:
 
 def publication_checks(s: SparkSession, d: str) -> DataFrame:
     """The rules of the official forecast, and of a run against its tables."""
-    found = _published(s, d)
+    found = layers.written(_published(s, d))
     run = c.products(s, d).where("is_active").agg(F.count("*").alias("products_processed")).select(
         F.lit("r1").alias("run_id"), F.lit("success").alias("status"), F.lit(DAY).cast("timestamp").alias("started_at"), F.lit(DAY).cast("timestamp").alias("finished_at"),
         "products_processed", (F.col("products_processed") * 51).alias("forecast_rows"), F.col("products_processed").alias("risk_rows"),
     )
-    return quality.report(publish.forecast_checks(found, forecast.HORIZONS), publish.run_checks(run, found, official_risk(s, d), forecast.HORIZONS))
+    return quality.report(publish.forecast_checks(found, forecast.HORIZONS), publish.run_checks(run, found, layers.written(official_risk(s, d)), forecast.HORIZONS))
 
 
 def metric_gate(s: SparkSession, d: str) -> DataFrame:
     """Q39, Q40 over the metrics in long form and a registry of the models."""
-    long = unpivoted(s, d)
+    long = layers.written(unpivoted(s, d))
     key = ["split", "model_name", "horizon", "metric_name"]
     models = long.groupBy("model_name").agg(F.count("*").alias("n")).select("model_name", (F.col("model_name") == forecast.CHAMPION).alias("is_champion"), F.to_json(F.struct("n")).alias("metadata_json"))
     return quality.report(publish.metric_checks(long, ("wape", "mae", "rmse", "smape", "bias"), key), publish.registry_checks(models, ("moving_average_28", "croston", "croston_sba", "tsb", "last_observation", "other")))
@@ -168,6 +168,50 @@ def bundle(s: SparkSession, d: str) -> DataFrame:
     return artifacts.manifest(s, root)
 
 
+_VERSIONS = {"moving_average_28": "1.0.0", "croston": "2.0.0", "croston_sba": "2.0.0", "tsb": "2.0.0", "seasonal_lag_7": "1.0.0"}
+
+
+def _run_tables(s: SparkSession, d: str, run: str) -> dict[str, DataFrame]:
+    """What a run publishes: the official forecast and risks, metrics of five models, and their registry."""
+    folds, agg = demand.folds(layers.written(series(s, d))), layers.written(aggregate(s, d))
+    marks = {"run_id": F.lit(run), "model_version": F.lit("1.0.0")}
+    ends = demand.bounds(series(s, d)).first()
+    return {
+        "sales_forecast": official(s, d).withColumns(marks), "inventory_risk": official_risk(s, d).withColumns(marks), "model_metrics": publish.metric_rows(agg, folds, run, _VERSIONS, forecast.CHAMPION, DAY),
+        "model_registry": publish.model_registry(agg, _VERSIONS, forecast.CHAMPION, reasons={"croston_sba": "biased"}, registered_at=DAY, trained=(ends.first_day, ends.last_day), code_version="abc", challenger="croston_sba"),
+    }
+
+
+def published_runs(s: SparkSession, d: str) -> DataFrame:
+    """Two runs published to the history tables, the second with forecasts lost, negative
+    risks, an unknown metric and no end; the audit of each, over its own folders."""
+    root, tables = f"{scratch(s)}/history-{uuid.uuid4().hex}", _run_tables(s, d, "r1")
+    tables = {n: layers.written(df) for n, df in tables.items()}
+    n = tables["inventory_risk"].count()
+    run = {"run_id": "r1", "started_at": DAY, "source_data_max_date": None, "products_processed": n, "forecast_rows": n * 51, "risk_rows": n, "champion_model": forecast.CHAMPION, "champion_version": "1.0.0"}
+    publish.publish(s, root, run, tables, lambda: None)
+    second = F.lit("r2").alias("run_id")
+    again = {k: df.withColumn("run_id", second) for k, df in tables.items() if k != "model_registry"}
+    again["sales_forecast"] = again["sales_forecast"].where("NOT (product_id % 7 = 1 AND horizon_days = 14 AND horizon_day = 3)")
+    again["inventory_risk"] = again["inventory_risk"].withColumn("forecast_demand", F.expr("CASE WHEN product_id % 11 = 1 THEN -1 ELSE forecast_demand END"))
+    again["model_metrics"] = again["model_metrics"].withColumn("metric_name", F.expr("CASE WHEN metric_name = 'mae' THEN 'other' ELSE metric_name END"))
+    for name, df in again.items():
+        publish.upsert(s, df, root, name)
+    publish.upsert(s, s.createDataFrame([("r2", "running", n, n * 51, n)], "run_id string, status string, products_processed long, forecast_rows long, risk_rows long"), root, "pipeline_runs")
+    return quality.report(*(publish.run_audit(s, root, r) for r in ("r1", "r2", "r3")))
+
+
+def metric_rows(s: SparkSession, d: str) -> DataFrame:
+    """The published metric rows, with run, version, status and fold bounds."""
+    return rounded(publish.metric_rows(aggregate(s, d), demand.folds(series(s, d)), "r1", _VERSIONS, forecast.CHAMPION, DAY).drop("generated_at"))
+
+
+def full_registry(s: SparkSession, d: str) -> DataFrame:
+    """Five models with reasons, training days and code version."""
+    found = _run_tables(s, d, "r1")["model_registry"]
+    return rounded(found.withColumn("registered_on", F.to_date("registered_at")).withColumn("selected_challenger", F.get_json_object("metadata_json", "$.selected_challenger")).drop("registered_at", "metadata_json"))
+
+
 def missing(s: SparkSession, d: str) -> DataFrame:
     """Realised sales days of the final test without a forecast, where every thirteenth product has none."""
     sold = series(s, d)
@@ -179,7 +223,7 @@ def missing(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "source_gate": source_gate, "raw_report": raw_report, "bronze_day": bronze_day, "grid_gate": grid_gate, "input_gate": input_gate, "publication_checks": publication_checks, "metric_and_registry_checks": metric_gate, "bundle_manifest": bundle,
+    "source_gate": source_gate, "raw_report": raw_report, "bronze_day": bronze_day, "published_runs": published_runs, "metric_rows": metric_rows, "full_registry": full_registry, "grid_gate": grid_gate, "input_gate": input_gate, "publication_checks": publication_checks, "metric_and_registry_checks": metric_gate, "bundle_manifest": bundle,
     "missing_forecasts": missing, "risk_value_counts": lambda s, d: forecast.value_counts(official_risk(s, d), "risk_level"), "forecast_origin": lambda s, d: forecast.forecast_origin(official(s, d)),
 }
 
@@ -265,8 +309,35 @@ _PUBLISHED = f"""{_RISK}, pub AS (SELECT product_id, horizon_day, horizon AS hor
 n AS (SELECT (SELECT count(*) FROM pub) AS f, (SELECT count(*) FROM products WHERE is_active) AS p)"""
 _LONG = f"""{_CUBES}, wide AS (SELECT split, model_name, horizon, wape, mae, rmse, smape, bias, mase FROM agg), long AS (SELECT * FROM (UNPIVOT wide ON wape, mae, rmse, smape, bias, mase INTO NAME metric_name VALUE metric_value))"""
 
+_FOLDS = "fold_no AS (SELECT 'validation_fold_' || (4 - k) AS split, k FROM (VALUES (1), (2), (3)) t(k) UNION ALL SELECT 'final_test', 0), bounds AS (SELECT split, first_day AS train_start, last_day - 30 * (k + 1) AS train_end, last_day - 30 * (k + 1) + 1 AS evaluation_start, last_day - 30 * k AS evaluation_end FROM fold_no, span)"
+_STATE = "CASE model_name WHEN 'moving_average_28' THEN '1.0.0' WHEN 'seasonal_lag_7' THEN '1.0.0' ELSE '2.0.0' END"
+_FIVE = ", ".join(f"'{m}'" for m in _VERSIONS)
+_RUNS = f"""{_LONG}, active AS (SELECT count(*) AS n FROM products WHERE is_active), shown AS (SELECT product_id FROM products WHERE is_active), mine AS (SELECT * FROM long WHERE model_name IN ({_FIVE}))"""
+
+
+def _runs_sql() -> str:
+    names = [f"sales_forecast_{x}" for x in ("rows", "duplicates", "products", "negative", "models")] + [f"inventory_risk_{x}" for x in ("rows", "duplicates", "products", "negative")]
+    names += [f"model_metrics_{x}" for x in ("rows", "duplicates", "unknown", "odd_status")] + [f"model_registry_{x}" for x in ("rows", "duplicates", "champions")] + [f"pipeline_runs_{x}" for x in ("rows", "duplicates", "success", "products_processed", "forecast_rows", "risk_rows")]
+    lost = "(SELECT count(*) FROM shown WHERE product_id % 7 = 1)"
+    long = "(SELECT count(*) FROM mine)"
+    of = {
+        "r1": (0, ["n * 51", "0", "n", "0", "1", "n", "0", "n", "0", long, "0", "0", "0", "5", "0", "1", "1", "0", "1", "n", "n * 51", "n"], "n > 0"),
+        "r2": (0, [f"n * 51 - {lost}", "0", "n", "0", "1", "n", "0", "n", "(SELECT count(*) FROM shown WHERE product_id % 11 = 1)", long, "0", "(SELECT count(*) FROM mine WHERE metric_name = 'mae')", "0", "5", "0", "1", "1", "0", "0", "n", "n * 51", "n"], "n < 0"),
+        "r3": (4, ["0"] * 13 + ["5", "0", "1"] + ["0"] * 6, "n < 0"),
+    }
+    rows = [f"SELECT '{r}' AS run_id, CAST({k} AS INTEGER) AS missing_tables, {', '.join(f'CAST({x} AS BIGINT) AS {m}' for m, x in zip(names, found, strict=True))}, {good} AS consistent FROM active" for r, (k, found, good) in of.items()]
+    return f"{_RUNS} " + " UNION ALL ".join(rows)
+
+
 SQL = {
     "source_gate": _gate_sql(), "raw_report": _raw_sql(), "bronze_day": _bronze_sql(),
+    "published_runs": _runs_sql(),
+    "metric_rows": f"""{_LONG}, {_FOLDS} SELECT 'r1' AS run_id, model_name, {_STATE} AS model_version, CASE WHEN model_name = 'moving_average_28' THEN 'champion' ELSE 'rejected_challenger' END AS champion_status, split AS evaluation_period, horizon AS forecast_horizon,
+      metric_name, round(metric_value, 6) AS metric_value, train_start, train_end, evaluation_start, evaluation_end FROM long JOIN bounds USING (split) WHERE model_name IN ({_FIVE})""",
+    "full_registry": f"""{_CUBES} SELECT model_name, {_STATE} AS model_version, DATE '{DAY}' AS registered_on, CASE model_name WHEN 'moving_average_28' THEN 'champion' ELSE 'rejected' END AS status, model_name = 'moving_average_28' AS is_champion,
+      CASE model_name WHEN 'moving_average_28' THEN 'retained' ELSE 'rejected' END AS promotion_decision, CASE model_name WHEN 'moving_average_28' THEN NULL WHEN 'croston_sba' THEN 'biased' ELSE 'did not do better than the champion in the final test' END AS rejection_reason,
+      'wape' AS primary_metric, round(wape, 6) AS primary_metric_value, round(bias, 6) AS bias, first_day AS training_data_min_date, last_day AS training_data_max_date, 'abc' AS code_version, 'croston_sba' AS selected_challenger
+      FROM agg, span WHERE split = 'final_test' AND horizon = 14 AND model_name IN ({_FIVE})""",
     "grid_gate": f"{_SPOILT_GRID} " + " UNION ALL ".join([
         _row("grid", "lost_category", "SELECT count(*) FROM bad WHERE product_id % 13 = 0 AND nth = 8"), _row("grid", "negative", "SELECT count(*) FROM bad WHERE product_id % 17 = 0 AND nth = 9"), _row("grid", "unknown_product", "0"),
         _row("grid", "repeated_cell", "SELECT count(*) FROM (SELECT product_id, date FROM bad GROUP BY ALL HAVING count(*) > 1)"),

@@ -165,6 +165,13 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the scratch folder and read from there: a plan that uses it often computes it once."""
+    path = f"{scratch(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_table(df: DataFrame, name: str) -> int:
     """K6: full refresh of a warehouse table; raises if it does not hold the rows given."""
     given = df.count()

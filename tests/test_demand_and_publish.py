@@ -165,8 +165,8 @@ def test_upsert_keeps_history_and_first_registration(spark, tmp_path):
 
 
 def test_publication_records_its_end(spark, tmp_path):
-    run = {"run_id": publish.run_id("m", "1", "2026-01-01", "now"), "started_at": datetime(2026, 1, 1), "champion_model": "m", "champion_version": "1", "forecast_rows": 1, "risk_rows": 1}
-    assert run["run_id"] == publish.run_id("m", "1", "2026-01-01", "now")
+    run = {"run_id": publish.run_id("m", "1", "2026-01-01", "2026-01-01T00:00:00"), "started_at": datetime(2026, 1, 1), "champion_model": "m", "champion_version": "1", "forecast_rows": 1, "risk_rows": 1}
+    assert run["run_id"] == publish.run_id("m", " 1", "2026-01-01", "2026-01-01T01:00:00+01:00") != publish.run_id("m", "1", "2026-01-01", "2026-01-01T01:00:00")
     table = spark.createDataFrame([("r", 1, 14)], "run_id string, product_id long, horizon_days int")
 
     def fails():
@@ -178,7 +178,44 @@ def test_publication_records_its_end(spark, tmp_path):
     assert (row.status, row.error_message) == ("failed", "wrong")
     publish.publish(spark, str(tmp_path), run, {"inventory_risk": table}, lambda: None)
     rows = publish.read_history(spark, str(tmp_path), "pipeline_runs").collect()
-    assert len(rows) == 1 and rows[0].status == "success" and rows[0].finished_at is not None
+    assert len(rows) == 1 and rows[0].status == "success" and rows[0].finished_at is not None and rows[0].duration_seconds > 0 and rows[0].error_message is None
+    with pytest.raises(ValueError, match="negative counts: risk_rows"):
+        publish.publish(spark, str(tmp_path), run | {"risk_rows": -1}, {}, lambda: None)
+    with pytest.raises(ValueError, match="an id"):
+        publish.publish(spark, str(tmp_path), run | {"run_id": " "}, {}, lambda: None)
+
+
+def test_times_and_ends_of_runs():
+    assert publish.utc_timestamp("2026-03-01T02:00:00+02:00") == publish.utc_timestamp(datetime(2026, 3, 1)) == publish.utc_timestamp(" 2026-03-01 ")
+    assert publish.utc_timestamp().tzinfo is not None
+    for bad in ("", "  "):
+        with pytest.raises(ValueError, match="blank"):
+            publish.utc_timestamp(bad)
+    with pytest.raises(ValueError, match="blank"):
+        publish.run_id("m", " ", "2026-01-01", "2026-01-01")
+    run = {"run_id": "r", "started_at": "2026-03-01T00:00:00"}
+    assert publish.finished(run, "failed", "e", "2026-03-01T00:01:30")["duration_seconds"] == 90.0
+    assert publish.finished(run, "success", "e", "2026-03-01T00:01:30")["error_message"] is None
+    for status, at in (("running", "2026-03-02"), ("success", "2026-02-01")):
+        with pytest.raises(ValueError):
+            publish.finished(run, status, at=at)
+
+
+def test_history_is_written_by_run(spark, tmp_path):
+    """A batch reads and writes its own runs only; one run is read from its own folder."""
+    root = str(tmp_path)
+    risk = lambda *rows: spark.createDataFrame(rows, "run_id string, product_id long, horizon_days int, forecast_demand double")
+    assert publish.upsert(spark, risk(("r1", 1, 14, 1.0), ("r2", 1, 14, 2.0)), root, "inventory_risk") == 2
+    before = {p.name for p in (tmp_path / "inventory_risk").glob("v-*")}
+    assert publish.upsert(spark, risk(("r2", 1, 14, 3.0), ("r2", 2, 14, 4.0)), root, "inventory_risk") == 3
+    assert len({p.name for p in (tmp_path / "inventory_risk").glob("v-*")} - before) == 1
+    assert {(r.product_id, r.forecast_demand) for r in publish.read_history(spark, root, "inventory_risk", "r2").collect()} == {(1, 3.0), (2, 4.0)}
+    assert len(publish.read_history(spark, root, "inventory_risk", "r1").inputFiles()) < len(publish.read_history(spark, root, "inventory_risk").inputFiles())
+    for run, match in (("r9", "run r9"), (None, "null run")):
+        with pytest.raises(ValueError, match=match):
+            publish.read_history(spark, root, "inventory_risk", run) if run else publish.upsert(spark, risk((None, 1, 14, 1.0)), root, "inventory_risk")
+    row = publish.run_audit(spark, root, "r2").first()
+    assert (row.missing_tables, row.inventory_risk_rows, row.consistent) == (4, 2, False)
 
 
 def test_forecasts_of_all_models_keep_components_and_active_products(spark):

@@ -269,7 +269,7 @@ def test_old_versions_expire(spark, tmp_path):
     for _ in range(5):
         assert publish.upsert(spark, row, str(tmp_path), "pipeline_runs", keep=2) == 1
     folder = tmp_path / "pipeline_runs"
-    assert publish.current_version(spark, str(tmp_path), "pipeline_runs")[0] == 4
+    assert commits.current(spark, f"{folder}/commits")[0] == 4
     assert len(list(folder.glob("v-*"))) == 2 and sorted(p.name for p in (folder / "commits").iterdir() if not p.name.startswith(".")) == ["00000003", "00000004"]
 
 
