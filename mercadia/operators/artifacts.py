@@ -10,13 +10,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXPERIMENT = ("aggregate_metrics", "segment_metrics", "product_metrics")
-PRODUCTION = ("sales_forecast", "inventory_risk", "model_metrics", "model_registry")
+#: Split, model, horizon, metric and its value, as the metric document nests them.
+METRICS_SCHEMA = "map<string,map<string,map<string,map<string,double>>>>"
 
 
 def save(root: str, tables: Mapping[str, DataFrame], documents: Mapping[str, dict]) -> None:
-    """Each table as Parquet and each document as one JSON line, under root. A fitted pipeline is saved next to
-    them by its own ``write().save``. The manifest, with the rows of each table, is written last: a bundle without one is
+    """Each table as Parquet and each document as one JSON line, under root. Models are documents too
+    (learned.document). The manifest, with the rows of each table, is written last: a bundle without one is
     not whole."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
@@ -63,6 +63,24 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("name string, row_count long").json(f"{root}/manifest")
 
 
+def metric_document(rows: DataFrame) -> dict:
+    """Metrics as a nested document: split, model, horizon, metric. rows: split, model_name, horizon, metric_name,
+    metric_value, as many as these have values together; nulls are left out."""
+    out: dict = {}
+    for r in rows.where("metric_value is not null and not isnan(metric_value)").toLocalIterator():
+        out.setdefault(r.split, {}).setdefault(r.model_name, {}).setdefault(str(r.horizon), {})[r.metric_name] = r.metric_value
+    return out
+
+
+def metric_rows(spark: SparkSession, root: str, name: str = "metrics") -> DataFrame:
+    """The rows of a nested metric document of a bundle, read by its schema. A document that is none raises."""
+    found = spark.read.text(f"{root}/{name}.json").select(F.from_json("value", METRICS_SCHEMA, {"mode": "FAILFAST"}).alias("x"))
+    for key, inner in (("split", "x"), ("model_name", "x"), ("horizon", "x"), ("metric_name", "x")):
+        kept = [c for c in found.columns if c != inner]
+        found = found.select(*kept, F.explode(inner).alias(key, "x"))
+    return found.select("split", "model_name", F.col("horizon").cast("int").alias("horizon"), "metric_name", F.col("x").alias("metric_value"))
+
+
 def check_decision(document: Mapping, decision: str, champion: str) -> None:
     """Raises unless the experiment came to the configured decision and champion."""
     if document.get("decision") != decision or document.get("final_champion") != champion:

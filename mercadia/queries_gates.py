@@ -182,6 +182,15 @@ def _run_tables(s: SparkSession, d: str, run: str) -> dict[str, DataFrame]:
     }
 
 
+def bundle_metrics(s: SparkSession, d: str) -> DataFrame:
+    """The metrics of the backtest written as a nested document of a bundle, and exploded to rows again."""
+    root, agg = f"{scratch(s)}/bundle-{uuid.uuid4().hex}", layers.written(aggregate(s, d))
+    long = agg.unpivot(["split", "model_name", "horizon"], list(publish.METRICS), "metric_name", "metric_value")
+    artifacts.save(root, {"aggregate_metrics": agg}, {"metrics": artifacts.metric_document(long)})
+    artifacts.load(s, root, ["aggregate_metrics"], ["metrics"])
+    return rounded(artifacts.metric_rows(s, root))
+
+
 def published_runs(s: SparkSession, d: str) -> DataFrame:
     """Two runs published to the history tables, the second with forecasts lost, negative
     risks, an unknown metric and no end; the audit of each, over its own folders."""
@@ -223,7 +232,7 @@ def missing(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "source_gate": source_gate, "raw_report": raw_report, "bronze_day": bronze_day, "published_runs": published_runs, "metric_rows": metric_rows, "full_registry": full_registry, "grid_gate": grid_gate, "input_gate": input_gate, "publication_checks": publication_checks, "metric_and_registry_checks": metric_gate, "bundle_manifest": bundle,
+    "source_gate": source_gate, "raw_report": raw_report, "bronze_day": bronze_day, "published_runs": published_runs, "bundle_metrics": bundle_metrics, "metric_rows": metric_rows, "full_registry": full_registry, "grid_gate": grid_gate, "input_gate": input_gate, "publication_checks": publication_checks, "metric_and_registry_checks": metric_gate, "bundle_manifest": bundle,
     "missing_forecasts": missing, "risk_value_counts": lambda s, d: forecast.value_counts(official_risk(s, d), "risk_level"), "forecast_origin": lambda s, d: forecast.forecast_origin(official(s, d)),
 }
 
@@ -332,6 +341,7 @@ def _runs_sql() -> str:
 SQL = {
     "source_gate": _gate_sql(), "raw_report": _raw_sql(), "bronze_day": _bronze_sql(),
     "published_runs": _runs_sql(),
+    "bundle_metrics": f"{_LONG} SELECT split, model_name, horizon, metric_name, round(metric_value, 6) AS metric_value FROM long",
     "metric_rows": f"""{_LONG}, {_FOLDS} SELECT 'r1' AS run_id, model_name, {_STATE} AS model_version, CASE WHEN model_name = 'moving_average_28' THEN 'champion' ELSE 'rejected_challenger' END AS champion_status, split AS evaluation_period, horizon AS forecast_horizon,
       metric_name, round(metric_value, 6) AS metric_value, train_start, train_end, evaluation_start, evaluation_end FROM long JOIN bounds USING (split) WHERE model_name IN ({_FIVE})""",
     "full_registry": f"""{_CUBES} SELECT model_name, {_STATE} AS model_version, DATE '{DAY}' AS registered_on, CASE model_name WHEN 'moving_average_28' THEN 'champion' ELSE 'rejected' END AS status, model_name = 'moving_average_28' AS is_champion,
