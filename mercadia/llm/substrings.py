@@ -134,21 +134,19 @@ def _seeds(texts: list[bytes], ids: np.ndarray, part: np.ndarray, length: int, g
 def hot_anchors(docs: DataFrame, length: int, gram: int, chunk_bytes: int, hot_runs: int, every: int) -> np.ndarray:
     """Anchors of over hot_runs runs of windows, or of a millionth of all runs where that is more: at most a million.
 
-    Estimated over one chunk of text in ``every``. They only steer where windows meet, not which are found."""
+    Estimated over one document in ``every``, by a hash of its id, so it does not matter how documents are dealt to tasks.
+    They only steer where windows meet, not which are found."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nth = 0
         for batch in batches:
             for _, _, texts in text_chunks(batch.column("text"), chunk_bytes):
-                nth += 1
-                if nth % every:
-                    continue
                 owner, start, _, anchor = _windows(texts, length, gram)
                 if len(owner):
                     key, n = np.unique(anchor[_runs(owner, anchor, step=start)], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
-    counts = docs.select("text").mapInArrow(scan, "anchor long, n long").groupBy("anchor").agg((F.sum("n") * every).alias("n"))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    counts = some.select("text").mapInArrow(scan, "anchor long, n long").groupBy("anchor").agg((F.sum("n") * every).alias("n"))
     counts = materialize(counts.where(F.col("n") > hot_runs))  # few: a total over these suffices for the bound
     total = counts.agg(F.sum("n")).first()[0] or 0
     found = [r.anchor for r in counts.where(F.col("n") > total / 1_000_000).select("anchor").toLocalIterator()]

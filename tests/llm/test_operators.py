@@ -516,6 +516,19 @@ def test_url_rules_and_redirects(spark):
     assert judge(table.limit(0), rules).count() == 0
 
 
+def test_hot_anchors_are_found_in_small_tasks(spark):
+    """An anchor that all texts hold is hot however the texts are dealt out, also where each task has a few of them."""
+    from mercadia.llm.substrings import hot_anchors
+
+    r = random.Random(5)
+    shared = " ".join(r.choice(WORDS) for _ in range(20))
+    rows = [(k, f"{' '.join(r.choice(WORDS) + str(r.random()) for _ in range(15))} {shared} {' '.join(r.choice(WORDS) + str(r.random()) for _ in range(15))}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {n: hot_anchors(df.repartition(n), 13, 5, 2 << 20, 500, 16).tolist() for n in (1, 8)}
+    assert found[1] == found[8] and found[1]
+    assert hot_anchors(df.repartition(8), 13, 5, 2 << 20, 10_000, 16).tolist() == []
+
+
 # ---- 8 ----
 
 
