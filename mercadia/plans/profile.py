@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercadia.operators import quality
 from mercadia.operators.demand import bounds
 
 
@@ -100,3 +103,52 @@ def fold_summary(realised: DataFrame, folds: DataFrame) -> DataFrame:
     return inside.groupBy("split").agg(
         F.count_distinct("order_date").alias("sale_days"), F.count_distinct("order_id").alias("orders"), F.sum("quantity").alias("units"), F.count_distinct("product_id").alias("products")
     )
+
+
+def zero_rate(sales: DataFrame, products: DataFrame) -> DataFrame:
+    """One row: days, products, cells of the dense grid, those without a sale and their share. Sales are one row a
+    product and day, so cells are counted from them and the grid is not made. Without sales there are no days; the share
+    is null without cells."""
+    sold = sales.join(products.select("product_id"), "product_id", "left_semi").where("quantity_sold <> 0").agg(F.count("*").alias("sold"))
+    days = bounds(sales).select(F.coalesce(F.date_diff("last_day", "first_day") + 1, F.lit(0)).cast("long").alias("days"))
+    every = products.agg(F.count_distinct("product_id").alias("products"))
+    one = days.crossJoin(every).crossJoin(sold)  # one row each
+    cells = F.col("days") * F.col("products")
+    return one.select("days", "products", cells.alias("cells"), (cells - F.col("sold")).alias("zero_cells"), F.try_divide((cells - F.col("sold")).cast("double"), cells.cast("double")).alias("zero_rate"))
+
+
+def audit(fact: DataFrame, daily: DataFrame, products: DataFrame, orders: DataFrame, required: Sequence[str], ranges: Sequence[quality.Rule]) -> DataFrame:
+    """What keeps the fact from being trusted, a row a check with the rows it looked at: repeated keys of the fact, the
+    daily mart and the products; required values that are missing, of the fact's columns and of all of the products';
+    values out of range; items of unknown products and orders; units in which fact and daily mart differ; items sold
+    before their product was made, and realised items of inactive products.
+
+    fact: order_item_id, order_id, product_id, order_date, is_realized_sale, quantity; products: product_id, created_at,
+    is_active. A product or order that is repeated counts an item once; a null key is missing, not unknown."""
+    flags = products.groupBy("product_id").agg(F.min("created_at").alias("_made"), F.bool_or("is_active").alias("_active"), F.lit(True).alias("_known"))
+    items = fact.join(flags, "product_id", "left").join(orders.select("order_id", F.lit(True).alias("_ordered")).distinct(), "order_id", "left")
+    realised = F.coalesce(F.col("is_realized_sale"), F.lit(False))
+    count = lambda x: F.count_if(F.coalesce(x, F.lit(False))).alias("violations")
+    any_null = lambda columns: F.expr(" OR ".join(f"{x} IS NULL" for x in columns))
+    out_of_range = F.lit(False)
+    for rule in ranges:
+        out_of_range = out_of_range | F.coalesce(rule.breaks, F.lit(False))
+    checks = {
+        "null_in_fact": any_null(required), "out_of_range": out_of_range, "unknown_product": F.col("product_id").isNotNull() & F.col("_known").isNull(),
+        "unknown_order": F.col("order_id").isNotNull() & F.col("_ordered").isNull(), "sold_before_creation": F.col("order_date") < F.col("_made"), "inactive_realised": realised & ~F.col("_active"),
+    }
+    sums = items.agg(F.count("*").alias("n"), F.count_if(realised).alias("realised"), F.sum(F.when(realised, F.col("quantity"))).alias("units"), *(count(x).alias(n) for n, x in checks.items()))
+    mart = daily.agg(F.sum("total_items_sold").alias("mart_units"), F.count("*").alias("mart_days"))
+    row = lambda name, violations, rows: F.struct(F.lit(name).alias("check"), violations.cast("long").alias("violations"), rows.cast("long").alias("rows_checked"))
+    zero = F.lit(0)
+    each = [row(n, F.col(n), F.col("realised" if n == "inactive_realised" else "n")) for n in checks]
+    each.append(row("units_fact_to_daily", F.abs(F.coalesce("units", zero) - F.coalesce("mart_units", zero)), F.col("mart_days")))
+    parts = [sums.crossJoin(mart).select(F.inline(F.array(*each)))]  # one row each
+    for df, name, key in ((fact, "repeated_in_fact", "order_item_id"), (daily, "repeated_in_daily", "sales_date"), (products, "repeated_in_products", "product_id")):
+        keys = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+        parts.append(keys.agg(F.lit(name).alias("check"), F.count_if(F.col("n") > 1).alias("violations"), F.coalesce(F.sum("n"), zero).cast("long").alias("rows_checked")))
+    parts.append(products.agg(F.lit("null_in_products").alias("check"), count(any_null(products.columns)), F.count("*").alias("rows_checked")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found

@@ -244,7 +244,27 @@ def audit_counts(s: SparkSession, d: str) -> DataFrame:
     return sold.agg(F.count("*").alias("items"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("units"), F.count_distinct("product_id").alias("products"))
 
 
+REQUIRED = ("order_item_id", "order_id", "customer_id", "product_id", "order_date", "order_status", "quantity", "unit_price", "unit_cost", "item_total")
+
+def audit_report(s: SparkSession, d: str) -> DataFrame:
+    """E10 in full, over a fact of which some rows are spoilt: repeated, of no product or order, without a status, without
+    units. Products were made on days that are derived from their ids; the daily mart is that of the sound fact."""
+    products = c.products(s, d).withColumn("created_at", F.date_add(F.lit("1992-01-01").cast("date"), (F.col("product_id") * 13 % 2400).cast("int")))
+    kind = F.col("order_id") % 100
+    spoilt = fact(s, d).withColumns({
+        "product_id": F.when(kind == 3, -F.col("product_id")).otherwise(F.col("product_id")), "order_status": F.when(kind != 4, F.col("order_status")), "quantity": F.when(kind == 5, 0).otherwise(F.col("quantity")),
+    })
+    twice = spoilt.unionByName(spoilt.where("order_id % 100 = 6"))
+    ranges = [Rule("quantity", ~F.col("quantity").between(1, 50)), Rule("price", F.col("unit_price") <= 0), Rule("cost", (F.col("unit_cost") < 0) | (F.col("unit_cost") >= F.col("unit_price")))]
+    return profile.audit(twice, daily_mart(s, d), products, c.orders(s, d).where("order_id % 100 <> 7"), REQUIRED, ranges)
+
+
+def zero_rate(s: SparkSession, d: str) -> DataFrame:
+    return profile.zero_rate(series(s, d), c.products(s, d)).withColumn("zero_rate", F.round("zero_rate", 9))
+
+
 QUERIES = {
+    "profile_audit_report": audit_report, "zero_quantity_rate": zero_rate,
     "layered_orders": layered_orders, "raw_bad_values": raw_bad_values, "publication_risk_check": risk_check, "profile_audit": audit_counts,
     "text_normalize": text_normalize, "boolean_parse": boolean_parse, "snake_case_columns": snake_case_columns, "date_shift_and_age": ages,
     "dq_row_rules": row_rules, "dq_required_nulls": required_nulls, "dq_duplicate_keys": duplicate_keys, "dq_foreign_keys": foreign_keys,
@@ -285,7 +305,31 @@ _NULLS = {
 _DIRTY = "' ' || chr(9) || replace(c_name, '#', ' ' || chr(160) || ' # ') || '  '"
 _CLEAN = r"nullif(trim(regexp_replace({0}, '[\s\x{{00A0}}]+', ' ', 'g')), '')"
 
+def _checked(name: str, violations: str, table: str, rows: str = "count(*)") -> str:
+    return f"SELECT '{name}' AS check, CAST({violations} AS BIGINT) AS violations, CAST({rows} AS BIGINT) AS rows_checked FROM {table}"
+
+
+def _repeated(name: str, table: str, key: str) -> str:
+    return _checked(name, "count(*) FILTER (n > 1)", f"(SELECT count(*) AS n FROM {table} GROUP BY {key})", "sum(n)")
+
+
 SQL = {
+    "zero_quantity_rate": f"""{_SERIES}, cells AS (SELECT g.date, p.product_id, coalesce(s.q, 0) AS q FROM (SELECT CAST(unnest(range(first_day, last_day + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM span) g CROSS JOIN products p LEFT JOIN series s ON s.date = g.date AND s.product_id = p.product_id)
+      SELECT count(DISTINCT date) AS days, count(DISTINCT product_id) AS products, count(*) AS cells, count(*) FILTER (q = 0) AS zero_cells, round(avg(CASE WHEN q = 0 THEN 1.0 ELSE 0.0 END), 9) AS zero_rate FROM cells""",
+    "profile_audit_report": f"""{_MODELS}, {DAILY_SQL}, made AS (SELECT *, CAST(DATE '1992-01-01' + CAST(product_id * 13 % 2400 AS INTEGER) AS DATE) AS created_at FROM products),
+      once AS (SELECT * REPLACE (CASE WHEN order_id % 100 = 3 THEN -product_id ELSE product_id END AS product_id, CASE WHEN order_id % 100 <> 4 THEN order_status END AS order_status, CASE WHEN order_id % 100 = 5 THEN 0 ELSE quantity END AS quantity) FROM fact),
+      bad AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE order_id % 100 = 6), linked AS (SELECT b.*, p.created_at, p.is_active FROM bad b LEFT JOIN made p ON p.product_id = b.product_id) """
+    + " UNION ALL ".join((
+        _checked("null_in_fact", f"count(*) FILTER ({' OR '.join(f'{x} IS NULL' for x in REQUIRED)})", "bad"),
+        _checked("out_of_range", "count(*) FILTER (quantity < 1 OR quantity > 50 OR unit_price <= 0 OR unit_cost < 0 OR unit_cost >= unit_price)", "bad"),
+        _checked("unknown_product", "count(*) FILTER (product_id NOT IN (SELECT product_id FROM products))", "bad"),
+        _checked("unknown_order", "count(*) FILTER (order_id NOT IN (SELECT order_id FROM sales_orders WHERE order_id % 100 <> 7))", "bad"),
+        _checked("sold_before_creation", "count(*) FILTER (order_date < created_at)", "linked"),
+        _checked("inactive_realised", "count(*) FILTER (is_realized_sale AND NOT is_active)", "linked", "count(*) FILTER (is_realized_sale)"),
+        _checked("units_fact_to_daily", "abs((SELECT sum(quantity) FROM bad WHERE is_realized_sale) - sum(total_items_sold))", "daily"),
+        _repeated("repeated_in_fact", "bad", "order_item_id"), _repeated("repeated_in_daily", "daily", "sales_date"), _repeated("repeated_in_products", "made", "product_id"),
+        _checked("null_in_products", "count(*) FILTER (product_name IS NULL OR category IS NULL OR brand IS NULL OR unit_price IS NULL OR is_active IS NULL)", "made"),
+    )),
     "layered_orders": """SELECT printf('ORD-%08d', o_orderkey) AS order_id, printf('CUST-%06d', o_custkey) AS customer_id, CAST(o_orderdate AS DATE) AS order_date, o_orderstatus AS order_status,
       replace(o_orderpriority, '-', ' ') AS payment_method, 'web' AS sales_channel, CAST(0 AS DOUBLE) AS shipping_cost, CAST(0 AS DOUBLE) AS discount_amount, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS order_total,
       CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS delivery_date FROM orders""",

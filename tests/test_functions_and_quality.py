@@ -120,3 +120,34 @@ def test_a_declared_model_or_column_that_is_missing_raises(spark):
         quality.schema_tests({}, {"a": quality.Declared(["id"])})
     with pytest.raises(AnalysisException):
         quality.schema_tests({"a": one}, {"a": quality.Declared(["other"])})
+
+
+def test_audit_counts_every_planted_fault_once(spark):
+    from mercadia.operators.quality import Rule
+    from mercadia.plans import profile
+
+    day = date(2024, 3, 1)
+    good = ("i1", 1, 1, day, "F", True, 2)
+    planted = [good, good, ("i2", 9, 1, day, "F", True, 1), ("i3", 1, 9, day, "F", True, 1), ("i4", 1, 1, day, None, False, 1), ("i5", 1, 1, day, "F", None, 99), ("i6", 1, 2, day, "F", True, 1), ("i7", 1, 3, day, "F", True, 1), (None, None, None, None, None, None, None)]
+    schema = "order_item_id string, order_id long, product_id long, order_date date, order_status string, is_realized_sale boolean, quantity long"
+    products = spark.createDataFrame([(1, date(2024, 1, 1), True), (1, date(2024, 2, 1), True), (2, date(2024, 1, 1), False), (3, date(2024, 4, 1), True), (4, None, True)], "product_id long, created_at date, is_active boolean")
+    daily = spark.createDataFrame([(day, 5), (day, 2)], "sales_date date, total_items_sold long")
+    orders = spark.createDataFrame([(1,), (1,)], "order_id long")
+    ranges = [Rule("quantity", F.col("quantity") > 50)]
+    run = lambda fact, mart, made, o: {r.check: (r.violations, r.rows_checked) for r in profile.audit(fact, mart, made, o, ("order_item_id", "order_status"), ranges).collect()}
+    fact = spark.createDataFrame(planted, schema)
+    assert run(fact, daily, products, orders) == {
+        "repeated_in_fact": (1, 8), "repeated_in_daily": (1, 2), "repeated_in_products": (1, 5), "null_in_fact": (2, 9), "null_in_products": (1, 5), "out_of_range": (1, 9), "unknown_product": (1, 9),
+        "unknown_order": (1, 9), "sold_before_creation": (1, 9), "inactive_realised": (1, 6), "units_fact_to_daily": (1, 2),
+    }
+    empty = run(fact.limit(0), daily.limit(0), products.limit(0), orders.limit(0))
+    assert len(empty) == 11 and set(empty.values()) == {(0, 0)}
+
+
+def test_zero_rate_without_a_grid(spark):
+    from mercadia.plans import profile
+
+    sold = spark.createDataFrame([(1, date(2024, 1, 1), 2.0, 1.0), (1, date(2024, 1, 4), 1.0, 1.0), (2, date(2024, 1, 2), 0.0, 0.0), (9, date(2024, 1, 2), 5.0, 1.0)], "product_id long, date date, quantity_sold double, revenue double")
+    products = spark.createDataFrame([(1,), (2,), (3,)], "product_id long")
+    assert tuple(profile.zero_rate(sold, products).first()) == (4, 3, 12, 10, 10 / 12)
+    assert tuple(profile.zero_rate(sold.limit(0), products).first()) == (0, 3, 0, 0, None)
