@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import table, with_columns, with_rows
+from mercadia.llm.common import materialize, table, with_columns, with_rows
 from mercadia.llm.tokens import Words, byte_values, chunks, mix, sliding_min, spans_of, utf8, words
 
 _VALUES = byte_values(lower=True, alnum=True)
@@ -133,7 +133,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
 
 
 def _joined(docs: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...]) -> DataFrame:
-    """The same for a benchmark of any size: windows of both sides meet by (length, hash, check). docs has a unique _row."""
+    """The same for a benchmark of any size: windows of both sides meet by (length, hash, check). docs has a unique _row.
+
+    A place in a document meets a window once, however many items hold it; items come by the sets of items that a
+    document has met, so k items that share a window met in m places are not k times m rows."""
 
     def rows(name: str, lengths: list[int] | None):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +160,16 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...
 
         return scan
 
-    wanted = items.mapInArrow(rows("item_id", None), "item_id string, start long, n long, hash long, check long").select("item_id", "n", "hash", "check").distinct()
-    lengths = [r.n for r in wanted.select("n").distinct().collect()]
+    key, of = ["n", "hash", "check"], ["k", "x", "y"]
+    windows = materialize(items.mapInArrow(rows("item_id", None), "item_id string, start long, n long, hash long, check long").select("item_id", *key).distinct())
+    classes = item_classes(windows)
+    lengths = [r.n for r in windows.select("n").distinct().collect()]  # at most as many as a window has words
     there = docs.select("_row", "text").mapInArrow(rows("_row", lengths), "_row long, start long, n long, hash long, check long")
-    met = there.join(wanted, ["n", "hash", "check"])
-    per_row = met.groupBy("_row").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: (F.col("start") + i).cast("int"))))).alias("_at"),
-        F.collect_set("item_id").alias("_items"),
-    )
-    next_ = F.transform("_at", lambda i: i + 1)
-    runs = F.arrays_zip(F.array_sort(F.array_except("_at", next_)).alias("start"), F.array_sort(F.array_except(next_, "_at")).alias("end"))
-    per_row = per_row.select("_row", runs.cast("array<struct<start:int,end:int>>").alias("_hits"), "_items")
+    met = materialize(there.join(classes, key).select("_row", "start", "n", *of))  # a row a place: the other side is unique
+    first = classes.groupBy(*of).agg(F.min(F.struct(*key)).alias("_window")).select(*of, "_window.*")
+    members = first.join(windows, key).select(*of, "item_id")
+    names = met.select("_row", *of).distinct().join(members, of).groupBy("_row").agg(F.collect_set("item_id").alias("_items"))
+    per_row = runs_of(met).join(names, "_row")
     counted = docs.select(*keep, "_row", F.regexp_count("text", F.lit(_WORD)).alias("_n"))
     return counted.join(per_row, "_row", "left").select(
         *keep, F.coalesce("_n", F.lit(0)).cast("long").alias("n_words"), F.coalesce("_hits", F.array().cast("array<struct<start:int,end:int>>")).alias("hits"),
@@ -175,6 +177,26 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...
     )
 
 
+def item_classes(windows: DataFrame) -> DataFrame:
+    """(n, hash, check, k, x, y): each distinct window once; windows of the same items have the same k, x and y, the number
+    of items and two 64-bit hashes of their set, so that no list of items is made.
+
+    windows: item_id, n, hash, check, each row once."""
+    return windows.groupBy("n", "hash", "check").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("item_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "item_id")).alias("y"))
+
+
+def runs_of(places: DataFrame) -> DataFrame:
+    """(_row, _hits): the places of a row, each n words from start on, as runs that neither overlap nor touch. Running
+    maxima over sorted places, so a long text with many places is sorted, not held."""
+    each = places.groupBy("_row", "start").agg((F.col("start") + F.max("n")).alias("end"))
+    before = Window.partitionBy("_row").orderBy("start")
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opened = each.withColumn("_opens", F.when(reach >= F.col("start"), 0).otherwise(1))
+    run = F.sum("_opens").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    runs = opened.withColumn("_run", run).groupBy("_row", "_run").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"))
+    return runs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_hits"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document, ten-word windows: n_words, n_hit, n_items, items_sha256, contaminated; edge cases as in contamination."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -424,6 +424,23 @@ def test_decontamination_same_by_join_with_null_and_repeated_ids(spark):
         assert len(got[0]) == len(rows) and got[0] == got[1]
 
 
+
+def test_decontamination_by_join_where_many_items_share_a_window_met_often(spark):
+    from mercadia.llm.decontaminate import contamination, item_classes, runs_of
+
+    shared = " ".join(f"s{k}" for k in range(12))
+    items = [(f"i{k:03}", f"{shared} own{k} tail{k}") for k in range(150)] + [("short", "s3 s4"), ("other", " ".join(f"o{k}" for k in range(10)))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(k, f"w{k} {shared} " * 40, "aa", "s1") for k in range(60)] + [(60, shared + " own7 tail7", "aa", "s1"), (61, " ".join(f"o{k}" for k in range(10)), "aa", "s1"), (62, "s3 s4", None, None), (63, None, None, None)]
+    got = [sorted(str((x.doc_id, x.n_words, x.hits, sorted(x["items"]))) for x in contamination(docs(spark, rows), benchmark, broadcast_bytes=limit).collect()) for limit in (64 << 20, 0)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    windows = spark.createDataFrame([(i, 10, h, h) for h in range(3) for i in ("a", "b")] + [("a", 10, 7, 7), ("b", 10, 8, 8), ("b", 2, 0, 0)], "item_id string, n long, hash long, check long")
+    classes = item_classes(windows).collect()
+    assert len(classes) == 6 and len({(r.k, r.x, r.y) for r in classes}) == 3
+    places = spark.createDataFrame([(1, 0, 3), (1, 0, 2), (1, 3, 2), (1, 9, 2), (1, 10, 1), (1, 12, 1), (2, 5, 10), (2, 6, 2), (2, 14, 3)], "_row long, start long, n long")
+    assert {r[0]: [tuple(h) for h in r[1]] for r in runs_of(places).collect()} == {1: [(0, 5), (9, 11), (12, 13)], 2: [(5, 17)]}
+
+
 # ---- 10 ----
 
 
