@@ -595,6 +595,37 @@ def test_language_model_scores(spark):
     assert score(table, table.limit(0)).count() == len(rows)
 
 
+
+def test_language_model_is_the_same_however_rows_are_dealt(spark):
+    """Also with repeated rows, a null doc_id and a very long text: equal texts have equal scores."""
+    from mercadia.llm.gru import score
+
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(30)), None, None) for i in range(40)]
+    rows += [(3, "again and again", None, None)] * 25 + [(None, "again and again", None, None)] * 25 + [(None, "w1 " * 60_000, "aa", "s1"), (None, None, None, None)]
+    got = []
+    for n in (1, 7):
+        table = docs(spark, rows).repartition(n)
+        spark.conf.set("spark.sql.files.minPartitionNum", n)
+        got.append(sorted((str(x.doc_id), x.n_tokens, x.score) for x in score(table, table, shortlist=12, rates=(0.02, 0.01)).collect()))
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert [x[:2] for x in got[0]] == [x[:2] for x in got[1]] and len(got[0]) == len(rows)
+    assert [x[2] for x in got[0]] == pytest.approx([x[2] for x in got[1]], rel=1e-4)
+    again = [x[2] for x in got[0] if x[1] == 4]
+    assert len(again) == 50 and again == pytest.approx([again[0]] * 50, rel=1e-5)
+
+
+def test_gru_learns_from_every_word_of_a_piece():
+    from mercadia.llm.gru import Adam, Gru
+
+    for size in (2, 5, 800, 24 * 32 * 3 + 17):
+        g, seen = Gru(10, embed=4, hidden=5, per_class=4), []
+        inner = g.gradient
+        g.gradient = lambda x, y, h: (seen.extend(y.ravel().tolist()), inner(x, y, h))[1]
+        ids = np.random.default_rng(size).integers(0, 10, size)
+        g.fit(ids, Adam())
+        assert sorted(seen) == sorted(ids[1:].tolist())
+
+
 # ---- the pipeline ----
 
 
