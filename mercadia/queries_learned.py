@@ -56,5 +56,12 @@ def experiment_metrics(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.withColumn("occurrence_threshold", F.lit(threshold)), 4)
 
 
-QUERIES = {"regressor_forecast": regressor_forecast, "poisson_forecast": poisson_forecast, "hurdle_forecast": hurdle_forecast, "experiment_metrics": experiment_metrics}
+def all_future_forecasts(s: SparkSession, d: str) -> DataFrame:
+    """Nine models for the active products, learned ones on all days."""
+    sold, products = _inputs(s, d)
+    active = c.products(s, d).where("is_active").select("product_id")
+    return rounded(experiment.future(sold, products, active, EXPERIMENT_ROUNDS, RATE), 4)
+
+
+QUERIES = {"all_future_forecasts": all_future_forecasts, "regressor_forecast": regressor_forecast, "poisson_forecast": poisson_forecast, "hurdle_forecast": hurdle_forecast, "experiment_metrics": experiment_metrics}
 SQL: dict[str, str] = {}

@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_query_but_the_learned_ones_has_sql():
-    assert set(core.queries()) - set(core.oracle_sql()) == {"regressor_forecast", "poisson_forecast", "hurdle_forecast", "experiment_metrics"}
+    assert set(core.queries()) - set(core.oracle_sql()) == {"regressor_forecast", "poisson_forecast", "hurdle_forecast", "experiment_metrics", "all_future_forecasts"}
 
 
 def test_entry_registers_all():
