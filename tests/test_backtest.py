@@ -42,3 +42,12 @@ def test_levels_shuffle_no_row_a_day(spark, capsys):
     metrics.cube_of_sums(backtest.product_errors(sales, products, demand.folds(sales), forecast.HORIZONS)).where(F.col("level") == "aggregate").explain()
     plan = capsys.readouterr().out
     assert "horizon_day" not in plan and "product" not in "".join(x for x in plan.split("\n") if "Exchange" in x and "model_name" in x)
+
+
+def test_missing_forecasts_broadcast_no_forecast(spark, capsys):
+    actual = spark.range(10).selectExpr("id AS product_id", "1 AS horizon_day")
+    predicted = spark.range(5).select(F.col("id").alias("product_id"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("horizon_day"), F.lit(1.0).alias("predicted_quantity"))
+    found = forecast.missing_forecasts(actual, predicted, ("product_id", "horizon_day"))
+    found.explain()
+    assert "SortMergeJoin" in (plan := capsys.readouterr().out) and "BroadcastExchange" not in plan
+    assert sorted(r.product_id for r in found.collect()) == [5, 6, 7, 8, 9]
