@@ -120,7 +120,7 @@ def bronze_day(s: SparkSession, d: str) -> DataFrame:
 def grid_gate(s: SparkSession, d: str) -> DataFrame:
     """Q36 over the dense grid with some cells lost, repeated or negative."""
     products = c.products(s, d).select("product_id", "category")
-    grid = demand.dense_grid(series(s, d), products.where("product_id % 50 <> 0"))
+    grid = demand.dense_grid(layers.written(series(s, d)), products.where("product_id % 50 <> 0"))
     marked = grid.withColumn("at", F.date_diff("date", "first_day"))
     marked = marked.where("NOT (product_id % 7 = 0 AND at = 3)").unionByName(marked.where("product_id % 11 = 0 AND at = 5"))
     marked = marked.withColumns({"category": F.expr("CASE WHEN product_id % 13 = 0 AND at = 8 THEN NULL ELSE category END"), "quantity_sold": F.expr("CASE WHEN product_id % 17 = 0 AND at = 9 THEN -1 ELSE quantity_sold END")})

@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from mercadia.operators import backtest, demand, metrics
+from mercadia.operators import backtest, demand, gates, metrics
 from mercadia.plans import forecast
 
 START = date(2024, 1, 1)
@@ -44,6 +44,22 @@ def test_levels_shuffle_no_row_a_day(spark, capsys):
     assert "horizon_day" not in plan and "product" not in "".join(x for x in plan.split("\n") if "Exchange" in x and "model_name" in x)
 
 
+def test_grid_shuffles_no_cell_and_its_checks_keep_none(spark, capsys):
+    rows = [(1, START, 2.0, 4.0), (1, START + timedelta(days=3), 1.0, 2.0), (2, START + timedelta(days=150), 5.0, 5.0), (9, START, 7.0, 7.0)]
+    sales = spark.createDataFrame(rows, "product_id long, date date, quantity_sold double, revenue double")
+    products = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "product_id long, category string")
+    grid = demand.dense_grid(sales, products)
+    found = {(r.product_id, r.date, r.category): (r.quantity_sold, r.revenue) for r in grid.collect()}
+    assert len(found) == grid.count() == 3 * 151 and {k[0] for k in found} == {1, 2, 3}
+    assert {k: v for k, v in found.items() if v != (0.0, 0.0)} == {(p, d, products.where(F.col("product_id") == p).first().category): (q, r) for p, d, q, r in rows if p != 9}
+    demand.dense_grid(sales, products).explain()
+    plan = capsys.readouterr().out
+    assert plan.index("explode(sequence") < plan.index("Exchange") and plan.count("explode(sequence") == 1
+    lost = grid.where("NOT (product_id = 2 AND day(date) = 3)").unionByName(grid.where("product_id = 1 AND date_diff(date, first_day) IN (5, 70)")).unionByName(grid.where("product_id = 1 AND date_diff(date, first_day) = 5"))
+    checks = gates.grid_checks(lost, products.unionByName(spark.createDataFrame([(4, "d")], "product_id long, category string")))
+    assert {r.rule: r.violations for r in checks.collect()} == {"lost_category": 0, "negative": 0, "unknown_product": 0, "repeated_cell": 2, "incomplete_days": 1, "absent_product": 1}
+
+
 def test_missing_forecasts_broadcast_no_forecast(spark, capsys):
     actual = spark.range(10).selectExpr("id AS product_id", "1 AS horizon_day")
     predicted = spark.range(5).select(F.col("id").alias("product_id"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("horizon_day"), F.lit(1.0).alias("predicted_quantity"))
