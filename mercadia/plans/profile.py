@@ -126,18 +126,24 @@ def audit(fact: DataFrame, daily: DataFrame, products: DataFrame, orders: DataFr
     fact: order_item_id, order_id, product_id, order_date, is_realized_sale, quantity; products: product_id, created_at,
     is_active. A product or order that is repeated counts an item once; a null key is missing, not unknown."""
     flags = products.groupBy("product_id").agg(F.min("created_at").alias("_made"), F.bool_or("is_active").alias("_active"), F.lit(True).alias("_known"))
-    items = fact.join(flags, "product_id", "left").join(orders.select("order_id", F.lit(True).alias("_ordered")).distinct(), "order_id", "left")
     realised = F.coalesce(F.col("is_realized_sale"), F.lit(False))
     count = lambda x: F.count_if(F.coalesce(x, F.lit(False))).alias("violations")
     any_null = lambda columns: F.expr(" OR ".join(f"{x} IS NULL" for x in columns))
     out_of_range = F.lit(False)
     for rule in ranges:
         out_of_range = out_of_range | F.coalesce(rule.breaks, F.lit(False))
-    checks = {
-        "null_in_fact": any_null(required), "out_of_range": out_of_range, "unknown_product": F.col("product_id").isNotNull() & F.col("_known").isNull(),
-        "unknown_order": F.col("order_id").isNotNull() & F.col("_ordered").isNull(), "sold_before_creation": F.col("order_date") < F.col("_made"), "inactive_realised": realised & ~F.col("_active"),
-    }
-    sums = items.agg(F.count("*").alias("n"), F.count_if(realised).alias("realised"), F.sum(F.when(realised, F.col("quantity"))).alias("units"), *(count(x).alias(n) for n, x in checks.items()))
+    # only what a check needs goes to its join: a product's checks see keys and days, an order's the counts of its id
+    sold = fact.select("product_id", "order_date", realised.alias("_realised")).join(flags, "product_id", "left")
+    placed = fact.groupBy("order_id").agg(F.count("*").alias("_items")).join(orders.select("order_id", F.lit(True).alias("_ordered")).distinct(), "order_id", "left")
+    passes = [
+        (fact, {"null_in_fact": any_null(required), "out_of_range": out_of_range}),
+        (sold, {"unknown_product": F.col("product_id").isNotNull() & F.col("_known").isNull(), "sold_before_creation": F.col("order_date") < F.col("_made"), "inactive_realised": F.col("_realised") & ~F.col("_active")}),
+    ]
+    own, of_product = (df.agg(*(count(x).alias(n) for n, x in found.items()), *more) for (df, found), more in zip(
+        passes, ([F.count("*").alias("n"), F.count_if(realised).alias("realised"), F.sum(F.when(realised, F.col("quantity"))).alias("units")], []), strict=True))
+    unknown = F.when(F.col("order_id").isNotNull() & F.col("_ordered").isNull(), F.col("_items"))
+    sums = own.crossJoin(of_product).crossJoin(placed.agg(F.coalesce(F.sum(unknown), F.lit(0)).alias("unknown_order")))  # one row each
+    checks = ("null_in_fact", "out_of_range", "unknown_product", "unknown_order", "sold_before_creation", "inactive_realised")
     mart = daily.agg(F.sum("total_items_sold").alias("mart_units"), F.count("*").alias("mart_days"))
     row = lambda name, violations, rows: F.struct(F.lit(name).alias("check"), violations.cast("long").alias("violations"), rows.cast("long").alias("rows_checked"))
     zero = F.lit(0)

@@ -6,6 +6,8 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from mercadia.plans import profile
+from mercadia import queries_quality
 from mercadia.functions import columns as fn
 from mercadia.operators import quality
 from mercadia.sources import layers
@@ -151,3 +153,31 @@ def test_zero_rate_without_a_grid(spark):
     products = spark.createDataFrame([(1,), (2,), (3,)], "product_id long")
     assert tuple(profile.zero_rate(sold, products).first()) == (4, 3, 12, 10, 10 / 12)
     assert tuple(profile.zero_rate(sold.limit(0), products).first()) == (0, 3, 0, 0, None)
+
+
+def test_audit_joins_keys_alone(spark):
+    fact = spark.sql("SELECT 'a' AS order_item_id, 1 AS order_id, 2 AS product_id, DATE '2020-01-01' AS order_date, true AS is_realized_sale, 3 AS quantity, 'wide' AS note")
+    fact = fact.unionByName(fact.withColumn("order_id", F.lit(9))).unionByName(fact.withColumn("order_id", F.lit(None).cast("int")))
+    daily = spark.sql("SELECT DATE '2020-01-01' AS sales_date, 9 AS total_items_sold")
+    products = spark.sql("SELECT 2 AS product_id, DATE '2020-01-02' AS created_at, false AS is_active")
+    found = profile.audit(fact, daily, products, spark.sql("SELECT 1 AS order_id"), ["order_item_id", "order_id", "note"], [])
+    got = {r.check: (r.violations, r.rows_checked) for r in found.collect()}
+    assert got["null_in_fact"] == (1, 3) and got["unknown_order"] == (1, 3) and got["unknown_product"] == (0, 3) and got["units_fact_to_daily"] == (0, 1)
+    assert got["sold_before_creation"] == (3, 3) and got["inactive_realised"] == (3, 3) and got["repeated_in_fact"] == (1, 3)
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    wide = spark.createDataFrame(fact.rdd, fact.schema)
+    plan = profile.audit(wide, daily, products, spark.createDataFrame([(1,)], "order_id int"), ["order_item_id", "note"], [])._jdf.queryExecution().optimizedPlan()
+    joins = [n.output().toString() for n in nodes(plan) if n.nodeName() == "Join"]
+    assert joins and not any("order_item_id" in x or "note" in x for x in joins)
+
+
+def test_schema_tests_join_the_items_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(queries_quality.layers, "written", lambda df, _of=layers.written: (read.append(any("lineitem" in x for x in df.inputFiles())), _of(df))[1])
+    found = queries_quality.schema_test_report(spark, "/root/testdata/sf0.001")
+    assert "dataset" in found.columns and sum(read) == 1
