@@ -163,14 +163,17 @@ def items_per_order(s: SparkSession, d: str) -> DataFrame:
 
 def schema_test_report(s: SparkSession, d: str) -> DataFrame:
     """Q26: all declared column tests of the models (not null, unique, accepted values, relations)."""
-    customers, products = c.customers(s, d), c.products(s, d)
+    customers, products, orders, items = c.customers(s, d), c.products(s, d), c.orders(s, d), c.items(s, d)
+    # a joined model meets many tests and later models: it is made once, from models that are written
+    enriched = layers.written(sales.enriched_items(items, products))
+    bought = layers.written(sales.enriched_orders(orders, customers, enriched))
+    sold = layers.written(sales.fct_sales(enriched, orders, c.CANCELLED))
     models = {
-        "stg_customers": customers, "stg_orders": c.orders(s, d), "stg_order_items": c.items(s, d), "stg_products": products,
-        "int_order_items_enriched": enriched_items(s, d), "int_orders_enriched": enriched_orders(s, d), "dim_customers": customers, "dim_products": sales.dim_products(products),
-        "fct_sales": fact(s, d), "mart_daily_sales": daily_mart(s, d), "mart_product_performance": product_mart(s, d), "mart_customer_metrics": customer_mart(s, d),
+        "stg_customers": customers, "stg_orders": orders, "stg_order_items": items, "stg_products": products, "int_order_items_enriched": enriched, "int_orders_enriched": bought,
+        "dim_customers": customers, "dim_products": sales.dim_products(products), "fct_sales": sold, "mart_daily_sales": layers.written(sales.mart_daily_sales(sold, bought, c.CANCELLED)),
+        "mart_product_performance": layers.written(sales.mart_product_performance(products, sold)), "mart_customer_metrics": layers.written(sales.mart_customer_metrics(customers, bought, c.CANCELLED)),
     }
-    # each model meets many tests: it is made once
-    return quality.schema_tests({n: layers.written(df) for n, df in models.items()}, schema_tests.DECLARED)
+    return quality.schema_tests(models, schema_tests.DECLARED)
 
 
 def keyed_upsert(s: SparkSession, d: str) -> DataFrame:
