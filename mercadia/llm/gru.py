@@ -6,6 +6,7 @@ import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,10 @@ _LOG10 = math.log(10)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Adam:
@@ -64,78 +68,106 @@ class Gru:
     def copy(self) -> Gru:
         return copy.deepcopy(self)
 
-    def steps(self, x: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
-        """States over a window; x: (time, lane) input ids. Input parts of the gates are made for all at once."""
+    def steps(self, x: np.ndarray, h: np.ndarray, gradient: bool = True) -> dict[str, np.ndarray]:
+        """States over a window, and with ``gradient`` the gates; x: (time, lane) input ids. Input parts of the gates are made
+        once a word of the list."""
         p, n = self.p, self.hidden
-        gates = p["E"][x] @ p["W"] + p["b"]
-        out = {k: np.empty((*x.shape, n), np.float32) for k in ("before", "z", "r", "n", "h")}
+        gates = np.take(p["E"] @ p["W"] + p["b"], x, axis=0)
+        out = {"h": np.empty((*x.shape, n), np.float32)}
+        if gradient:
+            out |= {"zr": np.empty((*x.shape, 2 * n), np.float32), "n": np.empty((*x.shape, n), np.float32)}
         for t in range(len(x)):
-            zr = _sigmoid(gates[t, :, : 2 * n] + h @ p["U"])
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gates[t, :, 2 * n :] + (r * h) @ p["V"])
-            out["before"][t], out["z"][t], out["r"][t], out["n"][t] = h, z, r, new
-            h = h + z * (new - h)
-            out["h"][t] = h
+            zr = h @ p["U"]
+            zr += gates[t, :, : 2 * n]
+            zr = _sigmoid(zr)
+            new = (zr[:, n:] * h) @ p["V"]
+            new += gates[t, :, 2 * n :]
+            np.tanh(new, out=new)
+            if gradient:
+                out["zr"][t], out["n"][t] = zr, new
+            new -= h
+            new *= zr[:, :n]
+            h = np.add(h, new, out=out["h"][t])
         return out
 
-    def log_probs(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list]:
-        """Natural log probability of each target after its state, and what the gradient needs: targets are taken class by class."""
-        p, of = self.p, y // self.per_class
-        logits = h @ p["C"] + p["c"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows = np.arange(len(y))
-        out = logits[rows, of] - np.log(total)
-        parts = [(None, e / total[:, None])]
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(len(p["c"]) + 1))
-        for k in range(len(p["c"])):
-            at = order[edges[k] : edges[k + 1]]
-            if len(at):
-                word = h[at] @ p["O"][k] + p["o"][k] + self.dead[k]
-                word -= word.max(axis=1, keepdims=True)
-                e = np.exp(word)
-                total = e.sum(axis=1)
-                out[at] += word[np.arange(len(at)), y[at] % self.per_class] - np.log(total)
-                parts.append((at, e / total[:, None]))
-        return out, parts
+    def log_probs(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Natural log probability of each target after its state, and what the gradient needs: targets are taken class by
+        class, in the order of which the states are copied once."""
+        p, of, rows = self.p, y // self.per_class, np.arange(len(y))
+        order = np.argsort(of.astype(np.uint16) if len(p["c"]) < 1 << 16 else of, kind="stable")
+        h, of, within = np.take(h, order, axis=0), of[order], y[order] % self.per_class
+        edges = np.searchsorted(of, np.arange(len(p["c"]) + 1))
+        filled = np.flatnonzero(np.diff(edges))
+        classes = h @ p["C"]
+        classes += p["c"]
+        words = np.take(p["o"] + self.dead, of, axis=0)
+        for k in filled:
+            words[edges[k] : edges[k + 1]] += h[edges[k] : edges[k + 1]] @ p["O"][k]
+        # exponentials of small logits need no shift
+        high = max(float(h.max()), -float(h.min())) if len(h) else 0.0
+        bounds = [high * float(np.abs(p[w]).sum(axis=-2).max()) + float(np.abs(p[b]).max()) for w, b in (("C", "c"), ("O", "o"))]
+        logp = np.zeros(len(y), classes.dtype)
+        for logits, target, bound in ((classes, of, bounds[0]), (words, within, bounds[1])):
+            if bound > 80:
+                logits -= logits.max(axis=1, keepdims=True)
+            logp += logits[rows, target]
+            np.exp(logits, out=logits)
+            total = logits @ np.ones(logits.shape[1], logits.dtype)
+            logp -= np.log(total)
+            logits *= np.reciprocal(total, out=total)[:, None]
+        out = np.empty_like(logp)
+        out[order] = logp
+        return out, (order, h, of, within, edges, filled, classes, words)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss a word, gradients and last state of one window: backpropagation stops at its begin."""
         p, n, size = self.p, self.hidden, self.per_class
         s = self.steps(x, h0)
-        h, target = s["h"].reshape(-1, n), y.ravel()
-        logp, parts = self.log_probs(h, target)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        of, scale = target // size, np.float32(1 / len(target))
-        d = parts[0][1]
-        d[np.arange(len(target)), of] -= 1
-        d *= scale
-        g["C"], g["c"] = h.T @ d, d.sum(axis=0)
-        dh_all = d @ p["C"].T
-        for at, d in parts[1:]:
-            k = of[at[0]]
-            d[np.arange(len(at)), target[at] % size] -= 1
+        logp, (order, h, of, within, edges, filled, classes, words) = self.log_probs(s["h"].reshape(-1, n), y.ravel())
+        g, rows, scale = {}, np.arange(len(order)), np.float32(1 / len(order))
+        for d, target in ((classes, of), (words, within)):
+            d[rows, target] -= 1
             d *= scale
-            g["O"][k], g["o"][k] = h[at].T @ d, d.sum(axis=0)
-            dh_all[at] += d @ p["O"][k].T
-        dh_all = dh_all.reshape(*x.shape, n)
+        g["C"], g["c"] = h.T @ classes, classes.sum(axis=0)
+        g["O"], g["o"] = np.zeros_like(p["O"]), np.zeros_like(p["o"])
+        g["o"][filled] = np.add.reduceat(words, edges[filled], axis=0)
+        dh_sorted = classes @ p["C"].T
+        for k in filled:
+            some = slice(edges[k], edges[k + 1])
+            g["O"][k] = h[some].T @ words[some]
+            dh_sorted[some] += words[some] @ p["O"][k].T
+        back = np.empty_like(order)
+        back[order] = rows
+        dh_all = np.take(dh_sorted, back, axis=0).reshape(*x.shape, n)
+        before, z, r, new = np.concatenate((h0[None].astype(np.float32), s["h"][:-1])), s["zr"][:, :, :n], s["zr"][:, :, n:], s["n"]
+        # how the update, the candidate and the reset answer to their sums
+        keep, reset = 1 - z, r * before
+        by_z, by_n, by_r = (new - before) * z * keep, z * (1 - new * new), reset * (1 - r)
         dgates = np.empty((*x.shape, 3 * n), np.float32)
         dh = np.zeros_like(h0)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, new = (s[k][t] for k in ("before", "z", "r", "n"))
-            dh = dh + dh_all[t]
-            dn = dh * z * (1 - new * new)
+            dh += dh_all[t]
+            dn = dh * by_n[t]
             drh = dn @ p["V"].T
-            dzr = np.concatenate((dh * (new - before) * z * (1 - z), drh * before * r * (1 - r)), axis=1)
-            g["V"] += (r * before).T @ dn
-            g["U"] += before.T @ dzr
-            dgates[t, :, : 2 * n], dgates[t, :, 2 * n :] = dzr, dn
-            dh = dh * (1 - z) + drh * r + dzr @ p["U"].T
+            dgates[t, :, :n], dgates[t, :, n : 2 * n], dgates[t, :, 2 * n :] = dh * by_z[t], drh * by_r[t], dn
+            dh *= keep[t]
+            drh *= r[t]
+            dh += drh
+            dh += dgates[t, :, : 2 * n] @ p["U"].T
         flat = dgates.reshape(-1, 3 * n)
-        g["W"], g["b"] = p["E"][x.ravel()].T @ flat, flat.sum(axis=0)
-        np.add.at(g["E"], x.ravel(), flat @ p["W"].T)
+        g["U"], g["V"] = before.reshape(-1, n).T @ flat[:, : 2 * n], reset.reshape(-1, n).T @ flat[:, 2 * n :]
+        # sums by input word, class by class as products with rows of one 1
+        ids = x.ravel()
+        order = np.argsort((ids // size).astype(np.uint16) if len(p["c"]) < 1 << 16 else ids // size, kind="stable")
+        ids, flat = ids[order], np.take(flat, order, axis=0)
+        edges = np.searchsorted(ids // size, np.arange(len(p["c"]) + 1))
+        ones, sums = np.zeros((len(ids), size), np.float32), np.zeros((len(p["c"]), size, 3 * n), np.float32)
+        ones[rows, ids % size] = 1
+        for k in np.flatnonzero(np.diff(edges)):
+            some = slice(edges[k], edges[k + 1])
+            np.matmul(ones[some].T, flat[some], out=sums[k])
+        sums = sums.reshape(-1, 3 * n)[: len(p["E"])]
+        g["W"], g["b"], g["E"] = p["E"].T @ sums, sums.sum(axis=0), sums @ p["W"].T
         return float(-logp.mean()), g, s["h"][-1]
 
     def fit(self, ids: np.ndarray, adam: Adam, rate: float = 0.01, lanes: int = 32, window: int = 24) -> list[float]:
@@ -188,7 +220,7 @@ class Gru:
                     x[1 : len(part), k] = part[:-1]
                     if t:
                         x[0, k] = texts[some[k]][t - 1]
-                states = self.steps(x, h[:live])["h"]
+                states = self.steps(x, h[:live], gradient=False)["h"]
                 real = y.ravel() >= 0
                 logp, _ = self.log_probs(states.reshape(-1, self.hidden)[real], y.ravel()[real])
                 out[some[:live]] += np.bincount(np.nonzero(y >= 0)[1], logp, minlength=live)
@@ -237,62 +269,82 @@ def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {r.word.encode(): r.n for r in some.toLocalIterator()}
 
 
-def _learn(batches: Iterator[pa.RecordBatch], model: Gru, rate: float, piece: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+def _keep_heap() -> None:
+    """Once a block this large was freed, glibc keeps smaller freed ones for the next step; their page faults would take a
+    third of the time."""
+    np.empty(31 << 20, np.uint8)
+
+
+def _learn(batches: Iterator[pa.RecordBatch], model: Gru, rate: float, kind: type, lanes: int, piece: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Truncated backpropagation over a task's texts; out come the parameters times the tokens they have seen, and those (-1)."""
+    _keep_heap()
     adam, held, size, seen = Adam(), [], 0, 0
     for batch in batches:
         for ids, copies in zip(batch.column("ids").to_pylist(), batch.column("copies").to_pylist(), strict=True):
             for _ in range(copies):
-                held.append(np.frombuffer(ids, np.int32).astype(np.int64))
+                held.append(np.frombuffer(ids, kind))
                 size += len(held[-1])
                 if size > piece:
-                    model.fit(np.r_[END, np.concatenate(held)], adam, rate)
+                    model.fit(np.r_[END, np.concatenate(held)].astype(np.int64), adam, rate, lanes)
                     seen, held, size = seen + size, [], 0
     if size:
-        model.fit(np.r_[END, np.concatenate(held)], adam, rate)
+        model.fit(np.r_[END, np.concatenate(held)].astype(np.int64), adam, rate, lanes)
         seen += size
     if seen:
         values = np.r_[float(seen), model.flat().astype(np.float64) * seen]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(values) - 1)), pa.array(values)], ["k", "value"])
 
 
-def train(model: Gru, texts: DataFrame, ids: dict[bytes, int], rates: tuple[float, ...], part_tokens: int = 1 << 18, bundle: int = 8) -> None:
+def train(model: Gru, texts: DataFrame, ids: dict[bytes, int], rates: tuple[float, ...], part_tokens: int = 1 << 21, least_tokens: int = 1 << 22, lanes: int = 256, bundle: int = 8) -> None:
     """Fit the model to all texts, a round a rate: each task learns from its texts, starting from the same parameters, and
     the results are averaged by tokens. The driver gets one sum a parameter, whatever the number of texts.
 
-    texts: at (a number that spreads them), text. There are eight parts, or one for part_tokens tokens where that is more;
-    a text's part and its place there follow from ``at``, so neither cores nor the order of rows matter. Equal rows are
-    counted first and dealt out in bundles of up to ``bundle`` copies, so that any number of them is spread over parts."""
+    texts: at (a number that spreads them), text. They are dealt into a share a round, so that every text is learned from
+    once; where all have fewer than ``least_tokens`` tokens, rounds take several shares, at most all. There are eight parts,
+    or one for part_tokens tokens where that is more; a text's share, part and place there follow from ``at``, so neither
+    cores nor the order of rows matter. Equal rows are counted first and dealt out in bundles of up to ``bundle`` copies,
+    so that any number of them is spread over parts."""
     spark = texts.sparkSession
     known = spark.sparkContext.broadcast(ids)
+    kind = np.int16 if len(ids) + 2 < 1 << 15 else np.int32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
         for batch in batches:
-            coded = [np.array([*(get(w, UNK) for w in _tokens(t)), END], np.int32).tobytes() for t in utf8(batch.column("text"))]
+            coded = [np.array([*map(get, _tokens(t), repeat(UNK)), END], kind).tobytes() for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(coded, pa.binary())], ["at", "ids"])
 
     made = materialize(texts.select("at", "text").mapInArrow(encode, "at long, ids binary").groupBy("at", "ids").agg(F.count("*").alias("n")))
-    tokens = made.agg(F.sum(F.length("ids") / 4 * F.col("n"))).first()[0] or 0
+    tokens = made.agg(F.sum(F.length("ids") * F.col("n"))).first()[0] or 0
+    tokens //= np.dtype(kind).itemsize
+    if not tokens:
+        return
+    parts, shares = max(8, math.ceil(tokens / part_tokens)), len(rates)
     first = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(bundle))).alias("first")
-    dealt = made.select("at", "ids", "n", first).select("at", "first", "ids", F.least(F.col("n") - F.col("first"), F.lit(bundle)).cast("int").alias("copies"))
-    # not written: files are read in parts that depend on the cores
-    coded = dealt.repartition(max(8, math.ceil(tokens / part_tokens)), "at", "first").sortWithinPartitions("at", "first").select("ids", "copies")
-    for rate in rates:
+    dealt = made.select("at", "ids", "n", first)
+    place = F.pmod(F.xxhash64("at", "first"), F.lit(parts * shares))
+    dealt = dealt.select(
+        "at", "first", "ids", F.least(F.col("n") - F.col("first"), F.lit(bundle)).cast("int").alias("copies"),
+        (place % parts).cast("int").alias("part"), F.floor(place / parts).alias("share"),
+    )
+    for turn, rate in enumerate(rates):
         now = spark.sparkContext.broadcast(model)
-        sums = coded.mapInArrow(lambda b, now=now, rate=rate: _learn(b, now.value.copy(), rate), "k long, value double").groupBy("k").agg(F.sum("value").alias("value"))
+        own = [(turn + j) % shares for j in range(min(shares, math.ceil(least_tokens / tokens)))]
+        # not written: files are read in parts that depend on the cores
+        coded = dealt.where(F.col("share").isin(own)).repartitionById(parts, "part").sortWithinPartitions("at", "first").select("ids", "copies")
+        sums = coded.mapInArrow(lambda b, now=now, rate=rate: _learn(b, now.value.copy(), rate, kind, lanes), "k long, value double").groupBy("k").agg(F.sum("value").alias("value"))
         found = np.array([r.value for r in sums.orderBy("k").collect()])
         if len(found):
             model.take(found[1:] / found[0])
 
 
-def score(docs: DataFrame, training: DataFrame, shortlist: int = 1024, frequent: int = 200_000, share: float = 1 / 64, least_docs: int = 1024, rates: tuple[float, ...] = (0.01, 0.01, 0.005, 0.002)) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, shortlist: int = 1024, frequent: int = 200_000, rates: tuple[float, ...] = (0.01, 0.01, 0.005, 0.002)) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of whole texts.
 
     docs, training: doc_id, text. Tokens are the words, A-Z lower-cased, and one end. Word counts cover all training
-    texts. The network knows the most frequent words, the end and one token for all other words; it is fitted by Spark
-    tasks, whose parameters are averaged once a rate (train), to a ``share`` of the whole training texts, which grows
-    with the input (at least about least_docs texts, where there are so many), and scores each text to its end. A word outside its list has the probability of that token times (c + 1) over
+    texts. The network knows the most frequent words, the end and one token for all other words; it is fitted to every
+    training text by Spark tasks, whose parameters are averaged once a rate (train), and scores each text to its end. A word
+    outside its list has the probability of that token times (c + 1) over
     the counts of all such words plus one each and one for all unseen, so score is of the same tokens as base_score,
     the unigram log10((c + 1) / (N + V + 1)). Counts of at most ``frequent`` words go to the tasks; other words'
     counts come by a join.
@@ -304,19 +356,19 @@ def score(docs: DataFrame, training: DataFrame, shortlist: int = 1024, frequent:
     counts = materialize(word_counts(training))
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = _frequent(counts, frequent)
-    names = sorted((w for w in top if w), key=lambda w: (-top[w], w))[: shortlist - 2]
-    ids = {w: i + 2 for i, w in enumerate(names)}
+    order = sorted((w for w in top if w), key=lambda w: (-top[w], w))
+    names = order[: shortlist - 2]
+    n_listed = len(names)
     listed = sum(top[w] for w in names) + top.get(b"", 0)
     other = math.log10(n_all - listed + v_all - len(names) - (b"" in top) + 1)
     every = math.log10(n_all + v_all + 1)
     model = Gru(len(names) + 2)
-    texts = training.where("text is not null and text != ''")
-    texts = texts.select(F.xxhash64("doc_id", "text").alias("at"), "text")
-    point = F.pmod("at", F.lit(1 << 30)) / F.lit(1 << 30)
-    train(model, texts.where(point < max(share, least_docs / max(1, texts.count()))), ids, rates)
-    known = spark.sparkContext.broadcast((model, ids, {w: math.log10(n + 1) for w, n in top.items()}))
+    train(model, training.select(F.xxhash64("doc_id", "text").alias("at"), "text"), {w: i + 2 for i, w in enumerate(names)}, rates)
+    end = math.log10(top[b""] + 1) if b"" in top else None
+    known = spark.sparkContext.broadcast((model, {w: i for i, w in enumerate(order)}, np.log10([top[w] + 1.0 for w in order])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_heap()
         rows, size = [], 0
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
@@ -329,28 +381,19 @@ def score(docs: DataFrame, training: DataFrame, shortlist: int = 1024, frequent:
             yield judge(rows)
 
     def judge(rows: list) -> pa.RecordBatch:
-        model, ids, logs = known.value
-        end, get = logs.get(b""), ids.get
+        model, places, logs = known.value
+        get, listed = places.get, n_listed
         sequences, n_tokens, n_known, base, beyond, rare = [], [], [], [], [], []
         for _, t in rows:
             words = _tokens(t)
-            sequences.append(np.array([get(w, UNK) for w in words] + [END], np.int32))
-            n, b, o, left = int(end is not None), (end or 0.0) - every * (len(words) + 1), 0.0, []
-            for w, k in Counter(words).items():
-                c = logs.get(w)
-                if c is None:
-                    left.append({"word": w.decode(), "k": k})
-                    o -= k * other
-                    continue
-                n += k
-                b += k * c
-                if w not in ids:
-                    o += k * (c - other)
+            at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+            sequences.append(np.append(np.where((at >= 0) & (at < listed), at + 2, UNK), END).astype(np.int32))
+            held = at[at >= 0]
+            beyond.append(float(logs[held[held >= listed]].sum()) - other * int(((at < 0) | (at >= listed)).sum()))
+            base.append(float(logs[held].sum()) + (end or 0.0) - every * (len(words) + 1))
             n_tokens.append(len(words) + 1)
-            n_known.append(n)
-            base.append(b)
-            beyond.append(o)
-            rare.append(left)
+            n_known.append(len(held) + (end is not None))
+            rare.append([{"word": w.decode(), "k": k} for w, k in Counter(words[i] for i in np.flatnonzero(at < 0)).items()])
         scores = model.score(sequences) + np.array(beyond)
         kind = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
         columns = [pa.array([i for i, _ in rows], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, kind)]

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -614,6 +615,35 @@ def test_language_model_is_the_same_however_rows_are_dealt(spark):
     assert len(again) == 50 and again == pytest.approx([again[0]] * 50, rel=1e-5)
 
 
+def test_language_model_learns_from_every_text(spark, monkeypatch):
+    """No sample of the training texts: all go to train, and its rounds learn from each copy of each once."""
+    from mercadia.llm import gru
+
+    def count(batches, model, rate, kind, lanes):
+        n = np.zeros(203)
+        for batch in batches:
+            for ids, copies in zip(batch.column("ids").to_pylist(), batch.column("copies").to_pylist(), strict=True):
+                n += copies * np.bincount(np.frombuffer(ids, kind), minlength=203)
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, 203)), pa.array([n.sum(), *n])], ["k", "value"])
+
+    given = []
+    monkeypatch.setattr(gru, "train", lambda model, texts, *_: given.append(texts.count()))
+    rows = [(i, f"w{i} {'a b c ' * (i % 3)}", None, None) for i in range(3000)] + [(5000, None, None, None)]
+    gru.score(docs(spark, rows), docs(spark, rows)).count()
+    assert given == [3001]
+    monkeypatch.undo()
+    texts = docs(spark, rows[:200] + [(7, "again", None, None)] * 30).select(F.xxhash64("doc_id", "text").alias("at"), "text")
+    monkeypatch.setattr(gru, "_learn", count)
+    for least, times in ((1, 1), (1 << 40, 4)):
+        rounds = []
+        monkeypatch.setattr(gru.Gru, "take", lambda _, values, rounds=rounds: rounds.append(values))
+        gru.train(gru.Gru(203), texts, {b"w%d" % i: i + 2 for i in range(200)} | {b"again": 202}, (0.1,) * 4, least_tokens=least)
+        met = [np.flatnonzero(x[2:202]) for x in rounds]
+        assert sorted(np.concatenate(met).tolist()) == sorted([*range(200)] * times)
+        if times > 1:
+            assert all(x[202] == pytest.approx(30 * x[2]) for x in rounds)
+
+
 def test_gru_learns_from_every_word_of_a_piece():
     from mercadia.llm.gru import Adam, Gru
 
