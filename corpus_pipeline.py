@@ -30,7 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the row of least doc_id stays, one with a null doc_id only if no other has one.
+    """Of each group of near copies the row of least doc_id stays, one with a null doc_id only if no other has one. Links
+    are those of operator 2 (SimHashes of three words within three bits) and pairs at 0.8 of five-word shingles.
 
     Rows are told apart by a row id, so unlike texts of one doc_id both stay, and copies with equal or null ids leave
     one. Texts without words are copies of each other. An empty table gives an empty result."""

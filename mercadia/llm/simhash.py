@@ -374,8 +374,10 @@ def _bucket_links(members: DataFrame, sets: DataFrame, similarity: float, turns:
     return linked if linked is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
-def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, turns: int = 2) -> DataFrame:
-    """(doc_id, _row, component): the rows of one component are linked by pairs of at least ``similarity``; see near_copies.
+def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, turns: int = 2, shingle: int = 3, radius: int | None = 3) -> DataFrame:
+    """(doc_id, _row, component): the rows of one component are linked by SimHashes of ``shingle`` words that differ in
+    ``radius`` bits or fewer (near_duplicates), or by pairs of at least ``similarity`` (near_copies); the latter alone, if
+    radius is None.
 
     rows: doc_id, text and a unique _row that is the same whenever it is read.
     """
@@ -388,10 +390,15 @@ def near_groups(rows: DataFrame, similarity: float = 0.8, compare: int = 5, band
     asked = members.select(F.col("node").alias("_row")).distinct()
     sets = materialize(shingle_sets(rows.join(asked.hint("merge"), "_row", "left_semi"), compare))
     linked = _bucket_links(members, sets, similarity, turns)
-    named = classes.select(*sets_of, "node").join(components(linked).withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left")
-    named = named.select(*(F.col(c).alias(f"{c}_") for c in sets_of), F.coalesce("component", "node").alias("component"))
+    of_set = classes.select(*(F.col(c).alias(f"{c}_") for c in sets_of), "node")
     same = [F.col(c) == F.col(f"{c}_") for c in sets_of]
-    return every.select("doc_id", "_row", *sets_of).join(named.hint("merge"), same).select("doc_id", "_row", "component")
+    named = materialize(every.select("doc_id", "_row", *sets_of).join(of_set.hint("merge"), same).select("doc_id", "_row", "node"))
+    if radius is not None:
+        near = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, radius).select(F.col("doc_id").alias("of"), "component_id")
+        # a link for each class and SimHash component that share rows, so copies are not expanded
+        linked = linked.unionByName(named.join(near.hint("merge"), F.col("_row") == F.col("of")).where("node != component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b")).distinct())
+    found = components(linked).withColumnRenamed("node", "of").hint("merge")
+    return named.join(found, F.col("node") == F.col("of"), "left").select("doc_id", "_row", F.coalesce("component", "node").alias("component"))
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, bands: int = 20, depth: int = 5, turns: int = 2) -> DataFrame:
@@ -406,7 +413,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, compare: int = 5, band
     Null, empty and wordless texts are copies of each other. component_id is the least doc_id of the group, null if it
     has none; repeated rows are kept; an empty table gives an empty result; extra columns are ignored.
     """
-    found = materialize(near_groups(with_rows(docs.select("doc_id", "text")), similarity, compare, bands, depth, turns))
+    found = materialize(near_groups(with_rows(docs.select("doc_id", "text")), similarity, compare, bands, depth, turns, radius=None))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "component").select("doc_id", "component_id")
 

@@ -689,6 +689,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert {x.doc_id for x in p.run(spark, str(tmp_path)).collect()} == kept[4]
 
 
+def test_pipeline_links_by_simhash(spark):
+    """Each pair that operator 2 links is one group, also below the similarity of 0.8; so are copies of its texts."""
+    import corpus_pipeline as p
+    from mercadia.llm.simhash import near_copies, near_duplicates
+
+    r = random.Random(21)
+    rows = []
+    for i in range(40):
+        w = [r.choice(WORDS) + str(r.randrange(99)) for _ in range(300)]
+        line = " ".join(r.choice(WORDS) + str(r.randrange(99)) for _ in range(7)) + " "
+        rows += [(10 * i + k, line * 60 + " ".join(w[150 * k : 150 * k + 150])) for k in (0, 1)]
+        rows += [(10 * i + 2, rows[-1][1]), (10 * i + 3, " ".join(w))]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    by_bits = {x.doc_id: x.component_id for x in near_duplicates(table).collect()}
+    by_share = {x.doc_id: x.component_id for x in near_copies(table).collect()}
+    joined = closure(sorted(by_bits), [*by_bits.items(), *by_share.items()])
+    assert sum(joined[i] != by_share[i] for i in joined) > 20
+    kept = {x.doc_id for x in p.near_duplicates(spark, table, "").collect()}
+    assert kept == set(joined.values())
+
+
 def test_pipeline_rows_without_own_id(spark):
     import corpus_pipeline as p
 
