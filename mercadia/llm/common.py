@@ -46,6 +46,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on in this session, Arrow batches have at most ``rows`` rows. With Spark's 10,000 documents a batch, each
+    task would hold some tens of megabytes several times over, in the executor and in its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
     """docs with a unique _row, written, so that it is the same whenever it is read."""
     return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mercadia.llm.common import materialize, table, with_columns, with_rows
-from mercadia.llm.tokens import Words, byte_values, chunks, mix, sliding_min, spans_of, utf8, words
+from mercadia.llm.tokens import Words, byte_values, mix, sliding_min, spans_of, text_chunks, words
 
 _VALUES = byte_values(lower=True, alnum=True)
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -112,9 +112,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = known.value
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for low, high in chunks(texts):
-                w = words(texts[low:high], _VALUES)
+            for low, high, texts in text_chunks(batch.column("text")):
+                w = words(texts, _VALUES)
                 hit, found = prints.match(w)
                 hits: list[list] = [[] for _ in range(high - low)]
                 names: list[list] = [[] for _ in range(high - low)]
@@ -141,9 +140,9 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...
     def rows(name: str, lengths: list[int] | None):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, ids = utf8(batch.column("text")), batch.column(name)
-                for low, high in chunks(texts):
-                    w = words(texts[low:high], _VALUES)
+                ids = batch.column(name)
+                for low, high, texts in text_chunks(batch.column("text")):
+                    w = words(texts, _VALUES)
                     again = Words(w.start, w.end, mix(w.hash + np.uint64(1)), w.first)
                     n_of, doc = np.diff(w.first), w.doc
                     for n in lengths if lengths is not None else sorted({min(int(x), window) for x in n_of if x}):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mercadia.llm.common import discard, materialize, table, with_columns
+from mercadia.llm.tokens import text_chunks
 
 UNKNOWN = "und"
 _END = np.int32(1 << 29)  # added to a transition for each phrase that it ends
@@ -230,16 +231,10 @@ def identify(docs: DataFrame, labelled: DataFrame, sample_docs: int = 64, sample
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            begin = 0
-            while begin < len(texts):
-                end, total = begin, 0
-                while end < len(texts) and (end == begin or total + len(texts[end]) <= 2 << 20):
-                    total += len(texts[end])
-                    end += 1
-                kept = [batch.column(c).slice(begin, end - begin) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, *_judge(known.value if known else None, texts[begin:end])], [*keep, "lang_pred", "score"])
-                begin = end
+            for low, high, texts in text_chunks(batch.column("text"), 2 << 20):
+                kept = [batch.column(c).slice(low, high - low) for c in keep]
+                judged = _judge(known.value if known else None, [t.decode() for t in texts])
+                yield pa.RecordBatch.from_arrays([*kept, *judged], [*keep, "lang_pred", "score"])
 
     return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(scan, with_columns(docs, keep, "lang_pred string, score double"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.llm.common import materialize, table, with_columns
+from mercadia.llm.tokens import text_chunks
 
 KINDS = ("assign", "access", "hex", "owned")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -68,7 +69,7 @@ def secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", exampl
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [candidates(t) if t else [] for t in batch.column("text").to_pylist()]
+            found = [candidates(t.decode()) if t else [] for _, _, texts in text_chunks(batch.column("text")) for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "_repo", "_owner")), pa.array(found, _CANDIDATES_ARROW)], [*keep, "_repo", "_owner", "_found"])
 
     side = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(name) for c, name in ((repo, "_repo"), (owner, "_owner"))]

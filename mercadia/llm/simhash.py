@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mercadia.llm.common import materialize, table, with_rows
 from mercadia.llm.components import components
-from mercadia.llm.tokens import Words, byte_values, chunks, mix, utf8, words
+from mercadia.llm.tokens import Words, byte_values, mix, text_chunks, words
 
 BITS = 64
 
@@ -37,7 +37,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in utf8(batch.column("text"))]
+            fps = [fingerprint(t, shingle) for _, _, texts in text_chunks(batch.column("text")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fp long")
@@ -271,9 +271,8 @@ def signatures(rows: DataFrame, shingle: int, bands: int, depth: int) -> DataFra
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for low, high in chunks(texts):
-                key, first = _shingles(words(texts[low:high], _VALUES), shingle)
+            for low, high, texts in text_chunks(batch.column("text")):
+                key, first = _shingles(words(texts, _VALUES), shingle)
                 key, size = key.view(np.uint64), np.diff(first)
                 full = np.flatnonzero(size)
                 sums, buckets = np.zeros((2, high - low), np.uint64), np.zeros((len(full), bands), np.uint64)
@@ -300,9 +299,8 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for low, high in chunks(texts):
-                key, first = _shingles(words(texts[low:high], _VALUES), shingle, 32)
+            for low, high, texts in text_chunks(batch.column("text")):
+                key, first = _shingles(words(texts, _VALUES), shingle, 32)
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(key.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("_row").slice(low, high - low), lists], ["node", "shingles"])
 

@@ -726,3 +726,36 @@ def test_pipeline_rows_without_own_id(spark):
     masked = {x.source: x.text for x in p.mask_secrets(spark, table, "").collect()}
     assert len(masked) == 6 and all(masked[f"s{k}"] == rows[k][1] for k in (1, 2, 5))
     assert [masked[f"s{k}"] for k in (0, 3, 4)] == ['long text before [secret]" after', '[secret]" a', 'aa [secret]" ']
+
+
+def test_pipeline_holds_few_documents_at_a_time(spark):
+    """Its stages read Arrow batches of bounded rows; a batch's texts are unpacked piece by piece."""
+    import tracemalloc
+
+    import corpus_pipeline as p
+    from mercadia.llm.simhash import fingerprints
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    table = spark.range(5000).selectExpr("id as doc_id", "concat('the words of ', id) as text", "'en' as lang", "'s' as source", "1L as n_chars").coalesce(1)
+    for stage in (p.language, p.near_duplicates, p.mask_secrets):
+        spark.conf.unset(key)
+        assert stage(spark, table.limit(3), "").count() <= 3
+        sizes = table.mapInArrow(lambda b: (pa.RecordBatch.from_pydict({"n": [x.num_rows]}) for x in b), "n long").collect()
+        assert len(sizes) > 1 and max(r.n for r in sizes) <= 1000
+    spark.conf.unset(key)
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, scan, _):
+            self.scan = scan
+            return self
+
+    texts = [f"{i} " + ("x" * 9_999 + " ") * 100 for i in range(60)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(62)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    found = [x for b in fingerprints(Table()).scan(iter([batch])) for x in b.column("fp").to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 62 and found[60:] == [0, 0] and most < 20 << 20
