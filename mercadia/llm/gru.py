@@ -6,10 +6,10 @@ import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +21,9 @@ UNK, END = 0, 1
 _LOG10 = math.log(10)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.exp(np.negative(x, out=x), out=x)
+def _inverse(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -68,21 +68,30 @@ class Gru:
     def copy(self) -> Gru:
         return copy.deepcopy(self)
 
-    def steps(self, x: np.ndarray, h: np.ndarray, gradient: bool = True) -> dict[str, np.ndarray]:
-        """States over a window, and with ``gradient`` the gates; x: (time, lane) input ids. Input parts of the gates are made
-        once a word of the list."""
+    def inputs(self) -> np.ndarray:
+        """Input parts of the gates by word of the list, with the signs and the factor that exponentials take."""
+        out = self.p["E"] @ self.p["W"] + self.p["b"]
+        out[:, : 2 * self.hidden] *= -1
+        out[:, 2 * self.hidden :] *= -2
+        return out
+
+    def steps(self, x: np.ndarray, h: np.ndarray, gradient: bool = True, inputs: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """States over a window, and with ``gradient`` the gates; x: (time, lane) input ids."""
         p, n = self.p, self.hidden
-        gates = np.take(p["E"] @ p["W"] + p["b"], x, axis=0)
+        gates = np.take(self.inputs() if inputs is None else inputs, x, axis=0)
         out = {"h": np.empty((*x.shape, n), np.float32)}
         if gradient:
             out |= {"zr": np.empty((*x.shape, 2 * n), np.float32), "n": np.empty((*x.shape, n), np.float32)}
+        by_h, by_rh = -p["U"], -2 * p["V"]
         for t in range(len(x)):
-            zr = h @ p["U"]
+            zr = h @ by_h
             zr += gates[t, :, : 2 * n]
-            zr = _sigmoid(zr)
-            new = (zr[:, n:] * h) @ p["V"]
+            zr = _inverse(zr)
+            new = (zr[:, n:] * h) @ by_rh
             new += gates[t, :, 2 * n :]
-            np.tanh(new, out=new)
+            new = _inverse(new)  # tanh x is 2 / (1 + exp(-2x)) - 1
+            new *= 2
+            new -= 1
             if gradient:
                 out["zr"][t], out["n"][t] = zr, new
             new -= h
@@ -90,9 +99,9 @@ class Gru:
             h = np.add(h, new, out=out["h"][t])
         return out
 
-    def log_probs(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Natural log probability of each target after its state, and what the gradient needs: targets are taken class by
-        class, in the order of which the states are copied once."""
+    def log_probs(self, h: np.ndarray, y: np.ndarray, gradient: bool = True) -> tuple[np.ndarray, tuple]:
+        """Natural log probability of each target after its state, and with ``gradient`` what that needs: targets are taken
+        class by class, in the order of which the states are copied once."""
         p, of, rows = self.p, y // self.per_class, np.arange(len(y))
         order = np.argsort(of.astype(np.uint16) if len(p["c"]) < 1 << 16 else of, kind="stable")
         h, of, within = np.take(h, order, axis=0), of[order], y[order] % self.per_class
@@ -114,7 +123,8 @@ class Gru:
             np.exp(logits, out=logits)
             total = logits @ np.ones(logits.shape[1], logits.dtype)
             logp -= np.log(total)
-            logits *= np.reciprocal(total, out=total)[:, None]
+            if gradient:
+                logits *= np.reciprocal(total, out=total)[:, None]
         out = np.empty_like(logp)
         out[order] = logp
         return out, (order, h, of, within, edges, filled, classes, words)
@@ -156,17 +166,13 @@ class Gru:
             dh += dgates[t, :, : 2 * n] @ p["U"].T
         flat = dgates.reshape(-1, 3 * n)
         g["U"], g["V"] = before.reshape(-1, n).T @ flat[:, : 2 * n], reset.reshape(-1, n).T @ flat[:, 2 * n :]
-        # sums by input word, class by class as products with rows of one 1
+        # sums by input word
         ids = x.ravel()
-        order = np.argsort((ids // size).astype(np.uint16) if len(p["c"]) < 1 << 16 else ids // size, kind="stable")
-        ids, flat = ids[order], np.take(flat, order, axis=0)
-        edges = np.searchsorted(ids // size, np.arange(len(p["c"]) + 1))
-        ones, sums = np.zeros((len(ids), size), np.float32), np.zeros((len(p["c"]), size, 3 * n), np.float32)
-        ones[rows, ids % size] = 1
-        for k in np.flatnonzero(np.diff(edges)):
-            some = slice(edges[k], edges[k + 1])
-            np.matmul(ones[some].T, flat[some], out=sums[k])
-        sums = sums.reshape(-1, 3 * n)[: len(p["E"])]
+        order = np.argsort(ids.astype(np.uint16) if len(p["E"]) < 1 << 16 else ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        sums = np.zeros((len(p["E"]), 3 * n), np.float32)
+        sums[ids[first]] = np.add.reduceat(np.take(flat, order, axis=0), first, axis=0)
         g["W"], g["b"], g["E"] = p["E"].T @ sums, sums.sum(axis=0), sums @ p["W"].T
         return float(-logp.mean()), g, s["h"][-1]
 
@@ -200,18 +206,20 @@ class Gru:
             self.p[k] = values[at : at + self.p[k].size].astype(np.float32).reshape(self.p[k].shape)
             at += self.p[k].size
 
-    def score(self, texts: list[np.ndarray], window: int = 64, lanes: int = 512) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], window: int = 16, lanes: int = 512) -> np.ndarray:
         """Log10 probability of whole id sequences. Each is a lane; lanes of like length go together, longest first, so
-        those that still run are the first ones; a lane's state is carried from window to window to its end."""
-        out = np.zeros(len(texts))
+        those that still run are the first ones; a lane's state is carried from window to window to its end. Windows get
+        longer as lanes end, so that each holds about as many words, few enough for a CPU's cache."""
+        out, inputs = np.zeros(len(texts)), self.inputs()
         order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
         for begin in range(0, len(order), lanes):
             some = order[begin : begin + lanes]
             sizes = np.array([len(texts[i]) for i in some])
             h = np.zeros((len(some), self.hidden), np.float32)
-            for t in range(0, int(sizes[0]), window):
+            t = 0
+            while t < sizes[0]:
                 live = int((sizes > t).sum())
-                wide = min(window, int(sizes[0]) - t)
+                wide = min(max(window, window * lanes // live), int(sizes[0]) - t)
                 y = np.full((wide, live), -1, np.int64)
                 x = np.full((wide, live), END, np.int64)
                 for k in range(live):
@@ -220,36 +228,68 @@ class Gru:
                     x[1 : len(part), k] = part[:-1]
                     if t:
                         x[0, k] = texts[some[k]][t - 1]
-                states = self.steps(x, h[:live], gradient=False)["h"]
+                states = self.steps(x, h[:live], gradient=False, inputs=inputs)["h"]
                 real = y.ravel() >= 0
-                logp, _ = self.log_probs(states.reshape(-1, self.hidden)[real], y.ravel()[real])
+                logp, _ = self.log_probs(states.reshape(-1, self.hidden)[real], y.ravel()[real], gradient=False)
                 out[some[:live]] += np.bincount(np.nonzero(y >= 0)[1], logp, minlength=live)
-                h = states[-1]
+                h, t = states[-1], t + wide
         return out / _LOG10
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()  # of bytes: A-Z only, ASCII white space only
+def tokens_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, split at ASCII white space; and where each text's begin (one entry more)."""
+    whole = pa.array(utf8(column), pa.large_binary()).cast(pa.large_string())  # of slices, the kernels lose words
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    flat, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end gives an empty word
+    if not real.all():
+        flat, counts = flat.filter(pa.array(real)), np.bincount(np.repeat(np.arange(len(counts)), counts)[real], minlength=len(counts))
+    return flat, np.r_[0, np.cumsum(counts)].astype(np.int64)
+
+
+def _pieces(column: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes of text; a longer text stands alone and whole."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = done = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield begin, end
+        begin, done = end, ends[end - 1]
+
+
+def _places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Of each word its place in known, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+
+def _with_ends(ids: np.ndarray, first: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with END after each text's, and where each text begins then."""
+    n = len(first) - 1
+    out = np.full(len(ids) + n, END, kind)
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(first))] = ids
+    return out, first + np.arange(n + 1)
 
 
 def word_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """(word, n) over all texts; the empty word is the end, one a text. Tasks add up before anything is sent."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            summed = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            yield from pa.table({"word": summed["word"].cast(pa.string()), "n": summed["n_sum"]}).combine_chunks().to_batches()
 
         for batch in batches:
-            for text in utf8(batch.column("text")):
-                seen.update(_tokens(text))
-                seen[b""] += 1
-                if len(seen) > flush:
-                    yield rows()
-                    seen = Counter()
-        if seen:
-            yield rows()
+            for low, high in _pieces(batch.column("text")):
+                found = pc.value_counts(tokens_of(batch.column("text").slice(low, high - low))[0])
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                held.append(pa.table({"word": pa.array([""], pa.large_string()), "n": pa.array([high - low], pa.int64())}))
+                if sum(map(len, held)) > flush:
+                    yield from rows()
+                    held = []
+        if held:
+            yield from rows()
 
     return docs.select("text").mapInArrow(scan, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -309,10 +349,14 @@ def train(model: Gru, texts: DataFrame, ids: dict[bytes, int], rates: tuple[floa
     kind = np.int16 if len(ids) + 2 < 1 << 15 else np.int32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+        numbers = np.array([*known.value.values(), UNK], kind)  # the last for places of -1
+        words = pa.array(known.value.keys(), pa.binary()).cast(pa.large_string())
         for batch in batches:
-            coded = [np.array([*map(get, _tokens(t), repeat(UNK)), END], kind).tobytes() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(coded, pa.binary())], ["at", "ids"])
+            for low, high in _pieces(batch.column("text")):
+                found, first = tokens_of(batch.column("text").slice(low, high - low))
+                ids, first = _with_ends(numbers[_places(found, words)], first, kind)
+                coded = pa.Array.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(first * ids.itemsize), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("at").slice(low, high - low), coded.cast(pa.binary())], ["at", "ids"])
 
     made = materialize(texts.select("at", "text").mapInArrow(encode, "at long, ids binary").groupBy("at", "ids").agg(F.count("*").alias("n")))
     tokens = made.agg(F.sum(F.length("ids") * F.col("n"))).first()[0] or 0
@@ -365,38 +409,40 @@ def score(docs: DataFrame, training: DataFrame, shortlist: int = 1024, frequent:
     model = Gru(len(names) + 2)
     train(model, training.select(F.xxhash64("doc_id", "text").alias("at"), "text"), {w: i + 2 for i, w in enumerate(names)}, rates)
     end = math.log10(top[b""] + 1) if b"" in top else None
-    known = spark.sparkContext.broadcast((model, {w: i for i, w in enumerate(order)}, np.log10([top[w] + 1.0 for w in order])))
+    known = spark.sparkContext.broadcast((model, order, np.log10([top[w] + 1.0 for w in order])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _keep_heap()
-        rows, size = [], 0
+        words, held, size = pa.array(known.value[1], pa.binary()).cast(pa.large_string()), [], 0
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                rows.append((i, t))
-                size += len(t)
+            for low, high in _pieces(batch.column("text"), 16 << 20):
+                held.append(batch.slice(low, high - low))
+                size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
                 if size > 8 << 20:
-                    yield judge(rows)
-                    rows, size = [], 0
-        if rows:
-            yield judge(rows)
-
-    def judge(rows: list) -> pa.RecordBatch:
-        model, places, logs = known.value
-        get, listed = places.get, n_listed
-        sequences, n_tokens, n_known, base, beyond, rare = [], [], [], [], [], []
-        for _, t in rows:
-            words = _tokens(t)
-            at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-            sequences.append(np.append(np.where((at >= 0) & (at < listed), at + 2, UNK), END).astype(np.int32))
-            held = at[at >= 0]
-            beyond.append(float(logs[held[held >= listed]].sum()) - other * int(((at < 0) | (at >= listed)).sum()))
-            base.append(float(logs[held].sum()) + (end or 0.0) - every * (len(words) + 1))
-            n_tokens.append(len(words) + 1)
-            n_known.append(len(held) + (end is not None))
-            rare.append([{"word": w.decode(), "k": k} for w, k in Counter(words[i] for i in np.flatnonzero(at < 0)).items()])
-        scores = model.score(sequences) + np.array(beyond)
+                    yield judge(held, words)
+                    held, size = [], 0
+        if held:
+            yield judge(held, words)
+
+    def judge(held: list[pa.RecordBatch], known_words: pa.Array) -> pa.RecordBatch:
+        model, _, logs = known.value
+        words, first = tokens_of(pa.concat_arrays([b.column("text").cast(pa.large_string()) for b in held]))
+        at, sizes = _places(words, known_words), np.diff(first)
+        n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        listed, seen = (at >= 0) & (at < n_listed), at >= 0
+        log = np.where(seen, np.r_[logs, 0.0][at], 0.0)
+        ids, starts = _with_ends(np.where(listed, at + 2, UNK), first, np.int32)
+        base = np.bincount(owner, log, minlength=n) + (end or 0.0) - every * (sizes + 1)
+        beyond = np.bincount(owner, np.where(listed, 0.0, log - other), minlength=n)
+        n_known = np.bincount(owner, seen, minlength=n).astype(np.int64) + (end is not None)
+        rare: list[list] = [[] for _ in range(n)]
+        some = np.flatnonzero(~seen)
+        for (i, w), k in Counter(zip(owner[some].tolist(), words.take(pa.array(some)).to_pylist(), strict=True)).items():
+            rare[i].append({"word": w, "k": k})
+        scores = model.score(np.split(ids, starts[1:-1]) if n else []) + beyond
         kind = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
-        columns = [pa.array([i for i, _ in rows], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, kind)]
+        doc_id = pa.concat_arrays([b.column("doc_id") for b in held])
+        columns = [doc_id, pa.array(sizes + 1), pa.array(n_known), pa.array(base), pa.array(scores), pa.array(rare, kind)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
     scanned = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,k:bigint>>")

@@ -656,6 +656,29 @@ def test_gru_learns_from_every_word_of_a_piece():
         assert sorted(seen) == sorted(ids[1:].tolist())
 
 
+def test_language_model_takes_words_and_windows_at_once():
+    """Words of many texts as the contract splits them; a long text's windows get wider as others end."""
+    from mercadia.llm.gru import Gru, tokens_of
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("aZ É\x1c\x1f\x0b\x0c\t\n\r \x85\xa0İ") for _ in range(r.randrange(30))) for _ in range(500)] + [None, "", " "]
+    for column in (pa.array(texts), pa.array(texts).slice(3, 400)):
+        found, first = tokens_of(column)
+        found = [w.encode() for w in found.to_pylist()]
+        assert [found[a:b] for a, b in zip(first, first[1:], strict=False)] == [(t or "").encode().lower().split() for t in column.to_pylist()]
+    many = pa.array(["Some words of a text " * 200] * 5000)
+    for low in (0, 2000, 2500, 4000):
+        found, first = tokens_of(many.slice(low, 1000))
+        assert len(found) == first[-1] == 1000 * 1000
+    g, made = Gru(10, embed=4, hidden=5, per_class=4), []
+    inner = g.steps
+    g.steps = lambda x, *a, **k: (made.append(x.size), inner(x, *a, **k))[1]
+    long = [np.arange(n) % 10 for n in (20_000, 3, 700, 0)]
+    whole = g.score(long)
+    assert len(made) < 20 and max(made) <= 16 * 512
+    assert whole == pytest.approx(g.score(long, window=50, lanes=1), rel=1e-5)
+
+
 # ---- the pipeline ----
 
 
