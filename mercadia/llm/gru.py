@@ -415,10 +415,10 @@ def score(docs: DataFrame, training: DataFrame, shortlist: int = 1024, frequent:
         _keep_heap()
         words, held, size = pa.array(known.value[1], pa.binary()).cast(pa.large_string()), [], 0
         for batch in batches:
-            for low, high in _pieces(batch.column("text"), 16 << 20):
+            for low, high in _pieces(batch.column("text")):
                 held.append(batch.slice(low, high - low))
                 size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield judge(held, words)
                     held, size = [], 0
         if held:
