@@ -24,7 +24,7 @@ def classify_risk(forecast: DataFrame, products: DataFrame, horizon: int = 14, b
         F.when((stock <= 0) | (left <= 0), "critical").when(left <= least, "high_risk").when(cover < 2 * horizon, "attention")
         .when((d == 0) | (cover > 3 * horizon), "potential_overstock").otherwise("adequate")
     )
-    out = active.join(demand, "product_id").withColumns({"projected_stock": left, "coverage_days": cover, "risk_class": F.when(F.col("complete"), risk)})
+    out = active.join(demand.hint("merge"), "product_id").withColumns({"projected_stock": left, "coverage_days": cover, "risk_class": F.when(F.col("complete"), risk)})
     rank = F.array_position(F.array(*map(F.lit, RISK_ORDER)), F.col("risk_class")).cast("int")
     return out.withColumn("risk_rank", rank)
 
@@ -38,5 +38,5 @@ def risk_scenarios(risk: DataFrame, champion: str) -> DataFrame:
 def official_risk(risk: DataFrame, products: DataFrame, horizon: int = 14) -> DataFrame:
     """With product names, average daily demand, and coverage null where it is infinite."""
     cover = F.when(F.col("coverage_days") != float("inf"), F.col("coverage_days"))
-    named = risk.join(products.select("product_id", "product_name", "category"), "product_id", "left")
+    named = risk.join(products.select("product_id", "product_name", "category").hint("merge"), "product_id", "left")
     return named.withColumns({"average_daily_demand": F.col("forecast_demand") / horizon, "estimated_coverage_days": cover, "risk_level": F.col("risk_class"), "horizon_days": F.lit(horizon)})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mercadia.operators import artifacts, demand, gates, publish, quality
 from mercadia.plans import forecast
-from mercadia.queries_demand import _ALL, _CUBES, _GRID, _RISK, _SERIES, aggregate, official, official_risk, rounded, series, unpivoted
+from mercadia.queries_demand import _ALL, _CUBES, _GRID, _RISK, _SERIES, aggregate, official, official_risk, rounded, series, unpivoted, written_series
 from mercadia.sources import canonical as c
 from mercadia.sources import layers
 from mercadia.sources.layers import scratch
@@ -161,7 +161,8 @@ def metric_gate(s: SparkSession, d: str) -> DataFrame:
 def bundle(s: SparkSession, d: str) -> DataFrame:
     """Forecasts, risks and metrics saved as one bundle, loaded again, and their manifest."""
     root = f"{scratch(s)}/bundle-{uuid.uuid4().hex}"
-    tables = {"sales_forecast": official(s, d), "inventory_risk": official_risk(s, d), "model_metrics": unpivoted(s, d)}
+    sold = written_series(s, d)
+    tables = {"sales_forecast": official(s, d, sold), "inventory_risk": official_risk(s, d, sold), "model_metrics": unpivoted(s, d, sold)}
     artifacts.save(root, tables, {"promotion": {"decision": "rejected", "final_champion": forecast.CHAMPION}})
     _, documents = artifacts.load(s, root, list(tables), ["promotion"])
     artifacts.check_decision(documents["promotion"], "rejected", forecast.CHAMPION)

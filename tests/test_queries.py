@@ -34,3 +34,17 @@ def test_entry_registers_all():
     import __spark_entry__ as e
 
     assert set(core.queries()) <= set(e.queries())
+
+
+def test_no_row_a_product_or_order_is_broadcast(spark, capsys):
+    from mercadia import queries_demand as q
+    from mercadia.operators import demand
+    from mercadia.sources import canonical as c
+
+    sold = q.written_series(spark, DIR)
+    grid = demand.dense_grid(sold.selectExpr("*", "0D AS revenue"), c.products(spark, DIR).select("product_id", "category"))
+    for df in (q.series(spark, DIR), q.official(spark, DIR, sold), q.official_risk(spark, DIR, sold), grid):
+        capsys.readouterr()
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
