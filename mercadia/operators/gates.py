@@ -135,6 +135,10 @@ def require(report: DataFrame) -> None:
         raise ValueError("; ".join(f"{r.dataset}.{r.rule}: {r.violations}" for r in broken))
 
 
+#: Words of a key's days that are sent to all tasks at most.
+FEW = 200_000
+
+
 def grid_checks(grid: DataFrame, products: DataFrame, key: str = "product_id") -> DataFrame:
     """Cells of unknown products, repeated cells, lost attributes, negative demand, and products without a cell on
     every day between the grid's first and last."""
@@ -143,22 +147,30 @@ def grid_checks(grid: DataFrame, products: DataFrame, key: str = "product_id") -
     word, bit = F.coalesce(F.floor(F.unix_date("date") / 62), F.lit(-1_000_000)), F.expr("shiftleft(1L, CAST(pmod(unix_date(date), 62) AS INT))")
     rules = [Rule(f"lost_{c}", F.col(c).isNull()) for c in products.columns if c != key and c in grid.columns] + [Rule("negative", F.col("quantity_sold") < 0)]
     counts = [f"c{i}_" for i in range(len(rules))]
-    # days are bits, 62 a word, so that no row a cell is kept; only words with a day twice are looked at cell by cell
+    dated, days, odd = F.col("word_") != -1_000_000, F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)), F.coalesce(F.bit_count(F.bit_xor(bit)), F.lit(0))
+    # days are bits, 62 a word, so that no row a cell is kept. A day that is there an even number of times is missing from the
+    # exclusive or; if there are as many of these as cells too many, each is there twice. Only words where they differ, which
+    # have a day three times or more, are looked at cell by cell
     words = grid.groupBy(key, word.alias("word_")).agg(
-        F.count("*").alias("n_"), F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)).alias("days_"), F.min("date").alias("first_"), F.max("date").alias("last_"),
+        F.count("*").alias("n_"), days.alias("days_"), (days - odd).alias("even_"), F.min("date").alias("first_"), F.max("date").alias("last_"),
         *(F.count_if(F.coalesce(r.breaks, F.lit(False))).alias(c) for r, c in zip(rules, counts, strict=True)),
     )
-    again = F.collect_list(F.when(F.col("n_") > F.col("days_"), F.col("word_"))).alias("again_")
-    keys = layers.written(words.groupBy(key).agg(*(F.sum(c).alias(c) for c in ("n_", "days_", *counts)), F.min("first_").alias("first_"), F.max("last_").alias("last_"), again))
+    sure = F.col("n_") - F.col("days_") == F.col("even_")
+    twice = F.sum(F.when(~dated, (F.col("n_") > 1).cast("int")).when(sure, F.col("even_")).otherwise(0)).cast("long").alias("twice_")
+    again = F.collect_list(F.when(dated & ~sure, F.col("word_"))).alias("again_")
+    keys = layers.written(words.groupBy(key).agg(*(F.sum(c).alias(c) for c in ("n_", "days_", *counts)), F.min("first_").alias("first_"), F.max("last_").alias("last_"), twice, again))
     span = keys.agg((F.date_diff(F.max("last_"), F.min("first_")) + 1).alias("span_"))
-    odd = keys.where(F.size("again_") > 0).select(F.col(key).alias("key_"), F.explode("again_").alias("word_"))
-    near = grid.select(key, "date").join(odd, F.col(key).eqNullSafe(F.col("key_")) & (word == F.col("word_")), "left_semi")
+    doubt = keys.where(F.size("again_") > 0).select(F.col(key).alias("key_"), F.explode("again_").alias("word_"))
+    repeated, n = keys.select("twice_"), doubt.count()
+    if n:
+        near = grid.select(key, "date").join(F.broadcast(doubt) if n <= FEW else doubt.hint("merge"), F.col(key).eqNullSafe(F.col("key_")) & (word == F.col("word_")), "left_semi")
+        repeated = repeated.unionByName(quality.duplicates(near, [key, "date"]).select(F.lit(1).cast("long").alias("twice_")))
     total = lambda df, rule, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias("violations")).select(F.lit("grid").alias("dataset"), F.lit(rule).alias("rule"), F.lit("error").alias("severity"), "violations")
     return quality.report(
-        *(total(keys, r.name, c) for r, c in zip(rules, counts, strict=True)), total(quality.orphans(keys, key, products, key), "unknown_product", "n_"),
-        quality.as_rule(quality.duplicates(near, [key, "date"]), "grid", "repeated_cell"),
+        *(total(keys, r.name, c) for r, c in zip(rules, counts, strict=True)), total(quality.orphans(keys, key, products.hint("merge"), key), "unknown_product", "n_"),
+        total(repeated, "repeated_cell", "twice_"),
         quality.as_rule(keys.crossJoin(F.broadcast(span)).where("days_ <> span_"), "grid", "incomplete_days"),
-        quality.as_rule(products.select(key).join(keys.select(key), key, "left_anti"), "grid", "absent_product"),
+        quality.as_rule(products.select(key).join(keys.select(key).hint("merge"), key, "left_anti"), "grid", "absent_product"),
     )
 
 

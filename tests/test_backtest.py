@@ -67,3 +67,20 @@ def test_missing_forecasts_broadcast_no_forecast(spark, capsys):
     found.explain()
     assert "SortMergeJoin" in (plan := capsys.readouterr().out) and "BroadcastExchange" not in plan
     assert sorted(r.product_id for r in found.collect()) == [5, 6, 7, 8, 9]
+
+
+def test_cells_that_are_there_twice_or_more_often(spark, capsys):
+    day = lambda k: None if k is None else START + timedelta(days=k)
+    products = spark.createDataFrame([(k, "a") for k in range(8)], "product_id long, category string")
+    kind = "product_id long, date date, quantity_sold double, category string"
+    # once, twice, thrice, four times, twice beside thrice, without a date
+    times = {0: {0: 1, 1: 1}, 1: {0: 2, 61: 2, 130: 1}, 2: {3: 3}, 3: {4: 4, 5: 1}, 4: {6: 2, 7: 3, 200: 2}, 5: {None: 2, 8: 1}, 6: {None: 1, 9: 2}}
+    cells = lambda of: spark.createDataFrame([(p, day(k), 1.0, "a") for p in of for k, n in times[p].items() for _ in range(n)], kind)
+    repeated = lambda df: {r.rule: r.violations for r in df.collect()}["repeated_cell"]
+    assert repeated(gates.grid_checks(cells(times), products)) == sum(n > 1 for x in times.values() for n in x.values()) == 9
+    found = gates.grid_checks(cells([0, 1]), products)
+    assert repeated(found) == 2
+    capsys.readouterr()
+    found.explain()
+    # cells that are there twice are known from the sums: nothing is looked at again
+    assert "quantity_sold" not in (plan := capsys.readouterr().out) and "LeftSemi" not in plan and "BroadcastHashJoin" not in plan
