@@ -181,3 +181,17 @@ def test_schema_tests_join_the_items_once(spark, monkeypatch):
     monkeypatch.setattr(queries_quality.layers, "written", lambda df, _of=layers.written: (read.append(any("lineitem" in x for x in df.inputFiles())), _of(df))[1])
     found = queries_quality.schema_test_report(spark, "/root/testdata/sf0.001")
     assert "dataset" in found.columns and sum(read) == 1
+
+
+def test_items_are_dealt_by_order_once(spark, capsys):
+    from mercadia.plans import sales
+
+    items = spark.createDataFrame([(1, 7, 2), (1, 7, 1), (1, 8, 3), (2, 7, 1)], "order_id long, product_id long, quantity int")
+    enriched = items.selectExpr("*", *(f"CAST(quantity AS DECIMAL(18,2)) AS {x}" for x in ("line_gross_amount", "line_discount_amount", "line_total", "line_cost_amount")))
+    orders = spark.createDataFrame([(1, 5), (2, 5)], "order_id long, customer_id long").selectExpr("*", "current_date() AS order_date", "'F' AS order_status", "'x' AS sales_channel", "1 AS shipping_cost", "0 AS discount_amount", "1 AS order_total")
+    customers = spark.createDataFrame([(5, "a", "b", "c")], "customer_id long, full_name string, state string, region string")
+    found = sales.enriched_orders(orders, customers, enriched)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("REPARTITION_BY_COL") == 1 and not any("Exchange" in x and "product_id" in x for x in plan.splitlines())
+    assert sorted((r.order_id, r.order_item_count, r.item_quantity, r.distinct_products) for r in found.collect()) == [(1, 3, 6, 2), (2, 1, 1, 1)]
